@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from crawlmill.llm import exact_dedup, sharding, simhash_dedup, warc
+from crawlmill.llm import ann, bitplanes, exact_dedup, langid, packing, quality, segment_bpe, sharding, simhash_dedup, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
         "op2_simhash": simhash_dedup.op2_simhash,
+        "op3_langid": langid.op3_langid,
         "op4_sharding": sharding.op4_sharding,
+        "op5_quality": quality.op5_quality,
+        "op6_ann": ann.op6_ann,
+        "op7_bitplanes": bitplanes.op7_bitplanes,
+        "op8_packing": packing.op8_packing,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_bpe": segment_bpe.op10_bpe,
     }
 
 
