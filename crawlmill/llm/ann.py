@@ -16,10 +16,11 @@ from crawlmill.llm.common import load, written
 
 #: Vectors that the index is fitted on at most; every vector is indexed.
 FIT_ROWS = 8192
-#: Vectors per cell, about; most cells; share of the cells that a query looks into, and the fewest.
-PER_CELL, MOST_CELLS, PROBED, LEAST_PROBED = 400, 1024, 0.25, 12
+#: Vectors per cell, about; most cells; share of the cells that a query looks into, and the fewest. Directions that fill
+#: the space evenly leave no cell out of reach, so the share is high; lower it where vectors form clusters.
+PER_CELL, MOST_CELLS, PROBED, LEAST_PROBED = 400, 1024, 0.7, 16
 #: Candidates that a group reranks per query; vectors and queries that one task holds.
-RERANKED, BLOCK_VECTORS, BLOCK_QUERIES = 96, 20_000, 4_000
+RERANKED, BLOCK_VECTORS, BLOCK_QUERIES = 64, 20_000, 4_000
 #: Inner products below this share of the largest matter less to the codes.
 SCORE_THRESHOLD = 0.2
 CODES, WIDTH = 16, 2  # four bits for each pair of dimensions
