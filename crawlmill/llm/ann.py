@@ -19,8 +19,9 @@ FIT_ROWS = 8192
 #: Vectors per cell, about; most cells; share of the cells that a query looks into, and the fewest. Directions that fill
 #: the space evenly leave no cell out of reach, so the share is high; lower it where vectors form clusters.
 PER_CELL, MOST_CELLS, PROBED, LEAST_PROBED = 400, 1024, 0.7, 16
-#: Candidates that a group reranks per query; vectors and queries that one task holds.
-RERANKED, BLOCK_VECTORS, BLOCK_QUERIES = 64, 20_000, 4_000
+#: Candidates that a group reranks per query, and what a rough score may lack to be reranked too (of 255 per table);
+#: vectors and queries that one task holds.
+RERANKED, ALMOST, BLOCK_VECTORS, BLOCK_QUERIES = 48, 40, 20_000, 4_000
 #: Inner products below this share of the largest matter less to the codes.
 SCORE_THRESHOLD = 0.2
 CODES, WIDTH = 16, 2  # four bits for each pair of dimensions
@@ -228,17 +229,23 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
         codes = unpack_codes(np.frombuffer(b"".join(vecs["codes"].to_pylist()), np.uint8).reshape(len(x), -1), m)
         low = np.array([i[0] for i in vecs["ids"].to_pylist()])
         scale, found, score, asker = np.linalg.norm(x, axis=1), [], [], []
-        few, step = min(RERANKED, len(x)), max(1, (1 << 22) // len(x))
+        few, step = min(RERANKED, len(x)), max(1, (1 << 21) // len(x))
         for i in range(0, len(want), step):
             part = want[i : i + step]
             rough = held.value.quantiser.scan(held.value.padded(unit(part)), codes).astype(np.int32)
-            near = np.argpartition(-rough, few - 1, axis=1)[:, :few]
-            norms = np.linalg.norm(part, axis=1)
-            exact = np.einsum("qd,qrd->qr", part, x[near]) / (norms[:, None] * scale[near])
-            order = np.lexsort((low[near], -exact), axis=1)[:, : k + 1]
-            found.append(np.take_along_axis(near, order, axis=1).ravel())
-            score.append(np.take_along_axis(exact, order, axis=1).ravel())
-            asker.append(np.repeat(np.arange(i, i + len(part)), order.shape[1]))
+            # all that come as near as the last of the few, ties and almost ties too
+            last = -np.partition(-rough, few - 1, axis=1)[:, few - 1 : few] - ALMOST
+            who, near = np.nonzero(rough >= last)
+            exact = np.empty(len(who))
+            for j in range(0, len(who), 1 << 16):
+                exact[j : j + (1 << 16)] = np.einsum("pd,pd->p", part[who[j : j + (1 << 16)]], x[near[j : j + (1 << 16)]])
+            exact /= np.linalg.norm(part, axis=1)[who] * scale[near]
+            order = np.lexsort((low[near], -exact, who))
+            start = np.searchsorted(who, np.arange(len(part)))[who[order]]
+            kept = order[np.arange(len(order)) - start <= k]
+            found.append(near[kept])
+            score.append(exact[kept])
+            asker.append(i + who[kept])
         at = pa.array(np.concatenate(asker))
         return pa.table({"h1": asks["h1"].take(at), "h2": asks["h2"].take(at), "ids": vecs["ids"].take(pa.array(np.concatenate(found))), "score": np.concatenate(score)})
 

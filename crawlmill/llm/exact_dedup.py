@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crawlmill.llm.common import load, text_or_empty, written
@@ -84,17 +85,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """docs without the copies that exact_dedup drops, all columns kept."""
-    found = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"), "group_size")
-    # repeated rows of a kept doc_id and text meet in one group; number them and keep the first
-    marked = docs.withColumn("k_text", F.sha2(normalised(), 256))
-    kept = marked.join(found.select("k_id", "k_sha"), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_text") == F.col("k_sha")), "left_semi")
-    ids = docs.groupBy("doc_id").count().where("count > 1").limit(1)
-    if ids.isEmpty():
-        return kept.drop("k_text")
-    from pyspark.sql import Window as W
-
-    ordered = W.partitionBy("doc_id", "k_text").orderBy(F.lit(1))
-    return kept.withColumn("k_no", F.row_number().over(ordered)).where("k_no = 1").drop("k_no", "k_text")
+    found = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"))
+    marked = docs.withColumn("_own_text", F.sha2(normalised(), 256))
+    kept = marked.join(found, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_own_text") == F.col("_kept_text")), "left_semi")
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept.drop("_own_text")
+    # rows that repeat a kept doc_id and text: one stays
+    once = W.partitionBy("doc_id", "_own_text").orderBy(F.lit(1))
+    return kept.withColumn("_place", F.row_number().over(once)).where("_place = 1").drop("_place", "_own_text")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

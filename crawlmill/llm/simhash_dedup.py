@@ -156,8 +156,8 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> Dat
 
 def drop_near_copies(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
     """docs with one document of each group of near duplicates, the one of the smallest doc_id."""
-    kept = near_duplicates(docs, distance, shingle).where("doc_id <=> component_id").select(F.col("doc_id").alias("k_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
+    kept = near_duplicates(docs, distance, shingle).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
