@@ -1,11 +1,829 @@
-"""Queries over the given tables and the SQL that gives the same rows."""
+"""Queries over the given tables, one for each operator, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from crawlmill.constants import BACKUP_SUFFIXES, IGNORED_EXTENSIONS, PATH_JUNK, PUNCTUATION, SCRIPT_LINKS, STATUS_CODES, STOP_WORDS, TRAVERSAL_SIGNS
+from crawlmill.functions import measures, simhash, text, urls
+from crawlmill.functions.html import html_facts
+from crawlmill.operators import aggregates, discovery, extraction, joins, near_duplicates, rules, windows
+from crawlmill.plans import adapters as A
+from crawlmill.sources import readers, sinks
+from crawlmill.storage import shared_path, written
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
+
+
+def _list(values) -> str:
+    return ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+
+
+_LONG_WORDS = [60, 80, 100]
+
+
+@query(f"""WITH {A.RESP}, f AS (SELECT *, row_number() OVER (PARTITION BY url, method ORDER BY timestamp) AS p FROM resp
+  WHERE status <> 404 AND word_count NOT IN ({_list(_LONG_WORDS)}) AND status IN ({_list(STATUS_CODES)}))
+SELECT {A.HOST.format('url')} AS host, status, count(*) AS responses, sum(content_length)::BIGINT AS bytes FROM f WHERE p = 1 GROUP BY ALL""")
+def flagship_host_status(spark, sf_dir):
+    rows = A.measured_pages(spark, sf_dir)
+    rows = rules.without_values(rules.without_values(rows, "status", [404]), "word_count", _LONG_WORDS)
+    rows = windows.first_seen(rows.where(measures.is_reported(F.col("status"))))
+    return rows.groupBy(urls.host(F.col("url")).alias("host"), "status").agg(F.count("*").alias("responses"), F.sum("content_length").alias("bytes"))
+
+
+# ---- measures
+
+_HEADER = F.when(F.col("page_id") % 3 == 0, F.octet_length("html") + 5)
+_HEADER_SQL = "CASE WHEN page_id % 3 = 0 THEN strlen(html) + 5 END"
+
+
+@query(f"""SELECT page_id, CASE WHEN page_id % 5 = 0 AND coalesce({_HEADER_SQL}, 0) > strlen(html) THEN strlen(html)
+  ELSE greatest(coalesce({_HEADER_SQL}, 0), strlen(html)) END AS content_length FROM pages""")
+def m1_content_length(spark, sf_dir):
+    return A.table(spark, sf_dir, "pages").select("page_id", measures.content_length(F.col("html"), _HEADER, F.col("page_id") % 5 == 0).alias("content_length"))
+
+
+@query(f"SELECT doc_id, {A.LINES.format('text')} AS line_count FROM documents")
+def m2_line_count(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").select("doc_id", measures.line_count(F.col("text")).alias("line_count"))
+
+
+@query(f"SELECT doc_id, {A.WORDS.format('text')} AS word_count FROM documents")
+def m3_word_count(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").select("doc_id", measures.word_count(F.col("text")).alias("word_count"))
+
+
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(html, '[^\x00-\x7F]', '?', 'g') AS t FROM pages)
+SELECT page_id, substr(t, 1, 2000) AS text, strlen(t) > 2000 AS truncated FROM a""")
+def m4_size_cap(spark, sf_dir):
+    body = A.table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", r"[^\x00-\x7F]", "?").cast("binary").alias("body"))
+    return body.select("page_id", measures.capped_text(F.col("body"), 2000).alias("text"), measures.is_truncated(F.col("body"), 2000).alias("truncated"))
+
+
+_FILES = F.concat("url", F.element_at(F.array(*[F.lit(x) for x in ("", ".js", "/a.tar.gz", "/.bash_history", ".php?x=1.2")]), (F.col("page_id") % 5 + 1).cast("int")))
+_FILE_URL = r"regexp_replace(url, '[?#].*', '') || CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '.js' WHEN 2 THEN '/a.tar.gz' WHEN 3 THEN '/.bash_history' ELSE '.php?x=1.2' END"
+
+
+def _file_urls(spark, sf_dir):
+    bare = A.table(spark, sf_dir, "pages").withColumn("url", F.regexp_replace("url", "[?#].*", ""))
+    return bare.select("page_id", _FILES.alias("url"))
+
+
+@query(f"""WITH u AS (SELECT page_id, {_FILE_URL} AS url FROM pages),
+p AS (SELECT page_id, url, list_filter(string_split(string_split({A.PATH.format('url')}, '/')[-1], '.'), lambda x: x <> '') AS parts FROM u)
+SELECT page_id, url, CASE WHEN len(parts) > 1 THEN parts[-1] END AS extension FROM p""")
+def m5_extension(spark, sf_dir):
+    return _file_urls(spark, sf_dir).select("page_id", "url", urls.extension(F.col("url")).alias("extension"))
+
+
+@query(f"""WITH p AS (SELECT page_id, {A.PATH.format('url')} AS p FROM pages)
+SELECT page_id, len(string_split(CASE WHEN suffix(p, '/') THEN p ELSE p || '/' END, '/')) - 1 AS depth FROM p""")
+def m6_depth(spark, sf_dir):
+    return A.table(spark, sf_dir, "pages").select("page_id", urls.depth(F.col("url")).alias("depth"))
+
+
+@query("SELECT page_id, rtrim(url, '/') || '/' AS normalized_url FROM pages")
+def m7_normalized_url(spark, sf_dir):
+    return A.table(spark, sf_dir, "pages").select("page_id", urls.normalized(F.col("url")).alias("normalized_url"))
+
+
+_TARGET_SQL = f"CASE WHEN status // 100 = 3 AND location IS NOT NULL THEN CASE WHEN prefix(location, '/') THEN {A.ORIGIN.format('url')} || location ELSE location END END"
+_DIRECTORY_SQL = f"CASE WHEN status // 100 = 3 THEN coalesce(({_TARGET_SQL}) = url || '/', false) ELSE (status // 100 = 2 OR status = 403) AND suffix(url, '/') END"
+
+
+@query(f"WITH {A.RESP} SELECT page_id, {_DIRECTORY_SQL} AS is_directory FROM resp")
+def m8_is_directory(spark, sf_dir):
+    return A.resp_pages(spark, sf_dir).select("page_id", measures.is_directory(F.col("status"), F.col("url"), F.col("location")).alias("is_directory"))
+
+
+@query(f"WITH {A.RESP} SELECT page_id, {_TARGET_SQL} AS target FROM resp WHERE status // 100 = 3")
+def m9_redirect_target(spark, sf_dir):
+    rows = A.resp_pages(spark, sf_dir).where(measures.status_class(F.col("status")) == 3)
+    return rows.select("page_id", measures.redirect_target(F.col("status"), F.col("url"), F.col("location")).alias("target"))
+
+
+_SCOPE = ["example.com", "example.net."]
+
+
+@query(f"""SELECT page_id, bool_or(h = s OR suffix(h, '.' || s)) AS in_scope FROM
+(SELECT page_id, {A.HOST.format('url')} AS h FROM pages), (SELECT unnest(['example.com', 'example.net']) AS s) GROUP BY page_id""")
+def m10_in_scope(spark, sf_dir):
+    host = urls.host(F.col("url"))
+    inside = F.lit(False)
+    for s in _SCOPE:
+        inside = inside | urls.in_scope(host, F.lit(s))
+    return A.table(spark, sf_dir, "pages").select("page_id", inside.alias("in_scope"))
+
+
+@query(f"WITH {A.RESP} SELECT status // 100 AS status_class, count(*) AS responses FROM resp GROUP BY 1")
+def m11_status_class(spark, sf_dir):
+    return A.resp_pages(spark, sf_dir).groupBy(measures.status_class(F.col("status")).alias("status_class")).agg(F.count("*").alias("responses"))
+
+
+_RAW = F.element_at(F.array(F.col("url"), F.concat("url", F.lit("/../x")), F.lit("mailto:user@example.com"), F.concat("url", F.lit("/%2E%2e/x")), F.lit("../../stuff")), (F.col("page_id") % 5 + 1).cast("int"))
+_RAW_SQL = "CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN url || '/../x' WHEN 2 THEN 'mailto:user@example.com' WHEN 3 THEN url || '/%2E%2e/x' ELSE '../../stuff' END"
+
+
+@query(f"""WITH u AS (SELECT page_id, {_RAW_SQL.replace('url', "regexp_replace(url, '[?#].*', '')")} AS u FROM pages)
+SELECT page_id, {A.HOST.format('u')} <> '' AS is_valid_url, {' OR '.join(f"contains(lower({A.PATH.format('u')}), '{s}')" for s in TRAVERSAL_SIGNS)} AS has_traversal FROM u""")
+def m12_raw_path(spark, sf_dir):
+    bare = A.table(spark, sf_dir, "pages").withColumn("url", F.regexp_replace("url", "[?#].*", "")).select("page_id", _RAW.alias("u"))
+    return bare.select("page_id", urls.is_valid(F.col("u")).alias("is_valid_url"), urls.has_traversal(F.col("u")).alias("has_traversal"))
+
+
+@query(f"WITH {A.RESP} SELECT page_id, status IN ({_list(STATUS_CODES)}) AS by_codes, status NOT IN (404, 500) AS by_filter FROM resp")
+def m13_reported(spark, sf_dir):
+    s = F.col("status")
+    return A.resp_pages(spark, sf_dir).select("page_id", measures.is_reported(s).alias("by_codes"), measures.is_reported(s, [404, 500]).alias("by_filter"))
+
+
+# ---- rules
+
+
+def _filtered(column: str, values: str):
+    return f"WITH {A.RESP} SELECT page_id, {column} FROM resp WHERE {column} NOT IN ({values})"
+
+
+@query(_filtered("status", "404, 500"))
+def f1_status_rule(spark, sf_dir):
+    return rules.without_values(A.resp_pages(spark, sf_dir), "status", [404, 500]).select("page_id", "status")
+
+
+@query(_filtered("line_count", "2, 5"))
+def f2_line_rule(spark, sf_dir):
+    return rules.without_values(A.measured_pages(spark, sf_dir), "line_count", [2, 5]).select("page_id", "line_count")
+
+
+@query(_filtered("word_count", _list(range(50, 150, 3))))
+def f3_word_rule(spark, sf_dir):
+    return rules.without_values(A.measured_pages(spark, sf_dir), "word_count", list(range(50, 150, 3))).select("page_id", "word_count")
+
+
+@query(_filtered("content_length", _list(range(800, 3000, 7))))
+def f4_size_rule(spark, sf_dir):
+    return rules.without_values(A.measured_pages(spark, sf_dir), "content_length", list(range(800, 3000, 7))).select("page_id", "content_length")
+
+
+@query("""SELECT page_id FROM pages WHERE NOT regexp_matches(html, 'casino.{0,20}win') AND NOT regexp_matches(html, '<h1>[A-D]')
+  AND NOT regexp_matches(CASE WHEN page_id % 4 = 0 THEN 'nginx' ELSE 'apache' END, 'ngin.')""")
+def f5_regex_rule(spark, sf_dir):
+    headers = F.create_map(F.lit("server"), F.when(F.col("page_id") % 4 == 0, F.lit("nginx")).otherwise(F.lit("apache")))
+    rows = A.resp_pages(spark, sf_dir).withColumn("headers", headers)
+    return rows.where(~(rules.matches_regex(["casino.{0,20}win", "<h1>[A-D]"]) | rules.matches_regex(["ngin."], "method", "headers"))).select("page_id")
+
+
+def _signed_docs(spark, sf_dir):
+    return simhash.signatures(A.resp_docs(spark, sf_dir), "doc_id")
+
+
+def _similar_rules(spark, sf_dir):
+    refs = A.table(spark, sf_dir, "documents").where("doc_id < 40")
+    r = simhash.signatures(refs, "doc_id").select(F.lit("similarity").alias("kind"), F.col("signature").alias("hash"), F.lit(3).alias("cutoff"))
+    return spark.createDataFrame([], rules.RULE_SCHEMA).unionByName(r, allowMissingColumns=True)
+
+
+@query()
+def f6_similar_rule(spark, sf_dir):
+    return rules.without_similar(_signed_docs(spark, sf_dir), _similar_rules(spark, sf_dir)).select("doc_id", "signature")
+
+
+_WILD_SQL = f"""{A.RESP}, {A.PROBES}, rule AS (SELECT target, method, extension, status, count(*) AS probes,
+  CASE WHEN min(content_length) = max(content_length) THEN min(content_length) END AS content_length,
+  CASE WHEN min(word_count) = max(word_count) THEN min(word_count) END AS word_count,
+  CASE WHEN min(line_count) = max(line_count) THEN min(line_count) END AS line_count,
+  arg_min(url, page_id) AS representative FROM probes WHERE status IN ({_list(STATUS_CODES)}) GROUP BY ALL
+  HAVING count(*) >= 2 AND (min(content_length) = max(content_length) OR min(word_count) = max(word_count) OR min(line_count) = max(line_count)))"""
+
+
+def _wild_rules(spark, sf_dir):
+    found = aggregates.probe_rules(A.probe_pages(spark, sf_dir))
+    slim = found.select(F.lit("wildcard").alias("kind"), "method", F.col("status").alias("status_code"), "content_length", "word_count", "line_count", F.lit(False).alias("dont_filter")).distinct()
+    return spark.createDataFrame([], rules.RULE_SCHEMA).unionByName(slim, allowMissingColumns=True)
+
+
+_COARSE = "SELECT page_id, url, method, status, content_length // 4000 AS content_length, word_count // 200 AS word_count, line_count // 50 AS line_count FROM resp"
+
+
+def _coarse_pages(spark, sf_dir):
+    cut = {c: F.floor(F.col(c) / d).cast("long") for c, d in (("content_length", 4000), ("word_count", 200), ("line_count", 50))}
+    return A.measured_pages(spark, sf_dir).withColumns(cut)
+
+
+_WILD_HIT = """r.method = f.method AND r.status = f.status AND (f.content_length IS NULL OR f.content_length = r.content_length)
+  AND (f.word_count IS NULL OR f.word_count = r.word_count) AND (f.line_count IS NULL OR f.line_count = r.line_count)"""
+
+
+@query(f"""WITH {_WILD_SQL}, r AS ({_COARSE}) SELECT page_id, status FROM r WHERE NOT EXISTS (SELECT 1 FROM rule f WHERE {_WILD_HIT})""")
+def f7_wildcard_rule(spark, sf_dir):
+    return rules.without_wildcards(_coarse_pages(spark, sf_dir), _wild_rules(spark, sf_dir)).select("page_id", "status")
+
+
+_LITERAL_RULES = [("status", [404]), ("lines", [7]), ("words", [2]), ("size", [1]), ("nonsense", [1])]
+
+
+def _hit_pages(spark, sf_dir):
+    rows = [r for kind, values in _LITERAL_RULES for r in rules.rule_rows(kind, values)]
+    table = rules.rule_table(spark, rows + rows).unionByName(_wild_rules(spark, sf_dir))
+    return rules.with_first_hit(_coarse_pages(spark, sf_dir), table, "page_id")
+
+
+_HIT_SQL = f"""WITH {_WILD_SQL}, r AS ({_COARSE}), hit AS (SELECT *, CASE WHEN status = 404 THEN 'status' WHEN line_count = 7 THEN 'lines'
+  WHEN word_count = 2 THEN 'words' WHEN content_length = 1 THEN 'size'
+  WHEN EXISTS (SELECT 1 FROM rule f WHERE {_WILD_HIT}) THEN 'wildcard' END AS rule_kind FROM r)"""
+
+
+@query(f"{_HIT_SQL} SELECT rule_kind, count(*) AS responses FROM hit GROUP BY 1")
+def f8_rule_attribution(spark, sf_dir):
+    return _hit_pages(spark, sf_dir).groupBy("rule_kind").agg(F.count("*").alias("responses"))
+
+
+def _deny(spark, sf_dir):
+    return A.table(spark, sf_dir, "pages").where("page_id % 10 = 3").select(F.regexp_extract("url", r"^([a-z]+://[^/]+/[^/?#]+)", 1).alias("url")).where("url <> ''")
+
+
+_PART = "rtrim({0}, '/')"
+
+
+@query(f"""WITH {A.SCANS}, d AS (SELECT DISTINCT rtrim(u, '/') AS u, {A.HOST.format('u')} AS h, rtrim({A.PATH.format("rtrim(u, '/')")}, '/') AS p
+  FROM (SELECT regexp_extract(url, '^([a-z]+://[^/]+/[^/?#]+)', 1) AS u FROM pages WHERE page_id % 10 = 3) WHERE u <> ''),
+s AS (SELECT DISTINCT {A.HOST.format('url')} AS h, rtrim({A.PATH.format("rtrim(url, '/')")}, '/') AS p FROM scans WHERE scan_type = 'Directory'),
+c AS (SELECT page_id, rtrim(url, '/') AS u, {A.HOST.format('url')} AS h, rtrim({A.PATH.format("rtrim(url, '/')")}, '/') AS p FROM pages)
+SELECT page_id FROM c WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.h = c.h AND (d.u = c.u OR (prefix(c.p, d.p)
+  AND NOT EXISTS (SELECT 1 FROM s WHERE s.h = d.h AND prefix(s.p, d.p) AND prefix(c.p, s.p)))))""")
+def f9_excluded_urls(spark, sf_dir):
+    scans = A.scans_pages(spark, sf_dir).where("scan_type = 'Directory'")
+    return rules.excluded_urls(A.table(spark, sf_dir, "pages"), _deny(spark, sf_dir), scans).select("page_id")
+
+
+@query(r"SELECT page_id FROM pages WHERE NOT (regexp_matches(url, 'casino|login') OR regexp_matches(url, '/\d*7$'))")
+def f10_excluded_by_regex(spark, sf_dir):
+    return rules.excluded_by_regex(A.table(spark, sf_dir, "pages"), ["casino|login", r"/\d*7$"]).select("page_id")
+
+
+# ---- joins
+
+
+def _some_words(spark, sf_dir):
+    return A.words_docs(spark, sf_dir).where("length(word) <= 3")
+
+
+_CANDIDATES = f"""{A.TARGETS}, {A.WORDLIST}, cand AS (SELECT target, word, rtrim(target, '/') || '/' || word || e AS url, m AS method
+  FROM targets, wordlist, (SELECT unnest(['', '.php', '/']) AS e), (SELECT unnest(['GET', 'POST']) AS m) WHERE length(word) <= 3)"""
+
+
+def _candidates(spark, sf_dir):
+    return joins.candidates(A.targets_pages(spark, sf_dir), _some_words(spark, sf_dir), ["php", "/"], ["GET", "POST"])
+
+
+@query(f"WITH {_CANDIDATES} SELECT target, count(*) AS candidates, count(DISTINCT url) AS urls, min(url) AS first, max(url) AS last FROM cand GROUP BY 1")
+def j1_candidates(spark, sf_dir):
+    return _candidates(spark, sf_dir).groupBy("target").agg(F.count("*").alias("candidates"), F.countDistinct("url").alias("urls"), F.min("url").alias("first"), F.max("url").alias("last"))
+
+
+@query(f"WITH {A.RESP} SELECT url, method FROM resp WHERE (url, method) NOT IN (SELECT (url, method) FROM resp WHERE page_id % 3 = 0)")
+def j2_unseen_responses(spark, sf_dir):
+    r = A.resp_pages(spark, sf_dir)
+    return joins.unseen_responses(r, r.where("page_id % 3 = 0")).select("url", "method")
+
+
+@query("SELECT page_id FROM pages WHERE rtrim(url, '/') || '/' NOT IN (SELECT rtrim(url, '/') || '/' FROM pages WHERE page_id % 4 = 1)")
+def j3_unseen_scans(spark, sf_dir):
+    p = A.table(spark, sf_dir, "pages")
+    return joins.unseen_scans(p, p.where("page_id % 4 = 1")).select("page_id")
+
+
+_OWNING = f"""owned AS (SELECT page_id, arg_max(s, length(s)) AS scan_url FROM
+  (SELECT p.page_id, s.url AS s FROM pages p JOIN scans s ON prefix(p.url, rtrim(s.url, '/') || '/')) GROUP BY page_id)"""
+
+
+@query(f"WITH {A.SCANS}, {_OWNING} SELECT page_id, scan_url FROM owned")
+def j4_owning_scan(spark, sf_dir):
+    return joins.owning_scan(A.table(spark, sf_dir, "pages"), A.scans_pages(spark, sf_dir), "page_id")
+
+
+@query(f"""WITH {A.LOG}, l AS (SELECT DISTINCT scan_url, 'u' || (event_id % 40) AS link FROM log),
+s AS (SELECT DISTINCT scan_url, 'u' || (event_id % 40) AS link FROM log WHERE event_id % 3 = 0)
+SELECT * FROM l EXCEPT SELECT * FROM s""")
+def j5_unseen_links(spark, sf_dir):
+    log = A.log_events(spark, sf_dir).withColumn("link", F.concat(F.lit("u"), (F.col("event_id") % 40).cast("string")))
+    return joins.unseen_links(log, log.where("event_id % 3 = 0"))
+
+
+@query(f"{_HIT_SQL} SELECT page_id, rule_kind FROM hit WHERE rule_kind IS NOT NULL")
+def j6_rules_join(spark, sf_dir):
+    return _hit_pages(spark, sf_dir).where("rule_kind is not null").select("page_id", "rule_kind")
+
+
+@query()
+def j7_near_self_join(spark, sf_dir):
+    return near_duplicates.near_pairs(written(_signed_docs(spark, sf_dir), "signatures"), "doc_id")
+
+
+_PARENT = f"string_split({A.PATH.format(chr(39).join(['rtrim(url, ', '/', ') || ', '/', '']))}, '/')[-2]"
+
+
+@query(f"""WITH w AS (SELECT DISTINCT {_PARENT} AS p FROM pages WHERE page_id % 9 = 0) SELECT page_id FROM pages WHERE {_PARENT} NOT IN (SELECT p FROM w)""")
+def j8_outside_wildcards(spark, sf_dir):
+    p = A.table(spark, sf_dir, "pages").withColumn("method", F.lit("GET"))
+    return joins.outside_wildcards(p, p.where("page_id % 9 = 0")).select("page_id")
+
+
+@query(f"""WITH {_CANDIDATES}, got AS (SELECT DISTINCT url FROM cand WHERE length(url) % 2 = 0 AND method = 'GET')
+SELECT target, count(*) AS expected, count(g.url) AS captured FROM cand c LEFT JOIN got g ON c.url = g.url AND c.method = 'GET' GROUP BY 1""")
+def j9_coverage(spark, sf_dir):
+    c = _candidates(spark, sf_dir)
+    return joins.coverage(c, c.where("length(url) % 2 = 0 and method = 'GET'"))
+
+
+# ---- aggregations
+
+
+def _stat_columns(where: str = "") -> str:
+    out = ["count(*) FILTER (status IS NOT NULL OR error IS NOT NULL) AS requests", "count(error) AS errors"]
+    out += [f"count(*) FILTER (error = '{k}') AS {k}_errors" for k in aggregates.ERROR_KINDS]
+    out += [f"count(*) FILTER (status // 100 = {c}) AS {n}" for c, n in ((2, "successes"), (3, "redirects"), (4, "client_errors"), (5, "server_errors"))]
+    return ", ".join(out + [f"count(*) FILTER (status = {c}) AS status_{c}s" for c in aggregates.COUNTED_CODES])
+
+
+@query(f"WITH {A.LOG} SELECT {_stat_columns()} FROM log")
+def a1_run_statistics(spark, sf_dir):
+    return aggregates.run_statistics(A.log_events(spark, sf_dir))
+
+
+@query(f"WITH {A.RESP} SELECT {A.HOST.format('url')} AS host, status // 100 AS status_class, count(*) AS responses FROM resp GROUP BY ROLLUP ({A.HOST.format('url')}, status // 100)")
+def a1_host_rollup(spark, sf_dir):
+    return aggregates.host_rollup(A.resp_pages(spark, sf_dir))
+
+
+@query(f"WITH {A.LOG} SELECT scan_url, count(*) AS requests, count(error) AS errors, count(*) FILTER (status = 403) AS status_403s, count(*) FILTER (status = 429) AS status_429s FROM log GROUP BY 1")
+def a2_scan_counters(spark, sf_dir):
+    log = A.log_events(spark, sf_dir)
+    return aggregates.scan_counters(log, log.select(F.col("scan_url").alias("url")).distinct(), "event_id")
+
+
+@query(f"""WITH {A.LOG}, s AS (SELECT event_id % 3 AS run, count(*) AS requests, count(error) AS errors, max(event_id) AS total_expected FROM log GROUP BY 1)
+SELECT sum(requests)::BIGINT AS requests, sum(errors)::BIGINT AS errors, max(total_expected) FILTER (run = 0) AS total_expected FROM s""")
+def a3_merged_statistics(spark, sf_dir):
+    by_run = A.log_events(spark, sf_dir).groupBy((F.col("event_id") % 3).alias("run")).agg(F.count("*").alias("requests"), F.count("error").alias("errors"), F.max("event_id").alias("total_expected"))
+    return aggregates.merged_statistics(by_run.where("run = 0").drop("run"), by_run.where("run > 0").drop("run"))
+
+
+@query(f"WITH {_WILD_SQL} SELECT target, status, probes, content_length, word_count, line_count, representative FROM rule")
+def a4_probe_rules(spark, sf_dir):
+    return aggregates.probe_rules(A.probe_pages(spark, sf_dir)).select("target", "status", "probes", "content_length", "word_count", "line_count", "representative")
+
+
+@query(f"""WITH {_WILD_SQL} SELECT rule.target, bool_or({_DIRECTORY_SQL.replace('status', 'p.status').replace('url', 'p.url').replace('location', 'p.location')}) AS is_wildcard_directory
+FROM rule JOIN probes p ON rule.representative = p.url GROUP BY 1""")
+def a5_wildcard_directories(spark, sf_dir):
+    probes = A.probe_pages(spark, sf_dir)
+    return aggregates.wildcard_directories(aggregates.probe_rules(probes), probes)
+
+
+_STOP = _list(w for w in STOP_WORDS)
+_PUNCT = "".join("''" if c == "'" else c for c in PUNCTUATION)
+_PLAIN = f"lower(translate(text, '{_PUNCT}', '{' ' * len(PUNCTUATION)}'))"
+#: Stop words as the regular expression sees them: runs of word characters and hyphens, outer hyphens aside.
+_TOKENS = rf"""list_filter(list_transform(regexp_split_to_array({_PLAIN}, '[\t-\r\x{{85}}\p{{Z}}]+'),
+  lambda w: CASE WHEN regexp_matches(w, '^-*[a-z]+-*$') AND regexp_extract(w, '^-*([a-z]+)-*$', 1) IN ({_STOP}) THEN replace(w, regexp_extract(w, '^-*([a-z]+)-*$', 1), '') ELSE w END), lambda w: w <> '')"""
+_TERMS = f"""t AS (SELECT doc_id, list_filter({_TOKENS}, lambda w: strlen(w) >= 2) AS l FROM documents WHERE regexp_matches(text, '^[ -~\\s\\p{{L}}]*$')),
+c AS (SELECT doc_id, len(l) AS n_terms, unnest(l) AS term FROM t), d AS (SELECT doc_id, n_terms, term, count(*) AS n FROM c GROUP BY ALL),
+v AS (SELECT term, count(*) AS df, avg(n / n_terms) * log10((SELECT count(*) FROM t) / count(*)) AS score FROM d GROUP BY 1)"""
+
+
+def _clean_docs(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[ -~\s\p{L}]*$"))
+
+
+@query(f"WITH {_TERMS} SELECT term, df, round(score, 9) AS score FROM v WHERE score > 0")
+def a6_vocabulary(spark, sf_dir):
+    return aggregates.vocabulary(_clean_docs(spark, sf_dir), "doc_id").select("term", "df", F.round("score", 9).alias("score"))
+
+
+@query(f"""WITH u AS (SELECT page_id, {_FILE_URL} AS url FROM pages), p AS (SELECT list_filter(string_split(string_split({A.PATH.format('url')}, '/')[-1], '.'), lambda x: x <> '') AS parts FROM u)
+SELECT parts[-1] AS extension, count(*) AS responses FROM p WHERE len(parts) > 1 AND parts[-1] NOT IN ({_list(IGNORED_EXTENSIONS)}, 'js') GROUP BY 1""")
+def a8_collected_extensions(spark, sf_dir):
+    return aggregates.collected_extensions(_file_urls(spark, sf_dir).withColumn("status", F.lit(200)), configured=["js"])
+
+
+@query(f"WITH {A.SCANS}, {A.WORDLIST} SELECT url, (SELECT count(*) FROM wordlist) * 4 * 2 AS expected FROM scans WHERE scan_type = 'Directory'")
+def a9_expected_requests(spark, sf_dir):
+    return aggregates.expected_requests(A.scans_pages(spark, sf_dir), A.words_docs(spark, sf_dir).count(), 2, 1, 2)
+
+
+_SECONDS = "s AS (SELECT epoch_us(max(ts)) / 1000000 - epoch_us(min(ts)) / 1000000 AS seconds FROM log GROUP BY scan_url)"
+
+
+@query(f"WITH {A.LOG}, {_SECONDS} SELECT round(min(seconds), 3) AS least, round(avg(seconds), 3) AS mean, round(max(seconds), 3) AS largest, round(sum(seconds), 1) AS total FROM s")
+def a10_scan_durations(spark, sf_dir):
+    span = aggregates.elapsed_seconds("ts").alias("seconds")
+    found = aggregates.scan_durations(A.log_events(spark, sf_dir).groupBy("scan_url").agg(span))
+    return found.select(F.round("least", 3).alias("least"), F.round("mean", 3).alias("mean"), F.round("largest", 3).alias("largest"), F.round("total", 1).alias("total"))
+
+
+@query(f"""WITH {A.LOG}, t AS (SELECT scan_url, count(*) AS n, epoch_us(max(ts)) / 1000000 - epoch_us(min(ts)) / 1000000 AS s FROM
+  (SELECT 'http://h' || (event_id % 50) || '/' AS scan_url, '2024-01-01'::TIMESTAMP + to_microseconds((event_id * 7001) // 50) AS ts FROM log) GROUP BY 1)
+SELECT scan_url, CASE WHEN length(scan_url) % 2 = 0 AND s > 0 THEN floor(n / s) ELSE 0 END::BIGINT AS rate FROM t""")
+def a11_request_rates(spark, sf_dir):
+    log = A.log_events(spark, sf_dir).select(F.concat(F.lit("http://h"), (F.col("event_id") % 50).cast("string"), F.lit("/")).alias("scan_url"), F.timestamp_micros(F.lit(1704067200000000) + F.floor(F.col("event_id") * 7001 / 50)).alias("ts"))
+    scans = log.select(F.col("scan_url").alias("url")).distinct().select("url", F.lit("Directory").alias("scan_type"), F.when(F.length("url") % 2 == 0, F.lit("Running")).otherwise(F.lit("Complete")).alias("status"))
+    return aggregates.request_rates(log, scans)
+
+
+@query(f"""{_HIT_SQL} SELECT (SELECT count(*) FROM (SELECT DISTINCT url, method FROM hit WHERE rule_kind IS NULL AND status IN ({_list(STATUS_CODES)}))) AS resources_discovered,
+  count(rule_kind) AS responses_filtered, count(*) FILTER (rule_kind = 'wildcard') AS wildcards_filtered FROM hit""")
+def a12_discovery_totals(spark, sf_dir):
+    return aggregates.discovery_totals(_hit_pages(spark, sf_dir))
+
+
+@query(f"WITH {A.SCANS} SELECT status, count(*) AS scans FROM scans WHERE scan_type = 'Directory' GROUP BY 1")
+def a13_scan_listing(spark, sf_dir):
+    return aggregates.scan_listing(A.scans_pages(spark, sf_dir))
+
+
+@query(f"WITH {_WILD_SQL}, u AS (SELECT DISTINCT method, status, content_length, word_count, line_count FROM rule) SELECT 'wildcard' AS kind, count(*) AS rules FROM u")
+def a13_rule_listing(spark, sf_dir):
+    return aggregates.rule_listing(_wild_rules(spark, sf_dir))
+
+
+# ---- windows, orders, sets
+
+_RUNNING = """r AS (SELECT *, count(*) OVER w AS requests, count(error) OVER w AS errors, count(CASE WHEN status = 403 THEN 1 END) OVER w AS s403,
+  count(CASE WHEN status = 429 THEN 1 END) OVER w AS s429 FROM log WINDOW w AS (PARTITION BY scan_url ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT scan_url, ts, event_id, requests, CASE WHEN errors >= 10 THEN 'Errors' WHEN s403 / requests >= CAST(0.9 AS DOUBLE) THEN 'Status403'
+  WHEN s429 / requests >= CAST(0.9 AS DOUBLE) / 3 THEN 'Status429' END AS trigger FROM r WHERE requests >= 50)"""
+
+
+@query(f"""WITH {A.LOG}, {_RUNNING.replace('>= 10', '>= 25')}, f AS (SELECT *, row_number() OVER (PARTITION BY scan_url ORDER BY ts, event_id) AS p FROM t WHERE trigger IS NOT NULL)
+SELECT scan_url, trigger, ts, requests FROM f WHERE p = 1""")
+def w1_policy_triggers(spark, sf_dir):
+    return windows.policy_triggers(A.log_events(spark, sf_dir))
+
+
+@query(f"""WITH {A.LOG}, c AS (SELECT scan_url, time_bucket(INTERVAL 1 DAY, ts) AS since, count(error) AS errors FROM log GROUP BY 1, 2),
+i AS (SELECT *, sum(CASE WHEN errors > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY scan_url ORDER BY since) AS island FROM c)
+SELECT scan_url, since, errors, CASE WHEN errors = 0 THEN 'up' ELSE 'down' END AS direction,
+  CASE WHEN errors = 0 THEN sum(CASE WHEN errors = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY scan_url, island ORDER BY since) ELSE 0 END::BIGINT AS streak FROM i""")
+def w2_trigger_directions(spark, sf_dir):
+    return windows.trigger_directions(A.log_events(spark, sf_dir), 86400)
+
+
+@query(f"""WITH {A.RESP}, f AS (SELECT *, row_number() OVER (PARTITION BY {A.ORIGIN.format('url')}, method ORDER BY timestamp) AS p FROM resp) SELECT page_id, {A.ORIGIN.format('url')} AS url FROM f WHERE p = 1""")
+def w3_first_seen(spark, sf_dir):
+    return windows.first_seen(A.resp_pages(spark, sf_dir).withColumn("url", urls.origin(F.col("url")))).select("page_id", "url")
+
+
+@query(f"WITH {_TERMS} SELECT term, df, round(score, 9) AS score FROM v WHERE score > 0 ORDER BY score DESC, term LIMIT 50")
+def o1_top_terms(spark, sf_dir):
+    rounded = aggregates.vocabulary(_clean_docs(spark, sf_dir), "doc_id").select("term", "df", F.round("score", 9).alias("score"))
+    return windows.top_terms(rounded, 50)
+
+
+@query("SELECT doc_id AS pos, source AS word FROM documents WHERE doc_id >= 400")
+def o2_remaining_words(spark, sf_dir):
+    return windows.remaining_words(A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("source").alias("word")), 400)
+
+
+@query(f"""WITH p AS (SELECT url, {A.PATH.format('url')} AS p FROM pages) SELECT url, len(string_split(CASE WHEN suffix(p, '/') THEN p ELSE p || '/' END, '/')) - 1 AS depth FROM p ORDER BY depth, url""")
+def o3_by_depth(spark, sf_dir):
+    return windows.by_depth(A.table(spark, sf_dir, "pages"))
+
+
+_SCRIPT_SQL = SCRIPT_LINKS.replace("'", "''")
+_SCRIPT_ROWS = f"x2 AS (SELECT page_id, regexp_replace(regexp_replace(m, '^[''\"]+', ''), '[''\"]+$', '') AS link FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_SCRIPT_SQL}', 0)) AS m FROM pages))"
+_ATTR_ROWS = "x1 AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\\b[^>]*?\\shref=\"([^\"]*)\"', 1)) AS link FROM pages)"
+
+
+@query(f"WITH {_SCRIPT_ROWS}, {_ATTR_ROWS} SELECT page_id, link FROM x1 UNION SELECT page_id, link FROM x2")
+def d1_link_union(spark, sf_dir):
+    p = A.table(spark, sf_dir, "pages")
+    return extraction.attribute_links_native(p, "page_id", "html").unionByName(extraction.script_links(p, "page_id", "html")).distinct()
+
+
+@query(f"WITH {_SCRIPT_ROWS}, {_ATTR_ROWS} SELECT page_id, link FROM x2 EXCEPT SELECT page_id, link FROM x1")
+def d2_link_difference(spark, sf_dir):
+    p = A.table(spark, sf_dir, "pages")
+    return extraction.script_links(p, "page_id", "html").distinct().join(extraction.attribute_links_native(p, "page_id", "html"), ["page_id", "link"], "left_anti")
+
+
+@query(f"""WITH u AS (SELECT {_FILE_URL} AS url FROM pages), p AS (SELECT list_filter(string_split(string_split({A.PATH.format('url')}, '/')[-1], '.'), lambda x: x <> '') AS parts FROM u)
+SELECT parts[-1] AS extension FROM p WHERE len(parts) > 1 AND parts[-1] NOT IN ({_list(IGNORED_EXTENSIONS)}) UNION SELECT unnest(['php', 'bak'])""")
+def d3_extension_union(spark, sf_dir):
+    collected = aggregates.collected_extensions(_file_urls(spark, sf_dir).withColumn("status", F.lit(200))).select("extension")
+    return collected.unionByName(spark.createDataFrame([("php",), ("bak",)], "extension string")).distinct()
+
+
+# ---- near duplicates
+
+
+@query()
+def n1_near_pairs(spark, sf_dir):
+    return near_duplicates.near_pairs(written(_signed_docs(spark, sf_dir), "signatures"), "doc_id")
+
+
+@query()
+def n2_unique_responses(spark, sf_dir):
+    return near_duplicates.unique_responses(written(_signed_docs(spark, sf_dir), "signatures"), "doc_id")
+
+
+@query()
+def n3_clusters(spark, sf_dir):
+    return near_duplicates.clusters(written(_signed_docs(spark, sf_dir), "signatures"), "doc_id")
+
+
+# ---- text
+
+
+@query(f"SELECT doc_id, translate(text, '{_PUNCT}', '{' ' * len(PUNCTUATION)}') AS text FROM documents")
+def t1_without_punctuation(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").select("doc_id", text.without_punctuation(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, lower(text) AS text FROM documents")
+def t2_lower(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+
+
+_CLEAN = "WHERE regexp_matches(text, '^[ -~\\s\\p{L}]*$')"
+
+
+@query(f"SELECT doc_id, array_to_string({_TOKENS}, ' ') AS words FROM documents {_CLEAN}")
+def t3_without_stop_words(spark, sf_dir):
+    return _clean_docs(spark, sf_dir).select("doc_id", F.array_join(text.preprocessed(F.col("text")), " ").alias("words"))
+
+
+@query(f"SELECT doc_id, len(list_filter({_TOKENS}, lambda w: strlen(w) >= 2)) AS terms FROM documents {_CLEAN}")
+def t4_terms(spark, sf_dir):
+    return _clean_docs(spark, sf_dir).select("doc_id", F.size(text.terms(F.col("text"))).alias("terms"))
+
+
+@query()
+def t5_signatures(spark, sf_dir):
+    return _signed_docs(spark, sf_dir)
+
+
+@query()
+def t6_parity_signatures(spark, sf_dir):
+    return simhash.parity_signatures(A.table(spark, sf_dir, "pages"), "page_id", "url")
+
+
+@query()
+def t7_visible_text(spark, sf_dir):
+    return html_facts(A.table(spark, sf_dir, "pages"), "page_id", "html").select("page_id", "visible_text")
+
+
+@query("SELECT doc_id, bit_count(xor(doc_id * 2654435761, n_chars::BIGINT)) AS distance FROM documents")
+def t8_hamming(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").select("doc_id", simhash.hamming(F.col("doc_id") * F.lit(2654435761), F.col("n_chars").cast("long")).alias("distance"))
+
+
+_NAME = f"string_split({A.PATH.format('url')}, '/')[-1]"
+
+
+@query(f"""WITH u AS (SELECT page_id, {_FILE_URL} AS url FROM pages), n AS (SELECT page_id, {_NAME} AS n FROM u), p AS (SELECT *, list_filter(string_split(n, '.'), lambda x: x <> '') AS parts FROM n WHERE n <> '')
+SELECT page_id, unnest([{', '.join(f"n || '{s}'" for s in BACKUP_SUFFIXES)}, '.' || n || '.swp']) AS name FROM p UNION ALL SELECT page_id, parts[1] || '.bak' FROM p WHERE len(parts) > 1""")
+def t9_backup_names(spark, sf_dir):
+    name = F.element_at(F.split(urls.path(F.col("url")), "/"), -1)
+    return _file_urls(spark, sf_dir).select("page_id", F.explode(text.backup_names(name)).alias("name"))
+
+
+@query(r"""WITH j AS (SELECT page_id, regexp_extract(url, '^([^?#]*)', 1) AS b, CASE page_id % 3 WHEN 0 THEN 'x/y.js' WHEN 1 THEN '/root' ELSE 'q?z=1' END AS l, url FROM pages)
+SELECT page_id, CASE WHEN prefix(l, '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || l ELSE regexp_extract(b, '^(.*/)', 1) || l END AS joined FROM j""")
+def u1_join(spark, sf_dir):
+    link = F.element_at(F.array(F.lit("x/y.js"), F.lit("/root"), F.lit("q?z=1")), (F.col("page_id") % 3 + 1).cast("int"))
+    return A.table(spark, sf_dir, "pages").select("page_id", urls.join(F.col("url"), link).alias("joined"))
+
+
+# ---- extraction
+
+
+@query(f"WITH {_ATTR_ROWS} SELECT page_id, link FROM x1")
+def x1_attribute_links_native(spark, sf_dir):
+    return extraction.attribute_links_native(A.table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query()
+def x1_attribute_links(spark, sf_dir):
+    return extraction.attribute_links(A.table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query(f"WITH {_SCRIPT_ROWS} SELECT page_id, link FROM x2")
+def x2_script_links(spark, sf_dir):
+    return extraction.script_links(A.table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+_ROBOTS = "'User-agent: *' || chr(10) || 'Disallow: ' || regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) || ' # no' || chr(10) || 'allow : /a$' || chr(10) || 'Disallow:'"
+
+
+@query(f"""WITH r AS (SELECT page_id, {_ROBOTS} AS t FROM pages), l AS (SELECT page_id, unnest(string_split(t, chr(10))) AS l FROM r)
+SELECT page_id, regexp_extract(l, '^[ \\t]*(?:allow|disallow)[ \\t]*:[ \\t]*([^ \\t\\r\\n#$]*)', 1, 'i') AS link FROM l WHERE regexp_matches(l, '^[ \\t]*(allow|disallow)[ \\t]*:', 'i')""")
+def x3_robots_paths(spark, sf_dir):
+    p = F.regexp_extract("url", r"^[a-z]+://[^/]+([^?#]*)", 1)
+    robots = F.concat(F.lit("User-agent: *\nDisallow: "), p, F.lit(" # no\nallow : /a$\nDisallow:"))
+    return extraction.robots_paths(A.table(spark, sf_dir, "pages").select("page_id", robots.alias("text")), "page_id")
+
+
+_SUB = f"""sub AS (SELECT page_id, src, list_filter(list_transform(string_split(CASE WHEN contains(t, '?') THEN regexp_extract(t, '^([^?]*)', 1) ELSE regexp_extract(t, '^([^#]*)', 1) END, '/'),
+  lambda p: regexp_replace(p, '{PATH_JUNK}', '', 'g')), lambda p: p <> '') AS parts FROM base)"""
+_SUB_ROWS = """subs AS (SELECT page_id, src, array_to_string(parts, '/') AS sub FROM sub WHERE len(parts) > 0
+  UNION ALL SELECT page_id, src, array_to_string(parts[1:i], '/') || '/' FROM (SELECT page_id, src, parts, unnest(range(1, len(parts))) AS i FROM sub WHERE len(parts) > 1))"""
+
+
+@query(f"""WITH {_ATTR_ROWS}, base AS (SELECT page_id, '' AS src, regexp_replace(regexp_replace(trim(link), '^/+', ''), '\\s', '', 'g') AS t FROM x1), {_SUB}, {_SUB_ROWS} SELECT page_id, sub FROM subs""")
+def x4_sub_paths(spark, sf_dir):
+    links = extraction.attribute_links_native(A.table(spark, sf_dir, "pages"), "page_id", "html")
+    return links.select("page_id", F.explode(extraction.sub_paths(F.col("link"))).alias("sub"))
+
+
+_SCOPE_TEST = "({0} = 'example.com' OR suffix({0}, '.example.com') OR {0} = 'example.net' OR suffix({0}, '.example.net'))"
+_ABSOLUTE = "regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:')"
+_RESOLVED = f"""base AS (SELECT x1.page_id, url AS src, regexp_replace(regexp_replace(trim(CASE WHEN {_ABSOLUTE} THEN {A.PATH.format('link')} ELSE link END), '^/+', ''), '\\s', '', 'g') AS t
+  FROM x1 JOIN pages USING (page_id) WHERE NOT {_ABSOLUTE} OR {_SCOPE_TEST.format(A.HOST.format('link'))}), {_SUB}, {_SUB_ROWS},
+found AS (SELECT DISTINCT src AS url, regexp_extract(regexp_extract(src, '^([^?#]*)', 1), '^(.*/)', 1) || sub AS found FROM subs)"""
+
+
+def _links(spark, sf_dir):
+    pages = A.table(spark, sf_dir, "pages")
+    links = extraction.attribute_links_native(pages, "page_id", "html")
+    return links.join(pages.select("page_id", "url"), "page_id")
+
+
+@query(f"WITH {_ATTR_ROWS}, {_RESOLVED} SELECT url, found FROM found WHERE {_SCOPE_TEST.format(A.HOST.format('url'))}")
+def x5_resolved_links(spark, sf_dir):
+    return extraction.resolved_links(_links(spark, sf_dir), ["example.com", "example.net"])
+
+
+@query()
+def x6_listing_links(spark, sf_dir):
+    return extraction.attribute_links(A.table(spark, sf_dir, "pages"), "page_id", "html", ("a",))
+
+
+@query()
+def x7_listing_kind(spark, sf_dir):
+    facts = html_facts(A.table(spark, sf_dir, "pages"), "page_id", "html")
+    return extraction.listing_kind(facts, "page_id")
+
+
+_EDGES = f"e AS (SELECT DISTINCT {A.ORIGIN.format('url')} AS src_url, {A.ORIGIN.format('url')} || '/' || (page_id % 17) AS link FROM pages UNION SELECT DISTINCT {A.ORIGIN.format('url')} || '/' || (page_id % 17), 'n' || (page_id % 31) FROM pages)"
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, r AS (SELECT {A.ORIGIN.format('url')} AS url, 0 AS level FROM pages WHERE page_id < 20
+  UNION SELECT e.link, r.level + 1 FROM r JOIN e ON r.url = e.src_url WHERE r.level < 3) SELECT url, min(level) AS level FROM r GROUP BY 1""")
+def x8_reachable(spark, sf_dir):
+    p = A.table(spark, sf_dir, "pages")
+    o, n = urls.origin(F.col("url")), F.concat(urls.origin(F.col("url")), F.lit("/"), (F.col("page_id") % 17).cast("string"))
+    edges = p.select(o.alias("src_url"), n.alias("link")).unionByName(p.select(n.alias("src_url"), F.concat(F.lit("n"), (F.col("page_id") % 31).cast("string")).alias("link"))).distinct()
+    return extraction.reachable(edges, p.where("page_id < 20").select(o.alias("url")), 3)
+
+
+# ---- recursion and resumption
+
+
+def _ranked_targets(spark, sf_dir):
+    return A.targets_pages(spark, sf_dir).select(F.length("target").cast("long").alias("pos"), "target")
+
+
+_DEPTH = "(len(string_split(CASE WHEN suffix({0}, '/') THEN {0} ELSE {0} || '/' END, '/')) - 1)"
+
+
+@query(f"""WITH {A.RESP}, {A.SCANS}, d AS (SELECT DISTINCT rtrim(url, '/') || '/' AS url FROM resp WHERE {_DIRECTORY_SQL})
+SELECT url FROM d WHERE {_DEPTH.format(A.PATH.format('url'))} - 1 < 4 AND url NOT IN (SELECT rtrim(url, '/') || '/' FROM scans)""")
+def r1_frontier(spark, sf_dir):
+    return discovery.frontier(A.resp_pages(spark, sf_dir), _ranked_targets(spark, sf_dir), A.scans_pages(spark, sf_dir))
+
+
+@query(f"""{_HIT_SQL}, d AS (SELECT DISTINCT rtrim(url, '/') || '/' AS url FROM hit WHERE rule_kind IS NULL AND status IN ({_list(STATUS_CODES)}))
+SELECT url FROM d WHERE {_DEPTH.format(A.PATH.format('url'))} - 1 < 4""")
+def r2_forced_frontier(spark, sf_dir):
+    kept = _hit_pages(spark, sf_dir).where("rule_kind is null").where(measures.is_reported(F.col("status")))
+    none = spark.createDataFrame([], "url string")
+    return discovery.frontier(kept, _ranked_targets(spark, sf_dir), none, force=True)
+
+
+@query()
+def r3_without_listings(spark, sf_dir):
+    pages = A.table(spark, sf_dir, "pages")
+    kinds = extraction.listing_kind(html_facts(pages, "url", "html"), "url").withColumnRenamed("url", "target")
+    return discovery.without_listings(pages.select(F.col("url").alias("target")), kinds)
+
+
+@query(f"""WITH {A.SCANS}, w AS (SELECT doc_id AS pos, source AS word FROM documents WHERE doc_id < 12), known AS (SELECT DISTINCT {A.ORIGIN.format('url')} || '/src3' AS f FROM pages WHERE page_id % 2 = 1)
+SELECT url, word, pos, (rtrim(url, '/') || '/' || word) IN (SELECT f FROM known) AS reported FROM scans JOIN w ON pos >= CASE WHEN requests_made_so_far > 0 THEN requests_made_so_far // 2 ELSE 0 END
+WHERE scan_type = 'Directory' AND status <> 'Complete'""")
+def r4_resume_plan(spark, sf_dir):
+    words = A.table(spark, sf_dir, "documents").where("doc_id < 12").select(F.col("doc_id").alias("pos"), F.col("source").alias("word"))
+    known = A.table(spark, sf_dir, "pages").where("page_id % 2 = 1").select(F.concat(urls.origin(F.col("url")), F.lit("/src3")).alias("url"))
+    return discovery.resume_plan(A.scans_pages(spark, sf_dir), words, known, multiplier=3)
+
+
+@query()
+def r5_discover(spark, sf_dir):
+    p = A.resp_pages(spark, sf_dir)
+    captured = p.select(F.regexp_replace("url", "[?#].*", "").alias("url"), "method", "status", F.concat(F.regexp_replace("url", "[?#].*", ""), F.lit("/")).alias("location"))
+    langs = p.select(F.regexp_extract("url", r"^[a-z]+://[^/]+/([a-z]{2})/", 1).alias("word")).where("word <> ''").distinct()
+    numbers = captured.select(F.regexp_extract("url", r"/(\d+)/?$", 1).alias("word")).where("word <> ''").distinct()
+    folders = captured.select(F.regexp_extract("url", r"^([a-z]+://[^/]+/[a-z]{2}/)", 1).alias("url")).where("url <> ''").distinct()
+    folders = folders.select(F.rtrim("url", F.lit("/")).alias("url"), F.lit("GET").alias("method"), F.lit(301).alias("status"), "url").toDF("url", "method", "status", "location")
+    return discovery.discover(captured.unionByName(folders).dropDuplicates(["url", "method"]), _ranked_targets(spark, sf_dir), langs.unionByName(numbers))
+
+
+# ---- sources and sinks
+
+
+@query(f"WITH {A.RESP} SELECT url, status, method, content_length, line_count, word_count FROM resp WHERE page_id % 3 < 2")
+def s1_responses(spark, sf_dir):
+    rows = A.measured_pages(spark, sf_dir).where("page_id % 3 < 2")
+    path = shared_path(spark, "responses")
+    empty = {"path": urls.path(F.col("url")), "wildcard": F.lit(False), "headers": F.create_map().cast("map<string,string>"), "extension": urls.extension(F.col("url")), "truncated": F.lit(False)}
+    sinks.write_responses(rows.withColumns(empty), path)
+    return readers.read_responses(spark, path).select("url", "status", "method", "content_length", "line_count", "word_count")
+
+
+@query(f"WITH {A.LOG} SELECT CASE WHEN event_id % 4 = 0 THEN 'WARN' ELSE 'INFO' END AS level, method AS module, count(*) AS messages FROM log GROUP BY 1, 2")
+def s2_run_output_logs(spark, sf_dir):
+    level = F.when(F.col("event_id") % 4 == 0, F.lit("WARN")).otherwise(F.lit("INFO"))
+    lines = A.log_events(spark, sf_dir).select(F.to_json(F.struct(F.lit("log").alias("type"), F.col("url").alias("message"), level.alias("level"), F.lit(1.5).alias("time_offset"), F.col("method").alias("module"))).alias("value"))
+    path = shared_path(spark, "run-output")
+    lines.write.text(path)
+    return readers.log_counts(readers.read_run_output(spark, path)["logs"])
+
+
+@query(f"WITH {A.SCANS} SELECT url, scan_type, status, requests_made_so_far FROM scans")
+def s3_state_scans(spark, sf_dir):
+    scans = A.scans_pages(spark, sf_dir).select(F.lit("id").alias("id"), "url", urls.normalized(F.col("url")).alias("normalized_url"), "scan_type", "status", F.lit(0).cast("long").alias("num_requests"), "requests_made_so_far")
+    path = shared_path(spark, "state")
+    scans.groupBy(F.length("url") % 4).agg(F.collect_list(F.struct(*scans.columns)).alias("scans")).select(F.to_json(F.struct("scans")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return readers.read_state(spark, path).scans.select("url", "scan_type", "status", "requests_made_so_far")
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+k AS (SELECT doc_id, i, ltrim(regexp_replace(l, '\r$', ''), '/') AS word FROM l WHERE regexp_replace(l, '\r$', '') <> '' AND NOT prefix(l, '#'))
+SELECT row_number() OVER (ORDER BY doc_id, i) AS pos, word FROM k UNION ALL SELECT 0, ''""")
+def s4_words(spark, sf_dir):
+    lines = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("part"), F.posexplode(F.split("text", "\n")).alias("line", "value"))
+    return readers.words_of(lines)
+
+
+@query(f"WITH t AS (SELECT DISTINCT {A.HOST.format('url')} AS t FROM pages UNION SELECT DISTINCT {A.ORIGIN.format('url')} FROM pages) SELECT CASE WHEN prefix(t, 'http') THEN t ELSE 'https://' || t END AS target FROM t")
+def s5_targets(spark, sf_dir):
+    p = A.table(spark, sf_dir, "pages")
+    both = p.select(urls.host(F.col("url")).alias("target")).unionByName(p.select(urls.origin(F.col("url")).alias("target"))).distinct()
+    return readers.read_targets(both, deny=["http://nowhere.example"], deny_regex=["^ftp:"])
+
+
+@query(f"WITH {A.RESP} SELECT url, status, method, content_length, line_count, word_count FROM resp")
+def s6_captured_table(spark, sf_dir):
+    p = A.resp_pages(spark, sf_dir)
+    return readers.responses_from(p, body="text").select("url", "status", "method", "content_length", "line_count", "word_count")
+
+
+@query(f"WITH {A.LOG} SELECT method AS module, count(*) AS messages FROM log WHERE event_id % 4 = 0 GROUP BY 1")
+def s7_logs(spark, sf_dir):
+    level = F.when(F.col("event_id") % 4 == 0, F.lit("WARN")).otherwise(F.lit("INFO"))
+    lines = A.log_events(spark, sf_dir).select(F.lit("log").alias("type"), F.col("url").alias("message"), level.alias("level"), F.lit(1.5).alias("time_offset"), F.col("method").alias("module"))
+    path = shared_path(spark, "logs")
+    lines.write.json(path)
+    return readers.log_counts(readers.read_logs(spark, path, "WARN")).drop("level")
+
+
+@query()
+def k1_response_json(spark, sf_dir):
+    empty = {"path": urls.path(F.col("url")), "wildcard": F.lit(False), "headers": F.create_map().cast("map<string,string>"), "extension": urls.extension(F.col("url")), "truncated": F.lit(False)}
+    return sinks.response_json(A.measured_pages(spark, sf_dir).withColumns(empty))
+
+
+@query(f"""WITH {A.RESP}, t AS (SELECT *, {_TARGET_SQL} AS target FROM resp)
+SELECT status || ' ' || lpad(method, 8, ' ') || ' ' || lpad(line_count::VARCHAR, 8, ' ') || 'l ' || lpad(word_count::VARCHAR, 8, ' ') || 'w ' || lpad(content_length::VARCHAR, 8, ' ') || 'c ' || url
+  || CASE WHEN target IS NOT NULL THEN ' => ' || target ELSE '' END || CASE WHEN page_id % 7 = 0 THEN ' (truncated to size limit)' ELSE '' END AS value FROM t""")
+def k2_report_lines(spark, sf_dir):
+    return sinks.report_lines(A.measured_pages(spark, sf_dir).withColumn("truncated", F.col("page_id") % 7 == 0), location=F.col("location"))
+
+
+@query()
+def k3_state(spark, sf_dir):
+    path = shared_path(spark, "run-state")
+    sinks.write_state(path, scans=A.scans_pages(spark, sf_dir), responses=A.measured_pages(spark, sf_dir))
+    return spark.read.parquet(f"{path}/responses").select("page_id", "url", "status")
