@@ -70,10 +70,18 @@ def by_key_range(df: DataFrame, key: str, parts: int) -> DataFrame:
         bounds = []
     if not bounds:
         return df.repartition(1)
-    cuts = F.array(*[F.lit(b) for b in bounds])
-    # the bucket is the number of bounds that are at most the key
-    place = F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.width_bucket(F.col(key).cast("double"), cuts.cast("array<double>")))
-    return df.repartitionById(len(bounds) + 1, F.coalesce(place.cast("int"), F.lit(0)))
+    place = F.when(F.col(key).isNull(), F.lit(0)).otherwise(bounds_at_most(F.col(key), bounds))
+    return df.repartitionById(len(bounds) + 1, place.cast("int"))
+
+
+def bounds_at_most(value: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are at most the value: first among every root-th of them, then between two."""
+    step = max(1, round(len(bounds) ** 0.5))
+    every = F.array(*[F.lit(b) for b in bounds]).cast("array<long>")
+    few = F.array(*[F.lit(b) for b in bounds[::step]]).cast("array<long>")
+    first = F.size(F.filter(few, lambda b: b <= value)) - 1
+    between = F.size(F.filter(F.slice(every, first * step + 1, step), lambda b: b <= value))
+    return F.when(first < 0, F.lit(0)).otherwise(first * step + between)
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
