@@ -19,7 +19,11 @@ def _status(key: str) -> Column:
 
 def resp_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as responses: url, original_url, method, status, location, timestamp, text."""
-    p = table(spark, sf_dir, "pages").withColumn("status", _status("page_id"))
+    return page_rows(table(spark, sf_dir, "pages"))
+
+
+def page_rows(p: DataFrame) -> DataFrame:
+    p = p.withColumn("status", _status("page_id"))
     location = F.when(F.col("page_id") % 20 == 6, F.concat("url", F.lit("/"))).when(F.col("page_id") % 20 == 16, F.lit("/moved"))
     return p.select("page_id", "url", F.concat(urls.origin(F.col("url")), F.lit("/")).alias("original_url"), F.lit("GET").alias("method"), "status", location.alias("location"), (F.lit(1.7e9) + F.col("page_id")).alias("timestamp"), F.col("html").alias("text"))
 
@@ -35,7 +39,10 @@ def resp_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a request log: event_id, ts, scan_url, url, method, status, error."""
-    e = table(spark, sf_dir, "events")
+    return log_rows(table(spark, sf_dir, "events"))
+
+
+def log_rows(e: DataFrame) -> DataFrame:
     scan = F.concat(F.lit("http://h"), F.col("user_id").cast("string"), F.lit("/"))
     status = F.when(F.col("event_type").isin("click", "view"), 200).when(F.col("event_type") == "purchase", 301).when(F.col("event_type") == "signup", F.when(F.col("user_id") % 3 == 0, 403).otherwise(429))
     error = F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 2 == 0, F.lit("timeout")).otherwise(F.lit("connection")))

@@ -93,16 +93,17 @@ def policy_triggers(stream: DataFrame, threads: int = 50, timeout: float = 7.0,
 
 
 def refreshed_vocabulary(key: str, terms_path: str, report: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch step: adds a micro-batch's term counts under its number, then reports scores over all so far.
+    """A foreachBatch step: adds a micro-batch's term and document counts under its number, then reports scores so far.
 
     Rows of a batch that runs again replace those of its first try.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        term_counts(batch, key).write.mode("overwrite").parquet(f"{terms_path}/batch={number}")
-        counts = spark.read.parquet(terms_path).where(F.col("batch") <= number)
-        docs = counts.select("batch", key).distinct().agg(F.count("*").alias("docs"))
+        term_counts(batch, key).write.mode("overwrite").parquet(f"{terms_path}/terms/batch={number}")
+        batch.agg(F.count("*").alias("docs")).write.mode("overwrite").parquet(f"{terms_path}/docs/batch={number}")
+        counts, sizes = (spark.read.parquet(f"{terms_path}/{part}").where(F.col("batch") <= number) for part in ("terms", "docs"))
+        docs = sizes.agg(F.sum("docs").alias("docs"))
         scored = counts.groupBy("term").agg(F.count("*").alias("df"), F.avg(F.col("n") / F.col("n_terms")).alias("tf")).join(F.broadcast(docs))
         report(scored.select("term", "df", (F.col("tf") * F.log10(F.col("docs") / F.col("df"))).alias("score")).where("score > 0"))
 
