@@ -8,6 +8,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from crawlmill.constants import TRAVERSAL_SIGNS
 
@@ -68,7 +69,7 @@ def has_traversal(url: Column) -> Column:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _resolved(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for base, link in pairs:
         yield pd.Series([None if b is None or x is None else urljoin(b, x) for b, x in zip(base, link)])

@@ -56,14 +56,18 @@ def flagship_host_status(spark, sf_dir):
 
 # ---- measures
 
-_HEADER = F.when(F.col("page_id") % 3 == 0, F.octet_length("html") + 5)
+
+def _header():
+    return F.when(F.col("page_id") % 3 == 0, F.octet_length("html") + 5)
+
+
 _HEADER_SQL = "CASE WHEN page_id % 3 = 0 THEN strlen(html) + 5 END"
 
 
 @query(f"""SELECT page_id, CASE WHEN page_id % 5 = 0 AND coalesce({_HEADER_SQL}, 0) > strlen(html) THEN strlen(html)
   ELSE greatest(coalesce({_HEADER_SQL}, 0), strlen(html)) END AS content_length FROM pages""")
 def m1_content_length(spark, sf_dir):
-    return A.table(spark, sf_dir, "pages").select("page_id", measures.content_length(F.col("html"), _HEADER, F.col("page_id") % 5 == 0).alias("content_length"))
+    return A.table(spark, sf_dir, "pages").select("page_id", measures.content_length(F.col("html"), _header(), F.col("page_id") % 5 == 0).alias("content_length"))
 
 
 @query(f"SELECT doc_id, {A.LINES.format('text')} AS line_count FROM documents")
@@ -83,13 +87,18 @@ def m4_size_cap(spark, sf_dir):
     return body.select("page_id", measures.capped_text(F.col("body"), 2000).alias("text"), measures.is_truncated(F.col("body"), 2000).alias("truncated"))
 
 
-_FILES = F.concat("url", F.element_at(F.array(*[F.lit(x) for x in ("", ".js", "/a.tar.gz", "/.bash_history", ".php?x=1.2")]), (F.col("page_id") % 5 + 1).cast("int")))
+
+def _files():
+    ends = F.array(*[F.lit(x) for x in ("", ".js", "/a.tar.gz", "/.bash_history", ".php?x=1.2")])
+    return F.concat("url", F.element_at(ends, (F.col("page_id") % 5 + 1).cast("int")))
+
+
 _FILE_URL = r"regexp_replace(url, '[?#].*', '') || CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '.js' WHEN 2 THEN '/a.tar.gz' WHEN 3 THEN '/.bash_history' ELSE '.php?x=1.2' END"
 
 
 def _file_urls(spark, sf_dir):
     bare = A.table(spark, sf_dir, "pages").withColumn("url", F.regexp_replace("url", "[?#].*", ""))
-    return bare.select("page_id", _FILES.alias("url"))
+    return bare.select("page_id", _files().alias("url"))
 
 
 @query(f"""WITH u AS (SELECT page_id, {_FILE_URL} AS url FROM pages),
@@ -143,14 +152,19 @@ def m11_status_class(spark, sf_dir):
     return A.resp_pages(spark, sf_dir).groupBy(measures.status_class(F.col("status")).alias("status_class")).agg(F.count("*").alias("responses"))
 
 
-_RAW = F.element_at(F.array(F.col("url"), F.concat("url", F.lit("/../x")), F.lit("mailto:user@example.com"), F.concat("url", F.lit("/%2E%2e/x")), F.lit("../../stuff")), (F.col("page_id") % 5 + 1).cast("int"))
+
+def _raw():
+    kinds = F.array(F.col("url"), F.concat("url", F.lit("/../x")), F.lit("mailto:user@example.com"), F.concat("url", F.lit("/%2E%2e/x")), F.lit("../../stuff"))
+    return F.element_at(kinds, (F.col("page_id") % 5 + 1).cast("int"))
+
+
 _RAW_SQL = "CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN url || '/../x' WHEN 2 THEN 'mailto:user@example.com' WHEN 3 THEN url || '/%2E%2e/x' ELSE '../../stuff' END"
 
 
 @query(f"""WITH u AS (SELECT page_id, {_RAW_SQL.replace('url', "regexp_replace(url, '[?#].*', '')")} AS u FROM pages)
 SELECT page_id, {A.HOST.format('u')} <> '' AS is_valid_url, {' OR '.join(f"contains(lower({A.PATH.format('u')}), '{s}')" for s in TRAVERSAL_SIGNS)} AS has_traversal FROM u""")
 def m12_raw_path(spark, sf_dir):
-    bare = A.table(spark, sf_dir, "pages").withColumn("url", F.regexp_replace("url", "[?#].*", "")).select("page_id", _RAW.alias("u"))
+    bare = A.table(spark, sf_dir, "pages").withColumn("url", F.regexp_replace("url", "[?#].*", "")).select("page_id", _raw().alias("u"))
     return bare.select("page_id", urls.is_valid(F.col("u")).alias("is_valid_url"), urls.has_traversal(F.col("u")).alias("has_traversal"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crawlmill.functions import measures
 from crawlmill.operators import rules
 from crawlmill.plans import adapters as A
-from crawlmill.plans.queries import _COARSE, _FILE_URL, _FILES, _RUNNING, _SCRIPT_ROWS, _TERMS, _WILD_HIT, _WILD_SQL, _wild_rules, query
+from crawlmill.plans.queries import _COARSE, _FILE_URL, _RUNNING, _SCRIPT_ROWS, _TERMS, _WILD_HIT, _WILD_SQL, _files, _wild_rules, query
 from crawlmill.storage import shared_path
 from crawlmill.streaming import runs, streams
 
@@ -72,7 +72,7 @@ def st5_unseen_links(spark, sf_dir):
 @query(f"""WITH u AS (SELECT {_FILE_URL} AS url FROM pages), p AS (SELECT list_filter(string_split(string_split({A.PATH.format('url')}, '/')[-1], '.'), lambda x: x <> '') AS parts FROM u)
 SELECT DISTINCT parts[-1] AS extension FROM p WHERE len(parts) > 1""")
 def st5_unseen_extensions(spark, sf_dir):
-    rows = _pages(spark, sf_dir).withColumn("url", F.regexp_replace("url", "[?#].*", "")).select("ts", _FILES.alias("url"))
+    rows = _pages(spark, sf_dir).withColumn("url", F.regexp_replace("url", "[?#].*", "")).select("ts", _files().alias("url"))
     return runs.appended(streams.unseen_extensions(rows, _FOREVER).select("extension"), "st5-extensions")
 
 
