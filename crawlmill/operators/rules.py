@@ -80,34 +80,53 @@ def without_wildcards(responses: DataFrame, rules: DataFrame) -> DataFrame:
     return responses.alias("r").join(rules.alias("f"), _wildcard_hit("r", "f"), "left_anti")
 
 
-def without_similar(responses: DataFrame, rules: DataFrame, signature: str = "signature") -> DataFrame:
-    """responses whose signature is within no similarity rule's cutoff. Rows without a signature stay."""
-    rules = rules.where("kind = 'similarity'")
-    near = hamming(F.col(f"r.{signature}"), F.col("f.hash")) <= F.col("f.cutoff")
-    return responses.alias("r").join(rules.alias("f"), near, "left_anti")
+def _bands(signature: Column, distance: int) -> Column:
+    """Parts of a signature of which values within `distance` bits share one at least, each with its place."""
+    width = 64 // (distance + 1)
+    parts = [F.shiftrightunsigned(signature, i * width).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1)) for i in range(distance)]
+    parts.append(F.shiftrightunsigned(signature, distance * width))
+    return F.array(*[F.concat_ws(":", F.lit(i), p) for i, p in enumerate(parts)])
+
+
+def without_similar(responses: DataFrame, rules: DataFrame, signature: str = "signature", max_cutoff: int = NEAR_DISTANCE) -> DataFrame:
+    """responses whose signature is within no similarity rule's cutoff. Rows without a signature stay.
+
+    Cutoffs are max_cutoff at most. Signatures within that many bits share a band, so rules and distinct signatures
+    meet by equality, however many there are of either.
+    """
+    rules = rules.where(f"kind = 'similarity' and cutoff <= {max_cutoff}").select("hash", "cutoff").distinct()
+    rules = rules.select("hash", "cutoff", F.explode(_bands(F.col("hash"), max_cutoff)).alias("band"))
+    own = responses.where(F.col(signature).isNotNull()).select(F.col(signature).alias("own")).distinct()
+    own = own.select("own", F.explode(_bands(F.col("own"), max_cutoff)).alias("band"))
+    hits = own.join(rules, "band").where(hamming(F.col("own"), F.col("hash")) <= F.col("cutoff")).select("own").distinct()
+    return responses.join(hits, F.col(signature) == F.col("own"), "left_anti")
 
 
 def with_first_hit(responses: DataFrame, rules: DataFrame, key: str, signature: str | None = None) -> DataFrame:
     """responses with rule_kind, the kind of the first rule that hits, or null.
 
-    Equal rules count once. A row's rules are compared in one pass: the rule table is small and of known size, and its
-    kinds are ordered from the cheapest to the dearest. Regex rules are taken from literals by matches_regex.
+    Equal rules count once. Kinds are tried from the cheapest to the dearest. A response is looked up by each of its
+    values, so rules and responses meet by equality; wildcard and similarity rules are then compared in full. Regex
+    rules are taken from literals by matches_regex. A similarity rule's cutoff is NEAR_DISTANCE at most.
     """
     order = F.expr("case kind when 'status' then 0 when 'lines' then 1 when 'words' then 2 when 'size' then 3 when 'wildcard' then 4 else 5 end")
-    rules = rules.dropDuplicates().withColumn("priority", order)
-    r = responses.alias("r")
-    hit = (
-        ((F.col("f.kind") == "status") & (F.col("r.status") == F.col("f.filter_code")))
-        | ((F.col("f.kind") == "lines") & (F.col("r.line_count") == F.col("f.line_count")))
-        | ((F.col("f.kind") == "words") & (F.col("r.word_count") == F.col("f.word_count")))
-        | ((F.col("f.kind") == "size") & (F.col("r.content_length") == F.col("f.content_length")))
-        | ((F.col("f.kind") == "wildcard") & ~F.coalesce("f.dont_filter", F.lit(False)) & _wildcard_hit("r", "f"))
-    )
+    fields = {"status": "filter_code", "lines": "line_count", "words": "word_count", "size": "content_length"}
+
+    def look_ups(single: dict[str, str], method: str, status: str, hashed: Column | None) -> Column:
+        each = [F.concat_ws(":", F.lit(k), F.col(c)) for k, c in single.items()] + [F.concat_ws(":", F.lit("wildcard"), method, status)]
+        near = F.transform(_bands(hashed, NEAR_DISTANCE), lambda b: F.concat(F.lit("similarity:"), b)) if hashed is not None else F.array().cast("array<string>")
+        return F.concat(F.array(*each), F.coalesce(near, F.array().cast("array<string>")))
+
+    live = rules.where("not coalesce(dont_filter, false)").dropDuplicates().withColumn("priority", order)
+    live = live.withColumn("at", F.explode(look_ups(fields, "method", "status_code", F.col("hash")))).where(F.col("at").startswith(F.concat("kind", F.lit(":"))))
+    slim = responses.select(key, "status", "method", "line_count", "word_count", "content_length", *([signature] if signature else []))
+    slim = slim.withColumn("at", F.explode(look_ups({"status": "status", "lines": "line_count", "words": "word_count", "size": "content_length"}, "method", "status", F.col(signature) if signature else None)))
+    full = F.col("f.kind").isin(*fields) | ((F.col("f.kind") == "wildcard") & _wildcard_hit("r", "f"))
     if signature:
-        hit = hit | ((F.col("f.kind") == "similarity") & (hamming(F.col(f"r.{signature}"), F.col("f.hash")) <= F.col("f.cutoff")))
-    slim = responses.select(key, "status", "method", "line_count", "word_count", "content_length", *([signature] if signature else [])).alias("r")
-    first = slim.join(rules.alias("f"), hit).groupBy(F.col(f"r.{key}").alias(key)).agg(F.min_by("f.kind", "f.priority").alias("rule_kind"))
-    return r.join(first, key, "left").select("r.*", "rule_kind")
+        full = full | ((F.col("f.kind") == "similarity") & (hamming(F.col(f"r.{signature}"), F.col("f.hash")) <= F.col("f.cutoff")))
+    hits = slim.alias("r").join(live.alias("f"), "at").where(full)
+    first = hits.groupBy(F.col(f"r.{key}").alias(key)).agg(F.min_by("f.kind", "f.priority").alias("rule_kind"))
+    return responses.join(first, key, "left")
 
 
 def excluded_urls(candidates: DataFrame, deny: DataFrame, scans: DataFrame, url: str = "url") -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from crawlmill.functions import measures, urls
 from crawlmill.operators.rules import RULE_SCHEMA, matches_regex
 
+#: Parts of a word list whose sizes one task sums up.
+PARTS_PER_BLOCK = 4096
 RESPONSE_SCHEMA = (
     "type string, url string, original_url string, path string, wildcard boolean, status int, method string, "
     "content_length long, line_count long, word_count long, headers map<string,string>, extension string, "
@@ -96,8 +98,12 @@ def words_of(lines: DataFrame, value: str = "value") -> DataFrame:
     """
     word = F.regexp_replace(value, "\r$", "")
     rows = lines.withColumn("w", word).where("w <> '' and not startswith(w, '#')").select("part", "line", F.ltrim("w", F.lit("/")).alias("word"))
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
-    sizes = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    # lines before a part: those of its block of parts, and of the blocks before; no task sums up all parts
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("part") / PARTS_PER_BLOCK))
+    blocks = sizes.groupBy("block").agg(F.sum("n").alias("bn"))
+    blocks = blocks.select("block", (F.sum("bn").over(W.orderBy("block")) - F.col("bn")).alias("earlier"))
+    within = F.sum("n").over(W.partitionBy("block").orderBy("part")) - F.col("n")
+    sizes = sizes.withColumn("within", within).join(blocks, "block").select("part", (F.col("earlier") + F.col("within")).alias("before"))
     own = F.row_number().over(W.partitionBy("part").orderBy("line"))
     numbered = rows.withColumn("own", own).join(sizes, "part").select((F.col("before") + F.col("own")).cast("long").alias("pos"), "word")
     first = lines.sparkSession.range(1).select(F.lit(0).cast("long").alias("pos"), F.lit("").alias("word"))

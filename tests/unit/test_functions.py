@@ -125,3 +125,17 @@ def test_script_links(spark):
     js = """a("/api/v1/users"); b('https://x.example.com/p?q=1'); c("main.js"); d("no link"); e("rest/item")"""
     got = {r["link"] for r in script_links(spark.createDataFrame([(1, js)], "id long, text string"), "id").collect()}
     assert got == {"/api/v1/users", "https://x.example.com/p?q=1", "main.js", "rest/item"}
+
+
+def test_sql_functions(spark):
+    from crawlmill.functions.sql import register_functions
+
+    register_functions(spark)
+    for url in ("http://localhost", "http://localhost/src/", "http://h/a/b.tar.gz?x=1", "mailto:x"):
+        df = spark.createDataFrame([(url,)], "u string")
+        r = df.select(F.expr("url_depth(u)").alias("d"), F.expr("url_extension(u)").alias("e"), urls.depth(F.col("u")).alias("d2"), urls.extension(F.col("u")).alias("e2")).first()
+        assert (r.d, r.e) == (r.d2, r.e2)
+    assert spark.sql("select sub_paths('/homepage/assets/x.svg?q') as s").first()["s"] == ["homepage/assets/x.svg", "homepage/assets/", "homepage/"]
+    docs = spark.createDataFrame([(1, "alpha beta beta gamma")], "id long, text string")
+    want = signatures(docs, "id").first()["signature"]
+    assert spark.sql("select simhash64(array('alpha','beta','beta','gamma')) as s, hamming64(-1, 0) as h").first() == (want, 64)
