@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from crawlmill.functions.text import preprocessed
 
 _MASK = (1 << 64) - 1
+#: The lowest bit of either half of a long.
+_LANES = 0x0000000100000001
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -26,12 +28,14 @@ def signatures(docs: DataFrame, key: str, tokens: Column | None = None, text: st
     words = docs.select(F.col(key), F.explode(preprocessed(F.coalesce(F.col(text), F.lit(""))) if tokens is None else tokens).alias("w"))
     # equal tokens of a document weigh as one row before the bits are counted
     counted = words.groupBy(key, "w").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("w"))
-    votes = [F.sum(F.when(F.getbit("h", F.lit(i)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"v{i}") for i in range(64)]
-    summed = counted.groupBy(key).agg(*votes)
+    # bits i and i + 32 are counted in the low and the high half of one sum
+    lanes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(_LANES)) * F.col("n")).alias(f"v{i}") for i in range(32)]
+    summed = counted.groupBy(key).agg(F.sum("n").alias("total"), *lanes)
     bits = F.lit(0).cast("long")
     for i in range(64):
-        one = 1 << i if i < 63 else -(1 << 63)
-        bits = bits.bitwiseOR(F.when(F.col(f"v{i}") > 0, F.lit(one)).otherwise(F.lit(0)).cast("long"))
+        v = F.col(f"v{i % 32}")
+        votes = F.shiftrightunsigned(v, 32) if i >= 32 else v.bitwiseAND(F.lit(_MASK >> 32))
+        bits = bits.bitwiseOR(F.shiftleft((votes * 2 > F.col("total")).cast("long"), i))
     return summed.select(key, bits.alias("signature"))
 
 
