@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crawlmill.storage import shared_dir, shared_path, written
+
+__all__ = ["shared_dir", "shared_path", "written"]
+
 #: Bytes in an Arrow batch handed to Python: documents may hold megabytes each.
 BATCH_BYTES = 8 << 20
 
@@ -17,26 +20,15 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="crawlmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_holder: list = [None, None]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def hold_alone(owner: object, forget: Callable[[], None]) -> None:
+    """A Python worker serves one stage after another and lives on: what the last owner remembers is freed first."""
+    if _holder[0] is not owner:
+        if _holder[1]:
+            _holder[1]()
+        _holder[:] = owner, forget
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

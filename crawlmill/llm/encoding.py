@@ -12,10 +12,12 @@ from array import array
 
 import regex
 
+from crawlmill.llm.common import hold_alone
+
 #: Fixed by the vocabulary: where a byte-level tokenizer cuts before its merges.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks a worker remembers.
-CACHE_ROWS = 1_000_000
+CACHE_ROWS = 250_000
 _TWO_BLANKS = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
@@ -76,6 +78,10 @@ class ChunkEncoder:
             return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.words.__getitem__, self.split(chunk)))
 
+    def forget(self) -> None:
+        for memory in (self.words, self.plain, self.after_blank):
+            memory.clear()
+
     def encode_text(self, text: str) -> bytes:
         if _TWO_BLANKS.search(text):
             return b"".join(map(self.plain.__getitem__, _CUT.split(text)))
@@ -93,7 +99,9 @@ def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder for a tokenizer file."""
     if path not in _encoders:
         _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    found = _encoders[path]
+    hold_alone(found, found.forget)
+    return found
 
 
 def byte_bpe_path() -> str:

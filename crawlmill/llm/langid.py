@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crawlmill.llm.common import doc_remainder, load, short_batches
+from crawlmill.llm.common import doc_remainder, hold_alone, load, short_batches
 
 #: Longest n-gram.
 ORDER = 5
@@ -22,7 +22,7 @@ FIT_DOCS, CALIBRATION_DOCS = 1200, 300
 #: Cross-entropy, in nats, that a text of n symbols may exceed its language's limit by, times the root of n.
 SLACK = 4.0
 #: Words a worker remembers.
-CACHE_ROWS = 500_000
+CACHE_ROWS = 250_000
 _START, _END = 1, 2  # code points that no word holds
 _BASE = 0x9E3779B97F4A7C15
 UNDETERMINED = "und"
@@ -158,10 +158,14 @@ class LanguageModels:
         self.__dict__.update(state)
         self.__post_init__()
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.table = np.zeros((1024, len(self.languages) + 1))
+
     def _learn(self, words: set[str]) -> None:
         """A row per word: minus log probability under each language, and number of predicted symbols."""
         if len(self.known) > CACHE_ROWS:
-            self.known.clear()
+            self.forget()
         new = list(words.difference(self.known))
         if not new:
             return
@@ -188,6 +192,7 @@ class LanguageModels:
 
     def entropies(self, texts: list[str | None]) -> np.ndarray:
         """A row per text: cross-entropy per symbol under each language (zero where there is no letter), symbols."""
+        hold_alone(self, self.forget)
         cut = [(t or "").lower().split() for t in texts]
         out, i = np.zeros((len(texts), len(self.languages) + 1)), 0
         while i < len(cut):
@@ -226,10 +231,10 @@ def fit_languages(labelled: DataFrame, fit_docs: int = FIT_DOCS, calibration_doc
     more by what chance adds to a short text.
     """
     short_batches(labelled.sparkSession)
-    rows = labelled.where("lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id", F.lit(3)))
+    rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id", F.lit(3)))
     most = fit_docs + calibration_docs
     # the row limit reaches each task before anything moves, and moves ids only
-    picked = rows.select("doc_id", "lang", "h").withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("place") <= most).select("lang", "place", F.col("doc_id").alias("p_id"))
+    picked = rows.select("doc_id", "lang", "h").distinct().withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("place") <= most).select("lang", "place", F.col("doc_id").alias("p_id"))
     sample = rows.join(F.broadcast(picked.select("p_id", F.col("lang").alias("p_lang"), "place")), (F.col("doc_id") == F.col("p_id")) & (F.col("lang") == F.col("p_lang"))).select("lang", "place", "text")
 
     def fit(key: tuple, table: pa.Table) -> pa.Table:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crawlmill.llm.common import doc_remainder, load, short_batches
+from crawlmill.llm.common import doc_remainder, hold_alone, load, short_batches
 
 #: Labelled documents per label that the model is fitted on at most (whole texts): bounds what is broadcast.
 FIT_DOCS = 1500
@@ -22,7 +22,7 @@ VOCABULARY, DIMENSIONS, NEIGHBOURS, BLOCK = 4000, 48, 25, 256
 #: Scores from here on are label 1.
 THRESHOLD = 0.3
 #: Words a worker remembers.
-CACHE_ROWS = 500_000
+CACHE_ROWS = 250_000
 #: Features besides the vocabulary: unknown word, shapes of words, word like the one before, and text without words.
 _CASES, _ENDS = 5, 5
 _EXTRA = 1 + _CASES * _ENDS + 2
@@ -57,6 +57,7 @@ class NeighbourModel:
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Weighted log counts of words, shapes and repeats: a row per text."""
+        hold_alone(self, self.known.clear)
         v = len(self.vocabulary)
         out = np.zeros((len(texts), v + _EXTRA), np.float32)
         if len(self.known) > CACHE_ROWS:

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlmill.llm.common import load, short_batches, text_or_empty
+from crawlmill.llm.common import hold_alone, load, short_batches, text_or_empty
 from crawlmill.llm.encoding import byte_letters, word_bpe_path
 
 #: Fixed by the vocabulary: what of a normalised text is a word.
@@ -127,15 +127,17 @@ class WordBpe:
         self.spelt: dict[str, str] = {}
         self.words: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        for memory in (self.ids, self.spelt, self.words):
+            memory.clear()
+
     def _words(self, chunk: str) -> list[str]:
         return self.split(chunk.lower() if chunk.isascii() else self.normalise(chunk))
 
     def _learn(self, chunks: set[str]) -> None:
         """Encode the chunks not seen before; their distinct words go through the trees together."""
         if len(self.ids) > CACHE_ROWS:
-            self.ids.clear()
-            self.spelt.clear()
-            self.words.clear()
+            self.forget()
         cut: dict[str, list] = {}
         for c in chunks.difference(self.ids):
             if "<|" in c and self.special.search(c):
@@ -183,7 +185,9 @@ _codecs: dict[str, WordBpe] = {}
 def codec(path: str) -> WordBpe:
     if path not in _codecs:
         _codecs[path] = WordBpe(path)
-    return _codecs[path]
+    found = _codecs[path]
+    hold_alone(found, found.forget)
+    return found
 
 
 def encode_decode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
