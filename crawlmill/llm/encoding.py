@@ -1,8 +1,9 @@
-"""Token ids of whole texts by the tokenizers library, each distinct chunk between blanks encoded once per worker.
+"""Token ids of whole texts by the tokenizers library, each distinct piece of text merged once while a worker remembers it.
 
 A byte-level vocabulary's pre-tokens never run from a character that is not white space into a blank, and a blank
 between two others belongs to what follows. So a text may be cut before every blank that follows a character which is
-not white space, and its ids are the ids of the pieces in order.
+not white space, around single line feeds, and before a full stop or comma after a letter or digit; its ids are the ids
+of the pieces in order.
 """
 
 from __future__ import annotations
@@ -16,9 +17,12 @@ from crawlmill.llm.common import hold_alone
 
 #: Fixed by the vocabulary: where a byte-level tokenizer cuts before its merges.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks a worker remembers.
-CACHE_ROWS = 250_000
-_TWO_BLANKS = re.compile(r"\s ")
+#: Pieces a worker remembers.
+CACHE_ROWS = 800_000
+#: Where the cuts below would part what belongs together: neighbouring white space, odd white space, and a full stop or
+#: comma after other than a letter or digit. Each is looked for by what is quick to find.
+_WHITE_PAIRS = ("  ", " \n", "\n ", "\n\n", "\x01")
+_ODD_WHITE, _ODD_STOP = re.compile(r"[^\S \n]"), re.compile(r"[.,](?<=[\W_].)")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
@@ -46,7 +50,7 @@ class _Memory(dict):
         return value
 
 
-class ChunkEncoder:
+class PieceEncoder:
     """Ids as little-endian unsigned 32-bit integers, from the file of a byte-level BPE tokenizer.
 
     The library's own model merges each distinct word; what texts repeat is looked up.
@@ -61,44 +65,50 @@ class ChunkEncoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.split = regex.compile(BYTE_LEVEL_SPLIT).findall
-        self.letters = byte_letters()
-        self.ascii = {i: c for i, c in enumerate(self.letters[:128])}
+        self.letters = dict(enumerate(byte_letters()))
+        self.blank = self.letters[ord(" ")]
         self.merge = self.tokenizer.model.tokenize
         self.stored = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size() + 1)]
-        self.words = _Memory(self._word)
-        self.plain = _Memory(self._chunk)
-        self.after_blank = _Memory(lambda part: self._chunk(" " + part))
+        self.pieces = _Memory(self._piece)
 
-    def _word(self, word: str) -> bytes:
-        spelt = word.translate(self.ascii) if word.isascii() else "".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass")))
+    def _merged(self, spelt: str) -> bytes:
+        """Ids of a word that is spelt in the vocabulary's letters."""
         return b"".join([self.stored[t.id] for t in self.merge(spelt)])
 
-    def _chunk(self, chunk: str) -> bytes:
-        if self.special and self.special.search(chunk):
-            return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.words.__getitem__, self.split(chunk)))
+    def _spelt(self, word: str) -> str:
+        return word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+
+    def _piece(self, piece: str) -> bytes:
+        core = piece[1:] if piece[:1] == " " else piece
+        if core.isalpha():  # one pre-token; letters beyond Latin take the pattern, whose Unicode is the library's
+            if core.isascii():
+                return self._merged(piece.replace(" ", self.blank))
+            if max(core) < "\u0250":
+                return self._merged(self._spelt(piece))
+        if self.special and self.special.search(piece):
+            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        return b"".join([self._merged(self._spelt(w)) for w in self.split(piece)])
 
     def forget(self) -> None:
-        for memory in (self.words, self.plain, self.after_blank):
-            memory.clear()
+        self.pieces.clear()
 
     def encode_text(self, text: str) -> bytes:
-        if _TWO_BLANKS.search(text):
-            return b"".join(map(self.plain.__getitem__, _CUT.split(text)))
-        first, *rest = text.split(" ")
-        return self.plain[first] + b"".join(map(self.after_blank.__getitem__, rest))
+        if any(map(text.__contains__, _WHITE_PAIRS)) or _ODD_WHITE.search(text) or _ODD_STOP.search(text):
+            return b"".join(map(self.pieces.__getitem__, _CUT.split(text)))
+        cut = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").replace(",", "\x01,").replace(".", "\x01.")
+        return b"".join(map(self.pieces.__getitem__, cut.split("\x01")))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [self.encode_text(t) for t in texts]
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> PieceEncoder:
     """The worker's encoder for a tokenizer file."""
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = PieceEncoder(path)
     found = _encoders[path]
     hold_alone(found, found.forget)
     return found
