@@ -51,8 +51,8 @@ def unique_responses(signatures: DataFrame, order: str, distance: int = UNIQUE_D
     """(order): rows that no earlier kept row is within `distance` bits of; `order` is unique and ascending.
 
     The lexicographically first independent set: rounds keep what has no undecided earlier neighbour and drop the
-    neighbours of what was kept, each round written to the shared folder. Rows without signature are all kept but for
-    none: they are not in the input.
+    neighbours of what was kept, each round written to the shared folder. Every row of the input has a signature; bodies
+    without one are a class apart and stay out of it.
     """
     nodes = written(signatures.groupBy("signature").agg(F.min(order).alias("n")), "unique-nodes")
     left, right = nodes.select(F.col("signature").alias("a"), F.col("n").alias("na")), nodes.select(F.col("signature").alias("b"), F.col("n").alias("nb"))
