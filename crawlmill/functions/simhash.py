@@ -25,12 +25,12 @@ def signatures(docs: DataFrame, key: str, tokens: Column | None = None, text: st
 
     A document without tokens gets no row: it is an exact-duplicate class of its own.
     """
-    words = docs.select(F.col(key), F.explode(preprocessed(F.coalesce(F.col(text), F.lit(""))) if tokens is None else tokens).alias("w"))
-    # equal tokens of a document weigh as one row before the bits are counted
-    counted = words.groupBy(key, "w").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("w"))
+    listed = preprocessed(F.coalesce(F.col(text), F.lit(""))) if tokens is None else tokens
+    # a document's tokens are summed up where they are: one row per document moves
+    hashed = docs.select(key, F.explode(listed).alias("w")).select(key, F.xxhash64("w").alias("h"))
     # bits i and i + 32 are counted in the low and the high half of one sum
-    lanes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(_LANES)) * F.col("n")).alias(f"v{i}") for i in range(32)]
-    summed = counted.groupBy(key).agg(F.sum("n").alias("total"), *lanes)
+    lanes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(_LANES))).alias(f"v{i}") for i in range(32)]
+    summed = hashed.groupBy(key).agg(F.count("*").alias("total"), *lanes)
     bits = F.lit(0).cast("long")
     for i in range(64):
         v = F.col(f"v{i % 32}")
