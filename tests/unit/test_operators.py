@@ -186,3 +186,25 @@ def test_discover(spark):
     words = spark.createDataFrame([("a",), ("b",), ("c",)], "word string")
     assert rows(discovery.discover(captured, targets, words).select("url", "level")) == [(f"{T}/a", 0), (f"{T}/a/b", 1), (f"{T}/a/b/c", 2)]
     assert rows(discovery.discover(captured, targets, words, max_depth=1).select("url")) == [(f"{T}/a",)]
+
+
+def test_shared_folder(spark, monkeypatch):
+    from crawlmill import storage
+
+    assert storage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert storage.shared_path(spark, "x") != storage.shared_path(spark, "x")
+
+    class Unset:
+        class sparkContext:
+            applicationId = "app"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    assert storage.shared_dir(Unset) == storage.shared_dir(Unset)
