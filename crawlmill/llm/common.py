@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crawlmill.storage import shared_dir, shared_path, written
@@ -66,6 +67,26 @@ def by_key_range(df: DataFrame, key: str, parts: int) -> DataFrame:
     return df.repartitionById(len(bounds) + 1, place.cast("int"))
 
 
+#: Groups whose counts may be broadcast.
+MOST_GROUPS = 10_000
+
+
+def smallest_hashes(rows: DataFrame, by: str, hashed: str, most: int) -> DataFrame:
+    """rows with place: for each value of `by`, the `most` rows of smallest `hashed`, a signed 64-bit hash.
+
+    Counts say below which hash half as many again must lie; only those rows move, and meet in one task. The counts are
+    broadcast if they are MOST_GROUPS at most, and joined otherwise.
+    """
+    counts = rows.groupBy(by).agg(F.count("*").alias("_rows"))
+    few = counts.limit(MOST_GROUPS + 1).collect()
+    if len(few) <= MOST_GROUPS:
+        counts = F.broadcast(rows.sparkSession.createDataFrame(few, counts.schema))
+    share = F.lit(1.5 * most + 50) / F.col("_rows")
+    near = F.col(hashed).cast("double") <= (2 * share - 1) * F.lit(float(1 << 63))
+    order = W.partitionBy(by).orderBy(hashed, *[c for c in rows.columns if c not in (by, hashed)])
+    return rows.join(counts, by).where(near).drop("_rows").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
 def bounds_at_most(value: Column, bounds: list[int]) -> Column:
     """How many of the ascending bounds are at most the value: first among every root-th of them, then between two."""
     step = max(1, round(len(bounds) ** 0.5))

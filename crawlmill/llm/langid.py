@@ -10,10 +10,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crawlmill.llm.common import doc_remainder, hold_alone, load, short_batches
+from crawlmill.llm.common import doc_remainder, hold_alone, load, short_batches, smallest_hashes
 
 #: Longest n-gram.
 ORDER = 5
@@ -233,8 +232,7 @@ def fit_languages(labelled: DataFrame, fit_docs: int = FIT_DOCS, calibration_doc
     short_batches(labelled.sparkSession)
     rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id", F.lit(3)))
     most = fit_docs + calibration_docs
-    # the row limit reaches each task before anything moves, and moves ids only
-    picked = rows.select("doc_id", "lang", "h").distinct().withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("place") <= most).select("lang", "place", F.col("doc_id").alias("p_id"))
+    picked = smallest_hashes(rows.select("doc_id", "lang", "h").distinct(), "lang", "h", most).select("lang", "place", F.col("doc_id").alias("p_id"))
     sample = rows.join(F.broadcast(picked.select("p_id", F.col("lang").alias("p_lang"), "place")), (F.col("doc_id") == F.col("p_id")) & (F.col("lang") == F.col("p_lang"))).select("lang", "place", "text")
 
     def fit(key: tuple, table: pa.Table) -> pa.Table:

@@ -10,10 +10,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crawlmill.llm.common import doc_remainder, hold_alone, load, short_batches
+from crawlmill.llm.common import doc_remainder, hold_alone, load, short_batches, smallest_hashes
 
 #: Labelled documents per label that the model is fitted on at most (whole texts): bounds what is broadcast.
 FIT_DOCS = 1500
@@ -127,8 +126,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) ->
     marked = labels.where("doc_id is not null and quality is not null").where(doc_remainder(5) != 0).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     # only documents that are there, by ids alone
     marked = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    order = W.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = marked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= fit_docs).select(F.col("doc_id").alias("p_id"), "quality")
+    picked = smallest_hashes(marked.withColumn("h", F.xxhash64("doc_id")), "quality", "h", fit_docs).select(F.col("doc_id").alias("p_id"), "quality")
     rows = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("p_id")).select("doc_id", "quality", "text")
 
     def fit(table: pa.Table) -> pa.Table:

@@ -59,6 +59,19 @@ def test_language_id(spark):
     assert (bare.lang_pred, bare.score) == ("und", 0.0) and language_id(docs_of(spark, [])).count() == 0
 
 
+def test_smallest_hashes(spark, monkeypatch):
+    from crawlmill.llm import common
+
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 7 % 3).alias("g"), F.xxhash64("id").alias("h"))
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: r.h):
+        want.setdefault(r.g, []).append(r.doc_id)
+    for bound in (10_000, 1):
+        monkeypatch.setattr(common, "MOST_GROUPS", bound)
+        got = common.smallest_hashes(rows, "g", "h", 100).collect()
+        assert {(r.g, r.place, r.doc_id) for r in got} == {(g, i + 1, d) for g, ids in want.items() for i, d in enumerate(ids[:100])}
+
+
 def test_rejection(spark):
     rows = [(i, "the cat sat on the mat with that hat " * 3, "en") for i in range(60)]
     models = fit_languages(docs_of(spark, rows))
