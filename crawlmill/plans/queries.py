@@ -428,13 +428,13 @@ c AS (SELECT doc_id, len(l) AS n_terms, unnest(l) AS term FROM t), d AS (SELECT
 v AS (SELECT term, count(*) AS df, avg(n / n_terms) * log10((SELECT count(*) FROM t) / count(*)) AS score FROM d GROUP BY 1)"""
 
 
-def _clean_docs(spark, sf_dir):
-    return A.table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[ -~\s\p{L}]*$"))
+def _all_docs(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 @query(f"WITH {_TERMS} SELECT term, df, round(score, 9) AS score FROM v WHERE score > 0")
 def a6_vocabulary(spark, sf_dir):
-    return aggregates.vocabulary(_clean_docs(spark, sf_dir), "doc_id").select("term", "df", F.round("score", 9).alias("score"))
+    return aggregates.vocabulary(_all_docs(spark, sf_dir), "doc_id").select("term", "df", F.round("score", 9).alias("score"))
 
 
 @query(f"""WITH u AS (SELECT page_id, {_FILE_URL} AS url FROM pages), p AS (SELECT list_filter(string_split(string_split({A.PATH.format('url')}, '/')[-1], '.'), lambda x: x <> '') AS parts FROM u)
@@ -512,7 +512,7 @@ def w3_first_seen(spark, sf_dir):
 
 @query(f"WITH {_TERMS} SELECT term, df, round(score, 9) AS score FROM v WHERE score > 0 ORDER BY score DESC, term LIMIT 50")
 def o1_top_terms(spark, sf_dir):
-    rounded = aggregates.vocabulary(_clean_docs(spark, sf_dir), "doc_id").select("term", "df", F.round("score", 9).alias("score"))
+    rounded = aggregates.vocabulary(_all_docs(spark, sf_dir), "doc_id").select("term", "df", F.round("score", 9).alias("score"))
     return windows.top_terms(rounded, 50)
 
 
@@ -586,12 +586,12 @@ _CLEAN = "WHERE regexp_matches(text, '^[ -~\\s\\p{L}]*$')"
 
 @query(f"SELECT doc_id, array_to_string({_TOKENS}, ' ') AS words FROM documents {_CLEAN}")
 def t3_without_stop_words(spark, sf_dir):
-    return _clean_docs(spark, sf_dir).select("doc_id", F.array_join(text.preprocessed(F.col("text")), " ").alias("words"))
+    return _all_docs(spark, sf_dir).select("doc_id", F.array_join(text.preprocessed(F.col("text")), " ").alias("words"))
 
 
 @query(f"SELECT doc_id, len(list_filter({_TOKENS}, lambda w: strlen(w) >= 2)) AS terms FROM documents {_CLEAN}")
 def t4_terms(spark, sf_dir):
-    return _clean_docs(spark, sf_dir).select("doc_id", F.size(text.terms(F.col("text"))).alias("terms"))
+    return _all_docs(spark, sf_dir).select("doc_id", F.size(text.terms(F.col("text"))).alias("terms"))
 
 
 @query()

@@ -79,7 +79,7 @@ def st5_unseen_extensions(spark, sf_dir):
 @query(f"WITH {_TERMS} SELECT term, df, round(score, 9) AS score FROM v WHERE score > 0")
 def st6_vocabulary(spark, sf_dir):
     path, out = shared_path(spark, "st6-terms"), shared_path(spark, "st6")
-    docs = _stream(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[ -~\s\p{L}]*$")).select("doc_id", "text")
+    docs = _stream(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     step = streams.refreshed_vocabulary("doc_id", path, lambda found: found.write.mode("overwrite").parquet(out))
     runs.each_batch(docs, step, path)
     return spark.read.parquet(out).select("term", "df", F.round("score", 9).alias("score"))
