@@ -767,13 +767,19 @@ def r5_discover(spark, sf_dir):
 # ---- sources and sinks
 
 
-@query(f"WITH {A.RESP} SELECT url, status, method, content_length, line_count, word_count FROM resp WHERE page_id % 3 < 2")
-def s1_responses(spark, sf_dir):
-    rows = A.measured_pages(spark, sf_dir).where("page_id % 3 < 2")
+def _read_back(spark, sf_dir):
+    """Every page written as NDJSON and read again."""
     path = shared_path(spark, "responses")
     empty = {"path": urls.path(F.col("url")), "wildcard": F.lit(False), "headers": F.create_map().cast("map<string,string>"), "extension": urls.extension(F.col("url")), "truncated": F.lit(False)}
-    sinks.write_responses(rows.withColumns(empty), path)
-    return readers.read_responses(spark, path).select("url", "status", "method", "content_length", "line_count", "word_count")
+    sinks.write_responses(A.measured_pages(spark, sf_dir).withColumns(empty), path)
+    return readers.read_responses(spark, path)
+
+
+@query(f"WITH {A.RESP} SELECT url, status, method, content_length, line_count, word_count FROM resp WHERE page_id % 3 < 2")
+def s1_responses(spark, sf_dir):
+    # the SQL holds two of three pages; timestamps are 1.7e9 + page_id
+    rows = _read_back(spark, sf_dir).where("cast(timestamp - 1.7e9 as bigint) % 3 < 2")
+    return rows.select("url", "status", "method", "content_length", "line_count", "word_count")
 
 
 @query(f"WITH {A.LOG} SELECT CASE WHEN event_id % 4 = 0 THEN 'WARN' ELSE 'INFO' END AS level, method AS module, count(*) AS messages FROM log GROUP BY 1, 2")

@@ -1,13 +1,17 @@
 """Queries that must take every row, on fixtures with rows that the given tables lack."""
 
 import math
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from conftest import SF
 from crawlmill.constants import PUNCTUATION, STOP_WORDS
 from crawlmill.plans import queries as plans
 from crawlmill.plans import stream_queries  # noqa: F401
+from crawlmill.storage import shared_path
 
 TEXTS = [
     "“The” crawler’s cache — holds the pages – always", "plain words of the crawl", None, "", "no break spaces and the cache",
@@ -49,3 +53,9 @@ def test_vocabulary_of_every_document(spark, folder, name):
     got = {r.term: (r.df, r.score) for r in plans.queries()[name](spark, folder).collect()}
     assert got.keys() == want.keys()
     assert all(got[w][0] == want[w][0] and abs(got[w][1] - want[w][1]) < 1e-8 for w in want)
+
+
+def test_every_page_is_written_and_read_back(spark):
+    got = plans._read_back(spark, SF).select("url", "timestamp").collect()
+    want = spark.read.parquet(f"{SF}/pages.parquet").select("url", (F.lit(1.7e9) + F.col("page_id")).alias("timestamp")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
