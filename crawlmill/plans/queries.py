@@ -214,7 +214,7 @@ def _signed_docs(spark, sf_dir):
 
 
 def _similar_rules(spark, sf_dir):
-    refs = A.table(spark, sf_dir, "documents").where("doc_id < 40")
+    refs = A.resp_docs(spark, sf_dir).where("status = 404")
     r = simhash.signatures(refs, "doc_id").select(F.lit("similarity").alias("kind"), F.col("signature").alias("hash"), F.lit(3).alias("cutoff"))
     return spark.createDataFrame([], rules.RULE_SCHEMA).unionByName(r, allowMissingColumns=True)
 

@@ -59,3 +59,12 @@ def test_every_page_is_written_and_read_back(spark):
     got = plans._read_back(spark, SF).select("url", "timestamp").collect()
     want = spark.read.parquet(f"{SF}/pages.parquet").select("url", (F.lit(1.7e9) + F.col("page_id")).alias("timestamp")).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_rules_of_all_documents_of_a_status(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(9999)}" for _ in range(60))) for i in range(100)]
+    rows.append((100, rows[88][1]))
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' AS source", "'en' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id for r in plans.queries()["f6_similar_rule"](spark, str(tmp_path)).collect()}
+    assert got == {i for i in range(100) if i % 10 != 8}
