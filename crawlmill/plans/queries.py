@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -791,11 +792,17 @@ def s2_run_output_logs(spark, sf_dir):
     return readers.log_counts(readers.read_run_output(spark, path)["logs"])
 
 
+#: Scans of a state file, on average.
+_STATE_SCANS = 1000
+
+
 @query(f"WITH {A.SCANS} SELECT url, scan_type, status, requests_made_so_far FROM scans")
 def s3_state_scans(spark, sf_dir):
     scans = A.scans_pages(spark, sf_dir).select(F.lit("id").alias("id"), "url", urls.normalized(F.col("url")).alias("normalized_url"), "scan_type", "status", F.lit(0).cast("long").alias("num_requests"), "requests_made_so_far")
     path = shared_path(spark, "state")
-    scans.groupBy(F.length("url") % 4).agg(F.collect_list(F.struct(*scans.columns)).alias("scans")).select(F.to_json(F.struct("scans")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    groups = math.ceil(scans.count() / _STATE_SCANS) or 1
+    sized = scans.groupBy(F.pmod(F.xxhash64("url"), F.lit(groups))).agg(F.collect_list(F.struct(*scans.columns)).alias("scans"))
+    sized.select(F.to_json(F.struct("scans")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return readers.read_state(spark, path).scans.select("url", "scan_type", "status", "requests_made_so_far")
 
 

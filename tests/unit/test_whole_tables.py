@@ -68,3 +68,13 @@ def test_rules_of_all_documents_of_a_status(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' AS source", "'en' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id for r in plans.queries()["f6_similar_rule"](spark, str(tmp_path)).collect()}
     assert got == {i for i in range(100) if i % 10 != 8}
+
+
+def test_state_files_grow_with_the_scans(spark, monkeypatch):
+    path = shared_path(spark, "state-test")
+    monkeypatch.setattr(plans, "_STATE_SCANS", 5)
+    monkeypatch.setattr(plans, "shared_path", lambda *_: path)
+    scans = plans.queries()["s3_state_scans"](spark, SF)
+    assert scans.count() == plans.A.scans_pages(spark, SF).count() > 40
+    sizes = [r.n for r in spark.read.text(path).select(F.size(F.from_json("value", "scans array<struct<url string>>")["scans"]).alias("n")).collect()]
+    assert len(sizes) > 4 and max(sizes) <= 20
