@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crawlmill.llm.common import load, written
+from crawlmill.llm.common import broadcast_model, load, written
 
 #: Vectors that the index is fitted on at most; every vector is indexed.
 FIT_ROWS = 8192
-#: Vectors per cell, about; most cells; share of the cells that a query looks into, and the fewest. Directions that fill
-#: the space evenly leave no cell out of reach, so the share is high; lower it where vectors form clusters.
-PER_CELL, MOST_CELLS, PROBED, LEAST_PROBED = 400, 1024, 0.7, 16
+#: Vectors per cell, about; fitted vectors per cell, which bound the number of cells; share of the cells that a query
+#: looks into, and the fewest. Directions that fill the space evenly leave no cell out of reach, so the share is high by
+#: default; pass a lower one where vectors form clusters.
+PER_CELL, FIT_PER_CELL, PROBED, LEAST_PROBED = 400, 8, 0.7, 16
 #: Candidates that a group reranks per query, and what a rough score may lack to be reranked too (of 255 per table);
 #: vectors and queries that one task holds.
 RERANKED, ALMOST, BLOCK_VECTORS, BLOCK_QUERIES = 48, 40, 20_000, 4_000
@@ -141,20 +142,22 @@ class Index:
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
+    """Each vector divided by a power of two, which changes no cosine, so that no square overflows or vanishes."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))[1])
 
 
-def fit_index(vectors: DataFrame, dims: int, rows: int) -> Index:
+def fit_index(vectors: DataFrame, dims: int, rows: int, per_cell: int = PER_CELL, probed: float = PROBED, fewest: int = LEAST_PROBED) -> Index:
     """From the FIT_ROWS vectors of smallest hash among `rows` distinct ones."""
-    cells = max(1, min(MOST_CELLS, rows // PER_CELL))
+    cells = max(1, min(FIT_ROWS // FIT_PER_CELL, rows // per_cell))
     share = min(1.0, 1.2 * FIT_ROWS / rows)
     some = vectors.where(F.pmod("h1", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("h1", "h2").limit(FIT_ROWS).select("embedding")
 
     def fit(table: pa.Table) -> pa.Table:
         x = unit(_matrix(table["embedding"], dims))
         padded = np.pad(x, ((0, 0), (0, -dims % WIDTH)))
-        index = Index(dims, k_means(x, cells), AnisotropicQuantiser.fit(padded[: FIT_ROWS // 2]), min(cells, max(LEAST_PROBED, int(np.ceil(cells * PROBED)))))
+        index = Index(dims, k_means(x, cells), AnisotropicQuantiser.fit(padded[: FIT_ROWS // 2]), min(cells, max(fewest, int(np.ceil(cells * probed)))))
         return pa.table({"index": pa.array([pickle.dumps(index)], pa.binary())})
 
     return pickle.loads(bytes(some.groupBy().applyInArrow(fit, "index binary").first()["index"]))
@@ -168,7 +171,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(finite & F.exists("embedding", lambda v: v != 0))
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, per_cell: int = PER_CELL, probed: float = PROBED, fewest: int = LEAST_PROBED) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by cosine found for each row whose vec_id `every` divides.
 
     Vectors of another length than most, and those usable() drops, take no part. Equal vectors are searched as one that
@@ -188,8 +191,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     least = least.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     firsts = rows.groupBy("h1", "h2").agg(F.min("embedding").alias("embedding"))
     distinct = written(firsts.join(least, ["h1", "h2"]).select("h1", "h2", "embedding", "ids"), "ann-distinct")
-    index = fit_index(distinct, dims, distinct.count())
-    held, m = spark.sparkContext.broadcast(index), (dims + 1) // WIDTH
+    index = fit_index(distinct, dims, distinct.count(), per_cell, probed, fewest)
+    held, m = broadcast_model(spark, index), (dims + 1) // WIDTH
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

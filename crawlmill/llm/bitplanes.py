@@ -10,6 +10,9 @@ The last is the index:
 
 The documents are three arrays of signed 64-bit integers: whether doc_id is known, doc_id, and number of ids. All
 numbers are little-endian. The row size, just before the final 0A, counts the index row, so that a reader starts there.
+
+A file ends after FILE_CHUNKS chunks: its last chunk takes what is left of the document that it is in, so a file holds
+whole documents, and at most FILE_CHUNKS * BLOCK_IDS ids and one document.
 """
 
 from __future__ import annotations
@@ -26,11 +29,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crawlmill.llm.archives import read_files, write_rows
-from crawlmill.llm.common import by_key_range, load, scan_partitions, shared_path, short_batches, text_or_empty, written
+from crawlmill.llm.common import load, scan_partitions, shared_path, short_batches, text_or_empty, written
 from crawlmill.llm.encoding import byte_bpe_path, encoder
 
-#: Ids in a chunk.
-BLOCK_IDS = 1 << 16
+#: Ids in a chunk, chunks in a file.
+BLOCK_IDS, FILE_CHUNKS = 1 << 16, 64
 END_ID = 2
 
 
@@ -63,10 +66,13 @@ def unpack_planes(chunk: bytes) -> np.ndarray:
 
 
 class FileWriter:
-    """Rows of one file: feed documents in order, then close."""
+    """Rows of one file after another: feed documents in order, then close. Every file but the last has chunks + 1 rows."""
+
+    def __init__(self, bits: bool = False, block: int = BLOCK_IDS, chunks: int = FILE_CHUNKS):
+        self.bits, self.block, self.most = bits, block, chunks
+        self._begin()
 
-    def __init__(self, bits: bool = False, block: int = BLOCK_IDS):
-        self.bits, self.block = bits, block
+    def _begin(self) -> None:
         self.held: list[bytes] = []
         self.size = self.at = 0
         self.chunks: list[tuple[int, int]] = []
@@ -76,12 +82,15 @@ class FileWriter:
         self.docs.append((doc_id is not None, doc_id or 0, len(ids) // 4))
         self.held.append(ids)
         self.size += len(ids)
+        if self.size < 4 * self.block:
+            return
+        data, at = b"".join(self.held), 0
+        while len(data) - at >= 4 * self.block and len(self.chunks) < self.most - 1:
+            yield self._chunk(data[at : at + 4 * self.block])
+            at += 4 * self.block
+        self.held, self.size = [data[at:]], len(data) - at
         if self.size >= 4 * self.block:
-            data = b"".join(self.held)
-            whole = len(data) // (4 * self.block) * 4 * self.block
-            for i in range(0, whole, 4 * self.block):
-                yield self._chunk(data[i : i + 4 * self.block])
-            self.held, self.size = [data[whole:]], len(data) - whole
+            yield from self.close()
 
     def _chunk(self, data: bytes) -> bytes:
         row = pack_planes(np.frombuffer(data, "<u4"), self.bits)
@@ -90,15 +99,18 @@ class FileWriter:
         return row
 
     def close(self) -> Iterator[bytes]:
+        if not self.docs:
+            return
         if self.size:
             yield self._chunk(b"".join(self.held))
         index = b"TPX1" + struct.pack("<II", len(self.chunks), len(self.docs)) + b"".join(struct.pack("<QI", *c) for c in self.chunks)
         docs = zstandard.ZstdCompressor(level=3).compress(np.array(self.docs, "<i8").reshape(-1, 3).T.tobytes())
         index += struct.pack("<I", len(docs)) + docs
         yield index + struct.pack("<I", len(index) + 4)
+        self._begin()
 
 
-def read_file(content: bytes) -> Iterator[tuple[int | None, int, bytes]]:
+def read_file(content: bytes | pa.Buffer) -> Iterator[tuple[int | None, int, bytes]]:
     """(doc_id, ids before it in the file, its ids) of each document, chunk by chunk through the index."""
     view = memoryview(content)[:-1]
     (size,) = struct.unpack_from("<I", view, len(view) - 4)
@@ -123,22 +135,34 @@ def read_file(content: bytes) -> Iterator[tuple[int | None, int, bytes]]:
         held, have, start = [ids[n:]], have - n, start + n
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = END_ID, bits: bool = False) -> None:
-    """Encode docs (doc_id, text) and write them as token files in ascending doc_id order, null ids first."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = END_ID, bits: bool = False, block: int = BLOCK_IDS, chunks: int = FILE_CHUNKS) -> None:
+    """Encode docs (doc_id, text) and write them as token files in ascending doc_id order, null ids first.
+
+    Spark's range partitioning deals ascending ranges of doc_id, as many as the scan has partitions; a range is written
+    as one file after another, so files are bounded whatever a range holds.
+    """
     short_batches(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer).encode, b"" if end_id is None else struct.pack("<I", end_id)
-        out = FileWriter(bits)
+        own, end = encoder(tokenizer), b"" if end_id is None else struct.pack("<I", end_id)
+        out = FileWriter(bits, block, chunks)
         for b in batches:
-            rows = [row for doc_id, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())) for row in out.add(doc_id, ids + end)]
+            for doc_id, text in zip(b.column(0), b.column(1)):
+                if rows := list(out.add(doc_id.as_py(), own.encode([text.as_py()])[0] + end)):
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["row"])
+        if rows := list(out.close()):
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["row"])
-        if out.docs:
-            yield pa.RecordBatch.from_arrays([pa.array(list(out.close()), pa.binary())], ["row"])
+        own.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    dealt = by_key_range(rows, "doc_id", scan_partitions(rows)).sortWithinPartitions(F.asc_nulls_first("doc_id"))
-    write_rows(dealt.mapInArrow(pack, "row binary"), "row", path, "\n")
+    dealt = rows.repartitionByRange(scan_partitions(rows), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
+    write_rows(dealt.mapInArrow(pack, "row binary"), "row", path, "\n", chunks + 1)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(file_no, content): files in the order of their documents, by the numbers of the task and of its file."""
+    numbers = [F.regexp_extract("path", r"part-(\d+)[^/]*-c(\d+)[^/]*$", i).cast("long") for i in (1, 2)]
+    return read_files(spark, path).select((numbers[0] * 1_000_000 + numbers[1]).alias("file_no"), "content")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -147,13 +171,22 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for no, content in zip(b.column(0).to_pylist(), b.column(1)):
-                rows = list(read_file(content.as_buffer().to_pybytes()))
-                for i in range(0, len(rows), 1000):
-                    part = rows[i : i + 1000]
-                    yield pa.RecordBatch.from_arrays([pa.array([no] * len(part), pa.int32()), pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.binary())], ["file_no", "doc_id", "file_start", "ids"])
+                for part in _some(read_file(content.as_buffer())):
+                    yield pa.RecordBatch.from_arrays([pa.array([no] * len(part), pa.int64()), pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.binary())], ["file_no", "doc_id", "file_start", "ids"])
+
+    return _files(spark, path).mapInArrow(unpack, "file_no long, doc_id long, file_start long, ids binary")
 
-    files = read_files(spark, path).select(F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("int").alias("file_no"), "content")
-    return files.mapInArrow(unpack, "file_no int, doc_id long, file_start long, ids binary")
+
+def _some(rows: Iterator[tuple], size: int = 1 << 20) -> Iterator[list[tuple]]:
+    """Documents in lists of about `size` bytes."""
+    part, held = [], 0
+    for row in rows:
+        part.append(row)
+        held += len(row[2]) + 64
+        if held >= size:
+            yield part
+            part, held = [], 0
+    yield part
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
@@ -161,11 +194,11 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            crc = [zlib.crc32(x.as_buffer()) for x in b.column(3)]
-            n = [len(x.as_buffer()) // 4 for x in b.column(3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["file_no", "doc_id", "file_start", "n_tokens", "ids_crc32"])
+            for no, content in zip(b.column(0).to_pylist(), b.column(1)):
+                rows = [(no, doc_id, start, len(ids) // 4, zlib.crc32(ids)) for doc_id, start, ids in read_file(content.as_buffer())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["file_no", "doc_id", "file_start", "n_tokens", "ids_crc32"])
 
-    docs = written(read_tokens(spark, path).mapInArrow(digest, "file_no int, doc_id long, file_start long, n_tokens long, ids_crc32 long"), "token-index")
+    docs = written(_files(spark, path).mapInArrow(digest, "file_no long, doc_id long, file_start long, n_tokens long, ids_crc32 long"), "token-index")
     # one row per file: the ids of the files before it
     files = docs.groupBy("file_no").agg(F.sum("n_tokens").alias("n"))
     files = files.select("file_no", (F.sum("n").over(W.orderBy("file_no")) - F.col("n")).alias("before"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from crawlmill.storage import shared_dir, shared_path, written
 __all__ = ["shared_dir", "shared_path", "written"]
 
 #: Bytes in an Arrow batch handed to Python: documents may hold megabytes each.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def short_batches(spark: SparkSession) -> None:
@@ -32,6 +33,44 @@ def hold_alone(owner: object, forget: Callable[[], None]) -> None:
         _holder[:] = owner, forget
 
 
+class Memory(dict):
+    """What `learn` gives for a text, remembered within a number of bytes in two generations, of which the older goes.
+
+    `turn` is called between batches, so nothing that a batch has looked up goes before the batch is done.
+    """
+
+    #: Headers of key and value and their place in the table.
+    ENTRY_BYTES = 170
+
+    def __init__(self, learn: Callable[[str], bytes], most_bytes: int):
+        super().__init__()
+        self.learn, self.most, self.old, self.used = learn, most_bytes // 2, {}, 0
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.learn(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key: str, value: bytes) -> None:
+        self[key] = value
+        self.used += len(key) + len(value) + self.ENTRY_BYTES
+
+    def unknown(self, keys: set[str]) -> list[str]:
+        return [k for k in keys.difference(self) if k not in self.old]
+
+    def turn(self) -> None:
+        if self.used > self.most:
+            self.old = self.copy()
+            self.clear()
+            self.used = 0
+
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.used = {}, 0
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -50,51 +89,65 @@ def doc_remainder(divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % F.lit(divisor)
 
 
-def by_key_range(df: DataFrame, key: str, parts: int) -> DataFrame:
-    """Deal rows into `parts` ascending ranges of an integer key, nulls first.
-
-    Bounds are approximate quantiles of the key column alone, so the texts are read and moved once.
-    """
-    if parts > 1:
-        shares = [i / parts for i in range(1, parts)]
-        bounds = df.agg(F.percentile_approx(key, shares, 100 * parts).alias("b")).first()["b"] or []
-        bounds = sorted(set(bounds))
-    else:
-        bounds = []
-    if not bounds:
-        return df.repartition(1)
-    place = F.when(F.col(key).isNull(), F.lit(0)).otherwise(bounds_at_most(F.col(key), bounds))
-    return df.repartitionById(len(bounds) + 1, place.cast("int"))
-
-
-#: Groups whose counts may be broadcast.
-MOST_GROUPS = 10_000
+#: Groups that smallest_hashes takes at most, those of most rows.
+MOST_GROUPS = 200
 
 
 def smallest_hashes(rows: DataFrame, by: str, hashed: str, most: int) -> DataFrame:
-    """rows with place: for each value of `by`, the `most` rows of smallest `hashed`, a signed 64-bit hash.
+    """rows with place: for each of the MOST_GROUPS commonest values of `by`, the `most` rows of smallest `hashed`.
 
-    Counts say below which hash half as many again must lie; only those rows move, and meet in one task. The counts are
-    broadcast if they are MOST_GROUPS at most, and joined otherwise.
+    `hashed` is a signed 64-bit hash. Counts, which are broadcast, say below which hash half as many again must lie; only
+    those rows move, and meet in one task.
     """
-    counts = rows.groupBy(by).agg(F.count("*").alias("_rows"))
-    few = counts.limit(MOST_GROUPS + 1).collect()
-    if len(few) <= MOST_GROUPS:
-        counts = F.broadcast(rows.sparkSession.createDataFrame(few, counts.schema))
+    counts = rows.groupBy(by).agg(F.count("*").alias("_rows")).orderBy(F.desc("_rows"), by).limit(MOST_GROUPS)
+    counts = F.broadcast(rows.sparkSession.createDataFrame(counts.collect(), counts.schema))
     share = F.lit(1.5 * most + 50) / F.col("_rows")
     near = F.col(hashed).cast("double") <= (2 * share - 1) * F.lit(float(1 << 63))
     order = W.partitionBy(by).orderBy(hashed, *[c for c in rows.columns if c not in (by, hashed)])
     return rows.join(counts, by).where(near).drop("_rows").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
-def bounds_at_most(value: Column, bounds: list[int]) -> Column:
-    """How many of the ascending bounds are at most the value: first among every root-th of them, then between two."""
-    step = max(1, round(len(bounds) ** 0.5))
-    every = F.array(*[F.lit(b) for b in bounds]).cast("array<long>")
-    few = F.array(*[F.lit(b) for b in bounds[::step]]).cast("array<long>")
-    first = F.size(F.filter(few, lambda b: b <= value)) - 1
-    between = F.size(F.filter(F.slice(every, first * step + 1, step), lambda b: b <= value))
-    return F.when(first < 0, F.lit(0)).otherwise(first * step + between)
+_models: list[Broadcast] = []
+
+
+def broadcast_model(spark: SparkSession, model: object) -> Broadcast:
+    """A broadcast of bounded size that executors drop when release_models is called, and fetch again if need be."""
+    _models.append(spark.sparkContext.broadcast(model))
+    return _models[-1]
+
+
+def release_models() -> None:
+    """Free the executors of models whose results are written."""
+    for m in _models:
+        m.unpersist()
+    _models.clear()
+
+
+def text_hashes(name: str = "text") -> list[Column]:
+    """128 bits that stand for a text, null as the empty one."""
+    return [F.xxhash64(text_or_empty(name)), F.xxhash64(F.lit(1), text_or_empty(name))]
+
+
+def without_rows(docs: DataFrame, key: list[Column], gone: DataFrame, twice: DataFrame) -> DataFrame:
+    """docs without the rows whose key is in `gone`, and with one row of each key in `twice`; their columns are the key's.
+
+    Rows travel as one struct, so no name of theirs can clash. Only where keys repeat are rows grouped, each task sending
+    one row per key.
+    """
+
+    def meet(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
+        other = other.toDF(*[f"o{i}" for i in range(len(key))])
+        on = F.lit(True)
+        for i in range(len(key)):
+            on = on & F.col(f"k{i}").eqNullSafe(F.col(f"o{i}"))
+        return rows.join(other, on, how)
+
+    names = [f"k{i}" for i in range(len(key))]
+    kept = meet(docs.select(F.struct("*").alias("row"), *[k.alias(n) for k, n in zip(key, names)]), gone, "left_anti")
+    if twice.isEmpty():
+        return kept.select("row.*")
+    once = meet(kept, twice, "left_semi").groupBy(*names).agg(F.first("row").alias("row"))
+    return meet(kept, twice, "left_anti").select("row").unionByName(once.select("row")).select("row.*")
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

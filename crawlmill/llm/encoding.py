@@ -1,4 +1,4 @@
-"""Token ids of whole texts by the tokenizers library, each distinct piece of text merged once while a worker remembers it.
+"""Token ids of whole texts by the tokenizers library, each distinct piece of text encoded once while a worker remembers it.
 
 A byte-level vocabulary's pre-tokens never run from a character that is not white space into a blank, and a blank
 between two others belongs to what follows. So a text may be cut before every blank that follows a character which is
@@ -13,12 +13,14 @@ from array import array
 
 import regex
 
-from crawlmill.llm.common import hold_alone
+from crawlmill.llm.common import Memory, hold_alone
 
 #: Fixed by the vocabulary: where a byte-level tokenizer cuts before its merges.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces a worker remembers.
-CACHE_ROWS = 500_000
+#: Bytes that a worker remembers of pieces and their ids; characters cut at a time.
+MEMORY_BYTES, STEP = 48 << 20, 1 << 18
+#: Texts with characters from here on are cut by the library's own pattern, whose version of Unicode differs.
+_OLD = "\u0220"
 #: Where the cuts below would part what belongs together: neighbouring white space, odd white space, and a full stop or
 #: comma after other than a letter or digit. Each is looked for by what is quick to find.
 _WHITE_PAIRS = ("  ", " \n", "\n ", "\n\n", "\x01")
@@ -36,25 +38,20 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
-class _Memory(dict):
-    """Remembers what `learn` gives for a key, and forgets everything when full."""
-
-    def __init__(self, learn):
-        super().__init__()
-        self.learn = learn
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHE_ROWS:
-            self.clear()
-        value = self[key] = self.learn(key)
-        return value
+def segments(text: str, size: int = STEP) -> list[str]:
+    """The text in parts of about `size` characters, each cut before a blank that follows no white space."""
+    out, start = [], 0
+    while len(text) - start > size:
+        found = _CUT.search(text, start + size)
+        if found is None:
+            break
+        out.append(text[start : found.start()])
+        start = found.start()
+    return [*out, text[start:]]
 
 
 class PieceEncoder:
-    """Ids as little-endian unsigned 32-bit integers, from the file of a byte-level BPE tokenizer.
-
-    The library's own model merges each distinct word; what texts repeat is looked up.
-    """
+    """Ids as little-endian unsigned 32-bit integers, from the file of a byte-level BPE tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -69,10 +66,10 @@ class PieceEncoder:
         self.blank = self.letters[ord(" ")]
         self.merge = self.tokenizer.model.tokenize
         self.stored = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size() + 1)]
-        self.pieces = _Memory(self._piece)
+        self.pieces = Memory(self._piece, MEMORY_BYTES)
 
     def _merged(self, spelt: str) -> bytes:
-        """Ids of a word that is spelt in the vocabulary's letters."""
+        """Ids of one pre-token, spelt in the vocabulary's letters, by the library's own model."""
         return b"".join([self.stored[t.id] for t in self.merge(spelt)])
 
     def _spelt(self, word: str) -> str:
@@ -80,38 +77,41 @@ class PieceEncoder:
 
     def _piece(self, piece: str) -> bytes:
         core = piece[1:] if piece[:1] == " " else piece
-        if core.isalpha():  # one pre-token; letters beyond Latin take the pattern, whose Unicode is the library's
-            if core.isascii():
-                return self._merged(piece.replace(" ", self.blank))
-            if max(core) < "\u0250":
+        if core.isascii() and core.isalpha():
+            return self._merged(piece.replace(" ", self.blank))
+        if max(piece, default="") < _OLD:  # letters and digits up to here are the same in every version of Unicode
+            if core.isalpha():
                 return self._merged(self._spelt(piece))
-        if self.special and self.special.search(piece):
-            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-        return b"".join([self._merged(self._spelt(w)) for w in self.split(piece)])
+            if not (self.special and self.special.search(piece)):
+                return b"".join([self._merged(self._spelt(w)) for w in self.split(piece)])
+        return array("I", self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()
 
     def forget(self) -> None:
-        self.pieces.clear()
+        self.pieces.forget()
 
-    def encode_text(self, text: str) -> bytes:
+    @staticmethod
+    def _cut(text: str) -> list[str]:
         if any(map(text.__contains__, _WHITE_PAIRS)) or _ODD_WHITE.search(text) or _ODD_STOP.search(text):
-            return b"".join(map(self.pieces.__getitem__, _CUT.split(text)))
-        cut = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").replace(",", "\x01,").replace(".", "\x01.")
-        return b"".join(map(self.pieces.__getitem__, cut.split("\x01")))
+            return _CUT.split(text)
+        return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").replace(",", "\x01,").replace(".", "\x01.").split("\x01")
+
+    def _segment(self, text: str) -> bytes:
+        self.pieces.turn()
+        return b"".join(map(self.pieces.__getitem__, self._cut(text)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [self.encode_text(t) for t in texts]
+        return [b"".join(map(self._segment, segments(t))) for t in texts]
 
 
 _encoders: dict[str, PieceEncoder] = {}
 
 
 def encoder(path: str) -> PieceEncoder:
-    """The worker's encoder for a tokenizer file."""
+    """The worker's encoder for a tokenizer file, until another stage takes the worker."""
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
-    found = _encoders[path]
-    hold_alone(found, found.forget)
-    return found
+    hold_alone(_encoders, _encoders.clear)
+    return _encoders[path]
 
 
 def byte_bpe_path() -> str:

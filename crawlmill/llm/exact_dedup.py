@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crawlmill.llm.common import load, text_or_empty, written
+from crawlmill.llm.common import load, text_hashes, text_or_empty, without_rows, written
 from crawlmill.llm.quotient_filter import CountingQuotientFilter
 
 #: Each run of these characters counts as one space.
@@ -56,14 +56,16 @@ def repeated_fingerprints(fps: DataFrame, rows: int) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and row_no, unique in the result.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, row_no, unique in the result, and h1 and h2,
+    hashes of the text as it is.
 
     Texts are equal when identical after each run of white space becomes one space; null counts as empty. The smallest
     doc_id of a group stays; a null doc_id stays only where all are null. Of rows that repeat a text and its smallest
     doc_id exactly one stays. Other columns of docs are ignored; no rows give no rows.
     """
-    norm = docs.select("doc_id", normalised().alias("norm"))
-    rows = written(norm.select("doc_id", F.monotonically_increasing_id().alias("row_no"), F.xxhash64("norm").alias("fp"), F.sha2("norm", 256).alias("text_sha256")), "exact-rows")
+    h1, h2 = text_hashes()
+    norm = docs.select("doc_id", normalised().alias("norm"), h1.alias("h1"), h2.alias("h2"))
+    rows = written(norm.select("doc_id", F.monotonically_increasing_id().alias("row_no"), F.xxhash64("norm").alias("fp"), F.sha2("norm", 256).alias("text_sha256"), "h1", "h2"), "exact-rows")
     twice = written(repeated_fingerprints(rows, rows.count()), "exact-repeated")
     # byte verification: grouping compares whole texts; copies in a task fall together before anything moves
     doubted = norm.withColumn("fp", F.xxhash64("norm")).join(twice, "fp", "left_semi")
@@ -80,23 +82,25 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         (F.col("g_size").isNull() | (F.col("doc_id").eqNullSafe(F.col("g_keep")) & F.coalesce(F.col("row_no") == F.col("g_first"), F.lit(True)))).alias("kept"),
         "text_sha256",
         "row_no",
+        "h1",
+        "h2",
     )
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs without the copies that exact_dedup drops, all columns kept."""
-    found = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"))
-    marked = docs.withColumn("_own_text", F.sha2(normalised(), 256))
-    kept = marked.join(found, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_own_text") == F.col("_kept_text")), "left_semi")
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept.drop("_own_text")
-    # rows that repeat a kept doc_id and text: one stays
-    once = W.partitionBy("doc_id", "_own_text").orderBy(F.lit(1))
-    return kept.withColumn("_place", F.row_number().over(once)).where("_place = 1").drop("_place", "_own_text")
+    """docs without the copies that exact_dedup drops, all columns kept, whatever their names.
+
+    Null texts are empty ones. The smallest doc_id of a group stays, a null doc_id only where all are null, and of rows
+    that repeat a text and its smallest doc_id one. No rows give no rows.
+    """
+    keys = exact_dedup(docs).groupBy("doc_id", "h1", "h2").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    keys = written(keys.where("not kept or n > 1"), "exact-gone")
+    gone, twice = keys.where("not kept").drop("kept", "n"), keys.where("kept").drop("kept", "n")
+    return without_rows(docs, [F.col("doc_id"), *text_hashes()], gone, twice)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(load(spark, sf_dir, "documents")).drop("row_no")
+    return exact_dedup(load(spark, sf_dir, "documents")).drop("row_no", "h1", "h2")
 
 
 ORACLE = r"""

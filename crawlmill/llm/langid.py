@@ -10,18 +10,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crawlmill.llm.common import doc_remainder, hold_alone, load, short_batches, smallest_hashes
+from crawlmill.llm.common import broadcast_model, doc_remainder, hold_alone, load, short_batches, smallest_hashes, written
+from crawlmill.llm.encoding import STEP, segments
 
 #: Longest n-gram.
 ORDER = 5
-#: Labelled documents per language that a model is fitted on at most (whole texts), and those that calibrate it.
-FIT_DOCS, CALIBRATION_DOCS = 1200, 300
-#: Cross-entropy, in nats, that a text of n symbols may exceed its language's limit by, times the root of n.
-SLACK = 4.0
-#: Words a worker remembers.
-CACHE_ROWS = 250_000
+#: Labelled documents per language that a model is fitted on at most (whole texts), and those that calibrate it; words
+#: that a model is fitted on at most, the commonest, and letters of one.
+FIT_DOCS, CALIBRATION_DOCS, FIT_WORDS, FIT_LETTERS = 1200, 500, 60_000, 64
+#: Share of a language's own texts that may be rejected, and the standard errors that short texts may differ by besides.
+FALSE_REJECTION, STANDARD_ERRORS = 0.001, 3.0
+#: How sharply the score may fall with cross-entropy; calibration takes the likeliest.
+SHARPNESS = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
+#: Words that a worker remembers, and letters of them.
+CACHE_ROWS, CACHE_LETTERS = 120_000, 4 << 20
 _START, _END = 1, 2  # code points that no word holds
 _BASE = 0x9E3779B97F4A7C15
 UNDETERMINED = "und"
@@ -139,31 +144,33 @@ class KneserNey:
 
 @dataclass
 class LanguageModels:
-    """Models by language, the sharpness of the score, and the highest cross-entropy accepted per language."""
+    """Models by language, the sharpness of the score, and per language the highest cross-entropy of a long text that is
+    accepted, and its standard deviation per symbol."""
 
     languages: list[str]
     models: list[KneserNey]
     sharpness: float = 8.0
     limits: tuple[float, ...] = ()
+    spreads: tuple[float, ...] = ()
 
     def __post_init__(self):
         self.known: dict[str, int] = {}
+        self.letters = 0
         self.table = np.zeros((1024, len(self.languages) + 1))
 
     def __getstate__(self):
-        return {k: getattr(self, k) for k in ("languages", "models", "sharpness", "limits")}
+        return {k: getattr(self, k) for k in ("languages", "models", "sharpness", "limits", "spreads")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self.__post_init__()
 
     def forget(self) -> None:
-        self.known.clear()
-        self.table = np.zeros((1024, len(self.languages) + 1))
+        self.__post_init__()
 
     def _learn(self, words: set[str]) -> None:
         """A row per word: minus log probability under each language, and number of predicted symbols."""
-        if len(self.known) > CACHE_ROWS:
+        if len(self.known) > CACHE_ROWS or self.letters > CACHE_LETTERS:
             self.forget()
         new = list(words.difference(self.known))
         if not new:
@@ -188,26 +195,39 @@ class LanguageModels:
         rows[:, -1] = lengths
         rows[lengths == 1] = 0  # no letter: says nothing
         self.known.update(zip(new, range(base, base + len(new))))
+        self.letters += sum(map(len, new))
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        return self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
 
     def entropies(self, texts: list[str | None]) -> np.ndarray:
         """A row per text: cross-entropy per symbol under each language (zero where there is no letter), symbols."""
         hold_alone(self, self.forget)
-        cut = [(t or "").lower().split() for t in texts]
-        out, i = np.zeros((len(texts), len(self.languages) + 1)), 0
-        while i < len(cut):
-            j, size = i, 0
-            while j < len(cut) and (j == i or size + len(cut[j]) <= CACHE_ROWS // 2):
-                size += len(cut[j])
-                j += 1
-            self._learn(set().union(*cut[i:j]))
-            sizes = np.array([len(c) for c in cut[i:j]])
-            index = np.fromiter((r for c in cut[i:j] for r in map(self.known.__getitem__, c)), np.int64, size)
-            full = np.flatnonzero(sizes)
-            if len(full):
-                out[i + full] = np.add.reduceat(self.table[index], (np.cumsum(sizes) - sizes)[full])
-            i = j
+        out, at = np.zeros((len(texts), len(self.languages) + 1)), 0
+        parts = [(row, s) for row, t in zip(out, texts) for s in segments(t or "")]
+        while at < len(parts):
+            # parts of about STEP characters learn together
+            cut, size = [], 0
+            while at + len(cut) < len(parts) and (not cut or size + len(parts[at + len(cut)][1]) <= STEP):
+                size += len(parts[at + len(cut)][1])
+                cut.append(parts[at + len(cut)][1].lower().split())
+            self._learn(set().union(*cut))
+            for (row, _), words in zip(parts[at:], cut):
+                row += self._rows(words).sum(axis=0)
+            at += len(cut)
         return np.hstack([out[:, :-1] / np.maximum(out[:, -1:], 1), out[:, -1:]])
 
+    def variance(self, text: str, language: int) -> float:
+        """Of a text's minus log probability, per symbol, as its words vary around the mean."""
+        rows = []
+        for part in segments(text):
+            words = part.lower().split()
+            self._learn(set(words))
+            rows.append(self._rows(words)[:, [language, -1]])
+        rows = np.concatenate(rows)
+        total, n = rows.sum(axis=0)
+        return float(((rows[:, 0] - total / max(n, 1) * rows[:, 1]) ** 2).sum() / max(n, 1))
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, rejected) of each text."""
         e = self.entropies(texts)
@@ -218,59 +238,91 @@ class LanguageModels:
         low = h[np.arange(len(h)), best]
         score = 1 / np.exp(-self.sharpness * (h - low[:, None])).sum(axis=1)
         limit = np.array(self.limits or [np.inf] * len(self.languages))[best]
+        spread = np.array(self.spreads or [0.0] * len(self.languages))[best]
         none = n == 0
-        return [UNDETERMINED if x else self.languages[b] for x, b in zip(none, best)], np.where(none, 0.0, score), none | (low > limit + SLACK / np.sqrt(np.maximum(n, 1)))
+        over = low > limit + STANDARD_ERRORS * spread / np.sqrt(np.maximum(n, 1))
+        return [UNDETERMINED if x else self.languages[b] for x, b in zip(none, best)], np.where(none, 0.0, score), none | over
+
+
+def labelled_sample(labelled: DataFrame, fit_docs: int = FIT_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> DataFrame:
+    """(lang, place, fits, text): of each language the documents of smallest hash, which fit or calibrate its model.
+
+    One text per doc_id and language, the smallest where several rows repeat them; null doc_ids take no part.
+    """
+    rows = labelled.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id", F.lit(3)))
+    picked = smallest_hashes(rows.select("doc_id", "lang", "h").distinct(), "lang", "h", fit_docs + calibration_docs)
+    share = F.least(F.lit(fit_docs), F.greatest(F.lit(1), F.floor(F.count("*").over(W.partitionBy("lang")) * 4 / 5)))
+    picked = picked.select("doc_id", "lang", "place", (F.col("place") <= share).alias("fits"))
+    return rows.drop("h").join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("lang", "place", "fits").agg(F.min("text").alias("text"))
+
+
+def word_counts(sample: DataFrame) -> DataFrame:
+    """(lang, word, n) of the letters of words, long ones in pieces; the FIT_WORDS commonest of each language."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts: Counter = Counter()
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
+                for part in segments(text.as_py()):
+                    for w, n in Counter(part.lower().split()).items():
+                        kept = letters_of(w)
+                        for i in range(0, len(kept), FIT_LETTERS):
+                            counts[lang, kept[i : i + FIT_LETTERS]] += n
+            keys = list(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
+
+    counted = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    order = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    return counted.withColumn("place", order).where(F.col("place") <= FIT_WORDS).drop("place")
 
 
 def fit_languages(labelled: DataFrame, fit_docs: int = FIT_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> LanguageModels:
     """Models from labelled (doc_id, text, lang), on a bounded sample of whole documents of each language.
 
-    The sample is the documents of smallest hash. Documents of a language beyond the fitted ones calibrate: the score's
-    sharpness is the likeliest, and a text is rejected if its cross-entropy is a quarter above its language's highest, and
-    more by what chance adds to a short text.
+    Words are counted by Spark; a model's task sees at most FIT_WORDS of them. Documents beyond the fitted ones calibrate
+    where they are, and the driver receives sums and quantiles per language: the score's sharpness is the likeliest, and
+    a language's limit is the cross-entropy that a share FALSE_REJECTION of its own texts exceeds.
     """
-    short_batches(labelled.sparkSession)
-    rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id", F.lit(3)))
-    most = fit_docs + calibration_docs
-    picked = smallest_hashes(rows.select("doc_id", "lang", "h").distinct(), "lang", "h", most).select("lang", "place", F.col("doc_id").alias("p_id"))
-    sample = rows.join(F.broadcast(picked.select("p_id", F.col("lang").alias("p_lang"), "place")), (F.col("doc_id") == F.col("p_id")) & (F.col("lang") == F.col("p_lang"))).select("lang", "place", "text")
+    spark = labelled.sparkSession
+    short_batches(spark)
+    sample = written(labelled_sample(labelled, fit_docs, calibration_docs), "langid-sample")
 
     def fit(key: tuple, table: pa.Table) -> pa.Table:
-        counts: Counter = Counter()
-        texts = table.sort_by("place")
-        cut = min(fit_docs, max(1, table.num_rows * 4 // 5))
-        for t in texts["text"][:cut].to_pylist():
-            counts.update(t.lower().split())
-        cleaned: Counter = Counter()
-        for w, n in counts.items():
-            if kept := letters_of(w):
-                cleaned[kept] += n
-        words = sorted(cleaned)
-        model = KneserNey.fit(words, np.array([cleaned[w] for w in words])).to_bytes() if words else None
-        return pa.table({"lang": [key[0].as_py()], "model": pa.array([model], pa.binary()), "held": pa.array([texts["text"][cut:].to_pylist()], pa.list_(pa.string()))})
-
-    fitted = sample.groupBy("lang").applyInArrow(fit, "lang string, model binary, held array<string>").where("model is not null").orderBy("lang").collect()
-    found = LanguageModels([r["lang"] for r in fitted], [KneserNey.from_bytes(bytes(r["model"])) for r in fitted])
+        table = table.sort_by("word")
+        model = KneserNey.fit(table["word"].to_pylist(), table["n"].to_numpy()).to_bytes()
+        return pa.table({"lang": [key[0].as_py()], "model": pa.array([model], pa.binary())})
+
+    fitted = word_counts(sample.where("fits")).groupBy("lang").applyInArrow(fit, "lang string, model binary").orderBy("lang").collect()
+    bare = LanguageModels([r["lang"] for r in fitted], [KneserNey.from_bytes(bytes(r["model"])) for r in fitted])
     if not fitted:
-        return found
-    limits, gaps = [], []
-    for i, r in enumerate(fitted):
-        e = found.entropies(r["held"]) if r["held"] else np.zeros((0, len(fitted) + 1))
-        h = e[e[:, -1] > 0, :-1]
-        own = h[h.argmin(axis=1) == i, i]
-        limits.append(float(own.max()) * 1.25 if len(own) else float("inf"))
-        gaps.append(h - h[:, i : i + 1])
-    gap = np.concatenate(gaps)
-    grid = [0.5, 1, 2, 4, 8, 16, 32]
-    loss = [np.logaddexp.reduce(-a * gap, axis=1).sum() if len(gap) else 0 for a in grid]
-    sharp = LanguageModels(found.languages, found.models, grid[int(np.argmin(loss))], tuple(limits))
-    return sharp
+        return bare
+    held = broadcast_model(spark, bare)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = held.value
+        for b in batches:
+            rows, texts = [], b.column(1).to_pylist()
+            for lang, text, e in zip(b.column(0).to_pylist(), texts, models.entropies(texts)):
+                if lang in models.languages and e[-1] > 0:
+                    i, h = models.languages.index(lang), e[:-1]
+                    loss = [float(np.logaddexp.reduce(-a * (h - h[i]))) for a in SHARPNESS]
+                    rows.append({"lang": lang, "own": float(h[i]) if h.argmin() == i else None, "variance": models.variance(text, i), "loss": loss})
+            yield pa.RecordBatch.from_pylist(rows, judged)
+
+    judged = pa.schema([("lang", pa.string()), ("own", pa.float64()), ("variance", pa.float64()), ("loss", pa.list_(pa.float64()))])
+    rows = sample.where("not fits").select("lang", "text").mapInArrow(judge, "lang string, own double, variance double, loss array<double>")
+    sums = [F.sum(F.col("loss")[i]).alias(f"loss{i}") for i in range(len(SHARPNESS))]
+    found = {r["lang"]: r for r in rows.groupBy("lang").agg(F.percentile("own", F.lit(1 - FALSE_REJECTION)).alias("limit"), F.avg("variance").alias("variance"), *sums).collect()}
+    held.unpersist()
+    loss = [sum(r[f"loss{i}"] for r in found.values()) for i in range(len(SHARPNESS))]
+    kept = [(found[n]["limit"], found[n]["variance"]) if n in found and found[n]["limit"] is not None else (float("inf"), 0.0) for n in bare.languages]
+    return LanguageModels(bare.languages, bare.models, SHARPNESS[int(np.argmin(loss))], tuple(x for x, _ in kept), tuple(v**0.5 for _, v in kept))
 
 
 def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
     """doc_id, lang_pred, score, rejected of every whole text. Null texts and texts without a letter are `und`."""
     short_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(models)
+    held = broadcast_model(docs.sparkSession, models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -291,10 +343,14 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without those that language identification rejects; all columns, no shuffle."""
+    """docs without those that language identification rejects; all columns, no shuffle.
+
+    Null texts and texts without a letter are rejected, and without labelled rows every text. Repeated rows are judged
+    alike; other columns, whatever their names, are kept; no rows give no rows.
+    """
     models = fit_languages(docs.where(doc_remainder(4) != 2).select("doc_id", "text", "lang"))
     short_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(models)
+    held = broadcast_model(docs.sparkSession, models)
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

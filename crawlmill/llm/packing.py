@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,54 +31,55 @@ class Capacity:
     tokens: int = 2048
     documents: int = 2048
     attention: int = 2048 * 2048
-    weights: tuple[float, float, float] = (1.0, 1e-4, 1e-4)
+    weights: tuple[float, float, float] = (1.0, 0.1, 0.1)
     rule: str = "norm"
 
 
 def vector_best_fit(lengths: np.ndarray, cap: Capacity) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, offset) of each piece. Pieces are placed longest first, ties in their order.
 
-    Open sequences are held by residual tokens. A piece looks at residuals from its own length up; for "norm" the
-    token term alone bounds the score from below, so the search ends at the first residual that cannot win.
+    Open sequences are held by residual tokens and, within those, by residual documents in the order of residual
+    attention. Under "norm" the best of a list is the first that fits, under "dot" the last, so a list costs one bisection
+    however many sequences are alike. A piece looks at residuals from its own length up; for "norm" the token term alone
+    bounds the score from below, so the search ends at the first residual that cannot win.
     """
     wt, wd, wa = cap.weights[0] / cap.tokens**2, cap.weights[1] / cap.documents**2, cap.weights[2] / cap.attention**2
     order = np.argsort(-lengths, kind="stable")
     sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    room: list[list[tuple[int, int, int]]] = [[] for _ in range(cap.tokens + 1)]  # by residual tokens: (documents, attention, sequence)
-    filled, count = 0, 0  # bit r of filled: room[r] has a sequence
+    room: list[dict[int, list[tuple[int, int]]]] = [{} for _ in range(cap.tokens + 1)]  # by residual tokens and documents: (attention, sequence)
+    filled, count, norm = 0, 0, cap.rule == "norm"  # bit r of filled: room[r] has a sequence
     for at in order.tolist():
         n = int(lengths[at])
         cost = n * n
         if n > cap.tokens or cost > cap.attention:
             raise ValueError(f"a piece of {n} tokens fits no sequence")
-        best, best_r, best_i = None, -1, -1
+        best, found = None, None
         mask = filled >> n
         while mask:
             r = n + (mask & -mask).bit_length() - 1
             floor = wt * (r - n) ** 2
-            if cap.rule == "norm" and best is not None and floor >= best:
+            if norm and best is not None and floor >= best:
                 break
-            for i, (docs, attention, _) in enumerate(room[r]):
-                if docs >= 1 and attention >= cost:
-                    if cap.rule == "norm":
-                        score = floor + wd * (docs - 1) ** 2 + wa * (attention - cost) ** 2
-                    else:
-                        score = -(wt * r * n + wd * docs + wa * attention * cost)
+            for docs, held in room[r].items():
+                i = bisect_left(held, (cost, -1)) if norm else len(held) - 1
+                if i < len(held) and held[i][0] >= cost:
+                    attention = held[i][0]
+                    score = floor + wd * (docs - 1) ** 2 + wa * (attention - cost) ** 2 if norm else -(wt * r * n + wd * docs + wa * attention * cost)
                     if best is None or score < best:
-                        best, best_r, best_i = score, r, i
+                        best, found = score, (r, docs, i)
             mask &= mask - 1
-        if best is None:
+        if found is None:
             r, docs, attention, s, count = cap.tokens, cap.documents, cap.attention, count, count + 1
         else:
-            r = best_r
-            docs, attention, s = room[r][best_i]
-            room[r][best_i] = room[r][-1]
-            room[r].pop()
-            if not room[r]:
-                filled &= ~(1 << r)
+            r, docs, i = found
+            attention, s = room[r][docs].pop(i)
+            if not room[r][docs]:
+                del room[r][docs]
+                if not room[r]:
+                    filled &= ~(1 << r)
         sequence[at], offset[at] = s, cap.tokens - r
         if r > n and docs > 1:
-            room[r - n].append((docs - 1, attention - cost, s))
+            insort(room[r - n].setdefault(docs - 1, []), (attention - cost, s))
             filled |= 1 << (r - n)
     return sequence, offset
 

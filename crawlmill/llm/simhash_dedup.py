@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlmill.llm.common import connected_components, load, short_batches, written
+from crawlmill.llm.common import connected_components, load, short_batches, text_hashes, without_rows, written
+from crawlmill.llm.encoding import segments
 
 _WHITE = re.compile(rb"[\x20\x09-\x0D]+")
 #: Bits 0, 2, 4 ...: the low bit of each two-bit segment.
@@ -21,30 +22,43 @@ _LOW = 0x5555555555555555
 BLOCK = 2048
 
 
+def votes_of(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits, highest first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def majority(votes: np.ndarray, total: int) -> int:
+    return int.from_bytes(np.packbits(2 * votes > total).tobytes(), "big")
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64-bit SimHash of word shingles, repeats included; zero where there is no word."""
-    words = [w for w in _WHITE.split((text or "").encode("utf-8", "surrogatepass").lower()) if w]
-    if not words:
-        return 0
-    grams = [b" ".join(g) for g in zip(*(words[i:] for i in range(shingle)))] or [b" ".join(words)]
-    digest = xxhash.xxh64_intdigest
-    votes, step = np.zeros(64, np.int64), 1 << 16
-    for i in range(0, len(grams), step):
-        hashes = np.fromiter((digest(g, 42) for g in grams[i : i + step]), np.uint64, min(step, len(grams) - i))
-        votes += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > len(grams)).tobytes(), "big")
-
-
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) with fp as the signed long of the same bits."""
+    """64-bit SimHash of word shingles, repeats included; zero where there is no word. Long texts go in steps."""
+    digest, votes, total, held = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0, []
+    for part in segments(text or ""):
+        words = held + [w for w in _WHITE.split(part.encode("utf-8", "surrogatepass").lower()) if w]
+        n = len(words) - shingle + 1
+        if n > 0:
+            grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+            votes += votes_of(np.fromiter((digest(g, 42) for g in grams), np.uint64, n))
+            total += n
+        held = words[max(n, 0) :]
+    if not total and held:
+        votes, total = votes_of(np.array([digest(b" ".join(held), 42)], np.uint64)), 1
+    return majority(votes, total) if total else 0
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, beside: list[Column] = []) -> DataFrame:
+    """(doc_id, fp) with fp as the signed long of the same bits, and h1, h2 of the long columns beside."""
     short_batches(docs.sparkSession)
+    extra = [f"h{i + 1}" for i in range(len(beside))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], ["doc_id", "fp", *extra])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *beside)
+    return rows.mapInArrow(run, "doc_id long, fp long" + "".join(f", {x} long" for x in extra))
 
 
 def embedding(fp: Column) -> Column:
@@ -138,6 +152,16 @@ def close_pairs(distinct: DataFrame, distance: int = 3, blocks: int = 6) -> Data
     return dealt.mapInArrow(search, "a long, b long").where("a <> b")
 
 
+def components(rows: DataFrame, distance: int = 3) -> DataFrame:
+    """(fp, root, low, n) of the distinct fp of rows (doc_id, fp): the root of its component, and in it the smallest
+    doc_id and the number of rows."""
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "simhash-nodes")
+    roots = connected_components(close_pairs(nodes.select("fp"), distance)).withColumnRenamed("u", "fp")
+    rooted = nodes.join(roots, "fp", "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
+    lows = rooted.groupBy("root").agg(F.min("low").alias("low"), F.sum("n").alias("n"))
+    return written(rooted.select("fp", "root").join(lows, "root").select("fp", "root", "low", "n"), "simhash-named")
+
+
 def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id, group_size.
 
@@ -146,18 +170,22 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> Dat
     has another; repeated rows and doc_ids each give a row. Other columns of docs are ignored.
     """
     rows = written(fingerprints(docs, shingle), "simhash-rows")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "simhash-nodes")
-    roots = connected_components(close_pairs(nodes.select("fp"), distance)).withColumnRenamed("u", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("group_size"))
-    named = written(rooted.join(lows, "root").select("fp", "component_id", "group_size"), "simhash-named")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
+    named = components(rows, distance)
+    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("low").alias("component_id"), F.col("n").alias("group_size"))
 
 
 def drop_near_copies(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
-    """docs with one document of each group of near duplicates, the one of the smallest doc_id."""
-    kept = near_duplicates(docs, distance, shingle).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """docs with one row of each group of near duplicates, one of the smallest doc_id; all columns, whatever their names.
+
+    A null doc_id stays only where its group has no other. Of rows that share the smallest doc_id the one of the smallest
+    text hash stays, of rows that repeat it one. No rows give no rows.
+    """
+    rows = written(fingerprints(docs, shingle, text_hashes()), "simhash-rows")
+    keys = rows.groupBy("doc_id", "h1", "h2", "fp").agg(F.count("*").alias("times")).join(components(rows, distance), "fp")
+    first = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h1", "h2")).alias("first"))
+    keys = written(keys.join(first, "root").withColumn("kept", F.struct(F.col("doc_id").isNull(), "doc_id", "h1", "h2").eqNullSafe(F.col("first"))), "simhash-keys")
+    gone, twice = (x.select("doc_id", "h1", "h2") for x in (keys.where("not kept"), keys.where("kept and times > 1")))
+    return without_rows(docs, [F.col("doc_id").cast("long"), *text_hashes()], gone, twice)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

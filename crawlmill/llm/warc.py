@@ -18,8 +18,8 @@ from crawlmill.llm.common import load, shared_path, short_batches, text_or_empty
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Smaller payloads are always stored.
 LEAST_BYTES = 1000
-#: Records in one archive file, so that a file stays small enough to be read whole.
-RECORDS_PER_FILE = 2000
+#: Compressed records are written in rows of this many bytes, or one record more, and a file has so many rows.
+ROW_BYTES, ROWS_PER_FILE = 2 << 20, 24
 _RECORD_SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 _EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"  # gzip of nothing
 
@@ -103,17 +103,25 @@ def resolve(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     return joined.withColumn("revisit", F.col("ref_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("ref_id")))
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, date: str = "2026-01-01T00:00:00Z") -> None:
-    """Write pages (page_id, url, html) as gzipped WARC files without repeated payloads."""
+def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, date: str = "2026-01-01T00:00:00Z", row_bytes: int = ROW_BYTES) -> None:
+    """Write pages (page_id, url, html) as gzipped WARC files without repeated payloads, cut by bytes."""
     short_batches(pages.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            out = [member(record(x["page_id"], x["url"], x["html"], x["digest"], x["ref_id"], x["ref_url"], x["revisit"], date))[:-1] for x in b.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+            for i in range(b.num_rows):
+                (x,) = b.slice(i, 1).to_pylist()
+                held.append(member(record(x["page_id"], x["url"], x["html"], x["digest"], x["ref_id"], x["ref_url"], x["revisit"], date)))
+                size += len(held[-1])
+                if size >= row_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["members"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["members"])
 
     rows = resolve(pages, least_bytes).withColumn("html", F.col("html").cast("binary"))
-    write_rows(rows.select("page_id", "url", "html", "digest", "ref_id", "ref_url", "revisit").mapInArrow(pack, "member binary"), "member", path, "\0", RECORDS_PER_FILE)
+    write_rows(rows.select("page_id", "url", "html", "digest", "ref_id", "ref_url", "revisit").mapInArrow(pack, "members binary"), "members", path, "\0", ROWS_PER_FILE)
 
 
 _HEADERS = "page_id long, url string, record_id string, record_type string, payload_digest string, payload_bytes long, refers_to_id string"
@@ -147,7 +155,7 @@ def deduplicated_archives(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> D
     One row per page row: page_id, payload_bytes, payload_digest, record_type, refers_to, url. A null html is an empty
     payload. Of equal payloads of least_bytes or more the largest page_id is the response; a null page_id is smaller
     than any other, and rows that repeat the response's page_id and payload are responses too. Other columns are
-    ignored; no pages give no rows.
+    ignored; no pages give no rows. Where every page_id of a payload is null, each of its rows is a response.
     """
     path = shared_path(pages.sparkSession, "warc")
     write_archives(pages, path, least_bytes)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -36,6 +37,17 @@ def test_warc(spark):
     assert warc.deduplicated_archives(df.limit(0)).count() == 0
 
 
+def test_archives_are_cut_by_bytes(spark):
+    rng = random.Random(4)
+    data = [(i, f"http://h/{i}", "".join(rng.choices("abcdefgh", k=rng.choice([10, 5000, 60_000])))) for i in range(300)]
+    path = shared_path(spark, "warc")
+    warc.write_archives(spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1), path, row_bytes=10_000)
+    sizes = [r.length for r in spark.read.format("binaryFile").load(path).where("length > 0").collect()]
+    assert len(sizes) > 4 and max(sizes) < warc.ROWS_PER_FILE * 50_000
+    got = {r.page_id: (r.payload_bytes, r.record_type) for r in warc.read_archives(spark, path).collect()}
+    assert got == {i: (len(h), "response") for i, _, h in data}
+
+
 def test_warc_records_are_standard():
     import gzip
 
@@ -66,6 +78,38 @@ def test_token_file(bits):
     assert [s for _, s, _ in got] == [sum(len(x) // 4 for _, x in docs[:i]) for i in range(len(docs))]
 
 
+@pytest.mark.parametrize("sizes", [[100] * 60, [5000], [1, 9000, 1], [40] * 10 + [5000] + [40] * 90])
+def test_token_files_end_with_whole_documents(sizes):
+    docs = [(i, (np.arange(n, dtype="<u4") * 7 + i).tobytes()) for i, n in enumerate(sizes)]
+    out, rows, files = FileWriter(block=100, chunks=4), [], []
+    for d in docs:
+        rows += out.add(*d)
+    rows += out.close()
+    for i in range(0, len(rows), 5):  # as the writer's maxRecordsPerFile cuts them
+        files.append(b"".join(r + b"\n" for r in rows[i : i + 5]))
+    assert [(d, ids) for f in files for d, _, ids in read_file(f)] == docs
+    assert len(files) > 1 or len(sizes) < 4
+
+
+def test_files_of_a_hot_range(spark):
+    pairs = [(7, f"a text of its own {i} " * 9) for i in range(40)] + [(i, "other words here") for i in range(8, 60)]
+    path = shared_path(spark, "tokens")
+    write_tokens(frame(spark, pairs), path, byte_bpe_path(), block=50, chunks=2)
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_index(spark, path).collect())
+    assert [r[1] for r in got] == sorted(i for i, _ in pairs)
+    assert [r[0] for r in got] == np.cumsum([0] + [r[2] for r in got])[:-1].tolist()
+    assert spark.read.format("binaryFile").load(path).count() > 20
+
+
+def test_segments_of_long_texts():
+    from crawlmill.llm.encoding import segments
+
+    text = "ab  cd\n ef " * 500 + "x" * 3000 + " y" * 40
+    for size in (1, 7, 64):
+        parts = segments(text, size)
+        assert "".join(parts) == text and b"".join(encoder(byte_bpe_path()).encode(parts)) == library_ids(text).tobytes()
+
+
 def library_ids(text, end=()):
     return np.array(encoder(byte_bpe_path()).tokenizer.encode(text or "", add_special_tokens=False).ids + list(end), "<u4")
 
@@ -165,6 +209,15 @@ def test_best_fit_takes_what_brute_force_takes():
     assert sorted(np.bincount(seq, lengths)) == sorted(np.bincount(want, lengths))
 
 
+def test_weights_matter_and_cost_no_sequence():
+    lengths = np.random.default_rng(6).choice([40, 90, 300, 700, 1025, 2048], 4000, p=[0.4, 0.2, 0.2, 0.1, 0.05, 0.05]) + np.random.default_rng(7).integers(-39, 1, 4000)
+    both, tokens = vector_best_fit(lengths, Capacity())[0], vector_best_fit(lengths, Capacity(weights=(1.0, 0.0, 0.0)))[0]
+    assert (both != tokens).any() and both.max() <= tokens.max()
+    equal = np.array([1025] * 32_768 + [100] * 32_768)
+    began = time.time()
+    assert vector_best_fit(equal, Capacity())[0].max() + 1 == 32_768 and time.time() - began < 20
+
+
 def test_packed_documents(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_ROWS", 8)
     pairs = list(enumerate(ODD)) + [(None, "n"), (3, "again"), (3, "again")]

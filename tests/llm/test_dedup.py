@@ -6,11 +6,14 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 
 from crawlmill.llm import simhash_dedup
 from crawlmill.llm.exact_dedup import drop_exact_copies, exact_dedup, repeated_fingerprints
+from crawlmill.llm.encoding import segments
 from crawlmill.llm.quotient_filter import CountingQuotientFilter as Filter
 from crawlmill.llm.simhash_dedup import close_pairs, drop_near_copies, fingerprint, forest, near_duplicates
+from crawlmill.llm.similar_texts import drop_similar, shingles
 
 SCHEMA = "doc_id long, text string, norm string, fp long, lang string"
 TEXTS = ["a b", "a  b", "a\t\nb", " a b", None, "", " ", "x", "x", "X", "é" * 3, "word " * 50_000, "word " * 50_000 + " "]
@@ -135,6 +138,32 @@ def test_near_duplicates(spark):
     root = cluster(sorted(set(signed.values())))
     want = sorted((str(i), f"{fps[t]:016x}", min(j for j, u in pairs if j is not None and root[signed[u]] == root[signed[t]])) for i, t in pairs)
     assert sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in got) == want
-    kept = {r.doc_id for r in drop_near_copies(frame(spark, pairs)).collect()}
-    assert kept == {r.component_id for r in got}
+    kept = drop_near_copies(frame(spark, pairs)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({r.component_id for r in got})
     assert near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_near_copies_of_repeated_doc_ids(spark):
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, text), (1, text + " z"), (2, "other words of its own"), (5, text + " y"), (None, text + " x"), (None, "lone"), (2, "other words of its own")]
+    kept = sorted((str(r.doc_id), r.text) for r in drop_near_copies(frame(spark, rows)).collect())
+    assert len(kept) == 3 and kept[1:] == [("2", "other words of its own"), ("None", "lone")] and kept[0][0] == "1"
+    assert drop_near_copies(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("drop", [drop_exact_copies, drop_near_copies, drop_similar])
+def test_names_that_clash(spark, drop):
+    names = "row k0 o0 h1 h2 fp root kept times n key cell _own_text _kept_id _place _gone".split()
+    rows = [(i, t) for i, t in enumerate(["a b c d e f g", "a b c d e f g", "h i j k l m n", None, ""])] + [(0, "a b c d e f g")]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = drop(df)
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [0, 2, 3]
+
+
+def test_fingerprints_of_long_texts_go_in_steps(monkeypatch):
+    rng = random.Random(3)
+    text = "".join(rng.choice(["word", "Other", "x" * 30, "é"]) + rng.choice([" ", "  ", "\n", " \t"]) for _ in range(3000))
+    whole, sets = fingerprint(text), shingles(text)
+    for size in (10, 333):
+        monkeypatch.setattr(segments, "__defaults__", (size,))
+        assert fingerprint(text) == whole and (shingles(text) == sets).all() and fingerprint("One  two ") == xxhash.xxh64("one two", seed=42).intdigest()

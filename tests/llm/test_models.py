@@ -3,7 +3,11 @@
 import hashlib
 import math
 import random
+import re
+import time
 import zlib
+from collections import Counter
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -13,13 +17,13 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from conftest import SF
-from crawlmill.llm import ann, langid, queries, segment_bpe
+from test_similar_texts import alike, grams
+from crawlmill.llm import ann, langid, quality, queries, segment_bpe
 from crawlmill.llm.ann import AnisotropicQuantiser, nearest, unit
 from crawlmill.llm.encoding import word_bpe_path
 from crawlmill.llm.langid import KneserNey, fit_languages, keep_identified, language_id
 from crawlmill.llm.quality import keep_good, quality_classifier, shape_of
 from crawlmill.llm.segment_bpe import PairRanks, codec, encode_decode
-from crawlmill.llm.simhash_dedup import fingerprint
 
 
 def docs_of(spark, rows):
@@ -66,17 +70,103 @@ def test_smallest_hashes(spark, monkeypatch):
     want = {}
     for r in sorted(rows.collect(), key=lambda r: r.h):
         want.setdefault(r.g, []).append(r.doc_id)
-    for bound in (10_000, 1):
-        monkeypatch.setattr(common, "MOST_GROUPS", bound)
-        got = common.smallest_hashes(rows, "g", "h", 100).collect()
-        assert {(r.g, r.place, r.doc_id) for r in got} == {(g, i + 1, d) for g, ids in want.items() for i, d in enumerate(ids[:100])}
+    got = common.smallest_hashes(rows, "g", "h", 100).collect()
+    assert {(r.g, r.place, r.doc_id) for r in got} == {(g, i + 1, d) for g, ids in want.items() for i, d in enumerate(ids[:100])}
+    monkeypatch.setattr(common, "MOST_GROUPS", 2)  # the commonest alone
+    assert {r.g for r in common.smallest_hashes(rows, "g", "h", 100).collect()} == {0, 1}
+
+
+def brute_kneser_ney(counts, order=5):
+    """Interpolated Kneser-Ney probabilities by the textbook, over dictionaries: p(symbol, context)."""
+    raw = [Counter() for _ in range(order + 1)]
+    for w, n in counts.items():
+        s = "\x01" * (order - 1) + w + "\x02"
+        for i in range(order - 1, len(s)):
+            for k in range(1, order + 1):
+                raw[k][s[i - k + 1 : i + 1]] += n
+    value = [None, *({} for _ in range(order))]
+    value[order] = dict(raw[order])
+    for k in range(order - 1, 0, -1):
+        kinds = Counter(g[1:] for g in raw[k + 1])
+        value[k] = {g: n if g[0] == "\x01" else kinds[g] for g, n in raw[k].items()}
+    symbols = len(raw[1]) + 1
+    discount = [0.0]
+    for k in range(1, order + 1):
+        ones, twos = (sum(v == x for v in value[k].values()) for x in (1, 2))
+        discount.append(min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5)
+
+    def p(symbol, context):
+        k = len(context) + 1
+        below = p(symbol, context[1:]) if context else 1 / symbols
+        same = [v for g, v in value[k].items() if g[:-1] == context]
+        if not same:
+            return below
+        return max(value[k].get(context + symbol, 0) - discount[k], 0) / sum(same) + discount[k] * len(same) / sum(same) * below
+
+    return p
+
+
+def test_kneser_ney_against_brute_force():
+    rng = random.Random(11)
+    counts = Counter("".join(rng.choices("abcd", [5, 3, 2, 1], k=rng.randint(1, 7))) for _ in range(200))
+    words = sorted(counts)
+    model = langid.LanguageModels(["x"], [KneserNey.from_bytes(KneserNey.fit(words, np.array([counts[w] for w in words])).to_bytes())])
+    p = brute_kneser_ney(counts)
+    for text in [*words[:40], "dddd", "abz", "zz", "a", "abcd dcba zab"]:
+        want = symbols = 0
+        for w in text.split():
+            s = "\x01" * 4 + w + "\x02"
+            want -= sum(math.log(p(s[i], s[i - 4 : i])) for i in range(4, len(s)))
+            symbols += len(w) + 1
+        h, n = model.entropies([text])[0]
+        assert n == symbols and h == pytest.approx(want / symbols, abs=1e-9)
+
+
+def test_repeated_labelled_rows(spark):
+    text = "kalo mitu kalo " * 20
+    rows = [(1, text, "aa")] * 3000 + [(1, text + "b", "aa")] * 3000 + [(i, f"{text} {i}", "aa") for i in range(2, 40)] + [(i, f"sch ung ein {i}", "bb") for i in range(50, 90)] + [(None, "x", "aa")]
+    sample = langid.labelled_sample(docs_of(spark, rows), 20, 10).collect()
+    assert len(sample) == 60 and len({(r.lang, r.place) for r in sample}) == 60 and sum(r.fits for r in sample) == 40
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)] + [(1, 1)] * 50, "doc_id long, quality int")
+    picked = quality.labelled_sample(docs_of(spark, rows).select("doc_id", "text"), labels, 25).collect()
+    assert len({r.doc_id for r in picked}) == len(picked) and max(Counter(r.quality for r in picked).values()) == 25
+
+
+def test_words_of_the_fit_are_bounded(spark, monkeypatch):
+    sample = spark.createDataFrame([("aa", "ab Ab cd cd2 cd! x " + "q" * 150), ("bb", "x x y")], "lang string, text string")
+    got = {(r.lang, r.word): r.n for r in langid.word_counts(sample).collect()}
+    assert got == {("aa", "ab"): 2, ("aa", "cd"): 3, ("aa", "x"): 1, ("aa", "q" * 64): 2, ("aa", "q" * 22): 1, ("bb", "x"): 2, ("bb", "y"): 1}
+    monkeypatch.setattr(langid, "FIT_WORDS", 1)
+    assert {(r.lang, r.word) for r in langid.word_counts(sample).collect()} == {("aa", "cd"), ("bb", "x")}
 
 
 def test_rejection(spark):
-    rows = [(i, "the cat sat on the mat with that hat " * 3, "en") for i in range(60)]
-    models = fit_languages(docs_of(spark, rows))
-    langs, _, rejected = models.predict(["the cat sat on the mat", "zqxj vvkw qqzx jjxw " * 9])
-    assert langs == ["en", "en"] and rejected.tolist() == [False, True]
+    """Own text stays at the stated rate; junk, another alphabet and a language that was not learned go."""
+    documents = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    models = fit_languages(documents.where("lang in ('en', 'fr', 'es')").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
+    held = documents.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
+    own = [r.text for r in held.where("lang in ('en', 'fr', 'es')").collect()]
+    other = [r.text for r in documents.where("lang = 'de'").collect()]
+    assert models.predict(own)[2].mean() < 0.02 and models.predict(other)[2].mean() > 0.95
+    junk = ["zqxj vvkw qqzx jjxw " * 9, "\u043c\u0430\u043c\u0430 \u043c\u044b\u043b\u0430 \u0440\u0430\u043c\u0443 " * 9, "a8f0c9 d2e1b7 " * 30]
+    assert models.predict(junk)[2].all()
+
+
+def test_votes_against_brute_force(spark):
+    """Scores are those of all cosines, computed one by one; directions those of a full decomposition."""
+    documents, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit_quality(documents.select("doc_id", "text"), labels.select("doc_id", "quality"))
+    texts = [r.text for r in documents.limit(60).collect()] + [None, "", "word"]
+    for text, score in zip(texts, model.scores(texts)):
+        x = model.vectors_of([text])[0].tolist()
+        cosines = sorted(((sum(a * b for a, b in zip(x, v)), y) for v, y in zip(model.vectors.tolist(), model.labels)), reverse=True)
+        cosines = [c for c in cosines if c[0] >= cosines[quality.NEIGHBOURS - 1][0] - 1e-6]
+        weights = [max(c, 0) ** 4 + 1e-9 for c, _ in cosines]
+        assert score == pytest.approx(sum(w * y for w, (_, y) in zip(weights, cosines)) / sum(weights), abs=1e-6)
+    x = np.random.default_rng(1).normal(size=(80, 5)) @ np.diag([9, 7, 5, 4, 3]) @ np.random.default_rng(2).normal(size=(5, 300)) + np.random.default_rng(3).normal(size=(80, 300)) * 0.01
+    v = quality.latent_directions(x.astype(np.float32), 5)
+    want = np.linalg.svd(x)[2][:5].T
+    assert np.abs(v @ v.T - want @ want.T).max() < 1e-3
 
 
 def test_quality(spark):
@@ -138,6 +228,28 @@ def test_recall_on_the_tables(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_recall_where_cells_are_left_out(spark):
+    """40 clusters in 40 cells of which a query sees 8: most nearest vectors are found all the same."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16))
+    x = (centres[np.arange(4000) % 40] + 0.3 * rng.normal(size=(4000, 16))).tolist()
+    table = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    index = ann.fit_index(table.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.lit(0)), 16, 4000, 100, 0.2, 4)
+    assert len(index.centres) == 40 and index.probed == 8
+    got = {(r.query_id, r.vec_id) for r in nearest(table, per_cell=100, probed=0.2, fewest=4).collect()}
+    want, u = set(), unit(np.array(x))
+    for q in range(0, 4000, 50):
+        order = np.argsort(-(u @ u[q]))
+        want |= {(q, int(i)) for i in [i for i in order if i != q][:5]}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
+def test_vectors_of_any_size(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (50, [3e-320, 0.0]), (2, [-1e300, 1e300])]
+    got = {(r.query_id, r.vec_id): r.score for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got[0, 1] == pytest.approx(1) and got[0, 50] == pytest.approx(2**-0.5) and got[0, 2] == pytest.approx(0) and got[50, 2] == pytest.approx(-(2**-0.5))
+
+
 def test_parallel_error_costs_more():
     x = unit(np.random.default_rng(1).normal(size=(800, 16)))
     parallel = []
@@ -158,8 +270,11 @@ def test_segment_tree_against_plain_merging():
         vocabulary[a + b] = len(vocabulary)
     ranks, names = PairRanks(vocabulary, merges), {i: s for s, i in vocabulary.items()}
     rng = random.Random(6)
-    words = ["".join(rng.choices("abc", k=rng.randint(1, 40))) for _ in range(300)]
-    for word, ids in zip(words, ranks.encode([np.array([vocabulary[c] for c in w], np.int32) for w in words])):
+    words = ["".join(rng.choices("abc", k=rng.randint(1, 100))) for _ in range(300)]
+    symbols = [[vocabulary[c] for c in w] for w in words]
+    for word, alone, ids in zip(words, symbols, ranks.merge_all(symbols)):
+        ids = np.frombuffer(ids, "<u4")
+        assert ranks.merge(alone) == ids.tolist()
         parts = list(word)
         while True:
             found = [(merges.index([x, y]), i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if [x, y] in merges]
@@ -177,9 +292,11 @@ def test_bpe_equals_the_library(spark):
     rng = random.Random(7)
     parts = [" ", "  ", "a", "B", "'s", "\n", " ", "\x1c", "é", "7", "!", "<|endoftext|>", "<|startoftext|>", "\x85", "😀", "́", "İ", "Σ", "hello", "THE", "中"]
     texts = [None, "", " ", "x" * 3000, "Hello World " * 4000] + ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(2000)]
-    for t, (ids, decoded) in zip(texts, codec(word_bpe_path()).encode([t or "" for t in texts])):
+    own = codec(word_bpe_path())
+    for t in texts:
+        ids = own.encode([t or ""])[0]
         want = library.encode(t or "", add_special_tokens=False).ids
-        assert np.frombuffer(ids, "<u4").tolist() == want and decoded == library.decode(want, skip_special_tokens=False)
+        assert np.frombuffer(ids, "<u4").tolist() == want and own.decode(ids) == library.decode(want, skip_special_tokens=False)
     df = spark.createDataFrame([(i, t, b"x") for i, t in enumerate(texts[:60])] + [(None, "n", None), (1, "dup", None)], "doc_id long, text string, ids binary")
     rows = {(r.doc_id, bytes(r.ids), r.decoded) for r in encode_decode(df).collect()}
     assert len(rows) == 62 and segment_bpe.digests(df).count() == 62
@@ -188,6 +305,30 @@ def test_bpe_equals_the_library(spark):
     assert encode_decode(df.limit(0)).count() == 0
 
 
+def test_codecs_on_every_code_point():
+    """Both encoders equal the library on all code points of the planes in use, assigned or not."""
+    from tokenizers import Tokenizer
+
+    from crawlmill.llm.encoding import byte_bpe_path, encoder
+
+    points = [chr(c) for c in range(0x32400) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}b" for c in points[i : i + 256]) for i in range(0, len(points), 256)]
+    for path, own in ((word_bpe_path(), codec(word_bpe_path())), (byte_bpe_path(), encoder(byte_bpe_path()))):
+        library = Tokenizer.from_file(path)
+        for text, ids, want in zip(texts, own.encode(texts), library.encode_batch(texts, add_special_tokens=False)):
+            assert np.frombuffer(ids, "<u4").tolist() == want.ids, text[:20]
+
+
+def test_very_long_words():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(word_bpe_path())
+    word = "".join(random.Random(5).choices("etaoinshrdlu", k=300_000))
+    began = time.time()
+    got = np.frombuffer(codec(word_bpe_path()).encode([word + " end"])[0], "<u4").tolist()
+    assert got == library.encode(word + " end", add_special_tokens=False).ids and time.time() - began < 60
+
+
 def test_queries_against_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "pages"):
@@ -215,25 +356,16 @@ def test_pipeline_against_brute_force(spark):
     second = docs.join(kept, "doc_id")
     good = quality_classifier(second, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1").select("doc_id")
     texts = {r.doc_id: r.text for r in second.join(good, "doc_id").collect()}
-    firsts = {}
-    for i in sorted(texts):
-        firsts.setdefault(" ".join(texts[i].split(" ")) if texts[i] else "", i)
-    import re
-
     firsts = {}
     for i in sorted(texts):
         firsts.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts[i] or ""), i)
     ids = sorted(firsts.values())
-    fps = {i: fingerprint(texts[i]) for i in ids}
+    sets = {i: grams(texts[i]) for i in ids}
     label = {i: i for i in ids}
-    for _ in ids:
-        before = dict(label)
-        for a in ids:
-            for b in ids:
-                if label[a] != label[b] and bin(fps[a] ^ fps[b]).count("1") <= 3:
-                    label[a] = label[b] = min(label[a], label[b])
-        if label == before:
-            break
+    for a, b in combinations(ids, 2):
+        if label[a] != label[b] and alike(sets[a], sets[b]):
+            low, high = sorted((label[a], label[b]))
+            label = {i: low if x == high else x for i, x in label.items()}
     got = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == set(label.values())
     per = got.groupBy("sequence_id").agg(F.sum("length").alias("n"))
