@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Iterator
 
@@ -39,6 +40,7 @@ def signatures(docs: DataFrame, key: str, tokens: Column | None = None, text: st
     return summed.select(key, bits.alias("signature"))
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def sip24(data: bytes, k0: int = 1, k1: int = 2) -> int:
     """SipHash-2-4 of the published description."""
     v = [k0 ^ 0x736F6D6570736575, k1 ^ 0x646F72616E646F6D, k0 ^ 0x6C7967656E657261, k1 ^ 0x7465646279746573]

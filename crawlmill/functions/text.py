@@ -15,18 +15,27 @@ def without_punctuation(text: Column) -> Column:
     return F.translate(text, PUNCTUATION, " " * len(PUNCTUATION))
 
 
-def without_stop_words(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
+def without_stop_words(tokens: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Deletes stop words that stand alone between characters which are neither letters, digits nor hyphens.
 
-    Hyphens around one stay. Only words of ASCII letters can match.
+    Hyphens around one stay. Only words of ASCII letters can match. Most tokens are a stop word or have letters and digits
+    only, so a set decides; the regular expression sees the others.
     """
-    words = "|".join(sorted((re.escape(w) for w in stop_words if re.fullmatch("[a-z]+", w)), key=lambda w: (-len(w), w)))
-    return F.regexp_replace(text, rf"(?U)(?<![\w-])(-*)(?:{words})(-*)(?![\w-])", "$1$2") if words else text
+    words = [w for w in stop_words if re.fullmatch("[a-z]+", w)]
+    if not words:
+        return tokens
+    pattern = rf"(?U)(?<![\w-])(-*)(?:{'|'.join(sorted(words, key=lambda w: (-len(w), w)))})(-*)(?![\w-])"
+
+    def rest(token: Column) -> Column:
+        return F.when(token.isin(words), F.lit("")).when(token.rlike(r"(?U)\W"), F.regexp_replace(token, pattern, "$1$2")).otherwise(token)
+
+    return F.transform(tokens, rest)
 
 
 def preprocessed(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
-    """Tokens: punctuation to spaces, lower case, stop words out, split at white space."""
-    return F.filter(F.split(without_stop_words(F.lower(without_punctuation(text)), stop_words), r"(?U)\s+"), lambda x: x != "")
+    """Tokens: punctuation to spaces, lower case, split at white space, stop words out."""
+    tokens = F.split(F.lower(without_punctuation(text)), r"(?U)\s+")
+    return F.filter(without_stop_words(tokens, stop_words), lambda x: x != "")
 
 
 def terms(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:

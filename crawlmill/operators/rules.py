@@ -102,14 +102,22 @@ def without_similar(responses: DataFrame, rules: DataFrame, signature: str = "si
     return responses.join(hits, F.col(signature) == F.col("own"), "left_anti")
 
 
-def with_first_hit(responses: DataFrame, rules: DataFrame, key: str, signature: str | None = None) -> DataFrame:
+#: Regex rules that a table may hold: each is a literal of the plan.
+MOST_PATTERNS = 1000
+
+
+def with_first_hit(responses: DataFrame, rules: DataFrame, key: str, signature: str | None = None, text: str = "text", headers: str | None = None) -> DataFrame:
     """responses with rule_kind, the kind of the first rule that hits, or null.
 
-    Equal rules count once. Kinds are tried from the cheapest to the dearest. A response is looked up by each of its
-    values, so rules and responses meet by equality; wildcard and similarity rules are then compared in full. Regex
-    rules are taken from literals by matches_regex. A similarity rule's cutoff is NEAR_DISTANCE at most.
+    Equal rules count once. Kinds are tried from the cheapest to the dearest: status, lines, words, size, wildcard, regex,
+    similarity. A response is looked up by each of its values, so rules and responses meet by equality; wildcard and
+    similarity rules are then compared in full. Patterns of regex rules, MOST_PATTERNS at most, become literals that the
+    body, and headers where named, are searched for. A similarity rule's cutoff is NEAR_DISTANCE at most.
     """
-    order = F.expr("case kind when 'status' then 0 when 'lines' then 1 when 'words' then 2 when 'size' then 3 when 'wildcard' then 4 else 5 end")
+    patterns = [r["regex"] for r in rules.where("kind = 'regex' and regex is not null and not coalesce(dont_filter, false)").select("regex").distinct().limit(MOST_PATTERNS + 1).collect()]
+    if len(patterns) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} regex rules")
+    order = F.expr("case kind when 'status' then 0 when 'lines' then 1 when 'words' then 2 when 'size' then 3 when 'wildcard' then 4 else 6 end")
     fields = {"status": "filter_code", "lines": "line_count", "words": "word_count", "size": "content_length"}
 
     def look_ups(single: dict[str, str], method: str, status: str, hashed: Column | None) -> Column:
@@ -126,7 +134,11 @@ def with_first_hit(responses: DataFrame, rules: DataFrame, key: str, signature:
         full = full | ((F.col("f.kind") == "similarity") & (hamming(F.col(f"r.{signature}"), F.col("f.hash")) <= F.col("f.cutoff")))
     hits = slim.alias("r").join(live.alias("f"), "at").where(full)
     first = hits.groupBy(F.col(f"r.{key}").alias(key)).agg(F.min_by("f.kind", "f.priority").alias("rule_kind"))
-    return responses.join(first, key, "left")
+    found = responses.join(first, key, "left")
+    if not patterns:
+        return found
+    regex = matches_regex(sorted(patterns), text, headers) & (F.col("rule_kind").isNull() | (F.col("rule_kind") == "similarity"))
+    return found.withColumn("rule_kind", F.when(regex, F.lit("regex")).otherwise(F.col("rule_kind")))
 
 
 def excluded_urls(candidates: DataFrame, deny: DataFrame, scans: DataFrame, url: str = "url") -> DataFrame:

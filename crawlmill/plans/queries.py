@@ -242,9 +242,12 @@ def _wild_rules(spark, sf_dir):
 _COARSE = "SELECT page_id, url, method, status, content_length // 4000 AS content_length, word_count // 200 AS word_count, line_count // 50 AS line_count FROM resp"
 
 
+def _coarse(rows):
+    return rows.withColumns({c: F.floor(F.col(c) / d).cast("long") for c, d in (("content_length", 4000), ("word_count", 200), ("line_count", 50))})
+
+
 def _coarse_pages(spark, sf_dir):
-    cut = {c: F.floor(F.col(c) / d).cast("long") for c, d in (("content_length", 4000), ("word_count", 200), ("line_count", 50))}
-    return A.measured_pages(spark, sf_dir).withColumns(cut)
+    return _coarse(A.measured_pages(spark, sf_dir))
 
 
 _WILD_HIT = """r.method = f.method AND r.status = f.status AND (f.content_length IS NULL OR f.content_length = r.content_length)
@@ -256,18 +259,19 @@ def f7_wildcard_rule(spark, sf_dir):
     return rules.without_wildcards(_coarse_pages(spark, sf_dir), _wild_rules(spark, sf_dir)).select("page_id", "status")
 
 
-_LITERAL_RULES = [("status", [404]), ("lines", [7]), ("words", [2]), ("size", [1]), ("nonsense", [1])]
+_LITERAL_RULES = [("status", [404]), ("lines", [7]), ("words", [2]), ("size", [1]), ("regex", ["<h1>[A-D]"]), ("nonsense", [1])]
 
 
 def _hit_pages(spark, sf_dir):
     rows = [r for kind, values in _LITERAL_RULES for r in rules.rule_rows(kind, values)]
     table = rules.rule_table(spark, rows + rows).unionByName(_wild_rules(spark, sf_dir))
-    return rules.with_first_hit(_coarse_pages(spark, sf_dir), table, "page_id")
+    pages = _coarse(measures.with_measures(A.resp_pages(spark, sf_dir)))
+    return rules.with_first_hit(pages, table, "page_id").drop("text")
 
 
-_HIT_SQL = f"""WITH {_WILD_SQL}, r AS ({_COARSE}), hit AS (SELECT *, CASE WHEN status = 404 THEN 'status' WHEN line_count = 7 THEN 'lines'
+_HIT_SQL = f"""WITH {_WILD_SQL}, r AS ({_COARSE.replace('page_id,', 'page_id, text,', 1)}), hit AS (SELECT *, CASE WHEN status = 404 THEN 'status' WHEN line_count = 7 THEN 'lines'
   WHEN word_count = 2 THEN 'words' WHEN content_length = 1 THEN 'size'
-  WHEN EXISTS (SELECT 1 FROM rule f WHERE {_WILD_HIT}) THEN 'wildcard' END AS rule_kind FROM r)"""
+  WHEN EXISTS (SELECT 1 FROM rule f WHERE {_WILD_HIT}) THEN 'wildcard' WHEN regexp_matches(text, '<h1>[A-D]') THEN 'regex' END AS rule_kind FROM r)"""
 
 
 @query(f"{_HIT_SQL} SELECT rule_kind, count(*) AS responses FROM hit GROUP BY 1")
@@ -301,16 +305,12 @@ def f10_excluded_by_regex(spark, sf_dir):
 # ---- joins
 
 
-def _some_words(spark, sf_dir):
-    return A.words_docs(spark, sf_dir).where("length(word) <= 3")
-
-
 _CANDIDATES = f"""{A.TARGETS}, {A.WORDLIST}, cand AS (SELECT target, word, rtrim(target, '/') || '/' || word || e AS url, m AS method
-  FROM targets, wordlist, (SELECT unnest(['', '.php', '/']) AS e), (SELECT unnest(['GET', 'POST']) AS m) WHERE length(word) <= 3)"""
+  FROM targets, wordlist, (SELECT unnest(['', '.php', '/']) AS e), (SELECT unnest(['GET', 'POST']) AS m))"""
 
 
 def _candidates(spark, sf_dir):
-    return joins.candidates(A.targets_pages(spark, sf_dir), _some_words(spark, sf_dir), ["php", "/"], ["GET", "POST"])
+    return joins.candidates(A.targets_pages(spark, sf_dir), A.words_docs(spark, sf_dir), ["php", "/"], ["GET", "POST"])
 
 
 @query(f"WITH {_CANDIDATES} SELECT target, count(*) AS candidates, count(DISTINCT url) AS urls, min(url) AS first, max(url) AS last FROM cand GROUP BY 1")
@@ -602,7 +602,7 @@ def t5_signatures(spark, sf_dir):
 
 @query()
 def t6_parity_signatures(spark, sf_dir):
-    return simhash.parity_signatures(A.table(spark, sf_dir, "pages"), "page_id", "url")
+    return simhash.parity_signatures(A.table(spark, sf_dir, "pages"), "page_id", "html")
 
 
 @query()
@@ -702,16 +702,13 @@ def x7_listing_kind(spark, sf_dir):
     return extraction.listing_kind(facts, "page_id")
 
 
-_EDGES = f"e AS (SELECT DISTINCT {A.ORIGIN.format('url')} AS src_url, {A.ORIGIN.format('url')} || '/' || (page_id % 17) AS link FROM pages UNION SELECT DISTINCT {A.ORIGIN.format('url')} || '/' || (page_id % 17), 'n' || (page_id % 31) FROM pages)"
-
-
-@query(f"""WITH RECURSIVE {_EDGES}, r AS (SELECT {A.ORIGIN.format('url')} AS url, 0 AS level FROM pages WHERE page_id < 20
-  UNION SELECT e.link, r.level + 1 FROM r JOIN e ON r.url = e.src_url WHERE r.level < 3) SELECT url, min(level) AS level FROM r GROUP BY 1""")
+@query(f"""WITH RECURSIVE {_ATTR_ROWS}, {_RESOLVED}, e AS (SELECT {A.ORIGIN.format('url')} AS src_url, url AS link FROM pages UNION SELECT url, found FROM found WHERE {_SCOPE_TEST.format(A.HOST.format('url'))}),
+r AS (SELECT {A.ORIGIN.format('url')} AS url, 0 AS level FROM pages UNION SELECT e.link, r.level + 1 FROM r JOIN e ON r.url = e.src_url WHERE r.level < 3) SELECT url, min(level) AS level FROM r GROUP BY 1""")
 def x8_reachable(spark, sf_dir):
-    p = A.table(spark, sf_dir, "pages")
-    o, n = urls.origin(F.col("url")), F.concat(urls.origin(F.col("url")), F.lit("/"), (F.col("page_id") % 17).cast("string"))
-    edges = p.select(o.alias("src_url"), n.alias("link")).unionByName(p.select(n.alias("src_url"), F.concat(F.lit("n"), (F.col("page_id") % 31).cast("string")).alias("link"))).distinct()
-    return extraction.reachable(edges, p.where("page_id < 20").select(o.alias("url")), 3)
+    """From every target to its pages, and on by the links that X5 resolves."""
+    p = A.table(spark, sf_dir, "pages").select(urls.origin(F.col("url")).alias("src_url"), F.col("url").alias("link"))
+    found = extraction.resolved_links(_links(spark, sf_dir), ["example.com", "example.net"]).toDF("src_url", "link")
+    return extraction.reachable(p.unionByName(found).distinct(), p.select(F.col("src_url").alias("url")).distinct(), 3)
 
 
 # ---- recursion and resumption
@@ -745,11 +742,11 @@ def r3_without_listings(spark, sf_dir):
     return discovery.without_listings(pages.select(F.col("url").alias("target")), kinds)
 
 
-@query(f"""WITH {A.SCANS}, w AS (SELECT doc_id AS pos, source AS word FROM documents WHERE doc_id < 12), known AS (SELECT DISTINCT {A.ORIGIN.format('url')} || '/src3' AS f FROM pages WHERE page_id % 2 = 1)
+@query(f"""WITH {A.SCANS}, w AS (SELECT doc_id AS pos, source AS word FROM documents), known AS (SELECT DISTINCT {A.ORIGIN.format('url')} || '/src3' AS f FROM pages WHERE page_id % 2 = 1)
 SELECT url, word, pos, (rtrim(url, '/') || '/' || word) IN (SELECT f FROM known) AS reported FROM scans JOIN w ON pos >= CASE WHEN requests_made_so_far > 0 THEN requests_made_so_far // 2 ELSE 0 END
 WHERE scan_type = 'Directory' AND status <> 'Complete'""")
 def r4_resume_plan(spark, sf_dir):
-    words = A.table(spark, sf_dir, "documents").where("doc_id < 12").select(F.col("doc_id").alias("pos"), F.col("source").alias("word"))
+    words = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("source").alias("word"))
     known = A.table(spark, sf_dir, "pages").where("page_id % 2 = 1").select(F.concat(urls.origin(F.col("url")), F.lit("/src3")).alias("url"))
     return discovery.resume_plan(A.scans_pages(spark, sf_dir), words, known, multiplier=3)
 
@@ -776,11 +773,9 @@ def _read_back(spark, sf_dir):
     return readers.read_responses(spark, path)
 
 
-@query(f"WITH {A.RESP} SELECT url, status, method, content_length, line_count, word_count FROM resp WHERE page_id % 3 < 2")
+@query(f"WITH {A.RESP} SELECT url, status, method, content_length, line_count, word_count FROM resp")
 def s1_responses(spark, sf_dir):
-    # the SQL holds two of three pages; timestamps are 1.7e9 + page_id
-    rows = _read_back(spark, sf_dir).where("cast(timestamp - 1.7e9 as bigint) % 3 < 2")
-    return rows.select("url", "status", "method", "content_length", "line_count", "word_count")
+    return _read_back(spark, sf_dir).select("url", "status", "method", "content_length", "line_count", "word_count")
 
 
 @query(f"WITH {A.LOG} SELECT CASE WHEN event_id % 4 = 0 THEN 'WARN' ELSE 'INFO' END AS level, method AS module, count(*) AS messages FROM log GROUP BY 1, 2")
@@ -849,7 +844,7 @@ def k2_report_lines(spark, sf_dir):
     return sinks.report_lines(A.measured_pages(spark, sf_dir).withColumn("truncated", F.col("page_id") % 7 == 0), location=F.col("location"))
 
 
-@query()
+@query(f"WITH {A.RESP} SELECT page_id, url, status FROM resp")
 def k3_state(spark, sf_dir):
     path = shared_path(spark, "run-state")
     sinks.write_state(path, scans=A.scans_pages(spark, sf_dir), responses=A.measured_pages(spark, sf_dir))

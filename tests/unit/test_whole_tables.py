@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from crawlmill.constants import PUNCTUATION, STOP_WORDS
+from crawlmill.functions import simhash
+from crawlmill.operators import rules
 from crawlmill.plans import queries as plans
 from crawlmill.plans import stream_queries  # noqa: F401
 from crawlmill.storage import shared_path
@@ -78,3 +80,18 @@ def test_state_files_grow_with_the_scans(spark, monkeypatch):
     assert scans.count() == plans.A.scans_pages(spark, SF).count() > 40
     sizes = [r.n for r in spark.read.text(path).select(F.size(F.from_json("value", "scans array<struct<url string>>")["scans"]).alias("n")).collect()]
     assert len(sizes) > 4 and max(sizes) <= 20
+
+
+def test_regex_and_similarity_rules_are_attributed(spark):
+    rows = [(i, 200, "GET", 10, 10, 10, t, i * 0x11111111, {"server": h}) for i, (t, h) in enumerate([("plain", "a"), ("im a body hurr durr", "a"), ("plain", "nginx"), ("close", "a"), ("body 404 hurr", "a")])]
+    responses = spark.createDataFrame(rows, "id long, status int, method string, line_count long, word_count long, content_length long, text string, signature long, headers map<string,string>")
+    table = rules.rule_table(spark, rules.rule_rows("regex", ["hurr", "ngin."]) + rules.rule_rows("similarity", [0x33333332]) + rules.rule_rows("status", [404]))
+    got = {r.id: r.rule_kind for r in rules.with_first_hit(responses, table, "id", "signature", "text", "headers").collect()}
+    assert got == {0: None, 1: "regex", 2: "regex", 3: "similarity", 4: "regex"}
+    assert {r.rule_kind for r in rules.with_first_hit(responses, table.where("kind = 'similarity'"), "id", "signature").collect()} == {None, "similarity"}
+
+
+def test_parity_signatures_of_bodies(spark):
+    got = {r.page_id: r.signature for r in plans.queries()["t6_parity_signatures"](spark, SF).collect()}
+    want = {r.page_id: simhash.parity_signature(tokens(r.html)) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert got == {i: s - (1 << 64) if s >> 63 else s for i, s in want.items() if s is not None}
