@@ -26,7 +26,7 @@ from crawlmill.llm.encoding import byte_letters, segments, word_bpe_path
 #: Fixed by the vocabulary: what of a normalised text is a word.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Bytes that a worker remembers of words, and of chunks between blanks; characters that learn together.
-WORD_BYTES, CHUNK_BYTES, TOGETHER = 12 << 20, 36 << 20, 1 << 20
+WORD_BYTES, CHUNK_BYTES, TOGETHER = 64 << 20, 112 << 20, 1 << 21
 #: Words that step together, and the symbols that the widest of them have.
 ROWS, WIDE = 1 << 14, 64
 #: Texts with characters from here on are cut by the library's own pattern, whose version of Unicode differs.
