@@ -128,26 +128,50 @@ def text_hashes(name: str = "text") -> list[Column]:
     return [F.xxhash64(text_or_empty(name)), F.xxhash64(F.lit(1), text_or_empty(name))]
 
 
+#: Bits that marks of keys are spread over: 128 rows of 4 KB for each 4 million.
+MARK_BITS = 1 << 25
+
+
+def _mark_of(names: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*names), F.lit(MARK_BITS)) + 1
+
+
+def marked(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """rows with `doubtful`: whether a bit of their key is set in a bitmap of keys. Only keys whose bit is set can be there.
+
+    The bitmap, which is broadcast, holds MARK_BITS bits however many keys there are; more keys set more of them.
+    """
+    place = F.bitmap_bit_position("mark").cast("int")
+    marks = keys.select(_mark_of(names).alias("mark")).select(F.bitmap_bucket_number("mark").alias("bucket"), place.alias("place"))
+    marks = marks.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
+    rows = rows.withColumn("mark", _mark_of(names)).withColumn("place", place).withColumn("bucket", F.bitmap_bucket_number("mark"))
+    byte = F.conv(F.hex(F.col("bits").substr((F.col("place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.getbit(byte, (F.col("place") % 8).cast("int")) == 1
+    return rows.join(F.broadcast(marks), "bucket", "left").withColumn("doubtful", F.coalesce(bit, F.lit(False))).drop("mark", "place", "bucket", "bits")
+
+
 def without_rows(docs: DataFrame, key: list[Column], gone: DataFrame, twice: DataFrame) -> DataFrame:
     """docs without the rows whose key is in `gone`, and with one row of each key in `twice`; their columns are the key's.
 
-    Rows travel as one struct, so no name of theirs can clash. Only where keys repeat are rows grouped, each task sending
-    one row per key.
+    Rows travel as one struct, so no name of theirs can clash. Those whose key a bitmap of bounded size rules out of both
+    lists stay where they are; the others are joined. Only where keys repeat are rows grouped, each task sending one row
+    per key.
     """
+    names, others = [f"k{i}" for i in range(len(key))], [f"o{i}" for i in range(len(key))]
 
     def meet(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
-        other = other.toDF(*[f"o{i}" for i in range(len(key))])
         on = F.lit(True)
-        for i in range(len(key)):
-            on = on & F.col(f"k{i}").eqNullSafe(F.col(f"o{i}"))
-        return rows.join(other, on, how)
-
-    names = [f"k{i}" for i in range(len(key))]
-    kept = meet(docs.select(F.struct("*").alias("row"), *[k.alias(n) for k, n in zip(key, names)]), gone, "left_anti")
-    if twice.isEmpty():
-        return kept.select("row.*")
-    once = meet(kept, twice, "left_semi").groupBy(*names).agg(F.first("row").alias("row"))
-    return meet(kept, twice, "left_anti").select("row").unionByName(once.select("row")).select("row.*")
+        for k, o in zip(names, others):
+            on = on & F.col(k).eqNullSafe(F.col(o))
+        return rows.join(other.toDF(*others), on, how)
+
+    rows = docs.select(F.struct("*").alias("row"), *[k.alias(n) for k, n in zip(key, names)])
+    rows = marked(rows, gone.unionByName(twice).toDF(*names), names)
+    clear, doubted = rows.where("not doubtful").select("row"), meet(rows.where("doubtful"), gone, "left_anti")
+    if not twice.isEmpty():
+        once = meet(doubted, twice, "left_semi").groupBy(*names).agg(F.first("row").alias("row"))
+        doubted = meet(doubted, twice, "left_anti").select("row").unionByName(once.select("row"))
+    return clear.unionByName(doubted.select("row")).select("row.*")
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -7,8 +7,9 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from crawlmill.llm import simhash_dedup
+from crawlmill.llm import common, simhash_dedup
 from crawlmill.llm.exact_dedup import drop_exact_copies, exact_dedup, repeated_fingerprints
 from crawlmill.llm.encoding import segments
 from crawlmill.llm.quotient_filter import CountingQuotientFilter as Filter
@@ -49,6 +50,24 @@ def test_exact_dedup_of_repeated_rows_and_null_ids(spark):
     assert exact_dedup(frame(spark, [])).count() == 0 == drop_exact_copies(frame(spark, [])).count()
 
 
+@pytest.mark.parametrize("bits", [1, 64, 1 << 25])
+def test_rows_left_out_by_marks(spark, monkeypatch, bits):
+    """However full the bitmap is, the rows that stay are the same."""
+    monkeypatch.setattr(common, "MARK_BITS", bits)
+    pairs = [(i % 700 or None, str(i % 900)) for i in range(2000)]
+    gone, twice = set(pairs[:300]), set(pairs[300:310]) - set(pairs[:300])
+    key = [F.col("doc_id"), F.col("text")]
+    listed = [spark.createDataFrame(sorted(x, key=str), "i long, t string") for x in (gone, twice)]
+    got = sorted(((r.doc_id, r.text) for r in common.without_rows(frame(spark, pairs), key, *listed).collect()), key=str)
+    assert got == sorted([p for p in pairs if p not in gone | twice] + list(twice), key=str)
+
+
+def test_marks_rule_out_all_others(spark):
+    rows, keys = spark.range(20_000).toDF("k0"), spark.range(0, 20_000, 10).toDF("k0")
+    got = {r.k0 for r in common.marked(rows, keys, ["k0"]).where("doubtful").collect()}
+    assert got >= set(range(0, 20_000, 10)) and len(got) < 2_100
+
+
 def test_repeated_fingerprints(spark):
     rng = random.Random(1)
     values = [rng.getrandbits(64) - (1 << 63) for _ in range(3000)]
