@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import struct
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,24 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def block_masks(distance: int) -> list[int]:
+    """Masks, as signed longs: values within `distance` bits of each other are equal under one of them at least.
+
+    Each mask leaves out `distance` blocks of bits. The fewer bits may differ, the more blocks there are beside those, so
+    that masks stay wide: at 3 bits 20 masks of 32 bits, at 1 bit 4 of 48.
+    """
+    count = distance + (3 if distance <= 4 else 2 if distance <= 8 else 1)
+    starts = [64 * i // count for i in range(count + 1)]
+    each = [(1 << b) - (1 << a) for a, b in zip(starts, starts[1:])]
+    masks = [sum(c) for c in combinations(each, count - distance)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def blocks(signature: Column, distance: int) -> Column:
+    """Rows (block, part): what each of the masks leaves of a signature, to be joined by equality."""
+    return F.posexplode(F.array(*[signature.bitwiseAND(F.lit(m)) for m in block_masks(distance)])).alias("block", "part")
+
+
 def signatures(docs: DataFrame, key: str, tokens: Column | None = None, text: str = "text") -> DataFrame:
     """(key, signature) over tokens with repeats, in the JVM: a bit is set where most token hashes have it.
 

@@ -6,30 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlmill.constants import NEAR_DISTANCE, UNIQUE_DISTANCE
-from crawlmill.functions.simhash import hamming
+from crawlmill.functions.simhash import block_masks, blocks, hamming
 from crawlmill.storage import written
 
 
 def class_pairs(signatures: DataFrame, distance: int = NEAR_DISTANCE, column: str = "signature") -> DataFrame:
     """(a, b, distance): pairs of distinct signatures, a < b, at most `distance` bits apart.
 
-    Signatures within d bits agree on one of d + 1 bands. Equal signatures are one class, so copies cost nothing.
-    A pair is kept in the first band on which it agrees, so no distinct is needed.
+    Signatures meet where they agree on a choice of blocks. Equal signatures are one class, so copies cost nothing. A pair
+    is kept in the first choice on which it agrees, so no distinct is needed.
     """
     distinct = signatures.where(F.col(column).isNotNull()).select(F.col(column).alias("s")).distinct()
-    bands = distance + 1
-    width = 64 // bands
-    mask = (1 << width) - 1
-    parts = [F.shiftrightunsigned("s", i * width).bitwiseAND(F.lit(mask if i < bands - 1 else (1 << (64 - i * width)) - 1 if i else -1)) for i in range(bands)]
-    cut = distinct.select("s", F.posexplode(F.array(*parts)).alias("band", "part"))
-    x, y = cut.select(F.col("s").alias("a"), "band", "part"), cut.select(F.col("s").alias("b"), "band", "part")
+    cut = distinct.select("s", blocks(F.col("s"), distance))
+    x, y = cut.withColumnRenamed("s", "a"), cut.withColumnRenamed("s", "b")
     xor = F.col("a").bitwiseXOR(F.col("b"))
-    differs = [F.shiftrightunsigned(xor, i * width).bitwiseAND(F.lit(mask)) != 0 for i in range(bands - 1)]
-    first = F.lit(True)
-    for i, d in enumerate(differs):
-        first = first & ((F.col("band") <= i) | d)
+    agree = F.array(*[xor.bitwiseAND(F.lit(m)) == 0 for m in block_masks(distance)])
     near = hamming(F.col("a"), F.col("b"))
-    return x.join(y, ["band", "part"]).where((F.col("a") < F.col("b")) & (near <= distance) & first).select("a", "b", near.alias("distance"))
+    pairs = x.join(y, ["block", "part"]).where((F.col("a") < F.col("b")) & (near <= distance))
+    return pairs.where(F.array_position(agree, F.lit(True)) == F.col("block") + 1).select("a", "b", near.alias("distance"))
 
 
 def near_pairs(signatures: DataFrame, key: str, distance: int = NEAR_DISTANCE) -> DataFrame:

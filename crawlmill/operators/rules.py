@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from crawlmill.constants import NEAR_DISTANCE
 from crawlmill.functions import urls
-from crawlmill.functions.simhash import hamming
+from crawlmill.functions.simhash import blocks, hamming
 
 RULE_SCHEMA = (
     "kind string, filter_code int, line_count long, word_count long, content_length long, regex string, hash long, "
@@ -66,79 +66,94 @@ def matches_regex(patterns: Sequence[str], text: str = "text", headers: str | No
     return F.coalesce(out, F.lit(False))
 
 
-def _wildcard_hit(r: str, f: str) -> Column:
-    hit = (F.col(f"{r}.method") == F.col(f"{f}.method")) & (F.col(f"{r}.status") == F.col(f"{f}.status_code"))
-    for m in ("content_length", "word_count", "line_count"):
-        hit = hit & (F.col(f"{f}.{m}").isNull() | (F.col(f"{f}.{m}") == F.col(f"{r}.{m}")))
-    some = F.coalesce(f"{f}.content_length", f"{f}.word_count", f"{f}.line_count").isNotNull()
-    return hit & some
+#: What a wildcard rule may hold; it holds one of them at least.
+_MEASURES = ("content_length", "word_count", "line_count")
+
+
+def _held() -> Column:
+    """Which measures a rule holds, as bits."""
+    return sum((F.when(F.col(m).isNull(), 0).otherwise(1 << i) for i, m in enumerate(_MEASURES)), F.lit(0))
 
 
 def without_wildcards(responses: DataFrame, rules: DataFrame) -> DataFrame:
-    """responses that equal no 404-like rule in method, status and every measure that the rule has."""
-    rules = rules.where("kind = 'wildcard' and not coalesce(dont_filter, false)")
-    return responses.alias("r").join(rules.alias("f"), _wildcard_hit("r", "f"), "left_anti")
+    """responses that equal no 404-like rule in method, status and every measure that the rule has.
 
+    Rules are joined by full equality, those that hold the same measures at once; which of the seven sets of measures
+    occur is read from the table when the plan is made.
+    """
+    rules = rules.where("kind = 'wildcard' and not coalesce(dont_filter, false)").withColumn("held", _held()).where("held > 0")
+    for held in sorted(r["held"] for r in rules.select("held").distinct().collect()):
+        hit = (F.col("r.method") == F.col("f.method")) & (F.col("r.status") == F.col("f.status_code"))
+        for i, m in enumerate(_MEASURES):
+            if held >> i & 1:
+                hit = hit & (F.col(f"r.{m}") == F.col(f"f.{m}"))
+        responses = responses.alias("r").join(rules.where(F.col("held") == held).alias("f"), hit, "left_anti")
+    return responses
 
-def _bands(signature: Column, distance: int) -> Column:
-    """Parts of a signature of which values within `distance` bits share one at least, each with its place."""
-    width = 64 // (distance + 1)
-    parts = [F.shiftrightunsigned(signature, i * width).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1)) for i in range(distance)]
-    parts.append(F.shiftrightunsigned(signature, distance * width))
-    return F.array(*[F.concat_ws(":", F.lit(i), p) for i, p in enumerate(parts)])
+
+def _similar(responses: DataFrame, rules: DataFrame, signature: str, max_cutoff: int) -> DataFrame:
+    """(hit): the distinct signatures of responses that are within a similarity rule's cutoff."""
+    rules = rules.where(f"kind = 'similarity' and cutoff <= {max_cutoff}").select("hash", "cutoff").distinct()
+    rules = rules.select("hash", "cutoff", blocks(F.col("hash"), max_cutoff))
+    own = responses.where(F.col(signature).isNotNull()).select(F.col(signature).alias("hit")).distinct().select("hit", blocks(F.col("hit"), max_cutoff))
+    return own.join(rules, ["block", "part"]).where(hamming(F.col("hit"), F.col("hash")) <= F.col("cutoff")).select("hit").distinct()
 
 
 def without_similar(responses: DataFrame, rules: DataFrame, signature: str = "signature", max_cutoff: int = NEAR_DISTANCE) -> DataFrame:
     """responses whose signature is within no similarity rule's cutoff. Rows without a signature stay.
 
-    Cutoffs are max_cutoff at most. Signatures within that many bits share a band, so rules and distinct signatures
-    meet by equality, however many there are of either.
+    Cutoffs are max_cutoff at most. Signatures within that many bits agree on one choice of blocks, so rules and distinct
+    signatures meet by equality, however many there are of either.
     """
-    rules = rules.where(f"kind = 'similarity' and cutoff <= {max_cutoff}").select("hash", "cutoff").distinct()
-    rules = rules.select("hash", "cutoff", F.explode(_bands(F.col("hash"), max_cutoff)).alias("band"))
-    own = responses.where(F.col(signature).isNotNull()).select(F.col(signature).alias("own")).distinct()
-    own = own.select("own", F.explode(_bands(F.col("own"), max_cutoff)).alias("band"))
-    hits = own.join(rules, "band").where(hamming(F.col("own"), F.col("hash")) <= F.col("cutoff")).select("own").distinct()
-    return responses.join(hits, F.col(signature) == F.col("own"), "left_anti")
+    hits = _similar(responses, rules, signature, max_cutoff)
+    return responses.alias("r").join(hits.alias("h"), F.col(f"r.{signature}") == F.col("h.hit"), "left_anti")
 
 
 #: Regex rules that a table may hold: each is a literal of the plan.
 MOST_PATTERNS = 1000
 
 
-def with_first_hit(responses: DataFrame, rules: DataFrame, key: str, signature: str | None = None, text: str = "text", headers: str | None = None) -> DataFrame:
+def with_first_hit(responses: DataFrame, rules: DataFrame, signature: str | None = None, text: str = "text", headers: str | None = None) -> DataFrame:
     """responses with rule_kind, the kind of the first rule that hits, or null.
 
     Equal rules count once. Kinds are tried from the cheapest to the dearest: status, lines, words, size, wildcard, regex,
-    similarity. A response is looked up by each of its values, so rules and responses meet by equality; wildcard and
-    similarity rules are then compared in full. Patterns of regex rules, MOST_PATTERNS at most, become literals that the
-    body, and headers where named, are searched for. A similarity rule's cutoff is NEAR_DISTANCE at most.
+    similarity. Responses of equal measures are looked up once, by each of their values and by each set of measures that
+    a wildcard rule may hold, so they meet rules by full equality. Patterns of regex rules, MOST_PATTERNS at most, become
+    literals that the body, and headers where named, are searched for. A similarity rule's cutoff is NEAR_DISTANCE at most.
     """
-    patterns = [r["regex"] for r in rules.where("kind = 'regex' and regex is not null and not coalesce(dont_filter, false)").select("regex").distinct().limit(MOST_PATTERNS + 1).collect()]
+    live = rules.where("not coalesce(dont_filter, false)")
+    patterns = [r["regex"] for r in live.where("kind = 'regex' and regex is not null").select("regex").distinct().limit(MOST_PATTERNS + 1).collect()]
     if len(patterns) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} regex rules")
-    order = F.expr("case kind when 'status' then 0 when 'lines' then 1 when 'words' then 2 when 'size' then 3 when 'wildcard' then 4 else 6 end")
-    fields = {"status": "filter_code", "lines": "line_count", "words": "word_count", "size": "content_length"}
-
-    def look_ups(single: dict[str, str], method: str, status: str, hashed: Column | None) -> Column:
-        each = [F.concat_ws(":", F.lit(k), F.col(c)) for k, c in single.items()] + [F.concat_ws(":", F.lit("wildcard"), method, status)]
-        near = F.transform(_bands(hashed, NEAR_DISTANCE), lambda b: F.concat(F.lit("similarity:"), b)) if hashed is not None else F.array().cast("array<string>")
-        return F.concat(F.array(*each), F.coalesce(near, F.array().cast("array<string>")))
-
-    live = rules.where("not coalesce(dont_filter, false)").dropDuplicates().withColumn("priority", order)
-    live = live.withColumn("at", F.explode(look_ups(fields, "method", "status_code", F.col("hash")))).where(F.col("at").startswith(F.concat("kind", F.lit(":"))))
-    slim = responses.select(key, "status", "method", "line_count", "word_count", "content_length", *([signature] if signature else []))
-    slim = slim.withColumn("at", F.explode(look_ups({"status": "status", "lines": "line_count", "words": "word_count", "size": "content_length"}, "method", "status", F.col(signature) if signature else None)))
-    full = F.col("f.kind").isin(*fields) | ((F.col("f.kind") == "wildcard") & _wildcard_hit("r", "f"))
+    single = {"status": "filter_code", "lines": "line_count", "words": "word_count", "size": "content_length"}
+    order = F.expr("case kind when 'status' then 0 when 'lines' then 1 when 'words' then 2 when 'size' then 3 else 4 end")
+
+    def key(*parts: Column | str) -> Column:
+        return F.concat(*[x for p in parts for x in (p if isinstance(p, Column) else F.lit(p), F.lit(":"))])
+
+    def wildcard(held: Column, status: str, measures: list[Column]) -> Column:
+        return key("wildcard", held.cast("string"), F.col(status).cast("string"), *measures, F.col("method"))
+
+    value = F.coalesce(*[F.when(F.col("kind") == k, key(k, F.col(c).cast("string"))) for k, c in single.items()])
+    rule = F.when(F.col("kind") != "wildcard", value).when(_held() > 0, wildcard(_held(), "status_code", [F.coalesce(F.col(m).cast("string"), F.lit("")) for m in _MEASURES]))
+    live_keys = live.select("kind", order.alias("priority"), rule.alias("at")).where("at is not null").distinct()
+    names = ["status", "method", *_MEASURES]
+    values = {"status": "status", "lines": "line_count", "words": "word_count", "size": "content_length"}
+    look_ups = [key(k, F.col(c).cast("string")) for k, c in values.items()]
+    look_ups += [wildcard(F.lit(h), "status", [F.col(m).cast("string") if h >> i & 1 else F.lit("") for i, m in enumerate(_MEASURES)]) for h in range(1, 1 << len(_MEASURES))]
+    hits = responses.select(*names).distinct().withColumn("at", F.explode(F.array(*look_ups))).join(live_keys, "at")
+    first = hits.groupBy(*names).agg(F.min_by("kind", "priority").alias("rule_kind"))
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(f"r.{n}").eqNullSafe(F.col(f"h.{n}"))
+    found = responses.alias("r").join(first.alias("h"), same, "left").select("r.*", "h.rule_kind")
+    if patterns:
+        found = found.withColumn("rule_kind", F.coalesce("rule_kind", F.when(matches_regex(sorted(patterns), text, headers), F.lit("regex"))))
     if signature:
-        full = full | ((F.col("f.kind") == "similarity") & (hamming(F.col(f"r.{signature}"), F.col("f.hash")) <= F.col("f.cutoff")))
-    hits = slim.alias("r").join(live.alias("f"), "at").where(full)
-    first = hits.groupBy(F.col(f"r.{key}").alias(key)).agg(F.min_by("f.kind", "f.priority").alias("rule_kind"))
-    found = responses.join(first, key, "left")
-    if not patterns:
-        return found
-    regex = matches_regex(sorted(patterns), text, headers) & (F.col("rule_kind").isNull() | (F.col("rule_kind") == "similarity"))
-    return found.withColumn("rule_kind", F.when(regex, F.lit("regex")).otherwise(F.col("rule_kind")))
+        near = _similar(responses, live, signature, NEAR_DISTANCE)
+        found = found.alias("r").join(near.alias("h"), F.col(f"r.{signature}") == F.col("h.hit"), "left")
+        found = found.select("r.*", "h.hit").withColumn("rule_kind", F.coalesce("rule_kind", F.when(F.col("hit").isNotNull(), F.lit("similarity")))).drop("hit")
+    return found
 
 
 def excluded_urls(candidates: DataFrame, deny: DataFrame, scans: DataFrame, url: str = "url") -> DataFrame:

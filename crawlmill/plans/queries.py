@@ -266,7 +266,7 @@ def _hit_pages(spark, sf_dir):
     rows = [r for kind, values in _LITERAL_RULES for r in rules.rule_rows(kind, values)]
     table = rules.rule_table(spark, rows + rows).unionByName(_wild_rules(spark, sf_dir))
     pages = _coarse(measures.with_measures(A.resp_pages(spark, sf_dir)))
-    return rules.with_first_hit(pages, table, "page_id").drop("text")
+    return rules.with_first_hit(pages, table).drop("text")
 
 
 _HIT_SQL = f"""WITH {_WILD_SQL}, r AS ({_COARSE.replace('page_id,', 'page_id, text,', 1)}), hit AS (SELECT *, CASE WHEN status = 404 THEN 'status' WHEN line_count = 7 THEN 'lines'

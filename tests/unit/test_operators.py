@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from crawlmill.functions import simhash
 from crawlmill.operators import aggregates, discovery, extraction, joins, near_duplicates, rules
 from crawlmill.sources import readers, sinks
 
@@ -38,7 +39,7 @@ def test_exclusion(spark, deny, scan, tested, kept):
     assert bool(rules.excluded_urls(*frames).count()) is kept
 
 
-def test_rule_rows():
+def test_rule_rows(spark):
     assert rules.rule_rows("status", [200]) == [{"kind": "status", "filter_code": 200}]
     assert rules.rule_rows("regex", ["stuff.*"])[0]["regex"] == "stuff.*"
     assert rules.rule_rows("unknown", [1]) == []
@@ -53,6 +54,27 @@ def test_wildcard_rules(spark):
     assert [r["id"] for r in rules.without_wildcards(resp, table).orderBy("id").collect()] == [3, 4]
 
 
+def test_first_hit_takes_nulls_and_any_names(spark):
+    wild = {"kind": "wildcard", "method": "GET", "status_code": 200}
+    table = rules.rule_table(spark, [wild | {"word_count": 8}, wild | {"content_length": 5, "line_count": 1}, wild, {"kind": "size", "content_length": 5}, {"kind": "lines"}])
+    data = [(1, "GET", 200, 5, 1, 3, "x"), (2, "GET", 200, None, 3, 8, "x"), (3, None, 200, None, 1, 8, "y"), (4, "GET", 200, 6, None, None, "z"), (4, "GET", 200, None, 3, 8, "x"), (5, "POST", 200, 4, 1, 8, "x")]
+    resp = spark.createDataFrame(data, "at long, method string, status int, content_length long, line_count long, word_count long, hit string")
+    got = rules.with_first_hit(resp, table)
+    assert got.columns == [*resp.columns, "rule_kind"]
+    assert sorted((r["at"], r["rule_kind"] or "") for r in got.collect()) == [(1, "size"), (2, "wildcard"), (3, ""), (4, ""), (4, "wildcard"), (5, "")]
+    assert sorted(r["at"] for r in rules.without_wildcards(resp, table).collect()) == [3, 4, 5]
+    assert rules.with_first_hit(resp, table.limit(0)).where("rule_kind is null").count() == len(data)
+
+
+@pytest.mark.parametrize("distance", [0, 1, 3, 5, 9])
+def test_block_masks_agree_for_all_close_values(distance):
+    masks = simhash.block_masks(distance)
+    rng = random.Random(distance)
+    for _ in range(300):
+        flipped = sum(1 << i for i in rng.sample(range(64), distance))
+        assert any(flipped & m & ((1 << 64) - 1) == 0 for m in masks)
+
+
 def test_similar_rule(spark):
     table = rules.rule_table(spark, [{"kind": "similarity", "hash": 0b111000, "cutoff": 3}])
     sigs = spark.createDataFrame([(1, 0b111111), (2, 0b1111111), (3, None)], "id long, signature long")

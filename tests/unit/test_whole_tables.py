@@ -86,9 +86,9 @@ def test_regex_and_similarity_rules_are_attributed(spark):
     rows = [(i, 200, "GET", 10, 10, 10, t, i * 0x11111111, {"server": h}) for i, (t, h) in enumerate([("plain", "a"), ("im a body hurr durr", "a"), ("plain", "nginx"), ("close", "a"), ("body 404 hurr", "a")])]
     responses = spark.createDataFrame(rows, "id long, status int, method string, line_count long, word_count long, content_length long, text string, signature long, headers map<string,string>")
     table = rules.rule_table(spark, rules.rule_rows("regex", ["hurr", "ngin."]) + rules.rule_rows("similarity", [0x33333332]) + rules.rule_rows("status", [404]))
-    got = {r.id: r.rule_kind for r in rules.with_first_hit(responses, table, "id", "signature", "text", "headers").collect()}
+    got = {r.id: r.rule_kind for r in rules.with_first_hit(responses, table, "signature", "text", "headers").collect()}
     assert got == {0: None, 1: "regex", 2: "regex", 3: "similarity", 4: "regex"}
-    assert {r.rule_kind for r in rules.with_first_hit(responses, table.where("kind = 'similarity'"), "id", "signature").collect()} == {None, "similarity"}
+    assert {r.rule_kind for r in rules.with_first_hit(responses, table.where("kind = 'similarity'"), "signature").collect()} == {None, "similarity"}
 
 
 def test_parity_signatures_of_bodies(spark):
