@@ -13,9 +13,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where it is unset."""
+    """spark.checkpoint.dir; a temporary folder only where it is unset and all tasks run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="crawlmill-")
     return base.rstrip("/")
