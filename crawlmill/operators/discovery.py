@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from crawlmill.constants import MAX_DEPTH
 from crawlmill.functions import measures, urls
-from crawlmill.operators.joins import candidates, outside_wildcards, unseen_responses, unseen_scans
+from crawlmill.operators.joins import captured_candidates, outside_wildcards, unseen_responses, unseen_scans
 from crawlmill.operators.rules import excluded_urls
 from crawlmill.storage import written
 
@@ -63,14 +63,14 @@ def resume_plan(scans: DataFrame, words: DataFrame, known: DataFrame, multiplier
 def discover(captured: DataFrame, targets: DataFrame, words: DataFrame, extensions: Sequence[str] = (), max_depth: int = MAX_DEPTH) -> DataFrame:
     """(url, method, status, level): what a recursive scan of the targets would have found among captured responses.
 
-    captured has url, method, status, location; targets (pos, target). Level by level: candidates of the frontier meet
-    the captured table by equality, directories among the hits are the next frontier. Each level is written.
+    captured has url, method, status, location; targets (pos, target). Level by level: captured urls that are candidates
+    of the frontier are found by equality, directories among the hits are the next frontier. Each level is written.
     """
     front = targets.select("target").distinct()
     known = targets.select(urls.normalized(F.col("target")).alias("url"))
     found = None
     for level in range(max_depth if max_depth > 0 else 64):
-        hits = candidates(front, words, extensions).select("url", "method").distinct().join(captured, ["url", "method"])
+        hits = captured_candidates(captured.where("method = 'GET'"), front, words, extensions)
         if found is not None:
             hits = unseen_responses(hits, found)
         hits = written(hits.select("url", "method", "status", "location", F.lit(level).alias("level")), "discovered")

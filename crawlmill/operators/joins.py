@@ -10,22 +10,44 @@ from pyspark.sql import functions as F
 from crawlmill.functions import urls
 
 
+def _names(words: DataFrame, extensions: Sequence[str]) -> DataFrame:
+    """(word, name) of words that are not URLs: what is put after a target, bare and with each extension."""
+    w = F.when(F.col("word").startswith("//"), F.ltrim(F.col("word"), F.lit("/"))).otherwise(F.col("word"))
+    rows = words.where(~F.col("word").rlike("^[A-Za-z][A-Za-z0-9+.-]*://")).select(w.alias("word"))
+    ends = F.array(*[F.lit("" if e == "" else "/" if e == "/" else f".{e}") for e in ["", *extensions]])
+    named = rows.select("word", F.explode(ends).alias("end")).where("word <> '' or end = ''")
+    return named.select("word", F.ltrim(F.concat("word", "end"), F.lit("/")).alias("name"))
+
+
 def candidates(targets: DataFrame, words: DataFrame, extensions: Sequence[str] = (), methods: Sequence[str] = ("GET",), queries: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """(target, word, url, method): every target with every word, bare and with each extension, by each method.
 
     Words that are URLs are skipped. The extension `/` adds a slash, others a dot and themselves. A word beginning `//`
     loses its slashes; a target gets a slash at its end unless the word is empty. This product is the result itself.
     """
-    w = F.when(F.col("word").startswith("//"), F.ltrim(F.col("word"), F.lit("/"))).otherwise(F.col("word"))
-    rows = words.where(~F.col("word").rlike("^[A-Za-z][A-Za-z0-9+.-]*://")).select(w.alias("word"))
-    ends = F.array(*[F.lit("" if e == "" else "/" if e == "/" else f".{e}") for e in ["", *extensions]])
-    named = rows.select("word", F.explode(ends).alias("end")).where("word <> '' or end = ''").select("word", F.concat("word", "end").alias("name"))
     query = "&".join(f"{k}={v}" for k, v in queries)
     base = F.when(F.col("word") == "", F.col("target")).otherwise(urls.normalized(F.col("target")))
-    made = targets.select("target").crossJoin(named).select("target", "word", F.concat(base, F.ltrim("name", F.lit("/")), F.lit(f"?{query}" if query else "")).alias("url"))
+    made = targets.select("target").crossJoin(_names(words, extensions)).select("target", "word", F.concat(base, "name", F.lit(f"?{query}" if query else "")).alias("url"))
     return made.select("*", F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"))
 
 
+def captured_candidates(captured: DataFrame, targets: DataFrame, words: DataFrame, extensions: Sequence[str] = ()) -> DataFrame:
+    """captured rows whose url is a candidate's, without making the candidates.
+
+    Each distinct url is cut at each of its slashes; what stands before meets the targets by equality, what stands after
+    the words. So the work grows with the captured urls, not with targets times words.
+    """
+    parts = F.split("url", "/")
+    cuts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.struct(F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/")).alias("base"), F.array_join(F.slice(parts, k + 1, F.size(parts)), "/").alias("name")))
+    cut = captured.select("url").distinct().select("url", F.explode(F.when(F.size(parts) > 1, cuts)).alias("c")).select("url", "c.*")
+    names = _names(words, extensions)
+    made = cut.join(targets.select(urls.normalized(F.col("target")).alias("base")).distinct(), "base", "left_semi")
+    made = made.join(names.where("word <> ''").select("name").distinct(), "name", "left_semi").select("url")
+    # the empty word stands for the target as it is
+    bare = targets.select(F.col("target").alias("url"), F.lit("").alias("word")).join(names.select("word").distinct(), "word", "left_semi").select("url")
+    return captured.join(made.unionByName(bare).distinct(), "url", "left_semi")
+
+
 def unseen_responses(new: DataFrame, known: DataFrame) -> DataFrame:
     """new rows whose (url, method) is not known."""
     return new.join(known.select("url", "method").distinct(), ["url", "method"], "left_anti")

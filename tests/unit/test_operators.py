@@ -202,6 +202,17 @@ def test_resolved_links(spark):
     assert {r["found"] for r in extraction.resolved_links(df, ["localhost"], mode="rfc3986").collect()} == {"http://localhost/admin", "http://sub.localhost/p/q"}
 
 
+def test_captured_candidates_are_those_of_the_product(spark):
+    targets = spark.createDataFrame([(T,), (f"{T}/a/",), (f"{T}/a/b//",), ("plain",)], "target string")
+    words = spark.createDataFrame([("",), ("b",), ("/b/c",), ("//b",), ("/",), ("b/",), ("http://x/y",), (None,)], "word string")
+    made = joins.candidates(targets, words, ["php", "/"]).select("url", "method").distinct().collect()
+    rest = [(f"{T}/a/b/x", "GET"), (f"{T}/ab", "GET"), ("", "GET"), (None, "GET"), ("plain/q", "GET")]
+    captured = spark.createDataFrame([tuple(r) for r in made] * 2 + rest, "url string, method string")
+    got = joins.captured_candidates(captured, targets, words, ["php", "/"])
+    assert rows(got) == sorted([tuple(r) for r in made] * 2)
+    assert joins.captured_candidates(captured, targets, words.where("word = 'b'")).distinct().count() == 4
+
+
 def test_discover(spark):
     captured = spark.createDataFrame([(f"{T}/a", "GET", 301, f"{T}/a/"), (f"{T}/a/b", "GET", 301, f"{T}/a/b/"), (f"{T}/a/b/c", "GET", 200, None), (f"{T}/zzz", "GET", 200, None)], "url string, method string, status int, location string")
     targets = spark.createDataFrame([(0, T)], "pos long, target string")
@@ -219,6 +230,7 @@ def test_shared_folder(spark, monkeypatch):
     class Unset:
         class sparkContext:
             applicationId = "app"
+            master = "local[8]"
 
             @staticmethod
             def getConf():
@@ -230,3 +242,6 @@ def test_shared_folder(spark, monkeypatch):
                 return default
 
     assert storage.shared_dir(Unset) == storage.shared_dir(Unset)
+    Unset.sparkContext.master = "spark://host:7077"
+    with pytest.raises(ValueError):
+        storage.shared_dir(Unset)
