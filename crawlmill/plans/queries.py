@@ -256,7 +256,7 @@ _WILD_HIT = """r.method = f.method AND r.status = f.status AND (f.content_length
 
 @query(f"""WITH {_WILD_SQL}, r AS ({_COARSE}) SELECT page_id, status FROM r WHERE NOT EXISTS (SELECT 1 FROM rule f WHERE {_WILD_HIT})""")
 def f7_wildcard_rule(spark, sf_dir):
-    return rules.without_wildcards(_coarse_pages(spark, sf_dir), _wild_rules(spark, sf_dir)).select("page_id", "status")
+    return rules.without_wildcards(_coarse_pages(spark, sf_dir), written(_wild_rules(spark, sf_dir), "rules")).select("page_id", "status")
 
 
 _LITERAL_RULES = [("status", [404]), ("lines", [7]), ("words", [2]), ("size", [1]), ("regex", ["<h1>[A-D]"]), ("nonsense", [1])]
@@ -266,7 +266,7 @@ def _hit_pages(spark, sf_dir):
     rows = [r for kind, values in _LITERAL_RULES for r in rules.rule_rows(kind, values)]
     table = rules.rule_table(spark, rows + rows).unionByName(_wild_rules(spark, sf_dir))
     pages = _coarse(measures.with_measures(A.resp_pages(spark, sf_dir)))
-    return rules.with_first_hit(pages, table).drop("text")
+    return rules.with_first_hit(pages, written(table, "rules")).drop("text")
 
 
 _HIT_SQL = f"""WITH {_WILD_SQL}, r AS ({_COARSE.replace('page_id,', 'page_id, text,', 1)}), hit AS (SELECT *, CASE WHEN status = 404 THEN 'status' WHEN line_count = 7 THEN 'lines'
