@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crawlmill.llm import ann, bitplanes, exact_dedup, langid, packing, quality, segment_bpe, sharding, simhash_dedup, warc
+from crawlmill.llm import ann, bitplanes, exact_dedup, langid, packing, periodic_runs, quality, segment_bpe, sharding, simhash_dedup, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_bpe": segment_bpe.op10_bpe,
+        "op11_runs": periodic_runs.op11_runs,
     }
 
 
