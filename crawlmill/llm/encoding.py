@@ -51,16 +51,20 @@ def segments(text: str, size: int = STEP) -> list[str]:
 
 
 class PieceEncoder:
-    """Ids as little-endian unsigned 32-bit integers, from the file of a byte-level BPE tokenizer."""
+    """Ids as little-endian unsigned 32-bit integers, from the file of a byte-level BPE tokenizer.
 
-    def __init__(self, path: str):
+    With `plain`, special tokens' strings in a text are ordinary text.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.special = re.compile("|".join(map(re.escape, added))) if added and not plain else None
         self.split = regex.compile(BYTE_LEVEL_SPLIT).findall
         self.letters = dict(enumerate(byte_letters()))
         self.blank = self.letters[ord(" ")]
@@ -124,3 +128,9 @@ def word_bpe_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
+
+
+def piece_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
