@@ -107,6 +107,21 @@ def smallest_hashes(rows: DataFrame, by: str, hashed: str, most: int) -> DataFra
     return rows.join(counts, by).where(near).drop("_rows").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
+def commonest(counts: DataFrame, key: str, most: int) -> DataFrame:
+    """Of rows (key, n), about `most` at most of those of largest n: classes of n of equal bit length as long as they fit, and
+    of the next class a share by hash. For what all workers hold, while the other rows meet by a join: which rows it is, no result shows.
+    """
+    classed = counts.select(key, "n", F.length(F.bin("n")).alias("bits"))
+    held, at, share = 0, 0, 0.0
+    for r in classed.groupBy("bits").count().orderBy(F.desc("bits")).collect():  # 64 rows at most
+        if held + r["count"] > most:
+            at, share = r["bits"], 0.9 * (most - held) / r["count"]
+            break
+        held += r["count"]
+    some = (F.col("bits") == at) & (F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return classed.where((F.col("bits") > at) | some).select(key, "n")
+
+
 _models: list[Broadcast] = []
 
 

@@ -107,15 +107,15 @@ class PieceEncoder:
         return [b"".join(map(self._segment, segments(t))) for t in texts]
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, plain: bool = False) -> PieceEncoder:
     """The worker's encoder for a tokenizer file, until another stage takes the worker."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
+    if (path, plain) not in _encoders:
+        _encoders[path, plain] = PieceEncoder(path, plain)
     hold_alone(_encoders, _encoders.clear)
-    return _encoders[path]
+    return _encoders[path, plain]
 
 
 def byte_bpe_path() -> str:

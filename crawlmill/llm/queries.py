@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crawlmill.llm import alignment, ann, bitplanes, exact_dedup, langid, packing, periodic_runs, quality, segment_bpe, sharding, simhash_dedup, warc
+from crawlmill.llm import alignment, ann, attention_lm, bitplanes, exact_dedup, langid, packing, periodic_runs, quality, segment_bpe, sharding, simhash_dedup, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_bpe": segment_bpe.op10_bpe,
         "op11_runs": periodic_runs.op11_runs,
+        "op12_lm": attention_lm.op12_lm,
         "op13_alignment": alignment.op13_alignment,
     }
 
