@@ -14,6 +14,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -21,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlmill.llm.common import broadcast_model, hold_alone, load, short_batches, text_or_empty, written
+from crawlmill.llm.common import broadcast_model, commonest, hold_alone, load, short_batches, text_or_empty, written
 from crawlmill.llm.encoding import PieceEncoder, byte_bpe_path, piece_bpe_path, segments
 
 #: Bytes of pieces and alignments that a worker remembers, about.
-STORE_BYTES = 80 << 20
+STORE_BYTES = 128 << 20
 #: What a piece costs besides its text, its groups' text and 8 bytes a link.
 PIECE_BYTES = 300
 #: Id pairs whose counts all workers hold, the commonest; links of other pairs meet their counts by a join.
@@ -160,21 +161,37 @@ class Aligner:
 
     def _encode_b(self, new: list[str]) -> list[list[int]]:
         # the tokenizer adds a blank before a text; where the piece has none, a line feed is put first
-        bare = [p[:1] != " " or len(p) == 1 for p in new]
+        bare = [p[:1] != " " or p == " " for p in new]
         out = self.b.encode(["\n" + p if x else p[1:] for p, x in zip(new, bare)], num_threads=1)
         return [ids[len(self.lead) :] if x else ids for ids, x in zip(out, bare)]
 
+    def _given_back(self, new: list[str], a_ids: list[bytes], b_ids: list[list[int]]) -> np.ndarray:
+        """Whether the tokens of a piece, joined, are the piece, of either tokenizer."""
+        raw = [p.encode() for p in new]
+        a, b = array("I", b"".join(a_ids)), list(chain.from_iterable(b_ids))
+        sizes = np.array(list(map(len, raw)), np.int64)
+        of = np.arange(len(new))
+        for token_sizes, ids, n in ((self.a_size, a, [len(x) // 4 for x in a_ids]), (self.b_size, b, list(map(len, b_ids)))):
+            if not np.array_equal(_sum(np.repeat(of, n), token_sizes[np.array(ids, np.int64)], len(new)), sizes):
+                break
+        else:
+            joined = b"".join(raw)
+            if joined == b"".join(map(self.a_bytes.__getitem__, a)) == b"".join(map(self.b_bytes.__getitem__, b)):
+                return np.ones(len(new), bool)
+        return np.array([p == b"".join(map(self.b_bytes.__getitem__, y)) == b"".join(map(self.a_bytes.__getitem__, array("I", x))) for p, x, y in zip(raw, a_ids, b_ids)])
+
     def learn(self, new: list[str]) -> None:
-        """Align pieces, none of them empty, and remember them."""
+        """Align pieces and remember them."""
         if not new:
             return
         a_ids = [self.a._piece(p) for p in new]
         b_ids = self._encode_b(new)
-        right = np.array([p.encode() == b"".join(map(self.b_bytes.__getitem__, y)) == b"".join(map(self.a_bytes.__getitem__, array("I", x))) for p, x, y in zip(new, a_ids, b_ids)])
-        a_ids = [x if r else b"" for x, r in zip(a_ids, right)]
-        b_ids = [x if r else [] for x, r in zip(b_ids, right)]
-        a_n, b_n = np.array([len(x) // 4 for x in a_ids], np.int64), np.array([len(x) for x in b_ids], np.int64)
-        a, b = np.frombuffer(b"".join(a_ids), "<u4").astype(np.int64), np.fromiter((i for x in b_ids for i in x), np.int64, int(b_n.sum()))
+        right = self._given_back(new, a_ids, b_ids)
+        if not right.all():
+            a_ids = [x if r else b"" for x, r in zip(a_ids, right)]
+            b_ids = [x if r else [] for x, r in zip(b_ids, right)]
+        a_n, b_n = np.array(list(map(len, a_ids)), np.int64) // 4, np.array(list(map(len, b_ids)), np.int64)
+        a, b = np.frombuffer(b"".join(a_ids), "<u4").astype(np.int64), np.fromiter(chain.from_iterable(b_ids), np.int64, int(b_n.sum()))
         of_a, of_b = groups_of(overlap_links(self.a_size[a], self.b_size[b]))
         group, left, right_ids, times = group_links(a, of_a, b, of_b)
         codes = left * self.b_vocabulary + right_ids
@@ -220,10 +237,10 @@ class Aligner:
         """(document, place) of each piece of the texts in order, and whether a text's alignment is right. Empty texts have none."""
         if self.used > self.most:
             self._compact()
-        cut = [[p for p in self.pieces(" " + t) if p] if t else [] for t in texts]
-        self.learn([p for p in dict.fromkeys(p for c in cut for p in c) if p not in self.index])
+        cut = [self.pieces(" " + t) if t else [] for t in texts]
+        self.learn(list(set().union(*cut).difference(self.index)))
         sizes = np.array([len(c) for c in cut], np.int64)
-        place = np.fromiter((i for c in cut for i in map(self.index.__getitem__, c)), np.int64, int(sizes.sum()))
+        place = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
         self.uses += np.bincount(place, minlength=len(self.uses))
         doc = np.repeat(np.arange(len(texts)), sizes)
         right = np.bincount(doc[~self.right[place]], minlength=len(texts)) == 0
@@ -261,49 +278,61 @@ def _added(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes[first], np.add.reduceat(counts, first) if len(codes) else counts
 
 
-def pair_counts(docs: DataFrame, a_path: str, b_path: str, counted: int = COUNTED) -> DataFrame:
-    """(code, n): how many documents hold the id pair linked; code is A's id times B's vocabulary plus B's id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = counts = np.zeros(0, np.int64)
-        fresh: list[np.ndarray] = []
-        waiting = 0
+def _alignments(docs: DataFrame, a_path: str, b_path: str, digest: bool) -> DataFrame:
+    """Each text's counts and groups, its distinct id pairs in order as differences of codes, and how many links have each.
 
-        def gathered() -> tuple[np.ndarray, np.ndarray]:
-            c, n = np.unique(np.concatenate(fresh), return_counts=True) if fresh else (codes[:0], counts[:0])
-            return _added(np.append(codes, c), np.append(counts, n))
+    A pair's code is A's id times B's vocabulary plus B's id.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = aligner(a_path, b_path)
-            doc, place, _ = own.places(b.column(1).to_pylist())
-            once = np.unique(doc << 32 | place)
-            doc, code, _ = own.links(once >> 32, once & 0xFFFFFFFF)
-            width = len(own.a_bytes) * own.b_vocabulary
-            fresh.append(np.unique(doc * width + code) % width)
-            waiting += len(fresh[-1])
-            if waiting > counted:
-                (codes, counts), fresh, waiting = gathered(), [], 0
-                if len(codes) > counted:
-                    yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], ["code", "n"])
-                    codes = counts = np.zeros(0, np.int64)
-        codes, counts = gathered()
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], ["code", "n"])
+            width, n = len(own.a_bytes) * own.b_vocabulary, b.num_rows
+            doc, place, right = own.places(b.column(1).to_pylist())
+            totals = [_sum(doc, own.sums[place, k], n) for k in range(4)]
+            piece, times = np.unique(doc << 32 | place, return_counts=True)
+            of, code, links = own.links(piece >> 32, piece & 0xFFFFFFFF)
+            key, links = _added(of * width + code, links * np.repeat(times, own.sums[piece & 0xFFFFFFFF, 4]))
+            of, code = np.divmod(key, width)
+            step = np.diff(code, prepend=0)
+            first = np.searchsorted(of, np.arange(n + 1))
+            step[first[:-1][first[1:] > first[:-1]]] = code[first[:-1][first[1:] > first[:-1]]]
+            cuts = first.tolist()
+            codes, links = step.astype("<u8").tobytes(), links.astype("<u4").tobytes()
+            ends, at = np.searchsorted(doc, np.arange(n + 1)).tolist(), place.tolist()
+            groups = [b"".join(map(own.text.__getitem__, at[x:y]))[:-1] if r else b"" for x, y, r in zip(ends, ends[1:], right)]
+            if digest:
+                groups = [hashlib.sha256(g).hexdigest().encode() if r else g for g, r in zip(groups, right)]
+            held = [pa.array([raw[size * x : size * y] for x, y in zip(cuts, cuts[1:])], pa.binary()) for raw, size in ((codes, 8), (links, 4))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, totals), pa.array(groups, pa.binary()).cast(pa.string()), *held], names)
+
+    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "codes", "links"]
+    return _texts(docs).mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, codes binary, links binary")
 
-    return _texts(docs).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
+def _codes(steps: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code) of each pair of a column of differences of codes."""
+    steps = steps.to_pylist()
+    sizes = np.array([len(x) // 8 for x in steps], np.int64)
+    code = np.cumsum(np.frombuffer(b"".join(steps), "<u8").astype(np.int64))
+    before = np.append(0, code)[np.cumsum(sizes) - sizes]
+    return np.repeat(np.arange(len(steps)), sizes), code - np.repeat(before, sizes)
 
-def _commonest(counts: DataFrame, most: int) -> DataFrame:
-    """Of (code, n), those of largest n: as many whole classes of equal bit length of n as `most` rows hold, and of the next
-    class those of smallest hash; which ones does not change any result, only where they meet their counts."""
-    classed = counts.withColumn("bits", F.length(F.bin("n")))
-    held, at, share = 0, 0, 0.0
-    for r in classed.groupBy("bits").count().orderBy(F.desc("bits")).collect():  # at most 64 rows
-        if held + r["count"] > most:
-            at, share = r["bits"], 0.9 * (most - held) / r["count"]
-            break
-        held += r["count"]
-    some = (F.col("bits") == at) & (F.pmod(F.xxhash64("code"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return classed.where((F.col("bits") > at) | some).select("code", "n")
+
+def pair_counts(alignments: DataFrame, counted: int = COUNTED) -> DataFrame:
+    """(code, n): how many documents hold the id pair linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = counts = np.zeros(0, np.int64)
+        for b in batches:
+            fresh = _codes(b.column(0))[1]
+            codes, counts = _added(np.append(codes, fresh), np.append(counts, np.ones(len(fresh), np.int64)))
+            if len(codes) > counted:
+                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], ["code", "n"])
+                codes = counts = np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], ["code", "n"])
+
+    return alignments.select("codes").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, top_pairs: int = TOP_PAIRS, digest: bool = False) -> DataFrame:
@@ -314,65 +343,53 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
     each group's A ids and B ids, `a1,a2|b1;a3|b2,b3`; with `digest`, groups_sha256 is its hash instead. Null and empty texts, and those that a tokenizer does not give back
     byte by byte, have no tokens: zeros and an empty text. Repeated rows each count and give a row, as do null doc_ids; other
     columns are ignored; no rows give no rows. Texts are cut in pieces, so a very long one needs memory for its own pieces only.
-    Documents are read twice; what moves between tasks is a count per id pair, and links of pairs beyond the `top_pairs`
-    commonest, once per document, with the number of their links.
+    Documents are aligned once and their id pairs written; what moves between tasks is a count per id pair, and for pairs
+    beyond the `top_pairs` commonest a row per document that holds them.
     """
     spark = docs.sparkSession
     short_batches(spark)
     a_path, b_path = a_path or byte_bpe_path(), b_path or piece_bpe_path()
-    counts = written(pair_counts(docs, a_path, b_path), "pair-counts")
+    rows = written(_alignments(docs, a_path, b_path, digest).withColumn("row", F.monotonically_increasing_id()), "alignments", "zstd")
+    counts = written(pair_counts(rows), "pair-counts")
     width = aligner(a_path, b_path).b_vocabulary
     a_id = F.expr(f"cast(code div {width} as int)")
     # a row per id of the vocabulary, and at most top_pairs rows
     best = counts.groupBy(a_id.alias("a")).agg(F.max("n").alias("best")).toArrow()
-    top = _commonest(counts, top_pairs).toArrow()
+    top = commonest(counts, "code", top_pairs).toArrow()
     order = np.argsort(top["code"].to_numpy())
     highest = np.zeros(len(aligner(a_path, b_path).a_bytes), np.int64)
     highest[best["a"].to_numpy()] = best["best"].to_numpy()
-    model = broadcast_model(spark, (top["code"].to_numpy()[order], top["n"].to_numpy()[order], highest))
+    known_codes = top["code"].to_numpy()[order]
+    is_best = top["n"].to_numpy()[order] == highest[known_codes // width]
+    model = broadcast_model(spark, (np.append(known_codes, -1), np.append(top["n"].to_numpy()[order], 0), np.append(is_best, False)))
     rare_type = pa.list_(pa.struct([("code", pa.int64()), ("links", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, times, highest = model.value
+        codes, times, is_best = model.value  # the last place stands for other pairs
         for b in batches:
-            own = aligner(a_path, b_path)
-            n = b.num_rows
-            doc, place, right = own.places(b.column(1).to_pylist())
-            # what the links of each piece that occurs add up to
-            pieces, which = np.unique(place, return_inverse=True)
-            piece, code, links = own.links(np.arange(len(pieces)), pieces)
-            at = np.minimum(np.searchsorted(codes, code), max(len(codes) - 1, 0))
-            known = codes[at] == code if len(codes) else np.zeros(len(code), bool)
-            time = np.where(known, times[at], 0) if len(codes) else np.zeros(len(code), np.int64)
-            is_best = known & (time == highest[code // own.b_vocabulary])
-            sums = np.column_stack([own.sums[pieces, :4], _sum(piece, links * is_best, len(pieces)), _sum(piece, links * time, len(pieces))])
-            per_doc = [_sum(doc, sums[which, k], n) for k in range(6)]
-            size = np.bincount(piece[~known], minlength=len(pieces))
-            at = _ranges((np.cumsum(size) - size)[which], size[which])
-            key, links = _added(np.repeat(doc, size[which]) * (len(own.a_bytes) * own.b_vocabulary) + code[~known][at], links[~known][at])
-            rare_doc, rare_code = np.divmod(key, len(own.a_bytes) * own.b_vocabulary)
-            offsets = np.searchsorted(rare_doc, np.arange(n + 1)).astype(np.int32)
-            rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(rare_code), pa.array(links)], ["code", "links"])).cast(rare_type)
-            ends = np.searchsorted(doc, np.arange(n + 1)).tolist()
-            at = place.tolist()
-            groups = [b"".join(map(own.text.__getitem__, at[x:y]))[:-1] if r else b"" for x, y, r in zip(ends, ends[1:], right)]
-            if digest:
-                groups = [hashlib.sha256(g).hexdigest().encode() if r else g for g, r in zip(groups, right)]
-            arrays = [b.column(0), *[pa.array(c) for c in per_doc], rare, pa.array(groups, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "rare", "groups_sha256" if digest else "groups"]
-    schema = f"doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, rare array<struct<code: long, links: long>>, {names[-1]} string"
-    rows = written(_texts(docs).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "alignments")
-    rare = rows.select("row", F.explode("rare").alias("x")).select("row", "x.code", "x.links").join(counts, "code")
-    if rare.isEmpty():
-        return rows.drop("row", "rare")
-    # a row per id of the vocabulary
+            of, code = _codes(b.column("codes"))
+            links = np.frombuffer(b"".join(b.column("links").to_pylist()), "<u4").astype(np.int64)
+            at = np.searchsorted(codes[:-1], code)
+            known = codes[at] == code
+            at[~known] = len(codes) - 1
+            per_doc = [pa.array(_sum(of, links * x[at], b.num_rows)) for x in (is_best, times)]
+            offsets = np.searchsorted(of[~known], np.arange(b.num_rows + 1)).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(code[~known]), pa.array(links[~known])], ["code", "links"])
+            rare = pa.ListArray.from_arrays(pa.array(offsets), pairs).cast(rare_type)
+            yield pa.RecordBatch.from_arrays([*map(b.column, kept), *per_doc, rare], [*kept, "n_best", "count_sum", "rare"])
+
+    kept = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups"]
+    found = rows.mapInArrow(run, "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, n_best long, count_sum long, rare array<struct<code: long, links: long>>")
+    out = [*kept[1:6], "n_best", "count_sum", F.col("groups").alias("groups_sha256" if digest else "groups")]
+    if top.num_rows == counts.count():
+        return found.select(*out)  # no pair is rare
+    found = written(found, "alignments-counted")
+    rare = found.select("row", F.explode("rare").alias("x")).select("row", "x.code", "x.links").join(counts, "code")
     highest_of = F.broadcast(spark.createDataFrame(best.to_pandas()).withColumnsRenamed({"a": "a_id"}))
     rare = rare.join(highest_of, a_id == F.col("a_id"))
     more = rare.groupBy("row").agg(F.sum(F.when(F.col("n") == F.col("best"), F.col("links")).otherwise(0)).alias("more_best"), F.sum(F.col("links") * F.col("n")).alias("more_sum"))
     total = [(F.col(c) + F.coalesce(F.col(m), F.lit(0))).alias(c) for c, m in (("n_best", "more_best"), ("count_sum", "more_sum"))]
-    return rows.join(more, "row", "left").select(*names[:5], *total, names[-1])
+    return found.join(more, "row", "left").select(*out[:5], *total, out[-1])
 
 
 def _sum(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
