@@ -43,9 +43,8 @@ def status_class(status: Column) -> Column:
 
 
 def redirect_target(status: Column, url: Column, location: Column) -> Column:
-    """Where a redirect leads: a rooted location on the url's host, any other as it is; null without one."""
-    rooted = F.concat(urls.origin(url), location)
-    return F.when((status_class(status) == 3) & location.isNotNull(), F.when(location.startswith("/"), rooted).otherwise(location))
+    """Where a redirect leads: its location as a reference of the url; null without one."""
+    return F.when((status_class(status) == 3) & location.isNotNull(), urls.join(url, location))
 
 
 def is_directory(status: Column, url: Column, location: Column) -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -69,10 +69,42 @@ def has_traversal(url: Column) -> Column:
     return out
 
 
+_REFERENCE = re.compile(r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?", re.S)
+
+
+def _without_dots(path: str) -> str:
+    """The path without its `.` and `..` segments; empty segments stay."""
+    rooted, out = path.startswith("/"), []
+    segments = path.split("/")[rooted:]
+    for i, s in enumerate(segments):
+        if s == "..":
+            del out[-1:]
+        if s not in (".", ".."):
+            out.append(s)
+        elif i == len(segments) - 1:
+            out.append("")
+    return "/" * rooted + "/".join(out)
+
+
+def resolve_reference(base: str, link: str) -> str:
+    """A reference resolved against an absolute URL, by the rules of RFC 3986."""
+    b_scheme, b_host, b_path, b_query, _ = _REFERENCE.fullmatch(base).groups()
+    scheme, host, path, query, fragment = _REFERENCE.fullmatch(link).groups()
+    if scheme is None and host is None:
+        if not path:
+            path, query = b_path, query if query is not None else b_query
+        elif not path.startswith("/"):
+            path = (b_path[: b_path.rfind("/") + 1] if b_path or b_host is None else "/") + path
+        host = b_host
+    path = _without_dots(path)
+    scheme = scheme if scheme is not None else b_scheme
+    return ("" if scheme is None else scheme + ":") + ("" if host is None else "//" + host) + path + (query or "") + (fragment or "")
+
+
 @F.pandas_udf(StringType())
 def _resolved(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for base, link in pairs:
-        yield pd.Series([None if b is None or x is None else urljoin(b, x) for b, x in zip(base, link)])
+        yield pd.Series([None if b is None or x is None else resolve_reference(b, x) for b, x in zip(base, link)])
 
 
 _SPECIAL = r"(^|/)\.\.?(/|$)|^[A-Za-z][A-Za-z0-9+.-]*:|^//|^[?#]|^$"

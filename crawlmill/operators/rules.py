@@ -91,69 +91,115 @@ def without_wildcards(responses: DataFrame, rules: DataFrame) -> DataFrame:
     return responses
 
 
-def _similar(responses: DataFrame, rules: DataFrame, signature: str, max_cutoff: int) -> DataFrame:
-    """(hit): the distinct signatures of responses that are within a similarity rule's cutoff."""
-    rules = rules.where(f"kind = 'similarity' and cutoff <= {max_cutoff}").select("hash", "cutoff").distinct()
-    rules = rules.select("hash", "cutoff", blocks(F.col("hash"), max_cutoff))
-    own = responses.where(F.col(signature).isNotNull()).select(F.col(signature).alias("hit")).distinct().select("hit", blocks(F.col("hit"), max_cutoff))
-    return own.join(rules, ["block", "part"]).where(hamming(F.col("hit"), F.col("hash")) <= F.col("cutoff")).select("hit").distinct()
+#: Cutoffs beyond which choices of blocks are too narrow to tell signatures apart, and rules of a block of the scan that they get.
+WIDE_CUTOFF, SCANNED = 8, 1024
 
 
-def without_similar(responses: DataFrame, rules: DataFrame, signature: str = "signature", max_cutoff: int = NEAR_DISTANCE) -> DataFrame:
+def _similar(responses: DataFrame, rules: DataFrame, signature: str) -> DataFrame:
+    """(hit): the distinct signatures of responses that are within a similarity rule's cutoff.
+
+    Each cutoff up to WIDE_CUTOFF that occurs has its own choices of blocks, on which rules and signatures meet by equality.
+    Rules of wider cutoffs hit a good part of all signatures; blocks of SCANNED such rules are held against each signature.
+    """
+    rules = rules.where("kind = 'similarity' and hash is not null").select("hash", F.coalesce("cutoff", F.lit(NEAR_DISTANCE)).alias("cutoff")).distinct()
+    own = responses.where(F.col(signature).isNotNull()).select(F.col(signature).alias("hit")).distinct()
+    found = own.where("false")
+    for (cutoff,) in sorted(rules.where(f"cutoff between 0 and {WIDE_CUTOFF}").select("cutoff").distinct().collect()):
+        of = rules.where(F.col("cutoff") == cutoff).select("hash", blocks(F.col("hash"), cutoff))
+        near = own.select("hit", blocks(F.col("hit"), cutoff)).join(of, ["block", "part"])
+        found = found.unionByName(near.where(hamming(F.col("hit"), F.col("hash")) <= cutoff).select("hit"))
+    wide = rules.where(f"cutoff > {WIDE_CUTOFF}")
+    n = wide.count()
+    if n:
+        scanned = wide.groupBy(F.pmod(F.xxhash64("hash"), F.lit(-(-n // SCANNED))).alias("part")).agg(F.collect_list(F.struct("hash", "cutoff")).alias("some"))
+        near = own.join(scanned, F.exists("some", lambda r: hamming(F.col("hit"), r["hash"]) <= r["cutoff"]))
+        found = found.unionByName(near.select("hit"))
+    return found.distinct()
+
+
+def without_similar(responses: DataFrame, rules: DataFrame, signature: str = "signature") -> DataFrame:
     """responses whose signature is within no similarity rule's cutoff. Rows without a signature stay.
 
-    Cutoffs are max_cutoff at most. Signatures within that many bits agree on one choice of blocks, so rules and distinct
-    signatures meet by equality, however many there are of either.
+    Cutoffs are any number of bits: NEAR_DISTANCE where a rule has none, no hit below 0.
     """
-    hits = _similar(responses, rules, signature, max_cutoff)
+    hits = _similar(responses, rules, signature)
     return responses.alias("r").join(hits.alias("h"), F.col(f"r.{signature}") == F.col("h.hit"), "left_anti")
 
 
-#: Regex rules that a table may hold: each is a literal of the plan.
-MOST_PATTERNS = 1000
+#: Patterns that one alternation holds.
+TOGETHER = 200
+
+
+def _alternations(patterns: Sequence[str]) -> list[str]:
+    """Patterns as few alternations; those whose quoting or comments could swallow what follows stay alone."""
+    alone = [p for p in patterns if "\\Q" in p or "(?" in p.replace("(?:", "") or "#" in p]
+    rest = [p for p in patterns if p not in set(alone)]
+    return alone + ["|".join(f"(?:{p})" for p in rest[i : i + TOGETHER]) for i in range(0, len(rest), TOGETHER)]
 
 
 def with_first_hit(responses: DataFrame, rules: DataFrame, signature: str | None = None, text: str = "text", headers: str | None = None) -> DataFrame:
-    """responses with rule_kind, the kind of the first rule that hits, or null.
+    """responses with rule_kind, the kind of the first rule that hits, or null; a column of that name is replaced.
 
     Equal rules count once. Kinds are tried from the cheapest to the dearest: status, lines, words, size, wildcard, regex,
     similarity. Responses of equal measures are looked up once, by each of their values and by each set of measures that
-    a wildcard rule may hold, so they meet rules by full equality. Patterns of regex rules, MOST_PATTERNS at most, become
-    literals that the body, and headers where named, are searched for. A similarity rule's cutoff is NEAR_DISTANCE at most.
+    a wildcard rule may hold, so they meet rules by full equality. Patterns of regex rules become literals of the plan, as
+    alternations, that the body, and headers where named, are searched for. Similarity rules have cutoffs of any size.
     """
     live = rules.where("not coalesce(dont_filter, false)")
-    patterns = [r["regex"] for r in live.where("kind = 'regex' and regex is not null").select("regex").distinct().limit(MOST_PATTERNS + 1).collect()]
-    if len(patterns) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} regex rules")
-    single = {"status": "filter_code", "lines": "line_count", "words": "word_count", "size": "content_length"}
+    patterns = sorted(r["regex"] for r in live.where("kind = 'regex' and regex is not null").select("regex").distinct().collect())
+    # rows travel as one struct, so that no name of theirs clashes
+    names = ["status", "method", *_MEASURES]
+    found = responses.select(F.struct(*[c for c in responses.columns if c != "rule_kind"]).alias("row"), *[F.col(n).alias(f"own_{i}") for i, n in enumerate(names)])
+    same = F.lit(True)
+    for i, n in enumerate(names):
+        same = same & F.col(f"own_{i}").eqNullSafe(F.col(n))
+    found = found.join(_first_by_measures(responses, live), same, "left").select("row", F.col("rule_kind").alias("kind"))
+    if patterns:
+        hit = matches_regex(_alternations(patterns), f"row.{text}", f"row.{headers}" if headers else None)
+        found = found.select("row", F.coalesce("kind", F.when(hit, F.lit("regex"))).alias("kind"))
+    if signature:
+        near = _similar(responses, live, signature)
+        found = found.join(near, F.col(f"row.{signature}") == F.col("hit"), "left")
+        found = found.select("row", F.coalesce("kind", F.when(F.col("hit").isNotNull(), F.lit("similarity"))).alias("kind"))
+    return found.select("row.*", F.col("kind").alias("rule_kind"))
+
+
+#: Columns that a rule's value meets, by the rule's kind.
+_VALUES = {"status": ("filter_code", "status"), "lines": ("line_count", "line_count"), "words": ("word_count", "word_count"), "size": ("content_length", "content_length")}
+
+
+def _key(*parts: Column | str) -> Column:
+    return F.concat(*[x for p in parts for x in (p if isinstance(p, Column) else F.lit(p), F.lit(":"))])
+
+
+def _wildcard_key(held: Column, status: str, measures: list[Column]) -> Column:
+    return _key("wildcard", held.cast("string"), F.col(status).cast("string"), *measures, F.col("method"))
+
+
+def rule_keys(live: DataFrame) -> DataFrame:
+    """(at, kind, priority): the key that rules of values and wildcard rules are found by, once each."""
     order = F.expr("case kind when 'status' then 0 when 'lines' then 1 when 'words' then 2 when 'size' then 3 else 4 end")
+    value = F.coalesce(*[F.when(F.col("kind") == k, _key(k, F.col(c).cast("string"))) for k, (c, _) in _VALUES.items()])
+    wild = _wildcard_key(_held(), "status_code", [F.coalesce(F.col(m).cast("string"), F.lit("")) for m in _MEASURES])
+    rule = F.when(F.col("kind") != "wildcard", value).when(_held() > 0, wild)
+    return live.select(rule.alias("at"), "kind", order.alias("priority")).where("at is not null").distinct()
+
 
-    def key(*parts: Column | str) -> Column:
-        return F.concat(*[x for p in parts for x in (p if isinstance(p, Column) else F.lit(p), F.lit(":"))])
+def response_keys() -> Column:
+    """The keys that a response is looked up by: each of its values, and each set of measures that a wildcard rule may hold."""
+    keys = [_key(k, F.col(c).cast("string")) for k, (_, c) in _VALUES.items()]
+    keys += [_wildcard_key(F.lit(h), "status", [F.col(m).cast("string") if h >> i & 1 else F.lit("") for i, m in enumerate(_MEASURES)]) for h in range(1, 1 << len(_MEASURES))]
+    return F.array(*keys)
 
-    def wildcard(held: Column, status: str, measures: list[Column]) -> Column:
-        return key("wildcard", held.cast("string"), F.col(status).cast("string"), *measures, F.col("method"))
 
-    value = F.coalesce(*[F.when(F.col("kind") == k, key(k, F.col(c).cast("string"))) for k, c in single.items()])
-    rule = F.when(F.col("kind") != "wildcard", value).when(_held() > 0, wildcard(_held(), "status_code", [F.coalesce(F.col(m).cast("string"), F.lit("")) for m in _MEASURES]))
-    live_keys = live.select("kind", order.alias("priority"), rule.alias("at")).where("at is not null").distinct()
+def _first_by_measures(responses: DataFrame, live: DataFrame) -> DataFrame:
     names = ["status", "method", *_MEASURES]
-    values = {"status": "status", "lines": "line_count", "words": "word_count", "size": "content_length"}
-    look_ups = [key(k, F.col(c).cast("string")) for k, c in values.items()]
-    look_ups += [wildcard(F.lit(h), "status", [F.col(m).cast("string") if h >> i & 1 else F.lit("") for i, m in enumerate(_MEASURES)]) for h in range(1, 1 << len(_MEASURES))]
-    hits = responses.select(*names).distinct().withColumn("at", F.explode(F.array(*look_ups))).join(live_keys, "at")
-    first = hits.groupBy(*names).agg(F.min_by("kind", "priority").alias("rule_kind"))
-    same = F.lit(True)
-    for n in names:
-        same = same & F.col(f"r.{n}").eqNullSafe(F.col(f"h.{n}"))
-    found = responses.alias("r").join(first.alias("h"), same, "left").select("r.*", "h.rule_kind")
-    if patterns:
-        found = found.withColumn("rule_kind", F.coalesce("rule_kind", F.when(matches_regex(sorted(patterns), text, headers), F.lit("regex"))))
-    if signature:
-        near = _similar(responses, live, signature, NEAR_DISTANCE)
-        found = found.alias("r").join(near.alias("h"), F.col(f"r.{signature}") == F.col("h.hit"), "left")
-        found = found.select("r.*", "h.hit").withColumn("rule_kind", F.coalesce("rule_kind", F.when(F.col("hit").isNotNull(), F.lit("similarity")))).drop("hit")
-    return found
+    hits = responses.select(*names).distinct().withColumn("at", F.explode(response_keys())).join(rule_keys(live), "at")
+    return hits.groupBy(*names).agg(F.min_by("kind", "priority").alias("rule_kind"))
+
+
+#: Parts that the urls of one prefix are dealt to.
+_SALTS = 16
 
 
 def excluded_urls(candidates: DataFrame, deny: DataFrame, scans: DataFrame, url: str = "url") -> DataFrame:
@@ -161,23 +207,29 @@ def excluded_urls(candidates: DataFrame, deny: DataFrame, scans: DataFrame, url:
 
     Excluded is a url equal to a deny url (slashes at the end aside), or one on its host whose path begins with the
     deny path, unless a scan on that host has a path that begins with the deny path and begins the url's own path.
-    deny and scans hold `url`. Hosts join by equality, so only rules of the same host are compared.
+    deny and scans hold `url`. Rows without a url stay.
+
+    Deny and scan paths that begin one path are ordered by their length, so the longest of either decides. A path is cut
+    at each length that a deny or scan path has, and the cuts meet them by equality; no rules of a host meet all its urls.
     """
 
-    def parts(df: DataFrame, column: str, name: str) -> DataFrame:
+    def parts(df: DataFrame, column: str) -> DataFrame:
         u = F.rtrim(F.col(column), F.lit("/"))
-        return df.select("*", urls.host(F.col(column)).alias(f"{name}_host"), F.rtrim(urls.path(u), F.lit("/")).alias(f"{name}_path"), u.alias(f"{name}_url"))
-
-    d = parts(deny.select(F.col("url").alias("deny_raw")), "deny_raw", "deny").drop("deny_raw").distinct()
-    s = parts(scans.select(F.col("url").alias("scan_raw")), "scan_raw", "scan").drop("scan_raw").distinct()
-    # deny rules with the scans that may exempt what lies under them
-    rules = d.join(s, (F.col("deny_host") == F.col("scan_host")) & F.col("scan_path").startswith(F.col("deny_path")), "left")
-    rules = rules.groupBy("deny_url", "deny_host", "deny_path").agg(F.collect_set("scan_path").alias("exempt"))
-    c = parts(candidates, url, "own")
-    under = (F.col("own_host") == F.col("deny_host")) & F.col("own_path").startswith(F.col("deny_path"))
-    spared = F.exists("exempt", lambda p: F.startswith(F.col("own_path"), p))
-    hit = (F.col("own_host") == F.col("deny_host")) & ((F.col("own_url") == F.col("deny_url")) | (under & ~spared))
-    return c.join(rules, hit, "left_anti").drop("own_host", "own_path", "own_url")
+        return df.select(F.col(column).alias("raw"), urls.host(F.col(column)).alias("host"), F.rtrim(urls.path(u), F.lit("/")).alias("path"), u.alias("bare")).distinct()
+
+    denied, scanned = parts(deny, "url"), parts(scans, "url")
+    marks = denied.select("host", "path", F.lit(True).alias("deny")).unionByName(scanned.select("host", "path", F.lit(False).alias("deny"))).where("host is not null and path is not null")
+    lengths = sorted(r[0] for r in marks.select(F.length("path")).distinct().collect())  # as many as a path has characters, at most
+    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
+    marks = marks.groupBy("host", F.col("path").alias("prefix")).agg(F.bool_or("deny").alias("denies"), F.bool_or(~F.col("deny")).alias("scans")).select("*", salts)
+    own = parts(candidates, url).where("host is not null")
+    cuts = F.filter(F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("path"))
+    cut = own.select("raw", "host", F.explode(cuts).alias("n"), "path", F.pmod(F.xxhash64("raw"), F.lit(_SALTS)).cast("int").alias("salt"))
+    cut = cut.select("raw", "host", "n", "salt", F.expr("substring(path, 1, n)").alias("prefix"))
+    longest = cut.join(marks, ["host", "prefix", "salt"]).groupBy("raw").agg(F.max(F.when(F.col("denies"), F.col("n"))).alias("deny_n"), F.max(F.when(F.col("scans"), F.col("n"))).alias("scan_n"))
+    under = longest.where("deny_n > coalesce(scan_n, -1)").select("raw")
+    equal = own.join(denied.select("host", "bare").distinct(), ["host", "bare"], "left_semi").select("raw")
+    return candidates.alias("c").join(under.unionByName(equal).alias("x"), F.col(f"c.{url}") == F.col("x.raw"), "left_anti")
 
 
 def excluded_by_regex(candidates: DataFrame, patterns: Sequence[str], url: str = "url") -> DataFrame:

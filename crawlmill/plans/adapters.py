@@ -24,7 +24,10 @@ def resp_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_rows(p: DataFrame) -> DataFrame:
     p = p.withColumn("status", _status("page_id"))
-    location = F.when(F.col("page_id") % 20 == 6, F.concat("url", F.lit("/"))).when(F.col("page_id") % 20 == 16, F.lit("/moved"))
+    bare, kind = F.regexp_extract("url", r"^([^?#]*)", 1), F.col("page_id") % 60
+    name = F.regexp_extract(bare, "([^/]*)$", 1)
+    location = F.when(kind == 6, F.concat("url", F.lit("/"))).when(kind == 16, F.lit("/moved")).when(kind == 26, F.concat(name, F.lit("/")))
+    location = location.when(kind == 36, F.concat(F.lit("./"), name, F.lit("/"))).when(kind == 46, F.concat(F.regexp_extract(bare, "^[^:]*:(.*)$", 1), F.lit("/")))
     return p.select("page_id", "url", F.concat(urls.origin(F.col("url")), F.lit("/")).alias("original_url"), F.lit("GET").alias("method"), "status", location.alias("location"), (F.lit(1.7e9) + F.col("page_id")).alias("timestamp"), F.col("html").alias("text"))
 
 
@@ -85,9 +88,11 @@ WORDS = r"len(list_filter(regexp_split_to_array({0}, '[\t-\r\x{{85}}\p{{Z}}]+'),
 HOST = "lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1))"
 ORIGIN = "regexp_extract({0}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1)"
 PATH = "(CASE WHEN regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1) END)"
+_NAME = "regexp_extract(regexp_extract(url, '^([^?#]*)', 1), '([^/]*)$', 1)"
 RESP = f"""resp AS (SELECT page_id, url, {ORIGIN.format('url')} || '/' AS original_url, 'GET' AS method,
   {_STATUS.format('page_id')} AS status,
-  CASE page_id % 20 WHEN 6 THEN url || '/' WHEN 16 THEN '/moved' END AS location, 1.7e9 + page_id AS timestamp,
+  CASE page_id % 60 WHEN 6 THEN url || '/' WHEN 16 THEN '/moved' WHEN 26 THEN {_NAME} || '/' WHEN 36 THEN './' || {_NAME} || '/'
+    WHEN 46 THEN regexp_extract(url, '^[^:?#]*:([^?#]*)', 1) || '/' END AS location, 1.7e9 + page_id AS timestamp,
   html AS text, strlen(html) AS content_length, {LINES.format('html')} AS line_count, {WORDS.format('html')} AS word_count FROM pages)"""
 DOCS = f"""rdocs AS (SELECT doc_id, 'http://' || source || '.example/' || lang || '/' || doc_id AS url, 'GET' AS method, {_STATUS.format('doc_id')} AS status, text FROM documents)"""
 LOG = """log AS (SELECT event_id, ts, 'http://h' || user_id || '/' AS scan_url, 'http://h' || user_id || '/' || event_id AS url, 'GET' AS method,

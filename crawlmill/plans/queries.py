@@ -120,7 +120,10 @@ def m7_normalized_url(spark, sf_dir):
     return A.table(spark, sf_dir, "pages").select("page_id", urls.normalized(F.col("url")).alias("normalized_url"))
 
 
-_TARGET_SQL = f"CASE WHEN status // 100 = 3 AND location IS NOT NULL THEN CASE WHEN prefix(location, '/') THEN {A.ORIGIN.format('url')} || location ELSE location END END"
+_FOLDER = "regexp_extract(regexp_extract(url, '^([^?#]*)', 1), '^(.*/)', 1)"
+_TARGET_SQL = f"""CASE WHEN status // 100 = 3 AND location IS NOT NULL THEN CASE WHEN regexp_matches(location, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN location
+  WHEN prefix(location, '//') THEN regexp_extract(url, '^([^:]*:)', 1) || location WHEN prefix(location, '/') THEN {A.ORIGIN.format('url')} || location
+  ELSE {_FOLDER} || regexp_replace(location, '^[.]/', '') END END"""
 _DIRECTORY_SQL = f"CASE WHEN status // 100 = 3 THEN coalesce(({_TARGET_SQL}) = url || '/', false) ELSE (status // 100 = 2 OR status = 403) AND suffix(url, '/') END"
 
 

@@ -139,3 +139,21 @@ def test_sql_functions(spark):
     docs = spark.createDataFrame([(1, "alpha beta beta gamma")], "id long, text string")
     want = signatures(docs, "id").first()["signature"]
     assert spark.sql("select simhash64(array('alpha','beta','beta','gamma')) as s, hamming64(-1, 0) as h").first() == (want, 64)
+
+
+def test_references_resolve_as_the_standard_says():
+    base = "http://a/b/c/d;p?q"
+    want = {"g:h": "g:h", "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y#s": "http://a/b/c/g?y#s",
+            "": "http://a/b/c/d;p?q", "#s": "http://a/b/c/d;p?q#s", ".": "http://a/b/c/", "..": "http://a/b/", "../g": "http://a/b/g", "../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g",
+            "g;x=1/../y": "http://a/b/c/y", "g..": "http://a/b/c/g..", "./g/.": "http://a/b/c/g/", ".//": "http://a/b/c//", "x//../y": "http://a/b/c/x/y"}
+    assert {k: urls.resolve_reference(base, k) for k in want} == want
+    assert urls.resolve_reference("http://a", "g") == "http://a/g"
+
+
+def test_redirects_resolve_their_location(spark):
+    cases = [("http://h/a/b", "b/", True), ("http://h/a/b", "./b/", True), ("http://h/a/b", "//h/a/b/", True), ("http://h/a/b", "/a/b/", True), ("http://h/a/b", "http://h/a/b/", True),
+             ("http://h/a/b", "../a/b/", True), ("http://h/a/b", "//x/a/b/", False), ("http://h/a/b", "c/", False), ("http://h/a/b", None, False), (None, "b/", False)]
+    df = spark.createDataFrame([(i, 301, *c) for i, c in enumerate(cases)], "i int, status int, url string, location string, want boolean")
+    got = df.select("i", measures.is_directory(F.col("status"), F.col("url"), F.col("location")).alias("d"), measures.redirect_target(F.col("status"), F.col("url"), F.col("location")).alias("t"), "want").orderBy("i").collect()
+    assert [r.d for r in got] == [r.want for r in got]
+    assert got[2].t == "http://h/a/b/" and got[6].t == "http://x/a/b/" and got[8].t is None

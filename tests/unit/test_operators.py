@@ -245,3 +245,70 @@ def test_shared_folder(spark, monkeypatch):
     Unset.sparkContext.master = "spark://host:7077"
     with pytest.raises(ValueError):
         storage.shared_dir(Unset)
+
+
+def test_similarity_rules_of_any_cutoff(spark):
+    rnd = random.Random(4)
+    signed = [rnd.getrandbits(64) - (1 << 63) for _ in range(60)] + [0, 0b111111, -1]
+    near = [s ^ sum(1 << b for b in rnd.sample(range(63), rnd.randint(0, 12))) for s in signed[:30]]
+    wanted = [(h, rnd.choice([0, 1, 2, 3, 4, 6, 8, 9, 12, 20, None])) for h in near] + [(0, 6)]
+    responses = spark.createDataFrame([(i, s) for i, s in enumerate(signed + [None])], "id int, signature long")
+
+    def distance(a, b):
+        return ((a ^ b) & ((1 << 64) - 1)).bit_count()
+
+    for some in (wanted, [(5, 64)], [(5, -1)], [(1 << 40, 63)], []):
+        table = rules.rule_table(spark, [{"kind": "similarity", "hash": h, "cutoff": c} for h, c in some])
+        want = [i for i, s in enumerate(signed + [None]) if s is None or not any(distance(s, h) <= (3 if c is None else c) for h, c in some)]
+        assert [r.id for r in rules.without_similar(responses, table).orderBy("id").collect()] == want
+    named = responses.selectExpr("*", "200 AS status", "'GET' AS method", "1L AS content_length", "1L AS line_count", "1L AS word_count", "'x' AS hit", "'y' AS rule_kind", "'z' AS text")
+    table = rules.rule_table(spark, [{"kind": "similarity", "hash": h, "cutoff": c} for h, c in wanted])
+    got = rules.with_first_hit(named, table, "signature").orderBy("id").collect()
+    assert [r.rule_kind for r in got] == [None if s is None or not any(distance(s, h) <= (3 if c is None else c) for h, c in wanted) else "similarity" for s in signed + [None]]
+    assert got[0].hit == "x" and got[0].asDict().keys() == {*named.columns}
+
+
+def test_many_patterns_are_all_tried(spark):
+    table = rules.rule_table(spark, [{"kind": "regex", "regex": f"^page {i}$"} for i in range(1500)] + [{"kind": "regex", "regex": r"(?i)upper"}, {"kind": "regex", "regex": r"\Qa.b"}])
+    data = [(i, 200, "GET", 1, 1, 1, t) for i, t in enumerate(["page 0", "page 1499", "page 1500", "UPPER", "a.b", "axb"])]
+    responses = spark.createDataFrame(data, "id int, status int, method string, content_length long, line_count long, word_count long, text string")
+    assert [r.rule_kind for r in rules.with_first_hit(responses, table).orderBy("id").collect()] == ["regex", "regex", None, "regex", "regex", None]
+
+
+def test_exclusion_meets_by_prefixes(spark):
+    rnd = random.Random(8)
+    paths = ["/".join(["", *(rnd.choice(["a", "b", "ab", "api", "x"]) for _ in range(rnd.randint(0, 3)))]) + rnd.choice(["", "/"]) for _ in range(120)]
+    hosts = ["http://h.example", "http://i.example"]
+    deny = [rnd.choice(hosts) + p for p in paths[:12]]
+    scans = [rnd.choice(hosts) + p for p in paths[12:30]]
+    urls = [rnd.choice(hosts) + p for p in paths] + [None]
+
+    def parts(u):
+        return u.split("/")[2], u.rstrip("/").split("/", 3)[3] if u.rstrip("/").count("/") > 2 else "", u.rstrip("/")
+
+    def excluded(u):
+        h, p, bare = parts(u)
+        for d in deny:
+            dh, dp, dbare = parts(d)
+            if dh == h and (dbare == bare or p.startswith(dp) and not any(sh == h and sp.startswith(dp) and p.startswith(sp) for sh, sp, _ in map(parts, scans))):
+                return True
+        return False
+
+    frames = [spark.createDataFrame([(u,) for u in x], "url string") for x in (urls, deny, scans)]
+    got = rules.excluded_urls(frames[0].selectExpr("*", "1 AS host", "2 AS own_host", "3 AS raw"), *frames[1:])
+    assert sorted(r.url or "" for r in got.collect()) == sorted(u or "" for u in urls if u is None or not excluded(u))
+    assert got.columns == ["url", "host", "own_host", "raw"]
+
+
+def test_exclusion_of_a_host_with_many_rules(spark):
+    deny = spark.range(100_000).selectExpr("concat('http://h/d', id) AS url")
+    scans = spark.range(1000).selectExpr("concat('http://h/d', id * 100, '/s') AS url")
+    tested = spark.range(20_000).selectExpr("concat('http://h/d', id * 7, if(id % 2 = 0, '/s/x', '/t')) AS url")
+    kept = {r.url for r in rules.excluded_urls(tested, deny, scans).collect()}
+    # d<n> begins with a denied d<n'> of fewer digits, so a scan must lie below the longest that does
+    want = set()
+    for i in range(20_000):
+        n, end = i * 7, "/s/x" if i % 2 == 0 else "/t"
+        if end == "/s/x" and n % 100 == 0 and n < 100_000:
+            want.add(f"http://h/d{n}{end}")
+    assert kept == want
