@@ -44,14 +44,15 @@ def blocks(signature: Column, distance: int) -> Column:
 def signatures(docs: DataFrame, key: str, tokens: Column | None = None, text: str = "text") -> DataFrame:
     """(key, signature) over tokens with repeats, in the JVM: a bit is set where most token hashes have it.
 
-    A document without tokens gets no row: it is an exact-duplicate class of its own.
+    A document without tokens gets no row: it is an exact-duplicate class of its own. Rows that share a key have a row each.
     """
     listed = preprocessed(F.coalesce(F.col(text), F.lit(""))) if tokens is None else tokens
     # a document's tokens are summed up where they are: one row per document moves
-    hashed = docs.select(key, F.explode(listed).alias("w")).select(key, F.xxhash64("w").alias("h"))
+    rows = docs.select(key, F.monotonically_increasing_id().alias("_row"), listed.alias("_tokens"))
+    hashed = rows.select(key, "_row", F.explode("_tokens").alias("w")).select(key, "_row", F.xxhash64("w").alias("h"))
     # bits i and i + 32 are counted in the low and the high half of one sum
     lanes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(_LANES))).alias(f"v{i}") for i in range(32)]
-    summed = hashed.groupBy(key).agg(F.count("*").alias("total"), *lanes)
+    summed = hashed.groupBy(key, "_row").agg(F.count("*").alias("total"), *lanes)
     bits = F.lit(0).cast("long")
     for i in range(64):
         v = F.col(f"v{i % 32}")

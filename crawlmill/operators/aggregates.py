@@ -11,6 +11,7 @@ from crawlmill.constants import IGNORED_EXTENSIONS, STATUS_CODES
 from crawlmill.functions import measures, urls
 from crawlmill.functions.text import terms
 from crawlmill.operators.joins import owning_scan
+from crawlmill.operators.windows import BLOCK_ROWS, numbered
 
 #: Status codes and error kinds that run statistics count one by one.
 COUNTED_CODES = [200, 301, 302, 401, 403, 429, 500, 503, 504, 508]
@@ -99,6 +100,20 @@ def vocabulary(docs: DataFrame, key: str, text: str = "text", stop_words: Sequen
     return scored.where("score > 0")
 
 
+def refresh_point(docs: int) -> int:
+    """After how many documents scores were last worked out anew: after 2, 4, and then every twelfth."""
+    return docs - docs % 12 if docs >= 12 else 4 if docs >= 4 else 2 if docs >= 2 else 0
+
+
+def refreshed_vocabulary(docs: DataFrame, key: str, order: Sequence[str], text: str = "text", stop_words: Sequence[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(term, df, score) as of the last refresh, when documents come in order of the columns: see refresh_point.
+
+    Documents are numbered in blocks, so none of them meet in one task. Ties in the order are numbered in any way.
+    """
+    seen = refresh_point(docs.count())
+    return vocabulary(numbered(docs, [*order], block_rows).where(F.col("place") <= seen).drop("place"), key, text, stop_words)
+
+
 def collected_extensions(responses: DataFrame, ignored: Sequence[str] = IGNORED_EXTENSIONS, configured: Sequence[str] = ()) -> DataFrame:
     """(extension, responses) of reported responses, without ignored and configured ones."""
     rows = responses.where(measures.is_reported(F.col("status"))).select(urls.extension(F.col("url")).alias("extension")).where("extension is not null")

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crawlmill.constants import MAX_DEPTH
 from crawlmill.functions import measures, urls
 from crawlmill.operators.joins import captured_candidates, outside_wildcards, unseen_responses, unseen_scans
-from crawlmill.operators.rules import excluded_urls
+from crawlmill.operators.rules import excluded_urls, with_first_hit
 from crawlmill.storage import written
 
 
@@ -60,25 +59,36 @@ def resume_plan(scans: DataFrame, words: DataFrame, known: DataFrame, multiplier
     return plan.join(seen, "full", "left").select("url", "word", "pos", F.coalesce("reported", F.lit(False)).alias("reported"))
 
 
-def discover(captured: DataFrame, targets: DataFrame, words: DataFrame, extensions: Sequence[str] = (), max_depth: int = MAX_DEPTH) -> DataFrame:
+def discover(
+    captured: DataFrame, targets: DataFrame, words: DataFrame, extensions: Sequence[str] = (), max_depth: int = MAX_DEPTH, rules: DataFrame | None = None,
+    deny: DataFrame | None = None, wildcards: DataFrame | None = None, force: bool = False, signature: str | None = None,
+) -> DataFrame:
     """(url, method, status, level): what a recursive scan of the targets would have found among captured responses.
 
-    captured has url, method, status, location; targets (pos, target). Level by level: captured urls that are candidates
-    of the frontier are found by equality, directories among the hits are the next frontier. Each level is written.
-    """
+    captured has url, method, status, location, and with rules their measures and text; targets (pos, target). Level by level:
+    captured urls that are candidates of the frontier, and not excluded by `deny` (url), are found by equality; directories
+    among them, outside wildcard directories (url, method) and not excluded, are the next frontier. Rules remove responses
+    from what is reported, not from recursion, unless `force` recurses into every reported response. Each level is written.
+    """
     front = targets.select("target").distinct()
     known = targets.select(urls.normalized(F.col("target")).alias("url"))
     found = None
+    get = captured.where("method = 'GET'")
     for level in range(max_depth if max_depth > 0 else 64):
-        hits = captured_candidates(captured.where("method = 'GET'"), front, words, extensions)
+        hits = captured_candidates(get, front, words, extensions)
+        if deny is not None:
+            hits = excluded_urls(hits, deny, known)
         if found is not None:
             hits = unseen_responses(hits, found)
-        hits = written(hits.select("url", "method", "status", "location", F.lit(level).alias("level")), "discovered")
+        if rules is not None:
+            hits = with_first_hit(hits, rules, signature)
+        kind = F.col("rule_kind") if rules is not None else F.lit(None).cast("string")
+        hits = written(hits.select("url", "method", "status", "location", kind.alias("rule_kind"), F.lit(level).alias("level")), "discovered")
         found = hits if found is None else found.unionByName(hits)
-        new = written(frontier(hits, targets, known, max_depth=max_depth), "frontier")
+        open_to = hits.where(F.col("rule_kind").isNull() & measures.is_reported(F.col("status"))) if force else hits
+        new = written(frontier(open_to, targets, known, deny, wildcards, max_depth, force), "frontier")
         if new.isEmpty():
             break
         known, front = known.unionByName(new), new.select(F.col("url").alias("target"))
-    once = W.partitionBy("url", "method").orderBy("level")
-    reported = found.where(measures.is_reported(F.col("status"))).withColumn("_place", F.row_number().over(once))
-    return reported.where("_place = 1").select("url", "method", "status", "level")
+    reported = found.where(F.col("rule_kind").isNull() & measures.is_reported(F.col("status")))
+    return reported.groupBy("url", "method").agg(F.min_by(F.struct("status", "level"), "level").alias("r")).select("url", "method", "r.*")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlmill.functions import urls
+from crawlmill.storage import written
 
 
 def _names(words: DataFrame, extensions: Sequence[str]) -> DataFrame:
@@ -31,17 +32,21 @@ def candidates(targets: DataFrame, words: DataFrame, extensions: Sequence[str] =
     return made.select("*", F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"))
 
 
+def _cuts(captured: DataFrame) -> DataFrame:
+    """(url, base, name): each distinct url cut at each of its slashes, which stays with the base."""
+    parts = F.split("url", "/")
+    cuts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.struct(F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/")).alias("base"), F.array_join(F.slice(parts, k + 1, F.size(parts)), "/").alias("name")))
+    return captured.select("url").distinct().select("url", F.explode(F.when(F.size(parts) > 1, cuts)).alias("c")).select("url", "c.*")
+
+
 def captured_candidates(captured: DataFrame, targets: DataFrame, words: DataFrame, extensions: Sequence[str] = ()) -> DataFrame:
     """captured rows whose url is a candidate's, without making the candidates.
 
     Each distinct url is cut at each of its slashes; what stands before meets the targets by equality, what stands after
     the words. So the work grows with the captured urls, not with targets times words.
     """
-    parts = F.split("url", "/")
-    cuts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.struct(F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/")).alias("base"), F.array_join(F.slice(parts, k + 1, F.size(parts)), "/").alias("name")))
-    cut = captured.select("url").distinct().select("url", F.explode(F.when(F.size(parts) > 1, cuts)).alias("c")).select("url", "c.*")
     names = _names(words, extensions)
-    made = cut.join(targets.select(urls.normalized(F.col("target")).alias("base")).distinct(), "base", "left_semi")
+    made = _cuts(captured).join(targets.select(urls.normalized(F.col("target")).alias("base")).distinct(), "base", "left_semi")
     made = made.join(names.where("word <> ''").select("name").distinct(), "name", "left_semi").select("url")
     # the empty word stands for the target as it is
     bare = targets.select(F.col("target").alias("url"), F.lit("").alias("word")).join(names.select("word").distinct(), "word", "left_semi").select("url")
@@ -89,8 +94,20 @@ def outside_wildcards(directories: DataFrame, wildcards: DataFrame, same_host: b
     return left.join(wildcards.select(*keyed(wildcards)).distinct(), names, "left_anti").drop("w_method", "w_parent", "w_host")
 
 
-def coverage(expected: DataFrame, captured: DataFrame) -> DataFrame:
-    """(target, expected, captured) counts of candidates and of those that have a response."""
-    got = captured.select("url", "method").distinct().withColumn("got", F.lit(1))
-    joined = expected.join(got, ["url", "method"], "left")
-    return joined.groupBy("target").agg(F.count("*").alias("expected"), F.count("got").alias("captured"))
+def coverage(targets: DataFrame, words: DataFrame, captured: DataFrame, extensions: Sequence[str] = (), methods: Sequence[str] = ("GET",)) -> DataFrame:
+    """(target, expected, captured): how many candidates a target has, and how many of them have a captured (url, method).
+
+    The candidates are not made: each target has as many as there are names and methods, and captured urls, cut at their
+    slashes, meet targets and names by equality. Repeated targets and words count as often as they are there.
+    """
+    names = _names(words, extensions).groupBy("name", (F.col("word") == "").alias("bare")).agg(F.count("*").alias("times"))
+    names = written(names, "names")
+    each = names.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0] * len(methods)
+    rows = targets.groupBy("target").agg(F.count("*").alias("rows"))
+    got = captured.where(F.col("method").isin([*methods])).groupBy("url").agg(F.countDistinct("method").alias("methods"))
+    under = _cuts(got).join(rows.select("target", urls.normalized(F.col("target")).alias("base")), "base").join(names.where("not bare"), "name").join(got, "url")
+    plain = rows.select("target", F.col("target").alias("url")).join(got, "url").crossJoin(F.broadcast(names.where("bare").agg(F.sum("times").alias("times"))))  # one row
+    hits = under.selectExpr("target", "times * methods AS n").unionByName(plain.selectExpr("target", "times * methods AS n"))
+    counted = hits.groupBy("target").agg(F.sum("n").alias("n"))
+    total = F.col("rows") * F.coalesce("n", F.lit(0))
+    return rows.join(counted, "target", "left").select("target", (F.col("rows") * each).alias("expected"), total.alias("captured"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from crawlmill.constants import NEAR_DISTANCE
 from crawlmill.functions import urls
-from crawlmill.functions.simhash import blocks, hamming
+from crawlmill.functions.simhash import block_masks, blocks, hamming
+from crawlmill.storage import written
 
 RULE_SCHEMA = (
     "kind string, filter_code int, line_count long, word_count long, content_length long, regex string, hash long, "
@@ -198,6 +199,46 @@ def _first_by_measures(responses: DataFrame, live: DataFrame) -> DataFrame:
     return hits.groupBy(*names).agg(F.min_by("kind", "priority").alias("rule_kind"))
 
 
+def _within(own: Column, cutoff: int) -> Callable[[Column], Column]:
+    return lambda h: hamming(own, h) <= cutoff
+
+
+def with_looked_up_hit(responses: DataFrame, rules: DataFrame, signature: str | None = None, text: str = "text", headers: str | None = None) -> DataFrame:
+    """What with_first_hit gives, for a stream of responses and a static rule table: only joins that keep each row once.
+
+    Kinds and sets of measures that occur, patterns and cutoffs are read from the table when the plan is made. Each has a
+    look-up table with one row per key. Signatures are looked up by each choice of blocks among the rules that share it, so
+    rules wider than WIDE_CUTOFF, which share no blocks, are literals of the plan.
+    """
+    live = written(rules.where("not coalesce(dont_filter, false)"), "live-rules")
+    keys = written(rule_keys(live).withColumn("slot", F.when(F.col("kind") == "wildcard", F.concat(F.lit("wildcard:"), F.split("at", ":")[1])).otherwise(F.col("kind"))), "rule-keys")
+    slots = {r["slot"] for r in keys.select("slot").distinct().collect()}  # 11 at most
+    found = responses.select(F.struct(*[c for c in responses.columns if c != "rule_kind"]).alias("row"), response_keys().alias("keys"))
+    order = [*_VALUES, *[f"wildcard:{h}" for h in range(1, 1 << len(_MEASURES))]]
+    marks = []
+    for i, slot in enumerate(order):
+        if slot in slots:
+            table = keys.where(F.col("slot") == slot).select(F.col("at").alias(f"at_{i}")).distinct()
+            found = found.join(table, F.col("keys")[i] == F.col(f"at_{i}"), "left")
+            marks.append(F.when(F.col(f"at_{i}").isNotNull(), F.lit(slot.split(":")[0])))
+    patterns = sorted(r["regex"] for r in live.where("kind = 'regex' and regex is not null").select("regex").distinct().collect())
+    if patterns:
+        marks.append(F.when(matches_regex(_alternations(patterns), f"row.{text}", f"row.{headers}" if headers else None), F.lit("regex")))
+    if signature:
+        own = F.col(f"row.{signature}")
+        similar = live.where("kind = 'similarity' and hash is not null").select("hash", F.coalesce("cutoff", F.lit(NEAR_DISTANCE)).alias("cutoff")).distinct()
+        for (cutoff,) in sorted(similar.where(f"cutoff between 0 and {WIDE_CUTOFF}").select("cutoff").distinct().collect()):
+            of = similar.where(F.col("cutoff") == cutoff)
+            for i, mask in enumerate(block_masks(cutoff)):
+                name = f"near_{cutoff}_{i}"
+                table = of.groupBy(F.col("hash").bitwiseAND(F.lit(mask)).alias(f"part_{name}")).agg(F.collect_set("hash").alias(name))
+                found = found.join(table, own.bitwiseAND(F.lit(mask)) == F.col(f"part_{name}"), "left")
+                marks.append(F.when(F.exists(name, _within(own, cutoff)), F.lit("similarity")))
+        wide = similar.where(f"cutoff > {WIDE_CUTOFF}").collect()
+        marks += [F.when(hamming(own, F.lit(r["hash"])) <= r["cutoff"], F.lit("similarity")) for r in wide]
+    return found.select("row.*", (F.coalesce(*marks) if marks else F.lit(None).cast("string")).alias("rule_kind"))
+
+
 #: Parts that the urls of one prefix are dealt to.
 _SALTS = 16
 

@@ -265,11 +265,14 @@ def f7_wildcard_rule(spark, sf_dir):
 _LITERAL_RULES = [("status", [404]), ("lines", [7]), ("words", [2]), ("size", [1]), ("regex", ["<h1>[A-D]"]), ("nonsense", [1])]
 
 
-def _hit_pages(spark, sf_dir):
+def _hit_rules(spark, sf_dir):
     rows = [r for kind, values in _LITERAL_RULES for r in rules.rule_rows(kind, values)]
-    table = rules.rule_table(spark, rows + rows).unionByName(_wild_rules(spark, sf_dir))
+    return written(rules.rule_table(spark, rows + rows).unionByName(_wild_rules(spark, sf_dir)), "rules")
+
+
+def _hit_pages(spark, sf_dir):
     pages = _coarse(measures.with_measures(A.resp_pages(spark, sf_dir)))
-    return rules.with_first_hit(pages, written(table, "rules")).drop("text")
+    return rules.with_first_hit(pages, _hit_rules(spark, sf_dir)).drop("text")
 
 
 _HIT_SQL = f"""WITH {_WILD_SQL}, r AS ({_COARSE.replace('page_id,', 'page_id, text,', 1)}), hit AS (SELECT *, CASE WHEN status = 404 THEN 'status' WHEN line_count = 7 THEN 'lines'
@@ -369,11 +372,25 @@ def j8_outside_wildcards(spark, sf_dir):
     return joins.outside_wildcards(p, p.where("page_id % 9 = 0")).select("page_id")
 
 
-@query(f"""WITH {_CANDIDATES}, got AS (SELECT DISTINCT url FROM cand WHERE length(url) % 2 = 0 AND method = 'GET')
-SELECT target, count(*) AS expected, count(g.url) AS captured FROM cand c LEFT JOIN got g ON c.url = g.url AND c.method = 'GET' GROUP BY 1""")
+_BARE = "regexp_replace(url, '[?#].*', '')"
+_PLACES = f"""places AS (SELECT DISTINCT {A.ORIGIN.format('url')} AS target FROM pages UNION SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/]+/[a-z]{{2}})/', 1) FROM pages WHERE regexp_matches(url, '^[a-z]+://[^/]+/[a-z]{{2}}/')),
+names AS (SELECT DISTINCT w FROM (SELECT regexp_extract({_BARE}, '/([0-9]+)/?$', 1) AS w FROM pages UNION ALL SELECT regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{{2}})/', 1) FROM pages) WHERE w <> '')"""
+
+
+def _places(spark, sf_dir):
+    """Targets (origins and first folders) and words (last numbers and first folders' names) of the pages."""
+    p = A.table(spark, sf_dir, "pages")
+    bare = F.regexp_replace("url", "[?#].*", "")
+    folders = p.select(F.regexp_extract("url", r"^([a-z]+://[^/]+/[a-z]{2})/", 1).alias("target")).where("target <> ''")
+    words = p.select(F.regexp_extract(bare, r"/(\d+)/?$", 1).alias("word")).unionByName(p.select(F.regexp_extract("url", r"^[a-z]+://[^/]+/([a-z]{2})/", 1).alias("word")))
+    return A.targets_pages(spark, sf_dir).unionByName(folders).distinct(), words.where("word <> ''").distinct(), p.select(bare.alias("url"), F.lit("GET").alias("method"))
+
+
+@query(f"""WITH {_PLACES}, cand AS (SELECT target, target || '/' || w || e AS url, m AS method FROM places, names, (SELECT unnest(['', '.php', '/']) AS e), (SELECT unnest(['GET', 'POST']) AS m)),
+got AS (SELECT DISTINCT {_BARE} AS url FROM pages) SELECT target, count(*) AS expected, count(g.url) AS captured FROM cand c LEFT JOIN got g ON c.url = g.url AND c.method = 'GET' GROUP BY 1""")
 def j9_coverage(spark, sf_dir):
-    c = _candidates(spark, sf_dir)
-    return joins.coverage(c, c.where("length(url) % 2 = 0 and method = 'GET'"))
+    targets, words, captured = _places(spark, sf_dir)
+    return joins.coverage(targets, words, captured, ["php", "/"], ["GET", "POST"])
 
 
 # ---- aggregations
@@ -423,11 +440,11 @@ def a5_wildcard_directories(spark, sf_dir):
 
 _STOP = _list(w for w in STOP_WORDS)
 _PUNCT = "".join("''" if c == "'" else c for c in PUNCTUATION)
-_PLAIN = f"lower(translate(text, '{_PUNCT}', '{' ' * len(PUNCTUATION)}'))"
+_PLAIN = f"lower(translate(coalesce(text, ''), '{_PUNCT}', '{' ' * len(PUNCTUATION)}'))"
 #: Stop words as the regular expression sees them: runs of word characters and hyphens, outer hyphens aside.
 _TOKENS = rf"""list_filter(list_transform(regexp_split_to_array({_PLAIN}, '[\t-\r\x{{85}}\p{{Z}}]+'),
   lambda w: CASE WHEN regexp_matches(w, '^-*[a-z]+-*$') AND regexp_extract(w, '^-*([a-z]+)-*$', 1) IN ({_STOP}) THEN replace(w, regexp_extract(w, '^-*([a-z]+)-*$', 1), '') ELSE w END), lambda w: w <> '')"""
-_TERMS = f"""t AS (SELECT doc_id, list_filter({_TOKENS}, lambda w: strlen(w) >= 2) AS l FROM documents WHERE regexp_matches(text, '^[ -~\\s\\p{{L}}]*$')),
+_TERMS = f"""t AS (SELECT doc_id, list_filter({_TOKENS}, lambda w: strlen(w) >= 2) AS l FROM documents),
 c AS (SELECT doc_id, len(l) AS n_terms, unnest(l) AS term FROM t), d AS (SELECT doc_id, n_terms, term, count(*) AS n FROM c GROUP BY ALL),
 v AS (SELECT term, count(*) AS df, avg(n / n_terms) * log10((SELECT count(*) FROM t) / count(*)) AS score FROM d GROUP BY 1)"""
 
@@ -441,6 +458,14 @@ def a6_vocabulary(spark, sf_dir):
     return aggregates.vocabulary(_all_docs(spark, sf_dir), "doc_id").select("term", "df", F.round("score", 9).alias("score"))
 
 
+@query(f"""WITH docs AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS place, count(*) OVER () AS n FROM documents), seen AS (SELECT * FROM docs WHERE place <= n - n % 12),
+{_TERMS.replace('FROM documents', 'FROM seen')} SELECT term, df, round(score, 9) AS score FROM v WHERE score > 0""")
+def a7_refreshed_vocabulary(spark, sf_dir):
+    """The vocabulary as of the last refresh: documents come in order of doc_id."""
+    found = aggregates.refreshed_vocabulary(_all_docs(spark, sf_dir), "doc_id", ["doc_id"])
+    return found.select("term", "df", F.round("score", 9).alias("score"))
+
+
 @query(f"""WITH u AS (SELECT page_id, {_FILE_URL} AS url FROM pages), p AS (SELECT list_filter(string_split(string_split({A.PATH.format('url')}, '/')[-1], '.'), lambda x: x <> '') AS parts FROM u)
 SELECT parts[-1] AS extension, count(*) AS responses FROM p WHERE len(parts) > 1 AND parts[-1] NOT IN ({_list(IGNORED_EXTENSIONS)}, 'js') GROUP BY 1""")
 def a8_collected_extensions(spark, sf_dir):
@@ -585,15 +610,12 @@ def t2_lower(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
 
 
-_CLEAN = "WHERE regexp_matches(text, '^[ -~\\s\\p{L}]*$')"
-
-
-@query(f"SELECT doc_id, array_to_string({_TOKENS}, ' ') AS words FROM documents {_CLEAN}")
+@query(f"SELECT doc_id, array_to_string({_TOKENS}, ' ') AS words FROM documents")
 def t3_without_stop_words(spark, sf_dir):
     return _all_docs(spark, sf_dir).select("doc_id", F.array_join(text.preprocessed(F.col("text")), " ").alias("words"))
 
 
-@query(f"SELECT doc_id, len(list_filter({_TOKENS}, lambda w: strlen(w) >= 2)) AS terms FROM documents {_CLEAN}")
+@query(f"SELECT doc_id, len(list_filter({_TOKENS}, lambda w: strlen(w) >= 2)) AS terms FROM documents")
 def t4_terms(spark, sf_dir):
     return _all_docs(spark, sf_dir).select("doc_id", F.size(text.terms(F.col("text"))).alias("terms"))
 
@@ -754,15 +776,31 @@ def r4_resume_plan(spark, sf_dir):
     return discovery.resume_plan(A.scans_pages(spark, sf_dir), words, known, multiplier=3)
 
 
+def _site(spark, sf_dir):
+    """Captured responses of whole sites: the pages without query strings, the first of each url, and a redirect per first folder."""
+    pages = measures.with_measures(A.resp_pages(spark, sf_dir))
+    pages = pages.select("page_id", F.regexp_replace("url", "[?#].*", "").alias("url"), "method", "status", "location", "content_length", "word_count", "line_count", "text")
+    first = pages.groupBy("url", "method").agg(F.min_by(F.struct("status", "location", "content_length", "word_count", "line_count", "text"), "page_id").alias("r")).select("url", "method", "r.*")
+    names = F.regexp_extract("url", r"^([a-z]+://[^/]+/[a-z]{2})/", 1)
+    folders = pages.select(names.alias("url"), F.lit("GET").alias("method"), F.lit(301).alias("status"), F.concat(names, F.lit("/")).alias("location")).where("url <> ''").distinct()
+    return first.unionByName(folders.join(first.select("url"), "url", "left_anti"), allowMissingColumns=True)
+
+
+_SITE_RULES = [("status", [500]), ("regex", ["<h1>[A-C]"]), ("words", [2])]
+_SITE_DENY = r"^([a-z]+://[^/]+/(fr|en/[1-4]))"
+
+
+def _site_deny(spark, sf_dir):
+    return A.table(spark, sf_dir, "pages").select(F.regexp_extract("url", _SITE_DENY, 1).alias("url")).where("url <> '' and page_id % 3 = 0").distinct()
+
+
 @query()
 def r5_discover(spark, sf_dir):
-    p = A.resp_pages(spark, sf_dir)
-    captured = p.select(F.regexp_replace("url", "[?#].*", "").alias("url"), "method", "status", F.concat(F.regexp_replace("url", "[?#].*", ""), F.lit("/")).alias("location"))
-    langs = p.select(F.regexp_extract("url", r"^[a-z]+://[^/]+/([a-z]{2})/", 1).alias("word")).where("word <> ''").distinct()
-    numbers = captured.select(F.regexp_extract("url", r"/(\d+)/?$", 1).alias("word")).where("word <> ''").distinct()
-    folders = captured.select(F.regexp_extract("url", r"^([a-z]+://[^/]+/[a-z]{2}/)", 1).alias("url")).where("url <> ''").distinct()
-    folders = folders.select(F.rtrim("url", F.lit("/")).alias("url"), F.lit("GET").alias("method"), F.lit(301).alias("status"), "url").toDF("url", "method", "status", "location")
-    return discovery.discover(captured.unionByName(folders).dropDuplicates(["url", "method"]), _ranked_targets(spark, sf_dir), langs.unionByName(numbers))
+    """Discovery under rules, a deny list and a wildcard directory (`de`)."""
+    table = rules.rule_table(spark, [r for kind, values in _SITE_RULES for r in rules.rule_rows(kind, values)])
+    _, words, _ = _places(spark, sf_dir)
+    wildcards = spark.createDataFrame([("http://any/de/x/", "GET")], "url string, method string")
+    return discovery.discover(_site(spark, sf_dir), _ranked_targets(spark, sf_dir), words, ["/"], rules=table, deny=_site_deny(spark, sf_dir), wildcards=wildcards)
 
 
 # ---- sources and sinks

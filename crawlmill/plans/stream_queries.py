@@ -8,14 +8,10 @@ from pyspark.sql import functions as F
 from crawlmill.functions import measures
 from crawlmill.operators import rules
 from crawlmill.plans import adapters as A
-from crawlmill.plans.queries import _COARSE, _FILE_URL, _RUNNING, _SCRIPT_ROWS, _TERMS, _WILD_HIT, _WILD_SQL, _files, _wild_rules, query
+from crawlmill.plans.queries import _COARSE, _FILE_URL, _HIT_SQL, _RUNNING, _SCRIPT_ROWS, _TERMS, _WILD_HIT, _WILD_SQL, _files, _hit_rules, _wild_rules, query
 from crawlmill.storage import shared_path
 from crawlmill.streaming import runs, streams
 
-#: Longer than any table here spans, so that a stream remembers all that its batch form compares.
-_FOREVER = "36500 days"
-
-
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = A.table(spark, sf_dir, name).schema
     # a pattern, as a stream's folder may be a single file here
@@ -36,65 +32,75 @@ def st1_measured(spark, sf_dir):
     return runs.appended(streams.measured_responses(_pages(spark, sf_dir)).select("page_id", "content_length", "line_count", "word_count"), "st1")
 
 
+def _coarse(rows):
+    return rows.withColumns({c: F.floor(F.col(c) / d).cast("long") for c, d in (("content_length", 4000), ("word_count", 200), ("line_count", 50))})
+
+
 @query(f"WITH {_WILD_SQL}, r AS ({_COARSE}) SELECT page_id, status FROM r WHERE NOT EXISTS (SELECT 1 FROM rule f WHERE {_WILD_HIT})")
 def st1_without_wildcards(spark, sf_dir):
-    static = _wild_rules(spark, sf_dir)
-    rows = measures.with_measures(A.page_rows(_stream(spark, sf_dir, "pages")))
-    cut = {c: F.floor(F.col(c) / d).cast("long") for c, d in (("content_length", 4000), ("word_count", 200), ("line_count", 50))}
-    return runs.appended(rules.without_wildcards(rows.withColumns(cut), static).select("page_id", "status"), "st1-rules")
+    rows = _coarse(measures.with_measures(A.page_rows(_stream(spark, sf_dir, "pages"))))
+    return runs.appended(rules.without_wildcards(rows, _wild_rules(spark, sf_dir)).select("page_id", "status"), "st1-rules")
+
+
+@query(f"{_HIT_SQL} SELECT page_id, rule_kind FROM hit")
+def st1_attributed(spark, sf_dir):
+    rows = _coarse(measures.with_measures(A.page_rows(_stream(spark, sf_dir, "pages"))))
+    return runs.appended(rules.with_looked_up_hit(rows, _hit_rules(spark, sf_dir)).select("page_id", "rule_kind"), "st1-attributed")
 
 
 @query(f"WITH {A.LOG} SELECT DISTINCT scan_url AS url, method FROM log")
 def st2_first_seen(spark, sf_dir):
     rows = _log(spark, sf_dir).select("ts", F.col("scan_url").alias("url"), "method")
-    return runs.appended(streams.first_seen(rows, _FOREVER).select("url", "method"), "st2")
+    # the stream forgets after an hour of event time; what it shows again then is dropped from the table
+    return runs.appended(streams.first_seen(rows, "1 hour").select("url", "method"), "st2").distinct()
 
 
 @query(f"""WITH {A.LOG} SELECT time_bucket(INTERVAL 1 DAY, ts) AS since, scan_url, count(*) AS requests, count(error) AS errors, count(*) FILTER (status // 100 = 2) AS successes,
   count(*) FILTER (status // 100 = 3) AS redirects, count(*) FILTER (status // 100 = 4) AS client_errors, count(*) FILTER (status // 100 = 5) AS server_errors FROM log GROUP BY 1, 2""")
 def st3_running_statistics(spark, sf_dir):
-    found = streams.running_statistics(_log(spark, sf_dir), "1 day", _FOREVER)
+    found = streams.running_statistics(_log(spark, sf_dir), "1 day", "2 hours")
     return runs.latest(found.withColumn("since", F.col("window.start")).drop("window"), ["since", "scan_url"], "st3")
 
 
 @query(f"""WITH {A.LOG}, {_RUNNING.replace('>= 10', '>= 25')}, f AS (SELECT *, row_number() OVER (PARTITION BY scan_url ORDER BY ts, event_id) AS p FROM t WHERE trigger IS NOT NULL)
 SELECT scan_url, trigger, requests FROM f WHERE p = 1""")
 def st4_policy_triggers(spark, sf_dir):
-    found = runs.appended(streams.policy_triggers(_log(spark, sf_dir), delay=_FOREVER), "st4")
+    found = runs.appended(streams.policy_triggers(_log(spark, sf_dir), delay="2 hours", idle=90 * 86400.0), "st4")
     return found.groupBy("scan_url").agg(F.min_by(F.struct("trigger", "requests"), "requests").alias("x")).select("scan_url", "x.*")
 
 
 @query(f"WITH {_SCRIPT_ROWS} SELECT DISTINCT link FROM x2")
 def st5_unseen_links(spark, sf_dir):
-    return runs.appended(streams.unseen_links(_pages(spark, sf_dir), _FOREVER).select("link"), "st5")
+    return runs.appended(streams.unseen_links(_pages(spark, sf_dir)).select("link"), "st5").distinct()
 
 
 @query(f"""WITH u AS (SELECT {_FILE_URL} AS url FROM pages), p AS (SELECT list_filter(string_split(string_split({A.PATH.format('url')}, '/')[-1], '.'), lambda x: x <> '') AS parts FROM u)
 SELECT DISTINCT parts[-1] AS extension FROM p WHERE len(parts) > 1""")
 def st5_unseen_extensions(spark, sf_dir):
     rows = _pages(spark, sf_dir).withColumn("url", F.regexp_replace("url", "[?#].*", "")).select("ts", _files().alias("url"))
-    return runs.appended(streams.unseen_extensions(rows, _FOREVER).select("extension"), "st5-extensions")
+    return runs.appended(streams.unseen_extensions(rows).select("extension"), "st5-extensions").distinct()
 
 
 @query(f"WITH {_TERMS} SELECT term, df, round(score, 9) AS score FROM v WHERE score > 0")
 def st6_vocabulary(spark, sf_dir):
-    path, out = shared_path(spark, "st6-terms"), shared_path(spark, "st6")
+    path = shared_path(spark, "st6-terms")
     docs = _stream(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    step = streams.refreshed_vocabulary("doc_id", path, lambda found: found.write.mode("overwrite").parquet(out))
-    runs.each_batch(docs, step, path)
-    return spark.read.parquet(out).select("term", "df", F.round("score", 9).alias("score"))
+    runs.each_batch(docs, streams.landed_terms("doc_id", path), path)
+    sums = runs.latest(streams.merged_terms(spark, path), ["term"], "st6")
+    n = spark.read.parquet(f"{path}/docs/*").agg(F.sum("docs")).first()[0]
+    return streams.term_scores(sums, n).select("term", "df", F.round("score", 9).alias("score"))
 
 
 @query(f"WITH {A.LOG} SELECT time_bucket(INTERVAL 1 HOUR, ts) AS since, scan_url, count(*) AS requests FROM log GROUP BY 1, 2")
 def st7_request_rates(spark, sf_dir):
-    found = streams.request_rates(_log(spark, sf_dir), "1 hour", delay=_FOREVER)
+    found = streams.request_rates(_log(spark, sf_dir), "1 hour", delay="2 hours")
     return runs.latest(found.withColumn("since", F.col("window.start")).drop("window"), ["since", "scan_url"], "st7")
 
 
 @query(f"""WITH {A.LOG}, s AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS b, scan_url FROM log), w AS (SELECT b - to_hours(k) AS since, scan_url FROM s, (SELECT unnest([0, 1]) AS k))
 SELECT since, scan_url, count(*) AS requests FROM w GROUP BY 1, 2""")
 def st7_sliding_rates(spark, sf_dir):
-    found = streams.request_rates(_log(spark, sf_dir), "2 hours", "1 hour", _FOREVER)
+    found = streams.request_rates(_log(spark, sf_dir), "2 hours", "1 hour", "2 hours")
     return runs.latest(found.withColumn("since", F.col("window.start")).drop("window"), ["since", "scan_url"], "st7-sliding")
 
 

@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from crawlmill.constants import HIGH_ERROR_RATIO
 from crawlmill.functions import measures, urls
 from crawlmill.operators.aggregates import term_counts
 from crawlmill.operators.extraction import script_links
-from crawlmill.operators.rules import without_wildcards
+from crawlmill.operators.rules import with_looked_up_hit
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_trigger: int = 64) -> DataFrame:
@@ -20,10 +23,10 @@ def read_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
-def measured_responses(stream: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Measures of each response, without those that a static rule table's wildcard rules hit."""
+def measured_responses(stream: DataFrame, rules: DataFrame | None = None, signature: str | None = None, headers: str | None = None) -> DataFrame:
+    """Measures of each response; with a static rule table, of those only that no rule of any kind hits."""
     out = measures.with_measures(stream)
-    return without_wildcards(out, rules) if rules is not None else out
+    return with_looked_up_hit(out, rules, signature, headers=headers).where("rule_kind is null").drop("rule_kind") if rules is not None else out
 
 
 def first_seen(stream: DataFrame, delay: str = "1 hour", ts: str = "ts") -> DataFrame:
@@ -62,49 +65,87 @@ def unseen_extensions(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     return rows.dropDuplicatesWithinWatermark(["extension"])
 
 
-_STATE = "requests long, errors long, s403 long, s429 long, cooled double"
+_COUNTS = "requests long, errors long, s403 long, s429 long, cooled long"
 _OUT = "scan_url string, trigger string, ts timestamp, requests long"
 
 
-def policy_triggers(stream: DataFrame, threads: int = 50, timeout: float = 7.0, delay: str = "10 minutes") -> DataFrame:
-    """A row whenever a scan's running counts trigger a policy, at most once per cool-down of min(timeout / 2, 30) s."""
-    least, most_errors, ratio, cool = max(threads, 50), max(threads // 2, 25), 0.90, min(timeout / 2, 30.0)
+class Policies(StatefulProcessor):
+    """Running counts of a scan; they leave the state when the watermark has passed the scan's last request by `idle` seconds."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        n, errors, s403, s429, until = state.get if state.exists else (0, 0, 0, 0, float("-inf"))
-        out = []
-        # a scan's rows of one micro-batch, in order of time
-        for row in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples():
-            n += 1
-            errors += row.error is not None and row.error == row.error
-            s403 += row.status == 403
-            s429 += row.status == 429
-            now = row.ts.timestamp()
-            if n >= least and now >= until:
-                kind = "Errors" if errors >= most_errors else "Status403" if s403 / n >= ratio else "Status429" if s429 / n >= ratio / 3 else None
-                if kind:
-                    out.append((key[0], kind, row.ts, n))
-                    until = now + cool
-        state.update((n, errors, s403, s429, until))
-        yield pd.DataFrame(out, columns=["scan_url", "trigger", "ts", "requests"])
+    def __init__(self, threads: int, cool: float, idle: float):
+        self.least, self.most_errors = max(threads, 50), max(threads // 2, 25)
+        self.cool, self.idle = int(cool * 1e6), int(idle * 1e6)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.counts = handle, handle.getValueState("counts", _COUNTS)
 
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        # a scan's rows of one micro-batch, in order of time
+        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        n, errors, s403, s429, cooled = self.counts.get() if self.counts.exists() else (0, 0, 0, 0, -(1 << 62))
+        now = batch["ts"].to_numpy("datetime64[us]").astype("int64")
+        requests = n + np.arange(1, len(batch) + 1)
+        errors, s403, s429 = (x + np.cumsum(batch_x.to_numpy()) for x, batch_x in ((errors, batch["error"].notna()), (s403, batch["status"].eq(403)), (s429, batch["status"].eq(429))))
+        kinds = [errors >= self.most_errors, s403 / requests >= HIGH_ERROR_RATIO, s429 / requests >= HIGH_ERROR_RATIO / 3]
+        kind = np.select(kinds, [0, 1, 2], -1)
+        ready = np.flatnonzero((kind >= 0) & (requests >= self.least))
+        out, at = [], int(np.searchsorted(now[ready], cooled))
+        while at < len(ready):
+            i = ready[at]
+            out.append(i)
+            cooled = int(now[i]) + self.cool
+            at = max(at + 1, int(np.searchsorted(now[ready], cooled)))
+        self.counts.update((int(requests[-1]), int(errors[-1]), int(s403[-1]), int(s429[-1]), cooled))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+        last = max(int(now[-1]) // 1000, int(timerValues.getCurrentWatermarkInMs()))
+        self.handle.registerTimer(last + self.idle // 1000)
+        names = np.array(["Errors", "Status403", "Status429"], object)
+        columns = {"scan_url": pd.Series([key[0]] * len(out), dtype=object), "trigger": pd.Series(names[kind[out]] if out else [], dtype=object)}
+        yield pd.DataFrame(columns | {"ts": batch["ts"].to_numpy()[out], "requests": requests[out]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.counts.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def policy_triggers(stream: DataFrame, threads: int = 50, timeout: float = 7.0, delay: str = "10 minutes", idle: float = 3600.0) -> DataFrame:
+    """A row whenever a scan's running counts trigger a policy, at most once per cool-down of min(timeout / 2, 30) s.
+
+    Rows later than the watermark are dropped. A scan whose last request lies `idle` seconds behind the watermark leaves the
+    state, and begins anew if it comes back. A scan's rows of one micro-batch are held in a worker.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # timers need it
     rows = stream.select("scan_url", "event_id", "ts", "status", "error").withWatermark("ts", delay)
-    return rows.groupBy("scan_url").applyInPandasWithState(step, _OUT, _STATE, "append", "NoTimeout")
+    processor = Policies(threads, min(timeout / 2, 30.0), idle)
+    return rows.groupBy("scan_url").transformWithStateInPandas(processor, _OUT, "Append", "EventTime")
 
 
-def refreshed_vocabulary(key: str, terms_path: str, report: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch step: adds a micro-batch's term and document counts under its number, then reports scores so far.
+def landed_terms(key: str, path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch step: writes a micro-batch's sums per term (documents, sum of shares) and its number of documents.
 
-    Rows of a batch that runs again replace those of its first try.
+    A batch that runs again replaces what its first try wrote.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        term_counts(batch, key).write.mode("overwrite").parquet(f"{terms_path}/terms/batch={number}")
-        batch.agg(F.count("*").alias("docs")).write.mode("overwrite").parquet(f"{terms_path}/docs/batch={number}")
-        counts, sizes = (spark.read.parquet(f"{terms_path}/{part}").where(F.col("batch") <= number) for part in ("terms", "docs"))
-        docs = sizes.agg(F.sum("docs").alias("docs"))
-        scored = counts.groupBy("term").agg(F.count("*").alias("df"), F.avg(F.col("n") / F.col("n_terms")).alias("tf")).join(F.broadcast(docs))
-        report(scored.select("term", "df", (F.col("tf") * F.log10(F.col("docs") / F.col("df"))).alias("score")).where("score > 0"))
+        counts = term_counts(batch, key).groupBy("term").agg(F.count("*").alias("df"), F.sum(F.col("n") / F.col("n_terms")).alias("tf"))
+        counts.write.mode("overwrite").parquet(f"{path}/terms/{number}")
+        batch.agg(F.count("*").alias("docs")).write.mode("overwrite").parquet(f"{path}/docs/{number}")
 
     return step
+
+
+def merged_terms(spark: SparkSession, path: str) -> DataFrame:
+    """(term, df, tf): sums so far of the terms that a batch of landed sums changes; the state store merges them by term."""
+    landed = spark.readStream.schema("term string, df long, tf double").parquet(f"{path}/terms/*")
+    return landed.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+
+
+def term_scores(sums: DataFrame, docs: int) -> DataFrame:
+    """(term, df, score) of sums per term over `docs` documents, scores above 0."""
+    score = F.col("tf") / F.col("df") * F.log10(F.lit(docs) / F.col("df"))
+    return sums.select("term", "df", score.alias("score")).where("score > 0")
