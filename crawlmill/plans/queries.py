@@ -796,10 +796,10 @@ def _site_deny(spark, sf_dir):
 
 @query()
 def r5_discover(spark, sf_dir):
-    """Discovery under rules, a deny list and a wildcard directory (`de`)."""
+    """Discovery under rules, a deny list and a wildcard directory named `de`."""
     table = rules.rule_table(spark, [r for kind, values in _SITE_RULES for r in rules.rule_rows(kind, values)])
     _, words, _ = _places(spark, sf_dir)
-    wildcards = spark.createDataFrame([("http://any/de/x/", "GET")], "url string, method string")
+    wildcards = spark.createDataFrame([("http://any/de/", "GET")], "url string, method string")
     return discovery.discover(_site(spark, sf_dir), _ranked_targets(spark, sf_dir), words, ["/"], rules=table, deny=_site_deny(spark, sf_dir), wildcards=wildcards)
 
 
