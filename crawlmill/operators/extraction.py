@@ -38,6 +38,18 @@ def robots_paths(pages: DataFrame, key: str, text: str = "text", crlf: bool = Fa
     return pages.select(key, F.explode(F.regexp_extract_all(t, F.lit("(?dm)" + ROBOTS_PATHS), 1)).alias("link"))
 
 
+def all_links(pages: DataFrame, robots: DataFrame, key: str, html: str = "text", text: str = "text") -> DataFrame:
+    """(key, link), distinct: links of attributes, of script text, of directory listings, and paths of robots files.
+
+    The HTML pass runs once for attributes and listings; robots has key and text.
+    """
+    facts = written(html_facts(pages, key, html), "html-facts")
+    attributes = facts.select(key, F.inline("links")).select(key, F.col("value").alias("link"))
+    listed = facts.join(listing_kind(facts, key).where("kind is not null").select(key), key, "left_semi").select(key, F.explode("anchors.href").alias("link"))
+    found = attributes.unionByName(script_links(pages, key, html)).unionByName(listed).unionByName(robots_paths(robots, key, text))
+    return found.where("link is not null").distinct()
+
+
 def sub_paths(link: Column) -> Column:
     """The cleaned path without slashes at its ends, then each parent with a slash at its end."""
     t = F.regexp_replace(F.regexp_replace(F.trim(link), "^/+", ""), r"(?U)\s", "")

@@ -560,16 +560,28 @@ _SCRIPT_ROWS = f"x2 AS (SELECT page_id, regexp_replace(regexp_replace(m, '^[''\"
 _ATTR_ROWS = "x1 AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\\b[^>]*?\\shref=\"([^\"]*)\"', 1)) AS link FROM pages)"
 
 
-@query(f"WITH {_SCRIPT_ROWS}, {_ATTR_ROWS} SELECT page_id, link FROM x1 UNION SELECT page_id, link FROM x2")
+def _robots(spark, sf_dir):
+    """A robots file for each page, which names its path."""
+    p = F.regexp_extract("url", r"^[a-z]+://[^/]+([^?#]*)", 1)
+    robots = F.concat(F.lit("User-agent: *\nDisallow: "), p, F.lit(" # no\nallow : /a$\nDisallow:"))
+    return A.table(spark, sf_dir, "pages").select("page_id", robots.alias("text"))
+
+
+_ROBOTS = "'User-agent: *' || chr(10) || 'Disallow: ' || regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) || ' # no' || chr(10) || 'allow : /a$' || chr(10) || 'Disallow:'"
+_ROBOTS_ROWS = f"""l3 AS (SELECT page_id, unnest(string_split(t, chr(10))) AS l FROM (SELECT page_id, {_ROBOTS} AS t FROM pages)),
+x3 AS (SELECT page_id, regexp_extract(l, '^[ \\t]*(?:allow|disallow)[ \\t]*:[ \\t]*([^ \\t\\r\\n#$]*)', 1, 'i') AS link FROM l3 WHERE regexp_matches(l, '^[ \\t]*(allow|disallow)[ \\t]*:', 'i'))"""
+
+
+@query(f"WITH {_SCRIPT_ROWS}, {_ATTR_ROWS}, {_ROBOTS_ROWS} SELECT page_id, link FROM x1 UNION SELECT page_id, link FROM x2 UNION SELECT page_id, link FROM x3")
 def d1_link_union(spark, sf_dir):
-    p = A.table(spark, sf_dir, "pages")
-    return extraction.attribute_links_native(p, "page_id", "html").unionByName(extraction.script_links(p, "page_id", "html")).distinct()
+    """All four sources; links of listings are attribute links too."""
+    return extraction.all_links(A.table(spark, sf_dir, "pages"), _robots(spark, sf_dir), "page_id", "html")
 
 
 @query(f"WITH {_SCRIPT_ROWS}, {_ATTR_ROWS} SELECT page_id, link FROM x2 EXCEPT SELECT page_id, link FROM x1")
 def d2_link_difference(spark, sf_dir):
     p = A.table(spark, sf_dir, "pages")
-    return extraction.script_links(p, "page_id", "html").distinct().join(extraction.attribute_links_native(p, "page_id", "html"), ["page_id", "link"], "left_anti")
+    return extraction.script_links(p, "page_id", "html").distinct().join(extraction.attribute_links(p, "page_id", "html").select("page_id", "link"), ["page_id", "link"], "left_anti")
 
 
 @query(f"""WITH u AS (SELECT {_FILE_URL} AS url FROM pages), p AS (SELECT list_filter(string_split(string_split({A.PATH.format('url')}, '/')[-1], '.'), lambda x: x <> '') AS parts FROM u)
@@ -675,15 +687,16 @@ def x2_script_links(spark, sf_dir):
     return extraction.script_links(A.table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-_ROBOTS = "'User-agent: *' || chr(10) || 'Disallow: ' || regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) || ' # no' || chr(10) || 'allow : /a$' || chr(10) || 'Disallow:'"
+@query(f"WITH {_ROBOTS_ROWS} SELECT page_id, link FROM x3")
+def x3_robots_paths(spark, sf_dir):
+    return extraction.robots_paths(_robots(spark, sf_dir), "page_id")
 
 
-@query(f"""WITH r AS (SELECT page_id, {_ROBOTS} AS t FROM pages), l AS (SELECT page_id, unnest(string_split(t, chr(10))) AS l FROM r)
-SELECT page_id, regexp_extract(l, '^[ \\t]*(?:allow|disallow)[ \\t]*:[ \\t]*([^ \\t\\r\\n#$]*)', 1, 'i') AS link FROM l WHERE regexp_matches(l, '^[ \\t]*(allow|disallow)[ \\t]*:', 'i')""")
-def x3_robots_paths(spark, sf_dir):
-    p = F.regexp_extract("url", r"^[a-z]+://[^/]+([^?#]*)", 1)
-    robots = F.concat(F.lit("User-agent: *\nDisallow: "), p, F.lit(" # no\nallow : /a$\nDisallow:"))
-    return extraction.robots_paths(A.table(spark, sf_dir, "pages").select("page_id", robots.alias("text")), "page_id")
+def _written_pages(spark, sf_dir):
+    """Pages some of which have their links in upper case and single quotes, or with entities; the links are the same."""
+    turned = F.regexp_replace("html", r'<a\b([^>]*?)\shref="([^"\']*)"', "<A$1 HREF = '$2'")
+    spelt = F.regexp_replace("html", r'(<a\b[^>]*?\shref=")/', "$1&#47;")
+    return A.table(spark, sf_dir, "pages").withColumn("html", F.when(F.col("page_id") % 3 == 1, turned).when(F.col("page_id") % 3 == 2, spelt).otherwise(F.col("html")))
 
 
 _SUB = f"""sub AS (SELECT page_id, src, list_filter(list_transform(string_split(CASE WHEN contains(t, '?') THEN regexp_extract(t, '^([^?]*)', 1) ELSE regexp_extract(t, '^([^#]*)', 1) END, '/'),
@@ -694,7 +707,7 @@ _SUB_ROWS = """subs AS (SELECT page_id, src, array_to_string(parts, '/') AS sub
 
 @query(f"""WITH {_ATTR_ROWS}, base AS (SELECT page_id, '' AS src, regexp_replace(regexp_replace(trim(link), '^/+', ''), '\\s', '', 'g') AS t FROM x1), {_SUB}, {_SUB_ROWS} SELECT page_id, sub FROM subs""")
 def x4_sub_paths(spark, sf_dir):
-    links = extraction.attribute_links_native(A.table(spark, sf_dir, "pages"), "page_id", "html")
+    links = extraction.attribute_links(_written_pages(spark, sf_dir), "page_id", "html")
     return links.select("page_id", F.explode(extraction.sub_paths(F.col("link"))).alias("sub"))
 
 
@@ -707,7 +720,7 @@ found AS (SELECT DISTINCT src AS url, regexp_extract(regexp_extract(src, '^([^?#
 
 def _links(spark, sf_dir):
     pages = A.table(spark, sf_dir, "pages")
-    links = extraction.attribute_links_native(pages, "page_id", "html")
+    links = extraction.attribute_links(_written_pages(spark, sf_dir), "page_id", "html").select("page_id", "link")
     return links.join(pages.select("page_id", "url"), "page_id")
 
 
