@@ -35,6 +35,19 @@ def near_pairs(signatures: DataFrame, key: str, distance: int = NEAR_DISTANCE) -
     return named.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "distance")
 
 
+def near_between(left: DataFrame, right: DataFrame, key: str, distance: int = NEAR_DISTANCE, column: str = "signature") -> DataFrame:
+    """(a, b, distance): the smallest keys of signature classes of left and of right that are at most `distance` bits apart.
+
+    Classes of either table meet where they agree on a choice of blocks; equal signatures are 0 bits apart.
+    """
+    x, y = (df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias(s)).agg(F.min(key).alias(k)) for df, s, k in ((left, "s", "a"), (right, "t", "b")))
+    x, y = x.select("s", "a", blocks(F.col("s"), distance)), y.select("t", "b", blocks(F.col("t"), distance))
+    xor, near = F.col("s").bitwiseXOR(F.col("t")), hamming(F.col("s"), F.col("t"))
+    agree = F.array(*[xor.bitwiseAND(F.lit(m)) == 0 for m in block_masks(distance)])
+    pairs = x.join(y, ["block", "part"]).where(near <= distance)
+    return pairs.where(F.array_position(agree, F.lit(True)) == F.col("block") + 1).select("a", "b", near.alias("distance"))
+
+
 def membership(signatures: DataFrame, key: str) -> DataFrame:
     """(key, representative): the smallest key of equal signatures."""
     reps = signatures.groupBy("signature").agg(F.min(key).alias("representative"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,25 +82,27 @@ def m3_word_count(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", measures.word_count(F.col("text")).alias("word_count"))
 
 
-@query(r"""WITH a AS (SELECT page_id, regexp_replace(html, '[^\x00-\x7F]', '?', 'g') AS t FROM pages)
-SELECT page_id, substr(t, 1, 2000) AS text, strlen(t) > 2000 AS truncated FROM a""")
+@query(r"""WITH k AS (SELECT page_id, html, (SELECT max(k) FROM (SELECT unnest(range(0, 2001)) AS k) WHERE strlen(substr(html, 1, k)) <= 2000) AS k FROM pages),
+t AS (SELECT page_id, html, substr(html, 1, k) AS t FROM k)
+SELECT page_id, t || CASE WHEN strlen(html) > 2000 AND strlen(t) < 2000 THEN chr(65533) ELSE '' END AS text, strlen(html) > 2000 AS truncated FROM t""")
 def m4_size_cap(spark, sf_dir):
-    body = A.table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", r"[^\x00-\x7F]", "?").cast("binary").alias("body"))
+    """The first 2,000 bytes of each page; a character that is cut becomes one replacement character."""
+    body = A.table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("body"))
     return body.select("page_id", measures.capped_text(F.col("body"), 2000).alias("text"), measures.is_truncated(F.col("body"), 2000).alias("truncated"))
 
 
-
 def _files():
+    """Page urls with a file's name at the end of their path; query strings and fragments stay."""
     ends = F.array(*[F.lit(x) for x in ("", ".js", "/a.tar.gz", "/.bash_history", ".php?x=1.2")])
-    return F.concat("url", F.element_at(ends, (F.col("page_id") % 5 + 1).cast("int")))
+    bare, rest = (F.regexp_extract("url", p, 1) for p in ("^([^?#]*)", "([?#].*)$"))
+    return F.concat(bare, F.element_at(ends, (F.col("page_id") % 5 + 1).cast("int")), rest)
 
 
-_FILE_URL = r"regexp_replace(url, '[?#].*', '') || CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '.js' WHEN 2 THEN '/a.tar.gz' WHEN 3 THEN '/.bash_history' ELSE '.php?x=1.2' END"
+_FILE_URL = r"(regexp_extract(url, '^([^?#]*)', 1) || CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '.js' WHEN 2 THEN '/a.tar.gz' WHEN 3 THEN '/.bash_history' ELSE '.php?x=1.2' END || regexp_extract(url, '([?#].*)$', 1))"
 
 
 def _file_urls(spark, sf_dir):
-    bare = A.table(spark, sf_dir, "pages").withColumn("url", F.regexp_replace("url", "[?#].*", ""))
-    return bare.select("page_id", _files().alias("url"))
+    return A.table(spark, sf_dir, "pages").select("page_id", _files().alias("url"))
 
 
 @query(f"""WITH u AS (SELECT page_id, {_FILE_URL} AS url FROM pages),
@@ -165,11 +168,10 @@ def _raw():
 _RAW_SQL = "CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN url || '/../x' WHEN 2 THEN 'mailto:user@example.com' WHEN 3 THEN url || '/%2E%2e/x' ELSE '../../stuff' END"
 
 
-@query(f"""WITH u AS (SELECT page_id, {_RAW_SQL.replace('url', "regexp_replace(url, '[?#].*', '')")} AS u FROM pages)
+@query(f"""WITH u AS (SELECT page_id, {_RAW_SQL} AS u FROM pages)
 SELECT page_id, {A.HOST.format('u')} <> '' AS is_valid_url, {' OR '.join(f"contains(lower({A.PATH.format('u')}), '{s}')" for s in TRAVERSAL_SIGNS)} AS has_traversal FROM u""")
 def m12_raw_path(spark, sf_dir):
-    bare = A.table(spark, sf_dir, "pages").withColumn("url", F.regexp_replace("url", "[?#].*", "")).select("page_id", _raw().alias("u"))
-    return bare.select("page_id", urls.is_valid(F.col("u")).alias("is_valid_url"), urls.has_traversal(F.col("u")).alias("has_traversal"))
+    return A.table(spark, sf_dir, "pages").select("page_id", _raw().alias("u")).select("page_id", urls.is_valid(F.col("u")).alias("is_valid_url"), urls.has_traversal(F.col("u")).alias("has_traversal"))
 
 
 @query(f"WITH {A.RESP} SELECT page_id, status IN ({_list(STATUS_CODES)}) AS by_codes, status NOT IN (404, 500) AS by_filter FROM resp")
@@ -359,8 +361,10 @@ def j6_rules_join(spark, sf_dir):
 
 
 @query()
-def j7_near_self_join(spark, sf_dir):
-    return near_duplicates.near_pairs(written(_signed_docs(spark, sf_dir), "signatures"), "doc_id")
+def j7_near_join(spark, sf_dir):
+    """Documents of one half of the ids near to documents of the other half."""
+    signed = written(_signed_docs(spark, sf_dir), "signatures")
+    return near_duplicates.near_between(signed.where("doc_id % 2 = 0"), signed.where("doc_id % 2 = 1"), "doc_id")
 
 
 _PARENT = f"string_split({A.PATH.format(chr(39).join(['rtrim(url, ', '/', ') || ', '/', '']))}, '/')[-2]"
@@ -898,8 +902,28 @@ def k2_report_lines(spark, sf_dir):
     return sinks.report_lines(A.measured_pages(spark, sf_dir).withColumn("truncated", F.col("page_id") % 7 == 0), location=F.col("location"))
 
 
-@query(f"WITH {A.RESP} SELECT page_id, url, status FROM resp")
+_STATE_RULES = [{"filter_code": 404}, {"word_count": 7}, {"raw_string": "x+"}]
+
+
+@query(f"""WITH {A.RESP}, {A.SCANS}, e AS (SELECT DISTINCT 's' || status AS x FROM resp)
+SELECT 'scans' AS part, url || ' ' || status AS item FROM scans UNION ALL SELECT 'responses', url || ' ' || status || ' ' || content_length FROM resp
+UNION ALL SELECT 'collected_extensions', x FROM e UNION ALL SELECT 'statistics', 'requests ' || count(*) FROM resp
+UNION ALL SELECT unnest(['rules', 'rules', 'rules']), unnest(['status 404', 'words 7', 'regex x+'])""")
 def k3_state(spark, sf_dir):
+    """All five parts of a state, written in files of 40 rows and read again."""
     path = shared_path(spark, "run-state")
-    sinks.write_state(path, scans=A.scans_pages(spark, sf_dir), responses=A.measured_pages(spark, sf_dir))
-    return spark.read.parquet(f"{path}/responses").select("page_id", "url", "status")
+    pages = A.measured_pages(spark, sf_dir)
+    plain = {"type": F.lit("response"), "path": urls.path(F.col("url")), "wildcard": F.lit(False), "headers": F.create_map().cast("map<string,string>"), "extension": F.lit(""), "truncated": F.lit(False)}
+    responses = pages.withColumns(plain).select("type", "url", "original_url", "path", "wildcard", "status", "method", "content_length", "line_count", "word_count", "headers", "extension", "truncated", "timestamp")
+    table = spark.createDataFrame(_STATE_RULES, "filter_code int, word_count long, raw_string string")
+    extensions = pages.select(F.concat(F.lit("s"), F.col("status").cast("string")).alias("extension")).distinct()
+    sinks.write_state_files(path, 40, scans=A.scans_pages(spark, sf_dir), responses=responses, filters=table, collected_extensions=extensions, statistics=pages.agg(F.count("*").alias("requests")))
+    state = readers.read_state_files(spark, path)
+    rule = F.concat("kind", F.lit(" "), F.coalesce(F.col("filter_code").cast("string"), F.col("word_count").cast("string"), "regex"))
+    items = {
+        "scans": state.scans.select(F.concat_ws(" ", "url", "status").alias("item")), "collected_extensions": state.collected_extensions.select(F.col("extension").alias("item")),
+        "responses": state.responses.select(F.concat_ws(" ", "url", "status", "content_length").alias("item")), "rules": state.rules.select(rule.alias("item")),
+        "statistics": state.statistics.select(F.concat_ws(" ", F.lit("requests"), "requests").alias("item")),
+    }
+    found = [df.select(F.lit(name).alias("part"), "item") for name, df in items.items()]
+    return reduce(DataFrame.unionByName, found)

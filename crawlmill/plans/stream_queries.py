@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlmill.functions import measures
+from crawlmill.functions import measures, urls
 from crawlmill.operators import rules
 from crawlmill.plans import adapters as A
 from crawlmill.plans.queries import _COARSE, _FILE_URL, _HIT_SQL, _RUNNING, _SCRIPT_ROWS, _TERMS, _WILD_HIT, _WILD_SQL, _files, _hit_rules, _wild_rules, query
+from crawlmill.sources import sinks
 from crawlmill.storage import shared_path
 from crawlmill.streaming import runs, streams
 
@@ -77,7 +78,7 @@ def st5_unseen_links(spark, sf_dir):
 @query(f"""WITH u AS (SELECT {_FILE_URL} AS url FROM pages), p AS (SELECT list_filter(string_split(string_split({A.PATH.format('url')}, '/')[-1], '.'), lambda x: x <> '') AS parts FROM u)
 SELECT DISTINCT parts[-1] AS extension FROM p WHERE len(parts) > 1""")
 def st5_unseen_extensions(spark, sf_dir):
-    rows = _pages(spark, sf_dir).withColumn("url", F.regexp_replace("url", "[?#].*", "")).select("ts", _files().alias("url"))
+    rows = _pages(spark, sf_dir).select("ts", _files().alias("url"))
     return runs.appended(streams.unseen_extensions(rows).select("extension"), "st5-extensions").distinct()
 
 
@@ -109,3 +110,13 @@ s AS (SELECT scan_url, ts, sum(fresh) OVER (PARTITION BY scan_url ORDER BY ts RO
 def st7_sessions(spark, sf_dir):
     found = streams.scan_sessions(_log(spark, sf_dir), "12 hours", "1 second")
     return runs.sessions(found.select("session_window", "scan_url", "requests"), "st7-sessions").select("scan_url", F.col("session_window.start").alias("since"), "requests")
+
+
+@query()
+def k1_streamed_json(spark, sf_dir):
+    """K1 over a stream of pages: what the streaming sink writes."""
+    path = shared_path(spark, "k1")
+    pages = measures.with_measures(A.page_rows(_stream(spark, sf_dir, "pages"))).drop("text")
+    empty = {"path": urls.path(F.col("url")), "wildcard": F.lit(False), "headers": F.create_map().cast("map<string,string>"), "extension": urls.extension(F.col("url")), "truncated": F.lit(False)}
+    sinks.stream_responses(pages.withColumns(empty), path, f"{path}-state").awaitTermination()
+    return spark.read.text(path)

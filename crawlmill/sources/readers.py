@@ -91,6 +91,17 @@ def read_state(spark: SparkSession, path: str) -> State:
     return State(scans, _with_defaults(whole.select(F.inline("responses"))), whole.select("statistics.*"), whole.select(F.explode("collected_extensions").alias("extension")), rules.select(*[x.split()[0] for x in RULE_SCHEMA.split(", ")]))
 
 
+def read_state_files(spark: SparkSession, path: str) -> State:
+    """A state of write_state_files; an error where its manifest is missing or counts other rows than its parts have."""
+    manifest = {r["part"]: r["rows"] for r in spark.read.schema("part string, rows long").json(f"{path}/manifest").collect()}  # five at most
+    state = read_state(spark, f"{path}/parts/*")
+    there = {"scans": state.scans, "responses": state.responses, "collected_extensions": state.collected_extensions}
+    for name, table in there.items():
+        if table.count() != manifest.get(name, 0):
+            raise ValueError(f"{path}: {name} has not the {manifest.get(name, 0)} rows of the manifest")
+    return State(state.scans, state.responses, state.statistics.where(F.col("requests").isNotNull()), state.collected_extensions, state.rules)
+
+
 def words_of(lines: DataFrame, value: str = "value") -> DataFrame:
     """(pos, word) of lines in (part, line) order: no empty and no # lines, leading slashes off, an empty word first.
 

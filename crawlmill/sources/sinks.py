@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from crawlmill.functions import measures
 
@@ -20,6 +21,14 @@ def write_responses(responses: DataFrame, path: str) -> None:
     response_json(responses).write.text(path)
 
 
+def stream_responses(responses: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Start writing a stream of responses as write_responses does; a restart with the same checkpoint goes on where it stopped.
+
+    Takes what has landed and ends; files that a failed batch left are not part of the log that readers of the folder follow.
+    """
+    return response_json(responses).writeStream.format("text").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+
+
 def report_line(location: Column | None = None) -> Column:
     """status, method, lines, words and bytes in columns, then the url, with `=> target` for redirects."""
     target = measures.redirect_target(F.col("status"), F.col("url"), location) if location is not None else F.lit(None).cast("string")
@@ -43,6 +52,28 @@ def write_state(path: str, **tables: DataFrame) -> None:
         table.write.parquet(f"{path}/{name}")
 
 
+#: Rows that one file of a state's part holds.
+CHUNK_ROWS = 10_000
+
+
+def write_state_files(path: str, chunk_rows: int = CHUNK_ROWS, **parts: DataFrame) -> None:
+    """A run's state as nested JSON of any size: parts are those of state_json, in its columns.
+
+    Each file is an object with some rows of one part, at most about chunk_rows; a manifest with each part's number of rows
+    comes last, so a state without one is incomplete. read_state_files takes the objects as one state.
+    """
+    sizes = {}
+    for name, rows in parts.items():
+        sizes[name] = rows.count()
+        item = F.col(rows.columns[0]) if name == "collected_extensions" else F.struct(*rows.columns)
+        dealt = rows.select(item.alias("item")).repartition(max(1, -(-sizes[name] // chunk_rows))).groupBy(F.spark_partition_id().alias("chunk"))
+        value = F.first("item") if name == "statistics" else F.collect_list("item")
+        written = dealt.agg(value.alias(name)).select(F.to_json(F.struct(name)).alias("value"))
+        written.write.option("maxRecordsPerFile", 1).text(f"{path}/parts/{name}")
+    spark = next(iter(parts.values())).sparkSession
+    spark.createDataFrame([*sizes.items()], "part string, rows long").coalesce(1).write.json(f"{path}/manifest")
+
+
 def state_json(scans: DataFrame, responses: DataFrame, statistics: DataFrame, extensions: DataFrame, rules: DataFrame) -> DataFrame:
     """(value): a whole small state as one JSON object, for exports; large states go to write_state."""
     lists = [t.agg(F.collect_list(F.struct(*t.columns)).alias(n)) for n, t in (("scans", scans), ("responses", responses), ("filters", rules))]

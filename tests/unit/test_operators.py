@@ -313,3 +313,34 @@ def test_exclusion_of_a_host_with_many_rules(spark):
         if end == "/s/x" and n % 100 == 0 and n < 100_000:
             want.add(f"http://h/d{n}{end}")
     assert kept == want
+
+
+def test_state_files_of_any_size(spark, tmp_path):
+    scans = spark.range(95).selectExpr("concat('http://h/', id) AS url", "'Directory' AS scan_type", "'Running' AS status")
+    responses = spark.range(7).selectExpr("'response' AS type", "concat('http://h/', id) AS url", "200 AS status")
+    none = spark.createDataFrame([], "extension string")
+    path = str(tmp_path / "state")
+    sinks.write_state_files(path, 10, scans=scans, responses=responses, filters=spark.createDataFrame([(404,)], "filter_code int"), collected_extensions=none, statistics=spark.createDataFrame([(9,)], "requests long"))
+    assert len([*(tmp_path / "state/parts/scans").glob("part-*")]) >= 10
+    got = readers.read_state_files(spark, path)
+    assert got.scans.count() == 95 and got.responses.count() == 7 and got.collected_extensions.count() == 0
+    assert [r.kind for r in got.rules.collect()] == ["status"] and [r.requests for r in got.statistics.collect()] == [9]
+    next((tmp_path / "state/parts/responses").glob("part-*")).unlink()
+    with pytest.raises(Exception):
+        readers.read_state_files(spark, path)
+
+
+def test_coverage_counts_without_the_product(spark):
+    targets = spark.createDataFrame([("http://h",), ("http://h/a/",), ("http://h/a/",)], "target string")
+    words = spark.createDataFrame([("a",), ("b",), ("b",), ("",), ("http://x",)], "word string")
+    captured = spark.createDataFrame([("http://h/a", "GET"), ("http://h/a/b.php", "GET"), ("http://h/a/b.php", "POST"), ("http://h", "GET"), ("http://h/zz", "GET"), ("http://h/b", "PUT")], "url string, method string")
+    made = joins.candidates(targets, words, ["php"], ["GET", "POST"])
+    hit = captured.distinct().withColumnRenamed("url", "u").withColumnRenamed("method", "m")
+    want = made.join(hit, (F.col("url") == F.col("u")) & (F.col("method") == F.col("m")), "left").groupBy("target").agg(F.count("*").alias("expected"), F.count("m").alias("captured"))
+    assert rows(joins.coverage(targets, words, captured, ["php"], ["GET", "POST"])) == rows(want)
+
+
+def test_signatures_of_rows_that_share_a_key(spark):
+    docs = spark.createDataFrame([(1, "boats left early"), (1, "nobody waved"), (None, "boats left early"), (2, "")], "id long, text string")
+    got = sorted((r.id or 0, r.signature) for r in simhash.signatures(docs, "id").collect())
+    assert [i for i, _ in got] == [0, 1, 1] and len({s for _, s in got}) == 2

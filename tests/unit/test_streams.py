@@ -7,7 +7,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF
 from crawlmill.operators import aggregates, rules, windows
+from crawlmill.plans import queries as plans
+from crawlmill.plans import stream_queries  # noqa: F401  registers its queries
+from crawlmill.sources import sinks
 from crawlmill.streaming import streams
 
 LOG = "event_id long, ts timestamp, scan_url string, url string, method string, status int, error string"
@@ -163,3 +167,19 @@ def test_vocabulary_refreshes_at_its_cadence(spark):
         want[t] = (df, 0.5 * math.log10(12 / df))
     assert got == {k: pytest.approx(v) for k, v in want.items()}
     assert aggregates.refreshed_vocabulary(docs.limit(1), "id", ["id"]).collect() == []
+
+
+def test_streaming_sink_equals_the_batch_sink_after_a_restart(spark, tmp_path):
+    schema = "url string, original_url string, path string, wildcard boolean, status int, method string, content_length long, line_count long, word_count long, headers map<string,string>, extension string, truncated boolean, timestamp double"
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    for n in range(3):
+        rows = [(f"http://h/{n}/{i}", "http://h/", f"/{n}/{i}", False, 200, "GET", i, 1, 1, {"a": "b"}, None, False, float(i)) for i in range(5)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        sinks.stream_responses(streams.read_stream(spark, str(source), schema), out, str(tmp_path / "state")).awaitTermination()
+    got = sorted(r.value for r in spark.read.text(out).collect())
+    assert got == sorted(r.value for r in sinks.response_json(spark.read.schema(schema).parquet(str(source))).collect()) and len(got) == 15
+
+
+def test_k1_streams_what_the_batch_gives(spark):
+    found = [sorted(r.value for r in plans.queries()[n](spark, SF).collect()) for n in ("k1_streamed_json", "k1_response_json")]
+    assert found[0] == found[1] and found[0]
