@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from crawlmill.constants import BACKUP_SUFFIXES, IGNORED_EXTENSIONS, PATH_JUNK, PUNCTUATION, SCRIPT_LINKS, STATUS_CODES, STOP_WORDS, TRAVERSAL_SIGNS
 from crawlmill.functions import measures, simhash, text, urls
 from crawlmill.functions.html import html_facts
+from crawlmill.functions.sql import register_functions
 from crawlmill.operators import aggregates, discovery, extraction, joins, near_duplicates, rules, windows
 from crawlmill.plans import adapters as A
 from crawlmill.sources import readers, sinks
@@ -673,6 +674,17 @@ def u1_join(spark, sf_dir):
     return A.table(spark, sf_dir, "pages").select("page_id", urls.join(F.col("url"), link).alias("joined"))
 
 
+@query(f"""WITH p AS (SELECT page_id, {_FILE_URL} AS url FROM pages), s AS (SELECT page_id, {A.PATH.format('url')} AS path FROM p),
+n AS (SELECT *, list_filter(string_split(string_split(path, '/')[-1], '.'), lambda x: x <> '') AS parts FROM s)
+SELECT page_id, path, len(string_split(CASE WHEN suffix(path, '/') THEN path ELSE path || '/' END, '/')) - 1 AS depth, CASE WHEN len(parts) > 1 THEN parts[-1] END AS extension,
+  bit_count(xor(page_id * 2654435761, 77)) AS distance FROM n""")
+def u2_sql_functions(spark, sf_dir):
+    """The functions under their SQL names."""
+    register_functions(spark)
+    _file_urls(spark, sf_dir).createOrReplaceTempView("u2_pages")
+    return spark.sql("SELECT page_id, url_path(url) AS path, url_depth(url) AS depth, url_extension(url) AS extension, hamming64(page_id * 2654435761, 77) AS distance FROM u2_pages")
+
+
 # ---- extraction
 
 
