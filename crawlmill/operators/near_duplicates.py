@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,32 +55,48 @@ def membership(signatures: DataFrame, key: str) -> DataFrame:
     return signatures.join(reps, "signature").select(key, "representative")
 
 
-def unique_responses(signatures: DataFrame, order: str, distance: int = UNIQUE_DISTANCE) -> DataFrame:
-    """(order): rows that no earlier kept row is within `distance` bits of; `order` is unique and ascending.
+#: Pairs of a block whose rows one task decides in order.
+BLOCK_PAIRS = 1 << 20
+_UNDECIDED, _KEPT, _DROPPED = 0, 1, 2
 
-    The lexicographically first independent set: rounds keep what has no undecided earlier neighbour and drop the
-    neighbours of what was kept, each round written to the shared folder. Every row of the input has a signature; bodies
-    without one are a class apart and stay out of it.
+
+def _decided(table: pa.Table) -> pa.Table:
+    """What a block's rows become, in order: (v, state). table has u, v and the state of u where it is known from before."""
+    table = table.sort_by("v")
+    own: dict[int, int] = {}
+    for u, v, state in zip(table["u"].to_pylist(), table["v"].to_pylist(), table["state"].to_pylist()):
+        known = own.get(u, state)
+        if own.get(v) != _DROPPED:
+            own[v] = _DROPPED if known == _KEPT else _UNDECIDED if known == _UNDECIDED or own.get(v) == _UNDECIDED else _KEPT
+    return pa.table({"n": pa.array(own.keys(), pa.int64()), "state": pa.array(own.values(), pa.int32())})
+
+
+def unique_responses(signatures: DataFrame, order: str, distance: int = UNIQUE_DISTANCE, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
+    """(order): rows that no earlier kept row is within `distance` bits of; `order` is a unique whole number and ascends.
+
+    The lexicographically first independent set. Pairs lie in blocks by their later row, in order. In a round each block
+    decides all its rows that hang on decided rows or on others of the block, so a chain of neighbours in order takes as many
+    rounds as it crosses blocks; rows in random order hang on few others. Each round is written to the shared folder.
+    Every row of the input has a signature; bodies without one are a class apart and stay out of it.
     """
-    nodes = written(signatures.groupBy("signature").agg(F.min(order).alias("n")), "unique-nodes")
+    nodes = signatures.groupBy("signature").agg(F.min(order).cast("long").alias("n"))
     left, right = nodes.select(F.col("signature").alias("a"), F.col("n").alias("na")), nodes.select(F.col("signature").alias("b"), F.col("n").alias("nb"))
     pairs = class_pairs(signatures, distance).join(left, "a").join(right, "b")
     edges = written(pairs.select(F.least("na", "nb").alias("u"), F.greatest("na", "nb").alias("v")), "unique-edges")
-    kept = written(nodes.select("n").join(edges.select(F.col("v").alias("n")).distinct(), "n", "left_anti"), "unique-kept")
-    fresh = kept
-    while True:
-        dropped = edges.join(fresh.withColumnRenamed("n", "u"), "u", "left_semi").select(F.col("v").alias("n")).distinct()
-        dropped = written(dropped, "unique-dropped")
-        gone = dropped.unionByName(fresh)
-        edges = edges.join(gone.withColumnRenamed("n", "u"), "u", "left_anti").join(dropped.withColumnRenamed("n", "v"), "v", "left_anti")
-        edges = written(edges.select("u", "v"), "unique-edges")
-        # undecided: not kept, not dropped; free: no undecided earlier neighbour left
-        undecided = nodes.select("n").join(kept, "n", "left_anti").join(dropped, "n", "left_anti")
-        nodes = written(undecided.select("n"), "unique-nodes")
-        if nodes.isEmpty():
-            return kept.select(F.col("n").alias(order))
-        fresh = written(nodes.join(edges.select(F.col("v").alias("n")).distinct(), "n", "left_anti"), "unique-kept")
-        kept = kept.unionByName(fresh)
+    blocks_there = max(1, -(-edges.count() // block_pairs))
+    # rows without an earlier neighbour are kept from the start
+    first = edges.select("u").distinct().join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_anti").select(F.col("u").alias("n"), F.lit(_KEPT).alias("state"))
+    decided = written(first, "unique-decided")
+    edges = edges.repartitionByRange(blocks_there, "v").withColumn("block", F.spark_partition_id()).join(decided.withColumnRenamed("n", "u"), "u", "left")
+    open_edges = written(edges.select("u", "v", "block", F.coalesce("state", F.lit(_UNDECIDED)).alias("state")), "unique-open")
+    while not open_edges.isEmpty():
+        found = open_edges.groupBy("block").applyInArrow(_decided, "n long, state int").where(F.col("state") != _UNDECIDED)
+        found = written(found, "unique-decided")
+        decided = decided.unionByName(found)
+        rest = open_edges.join(found.select(F.col("n").alias("v")), "v", "left_anti").join(found.withColumnsRenamed({"n": "u", "state": "now"}), "u", "left")
+        open_edges = written(rest.select("u", "v", "block", F.coalesce("now", "state").alias("state")), "unique-open")
+    gone = decided.where(F.col("state") == _DROPPED).select("n")
+    return nodes.select("n").join(gone, "n", "left_anti").select(F.col("n").alias(order))
 
 
 def clusters(signatures: DataFrame, key: str, distance: int = NEAR_DISTANCE) -> DataFrame:

@@ -344,3 +344,34 @@ def test_signatures_of_rows_that_share_a_key(spark):
     docs = spark.createDataFrame([(1, "boats left early"), (1, "nobody waved"), (None, "boats left early"), (2, "")], "id long, text string")
     got = sorted((r.id or 0, r.signature) for r in simhash.signatures(docs, "id").collect())
     assert [i for i, _ in got] == [0, 1, 1] and len({s for _, s in got}) == 2
+
+
+@pytest.mark.parametrize("block_pairs", [1 << 20, 40])
+def test_unique_rows_of_chains_and_random_graphs(spark, block_pairs):
+    rnd = random.Random(6)
+
+    def check(signed):
+        kept = []
+        for n in sorted(signed):
+            if all(((signed[n] ^ signed[k]) & ((1 << 64) - 1)).bit_count() > 1 for k in kept):
+                kept.append(n)
+        df = spark.createDataFrame([*signed.items()], "id long, signature long")
+        assert sorted(r.id for r in near_duplicates.unique_responses(df, "id", 1, block_pairs).collect()) == kept
+
+    check({rnd.randrange(10**9): rnd.getrandbits(7) for _ in range(90)})
+    check({n: n ^ (n >> 1) for n in range(150)})  # a Gray code: each row is one bit from the next
+    check({5: 1 << 20, 6: 2 << 20})
+
+
+def test_a_long_chain_takes_few_jobs(spark):
+    chain = spark.range(10_000).selectExpr("id", "id ^ shiftright(id, 1) AS signature")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    kept = {r.id for r in near_duplicates.unique_responses(chain, "id", 1).collect()}
+    spark.sparkContext.setJobGroup("rest", "rest")
+    code = lambda n: n ^ n >> 1
+    want: set = set()
+    for n in range(10_000):
+        if code(n) not in want and not any(code(n) ^ 1 << b in want for b in range(14)):
+            want.add(code(n))
+    assert {code(n) for n in kept} == want
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) < 40
