@@ -17,8 +17,8 @@ from crawlmill.llm.common import Memory, hold_alone
 
 #: Fixed by the vocabulary: where a byte-level tokenizer cuts before its merges.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes that a worker remembers of pieces and their ids; characters cut at a time.
-MEMORY_BYTES, STEP = 48 << 20, 1 << 18
+#: Bytes that a worker remembers of pieces and their ids, and of those without special tokens; characters cut at a time.
+MEMORY_BYTES, PLAIN_MEMORY_BYTES, STEP = 48 << 20, 128 << 20, 1 << 18
 #: Texts with characters from here on are cut by the library's own pattern, whose version of Unicode differs.
 _OLD = "\u0220"
 #: Where the cuts below would part what belongs together: neighbouring white space, odd white space, and a full stop or
@@ -70,7 +70,7 @@ class PieceEncoder:
         self.blank = self.letters[ord(" ")]
         self.merge = self.tokenizer.model.tokenize
         self.stored = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size() + 1)]
-        self.pieces = Memory(self._piece, MEMORY_BYTES)
+        self.pieces = Memory(self._piece, PLAIN_MEMORY_BYTES if plain else MEMORY_BYTES)
 
     def _merged(self, spelt: str) -> bytes:
         """Ids of one pre-token, spelt in the vocabulary's letters, by the library's own model."""
