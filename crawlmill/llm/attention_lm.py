@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlmill.llm.common import broadcast_model, commonest, doc_remainder, hold_alone, load, short_batches, smallest_hashes, text_or_empty, written
+from crawlmill.llm.common import broadcast_model, commonest, destroy_model, doc_remainder, hold_alone, load, short_batches, smallest_hashes, text_or_empty, written
 from crawlmill.llm.encoding import byte_bpe_path, encoder
 
 #: Ids of a window that are context only, and ids that it scores.
@@ -442,7 +442,7 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None, fit_docs: int = F
     names = ["doc_id", "held_out", "n_words", "known", "base", "score", "rare", "row"]
     schema = "doc_id long, held_out boolean, n_words long, known long, base double, score double, rare array<struct<word: binary, times: long>>, row long"
     scored = written(rows.select("ids", "doc_id", "held_out", "n_words", "row").mapInArrow(run, schema), "lm-scores", "zstd")
-    model.destroy()  # the scores are written
+    destroy_model(model)  # the scores are written
     # a rare word that was learnt has a count; its tokens were added as if they had none
     rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.times").join(words, "word")
     more = rare.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.1) + 1)).alias("more_base"))

@@ -131,6 +131,12 @@ def broadcast_model(spark: SparkSession, model: object) -> Broadcast:
     return _models[-1]
 
 
+def destroy_model(model: Broadcast) -> None:
+    """Free driver and executors of a model that no plan needs any more; release_models leaves it alone from then on."""
+    _models[:] = [m for m in _models if m is not model]
+    model.destroy()
+
+
 def release_models() -> None:
     """Free the executors of models whose results are written."""
     for m in _models:
