@@ -15,7 +15,8 @@ def class_pairs(signatures: DataFrame, distance: int = NEAR_DISTANCE, column: st
     """(a, b, distance): pairs of distinct signatures, a < b, at most `distance` bits apart.
 
     Signatures meet where they agree on a choice of blocks. Equal signatures are one class, so copies cost nothing. A pair
-    is kept in the first choice on which it agrees, so no distinct is needed.
+    is kept in the first choice on which it agrees, so no distinct is needed. Spark takes the rows of all choices to be as
+    small as the signatures and would broadcast them, so the join is told to merge.
     """
     distinct = signatures.where(F.col(column).isNotNull()).select(F.col(column).alias("s")).distinct()
     cut = distinct.select("s", blocks(F.col("s"), distance))
@@ -23,7 +24,7 @@ def class_pairs(signatures: DataFrame, distance: int = NEAR_DISTANCE, column: st
     xor = F.col("a").bitwiseXOR(F.col("b"))
     agree = F.array(*[xor.bitwiseAND(F.lit(m)) == 0 for m in block_masks(distance)])
     near = hamming(F.col("a"), F.col("b"))
-    pairs = x.join(y, ["block", "part"]).where((F.col("a") < F.col("b")) & (near <= distance))
+    pairs = x.join(y.hint("merge"), ["block", "part"]).where((F.col("a") < F.col("b")) & (near <= distance))
     return pairs.where(F.array_position(agree, F.lit(True)) == F.col("block") + 1).select("a", "b", near.alias("distance"))
 
 
@@ -39,13 +40,13 @@ def near_pairs(signatures: DataFrame, key: str, distance: int = NEAR_DISTANCE) -
 def near_between(left: DataFrame, right: DataFrame, key: str, distance: int = NEAR_DISTANCE, column: str = "signature") -> DataFrame:
     """(a, b, distance): the smallest keys of signature classes of left and of right that are at most `distance` bits apart.
 
-    Classes of either table meet where they agree on a choice of blocks; equal signatures are 0 bits apart.
+    Classes of either table meet where they agree on a choice of blocks, by a merge join as in class_pairs; equal signatures are 0 bits apart.
     """
     x, y = (df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias(s)).agg(F.min(key).alias(k)) for df, s, k in ((left, "s", "a"), (right, "t", "b")))
     x, y = x.select("s", "a", blocks(F.col("s"), distance)), y.select("t", "b", blocks(F.col("t"), distance))
     xor, near = F.col("s").bitwiseXOR(F.col("t")), hamming(F.col("s"), F.col("t"))
     agree = F.array(*[xor.bitwiseAND(F.lit(m)) == 0 for m in block_masks(distance)])
-    pairs = x.join(y, ["block", "part"]).where(near <= distance)
+    pairs = x.join(y.hint("merge"), ["block", "part"]).where(near <= distance)
     return pairs.where(F.array_position(agree, F.lit(True)) == F.col("block") + 1).select("a", "b", near.alias("distance"))
 
 

@@ -107,7 +107,7 @@ def _similar(responses: DataFrame, rules: DataFrame, signature: str) -> DataFram
     found = own.where("false")
     for (cutoff,) in sorted(rules.where(f"cutoff between 0 and {WIDE_CUTOFF}").select("cutoff").distinct().collect()):
         of = rules.where(F.col("cutoff") == cutoff).select("hash", blocks(F.col("hash"), cutoff))
-        near = own.select("hit", blocks(F.col("hit"), cutoff)).join(of, ["block", "part"])
+        near = own.select("hit", blocks(F.col("hit"), cutoff)).join(of.hint("merge"), ["block", "part"])  # as in class_pairs
         found = found.unionByName(near.where(hamming(F.col("hit"), F.col("hash")) <= cutoff).select("hit"))
     wide = rules.where(f"cutoff > {WIDE_CUTOFF}")
     n = wide.count()
