@@ -16,7 +16,7 @@ from crawlmill.storage import written
 
 def attribute_links(pages: DataFrame, key: str, html: str = "text", tags: tuple[str, ...] = tuple(LINK_ATTRIBUTES)) -> DataFrame:
     """(key, tag, link) of the attributes that hold links, by the HTML pass."""
-    found = html_facts(pages, key, html).select(key, F.inline("links"))
+    found = html_facts(pages, key, html, ("links",)).select(key, F.inline("links"))
     return found.where(F.col("tag").isin(list(tags))).select(key, "tag", F.col("value").alias("link"))
 
 
@@ -107,8 +107,9 @@ def listing_kind(facts: DataFrame, key: str) -> DataFrame:
 def reachable(edges: DataFrame, targets: DataFrame, depth: int = 4) -> DataFrame:
     """(url, level): what links reach from the targets, each at its least number of steps, up to depth.
 
-    edges is (src_url, link), targets is (url). Each level is written to the shared folder.
+    edges is (src_url, link), targets is (url). Edges, which each level joins, and levels are written to the shared folder.
     """
+    edges = written(edges, "edges")
     seen = written(targets.select("url").distinct().withColumn("level", F.lit(0)), "reachable")
     frontier = seen
     for level in range(1, depth + 1):

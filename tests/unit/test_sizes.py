@@ -1,8 +1,5 @@
 """Steps whose memory or work must not grow faster than the input."""
 
-import random
-
-import pytest
 from pyspark.sql import functions as F
 
 from crawlmill.functions import html
@@ -19,3 +16,10 @@ def test_rows_of_all_block_choices_are_never_broadcast(spark):
     table = signed.where("id < 20").select(F.lit("similarity").alias("kind"), F.col("signature").alias("hash"), F.lit(3).alias("cutoff"))
     for df in (near_duplicates.class_pairs(signed), near_duplicates.near_between(signed.where("id < 500"), signed, "id"), rules._similar(signed, table, "signature")):
         assert "SortMergeJoin [block" in plan(df) and "BroadcastHashJoin [block" not in plan(df)
+
+
+def test_html_pass_holds_the_facts_of_few_pages(spark):
+    pages = spark.range(1000, numPartitions=1).select("id", F.format_string("<p>page %d <a href='/%d'>x</a>", "id", "id").alias("text"))
+    facts = html.html_facts(pages, "id", names=("links",))
+    assert facts.columns == ["id", "links"] and {r.links[0]["value"] for r in facts.collect()} == {f"/{i}" for i in range(1000)}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= html.BATCH_BYTES and html.TOGETHER <= 64
