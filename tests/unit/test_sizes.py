@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from crawlmill.functions import html
-from crawlmill.operators import near_duplicates, rules
+from crawlmill.operators import aggregates, discovery, near_duplicates, rules, windows
 from crawlmill.storage import written
 
 
@@ -23,3 +23,34 @@ def test_html_pass_holds_the_facts_of_few_pages(spark):
     facts = html.html_facts(pages, "id", names=("links",))
     assert facts.columns == ["id", "links"] and {r.links[0]["value"] for r in facts.collect()} == {f"/{i}" for i in range(1000)}
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= html.BATCH_BYTES and html.TOGETHER <= 64
+
+
+def test_refreshed_vocabulary_moves_no_texts_and_keeps_ties_apart(spark, monkeypatch):
+    moved = []
+    whole = windows.numbered
+    monkeypatch.setattr(aggregates, "numbered", lambda rows, *a: moved.append(rows.count()) or whole(rows, *a))
+    texts = ["boat wave"] * 20 + ["harbour boat"] * 9
+    for ids in (range(29), [None] * 29, [None, *range(27), 26]):
+        docs = spark.createDataFrame([*zip(ids, texts)], "id long, text string").selectExpr("*", "1 AS block", "2 AS _own")
+        moved.clear()
+        got = {r.term: r.df for r in aggregates.refreshed_vocabulary(docs.withColumn("key", F.monotonically_increasing_id()), "key", ["id"]).collect()}
+        assert moved and moved[0] <= 20
+        if ids[0] is None and ids[-1] is None:  # rows of one order: any five go
+            assert 15 <= got["wave"] <= 20
+        else:
+            assert got == {"wave": 20, "harbour": 4}
+
+
+def test_discovery_reads_what_was_captured_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(url):
+        reads.add(1)
+        return url
+
+    rows = [(f"http://t/{p}", "GET", 301, f"http://t/{p}/") for p in ("a", "a/a", "a/a/a")]
+    captured = spark.createDataFrame(rows, "url string, method string, status int, location string").withColumn("url", F.udf(seen, "string").asNondeterministic()("url"))
+    targets, words = spark.createDataFrame([(0, "http://t")], "pos long, target string"), spark.createDataFrame([("a",)], "word string")
+    found = discovery.discover(captured, targets, words)
+    assert sorted((r.url, r.level) for r in found.collect()) == [("http://t/a", 0), ("http://t/a/a", 1), ("http://t/a/a/a", 2)]
+    assert reads.value == 3
