@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crawlmill.constants import MAX_DEPTH
 from crawlmill.functions import measures, urls
-from crawlmill.operators.joins import captured_candidates, outside_wildcards, unseen_responses, unseen_scans
+from crawlmill.operators.joins import captured_candidates, named_cuts, outside_wildcards, unseen_responses, unseen_scans
 from crawlmill.operators.rules import excluded_urls, with_first_hit
 from crawlmill.storage import written
 
@@ -68,14 +68,18 @@ def discover(
     captured has url, method, status, location, and with rules their measures and text; targets (pos, target). Level by level:
     captured urls that are candidates of the frontier, and not excluded by `deny` (url), are found by equality; directories
     among them, outside wildcard directories (url, method) and not excluded, are the next frontier. Rules remove responses
-    from what is reported, not from recursion, unless `force` recurses into every reported response. Each level is written.
+    from what is reported, not from recursion, unless `force` recurses into every reported response. What all levels look up is
+    written once: captured responses, their urls cut before a word's name, targets and deny list; so is each level.
     """
+    targets = written(targets, "targets")
+    deny = written(deny, "deny") if deny is not None else None
+    get = written(captured.where("method = 'GET'"), "captured")
+    cuts = tuple(written(df, "cuts") for df in named_cuts(get, words, extensions))
     front = targets.select("target").distinct()
     known = targets.select(urls.normalized(F.col("target")).alias("url"))
     found = None
-    get = captured.where("method = 'GET'")
     for level in range(max_depth if max_depth > 0 else 64):
-        hits = captured_candidates(get, front, words, extensions)
+        hits = captured_candidates(get, front, words, extensions, cuts)
         if deny is not None:
             hits = excluded_urls(hits, deny, known)
         if found is not None:
