@@ -3,7 +3,9 @@
 A position's state is its id's embedding plus what it attends to in the window before it: products of query and key plus a bias by
 distance. The state's softmax mixes unigram distributions over the whole vocabulary, so the probability of an id takes
 one row of a table instead of a softmax over all ids, and still adds up to one. Weights are trained in numpy by Adam, the
-mixed distributions by online expectation-maximisation; what they lack is filled up by the counts of the whole corpus.
+mixed distributions by online expectation-maximisation, on every id of all training documents: tasks go on from common
+weights that a bounded number of documents gives, each through its own documents, and what they have learnt is merged.
+What is lacking is filled up by the counts of the whole corpus.
 
 A text is read in windows of CONTEXT + STRIDE ids that overlap by CONTEXT, many at a time under one mask, and each window scores its
 last STRIDE ids, so each id is scored once, with CONTEXT ids before it or all there are.
@@ -12,9 +14,11 @@ last STRIDE ids, so each id is scored once, with CONTEXT ids before it or all th
 from __future__ import annotations
 
 import io
+import itertools
+import math
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -22,16 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlmill.llm.common import broadcast_model, commonest, destroy_model, doc_remainder, hold_alone, load, short_batches, smallest_hashes, text_or_empty, written
+from crawlmill.llm.common import commonest, doc_remainder, hold_alone, load, scan_partitions, short_batches, smallest_hashes, text_or_empty, written
 from crawlmill.llm.encoding import byte_bpe_path, encoder
+from crawlmill.storage import read_whole, written_to
 
 #: Ids of a window that are context only, and ids that it scores.
 CONTEXT, STRIDE = 16, 16
-#: Documents that train the weights, those of smallest hash; of a longer one, spans of SPAN ids at even distances over all of it.
+#: Documents that the weights begin with, those of smallest hash; of a longer one, spans of SPAN ids at even distances over all of it.
 FIT_DOCS, FIT_SPANS, SPAN = 2000, 8, 256
 #: Windows of a training step, and steps; rates of Adam for weights and of Adagrad for embeddings.
 FIT_WINDOWS, FIT_STEPS = 64, 4000
 WEIGHT_RATE, EMBED_RATE = 0.02, 0.3
+#: Windows of a step of the pass over all training documents, and its rate of Adam.
+PASS_WINDOWS, PASS_RATE = 256, 0.002
+#: Tasks of that pass: at least so many, or one for so many ids; and ids of a block that weights are merged by.
+LEAST_TASKS, TASK_IDS, BLOCK = 12, 1 << 25, 256
 #: Sizes of states and keys, and distributions that are mixed.
 WIDTH, KEY, MIXED = 32, 16, 64
 #: Ids' worth of corpus counts that each mixed distribution is filled up with.
@@ -53,6 +62,7 @@ class Weights(NamedTuple):
     mix: np.ndarray  # WIDTH by MIXED
     bias: np.ndarray
     counts: np.ndarray  # ids by MIXED: expected counts of each distribution
+    squares: np.ndarray | None = None  # ids by WIDTH: sums of squared slopes, which slow embeddings down
 
 
 def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,74 +80,121 @@ def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, sums
 
 
-def train(spans: list[np.ndarray], shares: np.ndarray, steps: int = FIT_STEPS, seed: int = 0) -> Weights:
-    """Weights from stretches of ids; shares are the ids' shares of the corpus, none of them zero. No ids leave them untrained."""
-    rng, f, n_ids, length = np.random.default_rng(seed), np.float32, len(shares), CONTEXT + STRIDE
-    w = {"query": rng.normal(0, WIDTH**-0.5, (WIDTH, KEY)), "key": rng.normal(0, WIDTH**-0.5, (WIDTH, KEY)), "value": rng.normal(0, WIDTH**-0.5, (WIDTH, WIDTH))}
-    w |= {"distance": np.zeros(length), "mix": rng.normal(0, 0.3, (WIDTH, MIXED)), "bias": np.zeros(MIXED)}
-    w = {k: x.astype(f) for k, x in w.items()}
-    embed = rng.normal(0, 0.5, (n_ids, WIDTH)).astype(f)
-    counts = (200 * shares[:, None] * rng.gamma(0.3, 1 / 0.3, (n_ids, MIXED))).astype(f)
-    spans = [s for s in spans if len(s) > 1]
-    if not spans:
-        return Weights(embed, *w.values(), counts)
-    # each span is padded in front by its own first id, so that short spans have windows
-    flat = np.concatenate([np.append(np.full(max(0, length + 1 - len(s)), s[0]), s) for s in spans]).astype(np.int64)
-    sizes = np.maximum([len(s) for s in spans], length + 1)
-    begins = np.concatenate([np.arange(n - length) + o for n, o in zip(sizes.tolist(), (np.cumsum(sizes) - sizes).tolist())])
-    behind = np.subtract.outer(np.arange(length), np.arange(length))
-    causal, mask, behind = behind >= 0, np.where(behind >= 0, 0, -1e9).astype(f), np.maximum(behind, 0)
-    first, second = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}
-    squares, scale, root = np.full((n_ids, WIDTH), 1e-3, f), 1.0, f(KEY**-0.5)
-    for t in range(1, steps + 1):
-        window = flat[begins[rng.integers(0, len(begins), FIT_WINDOWS)][:, None] + np.arange(length + 1)]
+class Trainer:
+    """Weights in training: Adam for the small ones, Adagrad for embeddings, online expectation-maximisation for the mixed distributions."""
+
+    def __init__(self, weights: Weights, shares: np.ndarray):
+        f, length = np.float32, CONTEXT + STRIDE
+        self.shares = shares.astype(f)
+        self.embed, self.counts, self.squares = (np.array(x, f) for x in (weights.embed, weights.counts, weights.squares))
+        self.small = {"qkv": np.concatenate([weights.query, weights.key, weights.value], axis=1)}
+        self.small |= {k: np.array(getattr(weights, k), f) for k in ("distance", "mix", "bias")}
+        self.first, self.second = ({k: np.zeros_like(x) for k, x in self.small.items()} for _ in range(2))
+        behind = np.subtract.outer(np.arange(length), np.arange(length))
+        self.mask, self.behind = np.where(behind >= 0, 0, -1e9).astype(f), np.maximum(behind, 0)
+        # rows of counts are in units that grow where older counts fade
+        self.t, self.scale, self.total = 0, 1.0, self.counts.sum(axis=0)
+
+    def step(self, window: np.ndarray, rate: float, fade: float = 0.0) -> None:
+        """Learn from rows of ids, whose every id but the first is to be foretold; earlier counts lose the share `fade`."""
+        self.t += 1
+        t, f, w, n = self.t, np.float32, self.small, window.shape[1] - 1
+        root = f(KEY**-0.5)
         x, y = window[:, :-1], window[:, 1:].ravel()
-        e = embed[x]
-        q, k, v = e @ w["query"], e @ w["key"], e @ w["value"]
-        a, sums = _softmax(q @ k.transpose(0, 2, 1) * root + (w["distance"][behind] + mask))
+        e = self.embed[x]
+        qkv = e @ w["qkv"]
+        q, k, v = qkv[..., :KEY], qkv[..., KEY : 2 * KEY], qkv[..., 2 * KEY :]
+        a, sums = _softmax(q @ k.transpose(0, 2, 1) * root + (w["distance"][self.behind[:n, :n]] + self.mask[:n, :n]))
         a /= sums[..., None]
         h = e + a @ v
         pi, sums = _softmax(h @ w["mix"] + w["bias"])
         pi /= sums[..., None]
-        # rows of counts are in units that grow, which lets older counts fade
         if t % 50 == 1:
-            total = counts.sum(axis=0)
-        mixed = (counts[y] + f(PRIOR * scale) * shares[y, None].astype(f)) / (total + f(PRIOR * scale))
+            self.total = self.counts.sum(axis=0)
+        self.scale /= 1 - fade
+        prior = f(PRIOR * self.scale)
+        mixed = (self.counts[y] + prior * self.shares[y, None]) / (self.total + prior)
         r = pi * mixed.reshape(pi.shape)
         r /= r.sum(axis=-1, keepdims=True)
         # products are of one window each and then summed, so that they stay on the task's own core
         dz = (pi - r) / f(len(y))
         dh = dz @ w["mix"].T
-        da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
+        da = dh @ v.transpose(0, 2, 1)
         ds = a * (da - (a * da).sum(axis=-1, keepdims=True))
-        dq, dk = ds @ k * root, ds.transpose(0, 2, 1) @ q * root
-        turned = e.transpose(0, 2, 1)
-        slope = {name: (turned @ d).sum(axis=0) for name, d in (("query", dq), ("key", dk), ("value", dv))}
-        near = np.bincount(behind[causal], weights=ds.sum(axis=0)[causal], minlength=length).astype(f)
-        slope |= {"distance": near, "mix": (h.transpose(0, 2, 1) @ dz).sum(axis=0), "bias": dz.sum(axis=(0, 1))}
-        de = (dh + dq @ w["query"].T + dk @ w["key"].T + dv @ w["value"].T).reshape(-1, WIDTH) * f(length)
+        d = np.concatenate([ds @ k * root, ds.transpose(0, 2, 1) @ q * root, a.transpose(0, 2, 1) @ dh], axis=2)
+        near = np.bincount(self.behind[:n, :n].ravel(), (ds.sum(axis=0) * (self.mask[:n, :n] == 0)).ravel(), CONTEXT + STRIDE).astype(f)
+        slope = {"qkv": (e.transpose(0, 2, 1) @ d).sum(axis=0), "distance": near, "mix": (h.transpose(0, 2, 1) @ dz).sum(axis=0), "bias": dz.sum(axis=(0, 1))}
+        de = (dh + d @ w["qkv"].T).reshape(-1, WIDTH) * f(CONTEXT + STRIDE)
         ids, rows = _rows_by_id(x.ravel(), de)
-        squares[ids] += rows * rows
-        embed[ids] -= f(EMBED_RATE) * rows / np.sqrt(squares[ids])
-        rate = WEIGHT_RATE * min(1, t / 50) * (1 - 0.9 * t / steps)
+        squares = self.squares[ids] + rows * rows
+        self.squares[ids] = squares
+        self.embed[ids] -= f(EMBED_RATE) * rows / np.sqrt(squares)
         for name, g in slope.items():
-            first[name] += 0.1 * (g - first[name])
-            second[name] += 0.02 * (g * g - second[name])
-            w[name] -= (rate / (1 - 0.9**t) * first[name] / (np.sqrt(second[name] / (1 - 0.98**t)) + 1e-8)).astype(f)
-        if t > 1:
-            scale /= 1 - min(0.02, t**-0.7)
+            self.first[name] += 0.1 * (g - self.first[name])
+            self.second[name] += 0.02 * (g * g - self.second[name])
+            w[name] -= (rate / (1 - 0.9**t) * self.first[name] / (np.sqrt(self.second[name] / (1 - 0.98**t)) + 1e-8)).astype(f)
         ids, rows = _rows_by_id(y, r.reshape(-1, MIXED))
-        counts[ids] += rows * f(scale)
-        total = total + rows.sum(axis=0) * f(scale)
-        if scale > 1e6:
-            counts /= f(scale)
-            total, scale = total / f(scale), 1.0
-    return Weights(embed, *w.values(), counts / f(scale))
+        self.counts[ids] += rows * f(self.scale)
+        self.total = self.total + rows.sum(axis=0) * f(self.scale)
+        if self.scale > 1e6:
+            self.counts /= f(self.scale)
+            self.total, self.scale = self.total / f(self.scale), 1.0
+
+    def weights(self) -> Weights:
+        query, key, value = np.split(self.small["qkv"], [KEY, 2 * KEY], axis=1)
+        return Weights(self.embed, query, key, value, self.small["distance"], self.small["mix"], self.small["bias"], self.counts / np.float32(self.scale), self.squares)
+
+
+def untrained(shares: np.ndarray, seed: int = 0) -> Weights:
+    rng, f, n_ids = np.random.default_rng(seed), np.float32, len(shares)
+    query, key, value = (rng.normal(0, WIDTH**-0.5, (WIDTH, n)).astype(f) for n in (KEY, KEY, WIDTH))
+    mix, embed = rng.normal(0, 0.3, (WIDTH, MIXED)).astype(f), rng.normal(0, 0.5, (n_ids, WIDTH)).astype(f)
+    counts = (200 * shares[:, None] * rng.gamma(0.3, 1 / 0.3, (n_ids, MIXED))).astype(f)
+    return Weights(embed, query, key, value, np.zeros(CONTEXT + STRIDE, f), mix, np.zeros(MIXED, f), counts, np.full((n_ids, WIDTH), 1e-3, f))
+
+
+def train(spans: list[np.ndarray], shares: np.ndarray, steps: int = FIT_STEPS, seed: int = 0) -> Weights:
+    """Weights from stretches of ids; shares are the ids' shares of the corpus, none of them zero. No ids leave them untrained."""
+    rng, length = np.random.default_rng(seed), CONTEXT + STRIDE
+    spans = [s for s in spans if len(s) > 1]
+    if not spans:
+        return untrained(shares, seed)
+    # each span is padded in front by its own first id, so that short spans have windows
+    flat = np.concatenate([np.append(np.full(max(0, length + 1 - len(s)), s[0]), s) for s in spans]).astype(np.int64)
+    sizes = np.maximum([len(s) for s in spans], length + 1)
+    begins = np.concatenate([np.arange(n - length) + o for n, o in zip(sizes.tolist(), (np.cumsum(sizes) - sizes).tolist())])
+    trainer = Trainer(untrained(shares, seed), shares)
+    for t in range(1, steps + 1):
+        window = flat[begins[rng.integers(0, len(begins), FIT_WINDOWS)][:, None] + np.arange(length + 1)]
+        trainer.step(window, WEIGHT_RATE * min(1, t / 50) * (1 - 0.9 * t / steps), min(0.02, t**-0.7) if t > 1 else 0.0)
+    return trainer.weights()
+
+
+def train_on(weights: Weights, shares: np.ndarray, batches: Iterable[list[np.ndarray]], end: int) -> tuple[Weights, np.ndarray]:
+    """`weights` trained once on each id of all texts and on the end after each, and how often each id was foretold or read.
+
+    Texts follow one another, parted by ends, in windows that share no id to be foretold; those of a batch come in random order.
+    """
+    rng, length = np.random.default_rng(0), CONTEXT + STRIDE
+    trainer, times, rest = Trainer(weights, shares), np.zeros(len(shares), np.int64), np.array([end], np.uint16)
+    stop = rest.copy()
+    for texts in batches:
+        ids = np.concatenate([rest, *(x for t in texts for x in (t, stop))])
+        n = (len(ids) - 1) // length
+        times += np.bincount(ids[1 : n * length + 1], minlength=len(times))
+        order = rng.permutation(n) * length
+        for i in range(0, n, PASS_WINDOWS):
+            trainer.step(ids[order[i : i + PASS_WINDOWS, None] + np.arange(length + 1)], PASS_RATE * min(1, (trainer.t + 1) / 50))
+        rest = ids[n * length :]
+    if len(rest) > 1:
+        times += np.bincount(rest[1:], minlength=len(times))
+        trainer.step(rest[None], PASS_RATE * min(1, (trainer.t + 1) / 50))
+    return trainer.weights(), times
 
 
 def _rows_by_id(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids in order, and the sums of their rows."""
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
     ids = ids[order]
     at = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     return ids[at], np.add.reduceat(rows[order], at, axis=0)
@@ -206,11 +263,52 @@ def _packed(weights: Weights) -> bytes:
     return out.getvalue()
 
 
-def _unpacked(data: bytes) -> Weights:
+def _unpacked(data: pa.Buffer) -> Weights:
     with np.load(io.BytesIO(data)) as z:
         return Weights(**{k: z[k] for k in Weights._fields})
 
 
+#: Kinds of a part: a block of BLOCK ids' rows of embed and counts, or all small weights, as block -1.
+_SMALL = ("query", "key", "value", "distance", "mix", "bias")
+
+
+def parts_of(weights: Weights, start: Weights, times: np.ndarray, share: float) -> Iterator[tuple]:
+    """(block, times, rows, counts) of weights that a task has trained from `start` on a share of all ids.
+
+    Counts are those that the task has added, and the share of those of `start`.
+    """
+    f = np.float32
+    yield -1, np.array([times.sum()], f).tobytes(), np.concatenate([getattr(weights, k).ravel() for k in _SMALL]).astype(f).tobytes(), b""
+    for i in range(0, len(times), BLOCK):
+        at = slice(i, i + BLOCK)
+        added = weights.counts[at] - f(1 - share) * start.counts[at]
+        yield i // BLOCK, times[at].astype(f).tobytes(), weights.embed[at].tobytes(), added.astype(f).tobytes()
+
+
+def merged(table: pa.Table) -> pa.Table:
+    """One part of the parts of a block: rows weighted by how often their ids occurred, and sums of counts."""
+    weigh = rows = counts = 0.0
+    for _, t, r, c in zip(*(table[k].to_pylist() for k in ("block", "times", "rows", "counts"))):
+        # an id that none has met keeps what all have
+        t = np.frombuffer(t, np.float32).astype(np.float64)[:, None] + 1e-6
+        weigh, rows, counts = weigh + t, rows + t * np.frombuffer(r, np.float32).reshape(len(t), -1), counts + np.frombuffer(c, np.float32).astype(np.float64)
+    block, rows = table["block"][0].as_py(), (rows / weigh).astype(np.float32)
+    return pa.table({"block": pa.array([block], pa.int32()), "times": [b""], "rows": [rows.tobytes()], "counts": [counts.astype(np.float32).tobytes()]}, pa.schema(_PARTS))
+
+
+_PARTS = [("block", pa.int32()), ("times", pa.binary()), ("rows", pa.binary()), ("counts", pa.binary())]
+_PARTS_SQL = "block int, times binary, rows binary, counts binary"
+
+
+def put_together(parts: pa.Table) -> Weights:
+    parts = parts.sort_by("block").to_pylist()
+    small, at, found = np.frombuffer(parts[0]["rows"], np.float32), 0, {}
+    for k, shape in (("query", (WIDTH, KEY)), ("key", (WIDTH, KEY)), ("value", (WIDTH, WIDTH)), ("distance", (CONTEXT + STRIDE,)), ("mix", (WIDTH, MIXED)), ("bias", (MIXED,))):
+        found[k], at = small[at : at + math.prod(shape)].reshape(shape), at + math.prod(shape)
+    embed, counts = (np.frombuffer(b"".join([p[k] for p in parts[1:]]), np.float32).reshape(-1, n) for k, n in (("rows", WIDTH), ("counts", MIXED)))
+    return Weights(embed, counts=counts, **found)
+
+
 def _sequence(ids: bytes) -> np.ndarray:
     return np.frombuffer(ids, "<u2").astype(np.int64)
 
@@ -363,8 +461,12 @@ class Counts:
         return logs, tokens, pa.ListArray.from_arrays(pa.array(offsets), flat)
 
 
-def fit(learnt: DataFrame, shares: np.ndarray, end: int, fit_docs: int = FIT_DOCS, steps: int = FIT_STEPS) -> Weights:
-    """Weights trained in one task on spans of the `fit_docs` documents of smallest hash; written, so that they are trained once."""
+def fit(learnt: DataFrame, shares: np.ndarray, end: int, n_ids: int, fit_docs: int = FIT_DOCS, steps: int = FIT_STEPS) -> str:
+    """Where parts of the weights are written, which all rows of `learnt`, of `n_ids` ids and ends, have trained; no rows give no parts.
+
+    The weights begin in one task, with `steps` steps on spans of the `fit_docs` documents of smallest hash, so that tasks have
+    the same distributions to go on with. Then tasks train them on every id of their documents, and are merged once.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -377,14 +479,29 @@ def fit(learnt: DataFrame, shares: np.ndarray, end: int, fit_docs: int = FIT_DOC
                     out.append([x[i : i + SPAN].tobytes() for i in np.linspace(0, len(x) - SPAN, FIT_SPANS).astype(int).tolist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.binary()))], ["place", "spans"])
 
-    def learn(table: pa.Table) -> pa.Table:
+    def begin(table: pa.Table) -> pa.Table:
+        hold_alone(_scorers, _scorers.clear)
         spans = [_sequence(s) for row in table.sort_by("place")["spans"].to_pylist() for s in row]
         return pa.table({"weights": pa.array([_packed(train(spans, shares, steps))], pa.binary())})
 
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_alone(_scorers, _scorers.clear)
+        first = next(batches, None)
+        if first is None:
+            return
+        held = read_whole(begun)
+        start = _unpacked(held["weights"][0].as_buffer()) if held.num_rows else untrained(shares)
+        texts = ([np.frombuffer(x, "<u2") for x in b.column(0).to_pylist()] for b in itertools.chain([first], batches))
+        weights, times = train_on(start, shares, texts, end)
+        for part in parts_of(weights, start, times, times.sum() / n_ids):
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip(part, _PARTS)], [n for n, _ in _PARTS])
+
     rows = learnt.select(F.lit(1).alias("all"), F.xxhash64("row").alias("hash"), "ids")
     chosen = smallest_hashes(rows, "all", "hash", fit_docs).select("place", "ids").mapInArrow(cut, "place int, spans array<binary>")
-    trained = written(chosen.groupBy().applyInArrow(learn, "weights binary"), "lm-weights").first()  # no group, so no row, without documents
-    return _unpacked(trained["weights"]) if trained else train([], shares, steps)
+    begun = written_to(chosen.groupBy().applyInArrow(begin, "weights binary"), "lm-begun")
+    tasks = min(scan_partitions(learnt), max(LEAST_TASKS, -(-n_ids // TASK_IDS)))
+    trained = learnt.select("ids").coalesce(tasks).mapInArrow(go_on, _PARTS_SQL)
+    return written_to(trained.groupBy("block").applyInArrow(merged, _PARTS_SQL), "lm-weights")
 
 
 #: What a worker holds of a model, by a name that the driver gives it.
@@ -395,7 +512,7 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None, fit_docs: int = F
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each whole text.
 
     Letters A-Z count as lower case. Tokens are the words between ASCII white space and one end. What is learnt comes from
-    the documents that are not held out: counts of all their words and ids, weights from a bounded number (`fit_docs`).
+    all documents that are not held out: counts of their words and ids, and weights, which begin with `fit_docs` of them.
     base_score adds up log10((c + 0.1) / (N + 0.1 (V + 1))); n_known counts tokens with c > 0. score is the log10 probability
     of the ids of the words, each after a blank, and of the end after them. Null and empty texts are an end alone;
     repeated rows and null doc_ids (whose decimal is empty) each count and give a row; other columns are ignored; no rows give no
@@ -418,9 +535,9 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None, fit_docs: int = F
     shares[by_id["id"].to_numpy()] += by_id["n"].to_numpy()
     shares[own.end] += n_docs
     shares /= shares.sum()
-    weights = fit(learnt, shares, own.end, fit_docs, steps)
-    top = commonest(words, "word", top_words).toArrow()
-    model = broadcast_model(spark, (weights, shares, top["word"].to_pylist(), top["n"].to_numpy(), n_docs))
+    # tasks read the model from the shared folder, as it is too large to go through the driver
+    weights = fit(learnt, shares, own.end, sum(by_id["n"].to_pylist()) + n_docs, fit_docs, steps)
+    top = written_to(commonest(words, "word", top_words), "lm-words")
     missing, name = float(np.log10(n + 0.1 * (v + 1))), uuid.uuid4().hex
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
 
@@ -429,8 +546,9 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None, fit_docs: int = F
         for b in batches:
             if name not in _scorers:
                 _scorers.clear()
-                weights, shares, keys, times, n_docs = model.value
-                _scorers[name] = Scorer(weights, shares, own.end), Counts(keys, times, n_docs)
+                parts, held = read_whole(weights), read_whole(top)
+                keys, times = (held["word"].to_pylist(), held["n"].to_numpy()) if held.num_rows else ([], np.zeros(0, np.int64))
+                _scorers[name] = Scorer(put_together(parts) if parts.num_rows else untrained(shares), shares, own.end), Counts(keys, times, n_docs)
             scorer, counts = _scorers[name]
             ids = b.column(0).to_pylist()
             logs, known, rare = counts.look_up(ids, own.begins)
@@ -442,7 +560,6 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None, fit_docs: int = F
     names = ["doc_id", "held_out", "n_words", "known", "base", "score", "rare", "row"]
     schema = "doc_id long, held_out boolean, n_words long, known long, base double, score double, rare array<struct<word: binary, times: long>>, row long"
     scored = written(rows.select("ids", "doc_id", "held_out", "n_words", "row").mapInArrow(run, schema), "lm-scores", "zstd")
-    destroy_model(model)  # the scores are written
     # a rare word that was learnt has a count; its tokens were added as if they had none
     rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.times").join(words, "word")
     more = rare.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.1) + 1)).alias("more_base"))

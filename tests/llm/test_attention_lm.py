@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 
@@ -129,3 +130,50 @@ def test_words_of_ids():
     assert words.codes.tolist() == [1 + (2 << 16) + (3 << 32), 1, 1 + (3 << 16), 1 + (3 << 16) + (2 << 32) + (3 << 48)]
     assert words.long == [np.array([0, 1, 1, 1, 1], "<u2").tobytes()]
     assert lm._keys(words.codes[:1]).to_pylist() == [int(words.codes[0]).to_bytes(8, "little")]
+
+
+def test_pass_takes_each_id_once():
+    rng = np.random.default_rng(1)
+    shares = np.full(40, 1 / 40)
+    start = lm.train([rng.integers(0, 39, 200)], shares, 5)
+    texts = [rng.integers(0, 39, n).astype("<u2") for n in (0, 1, 40, 500, 3, 0, 90)]
+    want = np.bincount(np.concatenate(texts), minlength=40)
+    want[39] += len(texts)
+    for batches in ([texts], [texts[:2], [], texts[2:]], [[t] for t in texts]):
+        weights, times = lm.train_on(start, shares, batches, 39)
+        assert times.tolist() == want.tolist()
+        assert weights.counts.sum(dtype=float) == pytest.approx(start.counts.sum(dtype=float) + want.sum(), rel=1e-4)
+    assert (start.embed != weights.embed).any() and all((getattr(start, k) != getattr(weights, k)).any() for k in lm._SMALL)
+
+
+def test_merged_weights():
+    shares = np.full(600, 1 / 600)
+    start = lm.train([np.arange(300) % 250], shares, 5)
+    ids, n = [np.arange(300, 400, dtype="<u2"), np.arange(350, 500, dtype="<u2")], 252
+    tasks = [lm.train_on(start, shares, [[x]], 599) for x in ids]
+    parts = [p for w, times in tasks for p in lm.parts_of(w, start, times, times.sum() / n)]
+    table = {b: pa.Table.from_pylist([dict(zip(("block", "times", "rows", "counts"), p)) for p in parts if p[0] == b], pa.schema(lm._PARTS)) for b in {p[0] for p in parts}}
+    got = lm.put_together(pa.concat_tables([lm.merged(t) for t in table.values()]))
+    (a, at), (b, bt) = tasks
+    assert got.counts == pytest.approx(a.counts + b.counts - start.counts, abs=1e-3)
+    for i, want in ((310, a.embed), (450, b.embed), (375, (a.embed + b.embed) / 2), (550, start.embed)):
+        assert got.embed[i] == pytest.approx(want[i], abs=1e-4)
+    assert got.mix == pytest.approx((at.sum() * a.mix + bt.sum() * b.mix) / n, abs=1e-4)
+
+
+def test_all_training_documents_train_the_weights(spark):
+    """Documents go one way or the other, and the weights begin with none; words and their counts are the same."""
+    rnd = random.Random(2)
+    words = [f"w{chr(97 + k)}" for k in range(20)]
+    texts = {d: " ".join(words[(s + k) % 20] for k in range(60)) for d in range(3000) if not held(d) for s in [rnd.randrange(20)]}
+    one, other = [d for d in range(10_000, 10_100) if held(d)][:2]
+    way = " ".join(words * 3)
+
+    def led(turned):
+        rows = [(d, " ".join(reversed(t.split())) if turned and d > 100 else t) for d, t in texts.items()]
+        docs = spark.createDataFrame([*rows, (one, way), (other, " ".join(reversed(way.split())))], SCHEMA).coalesce(1)
+        got = {r.doc_id: r.score for r in lm.score_texts(docs, fit_docs=0).collect()}
+        return got[one] - got[other]
+
+    a, b = led(False), led(True)
+    assert a > b + 1, (a, b)
