@@ -97,6 +97,37 @@ def test_policies_cool_down_and_idle_scans_leave(spark, tmp_path):
     assert sizes[1] > sizes[2]
 
 
+def test_policy_state_comes_with_the_rows(spark, tmp_path):
+    """Rows of many scans reach a worker with their counts: no scan calls the state store, whose calls grew with the scans."""
+    (tmp_path / "in").mkdir()
+    stream = streams.policy_triggers(streams.read_stream(spark, str(tmp_path / "in"), LOG))
+    assert "FlatMapGroupsInPandasWithState" in stream._jdf.queryExecution().logical().toString()
+    scans = [(k * 100 + i, at(0) + dt.timedelta(seconds=(i * 37) % 100), f"s{k}", "u", "GET", None if k % 3 == 0 else 403 if k % 3 == 1 and i > 3 else 200, "timeout" if k % 3 == 0 else None) for k in range(60) for i in range(100)]
+    got, sizes = run(spark, tmp_path, [scans[::2], scans[1::2]], streams.policy_triggers)
+    want = []
+    for k in range(60):
+        # the second batch goes on from the counts of the first, whatever its rows' times
+        own = [r for r in scans if r[2] == f"s{k}"]
+        want += plain_triggers_of([own[::2], own[1::2]])
+    assert sorted(tuple(r) for r in got) == sorted(want) and len(want) >= 40
+    assert sizes == [60, 60]
+
+
+def plain_triggers_of(batches):
+    """plain_triggers of rows that come in batches, each in order of time."""
+    out, rows, until = [], [], None
+    for batch in batches:
+        for r in sorted(batch, key=lambda r: (r[1], r[0])):
+            rows.append(r)
+            n, errors = len(rows), sum(x[6] is not None for x in rows)
+            shares = [sum(x[5] == s for x in rows) / n for s in (403, 429)]
+            kind = "Errors" if errors >= 25 else "Status403" if shares[0] >= 0.9 else "Status429" if shares[1] >= 0.3 else None
+            if n >= 50 and kind and (until is None or r[1] >= until):
+                out.append((r[2], kind, r[1], n))
+                until = r[1] + dt.timedelta(seconds=3.5)
+    return out
+
+
 def test_stream_attribution_equals_the_batch(spark, tmp_path):
     rnd = random.Random(3)
     signed = [rnd.getrandbits(64) - (1 << 63) for _ in range(40)]
