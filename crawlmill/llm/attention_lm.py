@@ -23,6 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ FIT_WINDOWS, FIT_STEPS = 64, 4000
 WEIGHT_RATE, EMBED_RATE = 0.02, 0.3
 #: Windows of a step of the pass over all training documents, and its rate of Adam.
 PASS_WINDOWS, PASS_RATE = 256, 0.002
+#: Windows of a step whose slopes are found together, so that they stay in a core's cache.
+PART_WINDOWS = 32
 #: Tasks of that pass: at least so many, or one for so many ids; and ids of a block that weights are merged by.
 LEAST_TASKS, TASK_IDS, BLOCK = 12, 1 << 25, 256
 #: Sizes of states and keys, and distributions that are mixed.
@@ -47,6 +50,8 @@ WIDTH, KEY, MIXED = 32, 16, 64
 PRIOR = 50.0
 #: Windows scored together.
 TOGETHER = 512
+#: Bytes of ids that a worker scores at a time.
+SCORED_BYTES = 1 << 18
 #: Words whose counts all workers hold, the commonest; other words meet their counts by a join.
 TOP_WORDS = 1 << 18
 #: Words that a task counts before it sends them.
@@ -80,6 +85,28 @@ def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, sums
 
 
+def _joined(x: np.ndarray, most: int) -> np.ndarray:
+    """x, windows by ids by numbers, as fewer and longer windows of `most` ids at most where their number divides."""
+    n, ids, width = x.shape
+    each = math.gcd(n, max(1, most // max(1, ids)))
+    return x.reshape(n // each, each * ids, width)
+
+
+#: Multiplications of a product, beyond which numpy's library deals them to other cores' threads.
+ONE_THREAD = 1 << 18
+
+
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w, in as few products as stay on the task's own core."""
+    return (_joined(x, ONE_THREAD // w.size) @ w).reshape(*x.shape[:2], w.shape[1])
+
+
+def _transposed_times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The sum of all windows' products of x, transposed, and y; on the task's own core as well."""
+    most = ONE_THREAD // (x.shape[2] * y.shape[2])
+    return (_joined(x, most).transpose(0, 2, 1) @ _joined(y, most)).sum(axis=0)
+
+
 class Trainer:
     """Weights in training: Adam for the small ones, Adagrad for embeddings, online expectation-maximisation for the mixed distributions."""
 
@@ -98,48 +125,74 @@ class Trainer:
     def step(self, window: np.ndarray, rate: float, fade: float = 0.0) -> None:
         """Learn from rows of ids, whose every id but the first is to be foretold; earlier counts lose the share `fade`."""
         self.t += 1
-        t, f, w, n = self.t, np.float32, self.small, window.shape[1] - 1
-        root = f(KEY**-0.5)
-        x, y = window[:, :-1], window[:, 1:].ravel()
-        e = self.embed[x]
-        qkv = e @ w["qkv"]
-        q, k, v = qkv[..., :KEY], qkv[..., KEY : 2 * KEY], qkv[..., 2 * KEY :]
-        a, sums = _softmax(q @ k.transpose(0, 2, 1) * root + (w["distance"][self.behind[:n, :n]] + self.mask[:n, :n]))
-        a /= sums[..., None]
-        h = e + a @ v
-        pi, sums = _softmax(h @ w["mix"] + w["bias"])
-        pi /= sums[..., None]
+        t, f, w = self.t, np.float32, self.small
+        x, y = window[:, :-1], window[:, 1:]
         if t % 50 == 1:
             self.total = self.counts.sum(axis=0)
         self.scale /= 1 - fade
         prior = f(PRIOR * self.scale)
-        mixed = (self.counts[y] + prior * self.shares[y, None]) / (self.total + prior)
-        r = pi * mixed.reshape(pi.shape)
-        r /= r.sum(axis=-1, keepdims=True)
-        # products are of one window each and then summed, so that they stay on the task's own core
-        dz = (pi - r) / f(len(y))
-        dh = dz @ w["mix"].T
-        da = dh @ v.transpose(0, 2, 1)
-        ds = a * (da - (a * da).sum(axis=-1, keepdims=True))
-        d = np.concatenate([ds @ k * root, ds.transpose(0, 2, 1) @ q * root, a.transpose(0, 2, 1) @ dh], axis=2)
-        near = np.bincount(self.behind[:n, :n].ravel(), (ds.sum(axis=0) * (self.mask[:n, :n] == 0)).ravel(), CONTEXT + STRIDE).astype(f)
-        slope = {"qkv": (e.transpose(0, 2, 1) @ d).sum(axis=0), "distance": near, "mix": (h.transpose(0, 2, 1) @ dz).sum(axis=0), "bias": dz.sum(axis=(0, 1))}
-        de = (dh + d @ w["qkv"].T).reshape(-1, WIDTH) * f(CONTEXT + STRIDE)
-        ids, rows = _rows_by_id(x.ravel(), de)
-        squares = self.squares[ids] + rows * rows
+        own, total = prior * self.shares, (self.total + prior)
+        de, r = np.empty((*x.shape, WIDTH), f), np.empty((*y.shape, MIXED), f)
+        slope = {k: np.zeros_like(v) for k, v in w.items()}
+        for i in range(0, len(x), PART_WINDOWS):
+            at = slice(i, i + PART_WINDOWS)
+            self._slopes(x[at], y[at], own, total, slope, de[at], r[at])
+        de *= f((CONTEXT + STRIDE) / y.size)
+        ids, rows = _rows_by_id(x.ravel(), de.reshape(-1, WIDTH))
+        squares = self.squares.take(ids, axis=0) + rows * rows
         self.squares[ids] = squares
         self.embed[ids] -= f(EMBED_RATE) * rows / np.sqrt(squares)
         for name, g in slope.items():
+            g /= f(y.size)
             self.first[name] += 0.1 * (g - self.first[name])
             self.second[name] += 0.02 * (g * g - self.second[name])
             w[name] -= (rate / (1 - 0.9**t) * self.first[name] / (np.sqrt(self.second[name] / (1 - 0.98**t)) + 1e-8)).astype(f)
-        ids, rows = _rows_by_id(y, r.reshape(-1, MIXED))
-        self.counts[ids] += rows * f(self.scale)
-        self.total = self.total + rows.sum(axis=0) * f(self.scale)
+        ids, rows = _rows_by_id(y.ravel(), r.reshape(-1, MIXED))
+        rows *= f(self.scale)
+        self.counts[ids] += rows
+        self.total = self.total + rows.sum(axis=0)
         if self.scale > 1e6:
             self.counts /= f(self.scale)
             self.total, self.scale = self.total / f(self.scale), 1.0
 
+    def _slopes(self, x: np.ndarray, y: np.ndarray, own: np.ndarray, total: np.ndarray, slope: dict[str, np.ndarray], de: np.ndarray, r: np.ndarray) -> None:
+        """Of some windows: adds to the small weights' slopes, and fills in the slopes of ids' embeddings and the shares of the distributions."""
+        w, n, root = self.small, x.shape[1], np.float32(KEY**-0.5)
+        e = self.embed.take(x, axis=0)
+        qkv = _times(e, w["qkv"])
+        qkv[..., :KEY] *= root
+        q, k, v = qkv[..., :KEY], qkv[..., KEY : 2 * KEY], qkv[..., 2 * KEY :]
+        s = q @ k.transpose(0, 2, 1)
+        s += w["distance"][self.behind[:n, :n]] + self.mask[:n, :n]
+        a, sums = _softmax(s)
+        a /= sums[..., None]
+        h = a @ v
+        h += e
+        z = _times(h, w["mix"])
+        z += w["bias"]
+        pi, sums = _softmax(z)
+        pi /= sums[..., None]
+        mixed = self.counts.take(y, axis=0)
+        mixed += own.take(y)[..., None]
+        mixed /= total
+        mixed *= pi
+        np.divide(mixed, (mixed @ np.ones(MIXED, np.float32))[..., None], out=r)
+        dz = np.subtract(pi, r, out=pi)
+        dh = _times(dz, w["mix"].T)
+        ds = dh @ v.transpose(0, 2, 1)
+        ds -= np.einsum("ijk,ijk->ij", a, ds)[..., None]
+        ds *= a
+        d = np.empty_like(qkv)
+        np.matmul(ds, k, out=d[..., :KEY])
+        d[..., :KEY] *= root
+        np.matmul(ds.transpose(0, 2, 1), q, out=d[..., KEY : 2 * KEY])
+        np.matmul(a.transpose(0, 2, 1), dh, out=d[..., 2 * KEY :])
+        slope["distance"] += np.bincount(self.behind[:n, :n].ravel(), (ds.sum(axis=0) * (self.mask[:n, :n] == 0)).ravel(), CONTEXT + STRIDE).astype(np.float32)
+        slope["qkv"] += _transposed_times(e, d)
+        slope["mix"] += _transposed_times(h, dz)
+        slope["bias"] += dz.sum(axis=(0, 1))
+        np.add(dh, _times(d, w["qkv"].T), out=de)
+
     def weights(self) -> Weights:
         query, key, value = np.split(self.small["qkv"], [KEY, 2 * KEY], axis=1)
         return Weights(self.embed, query, key, value, self.small["distance"], self.small["mix"], self.small["bias"], self.counts / np.float32(self.scale), self.squares)
@@ -197,7 +250,8 @@ def _rows_by_id(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     order = np.argsort(ids.astype(np.uint16), kind="stable")
     ids = ids[order]
     at = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    return ids[at], np.add.reduceat(rows[order], at, axis=0)
+    # pairs of numbers as one complex number each: reduceat goes column by column, and so has half of them
+    return ids[at], np.add.reduceat(rows.take(order, axis=0).view(np.complex64), at, axis=0).view(np.float32)
 
 
 class Scorer:
@@ -240,8 +294,7 @@ class Scorer:
             h = a @ self.values.take(x, axis=0)
             h /= sums[..., None]
             h += self.embed.take(now, axis=0)
-            # products of one window each: larger ones would be dealt to other cores' threads
-            z = h @ self.mix
+            z = _times(h, self.mix)
             z += self.bias
             z, sums = _softmax(z)
             here = np.arange(STRIDE) < (sizes[of[i : i + TOGETHER]] - own)[:, None]
@@ -447,20 +500,26 @@ class Counts:
         n = len(texts)
         logs = np.bincount(words.text, np.log10(known + 0.1), n) + np.log10(self.ends + 0.1)
         tokens = np.bincount(words.text, known > 0, n).astype(np.int64) + (self.ends > 0)
-        text, code = words.text[words.short][~hit], words.codes[~hit]
-        order = np.lexsort((code, text))
-        text, code = text[order], code[order]
-        first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (code[1:] != code[:-1]))) if len(text) else np.zeros(0, np.int64)
-        times = np.diff(first, append=len(text))
-        far = Counter((t, w) for t, w in zip(words.text[~words.short].tolist(), words.long) if w not in self.long)
-        raw = code[first].astype("<u8").tobytes()
-        rows = [(t, raw[8 * i : 8 * i + 8], k) for i, (t, k) in enumerate(zip(text[first].tolist(), times.tolist()))] + [(t, w, k) for (t, w), k in far.items()]
-        rows.sort(key=lambda r: r[0])
-        flat = pa.StructArray.from_arrays([pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], ["word", "times"])
-        offsets = np.searchsorted([r[0] for r in rows], np.arange(n + 1)).astype(np.int32)
+        # of unknown words, one row of each text and word, with its times
+        far = [(t, w) for t, w in zip(words.text[~words.short].tolist(), words.long) if w not in self.long]
+        text = np.append(words.text[words.short][~hit], np.array([t for t, _ in far], np.int64))
+        keys = pa.concat_arrays([_keys(words.codes[~hit]), pa.array([w for _, w in far], pa.binary())]).dictionary_encode()
+        distinct = max(1, len(keys.dictionary))
+        pairs, times = np.unique(text * distinct + keys.indices.to_numpy(), return_counts=True)
+        flat = pa.StructArray.from_arrays([keys.dictionary.take(pa.array(pairs % distinct)), pa.array(times)], ["word", "times"])
+        offsets = np.searchsorted(pairs // distinct, np.arange(n + 1)).astype(np.int32)
         return logs, tokens, pa.ListArray.from_arrays(pa.array(offsets), flat)
 
 
+def few_ids(batch: pa.RecordBatch, most: int = SCORED_BYTES) -> Iterator[pa.RecordBatch]:
+    """All rows in order, in slices whose first column holds about `most` bytes, as scoring takes many times the memory of its ids."""
+    sizes = pa.compute.binary_length(batch.column(0)).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // most
+    at = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(sizes)]
+    for i, j in zip(at[:-1], at[1:]):
+        yield batch.slice(i, j - i)
+
+
 def fit(learnt: DataFrame, shares: np.ndarray, end: int, n_ids: int, fit_docs: int = FIT_DOCS, steps: int = FIT_STEPS) -> str:
     """Where parts of the weights are written, which all rows of `learnt`, of `n_ids` ids and ends, have trained; no rows give no parts.
 
@@ -491,6 +550,7 @@ def fit(learnt: DataFrame, shares: np.ndarray, end: int, n_ids: int, fit_docs: i
             return
         held = read_whole(begun)
         start = _unpacked(held["weights"][0].as_buffer()) if held.num_rows else untrained(shares)
+        del held
         texts = ([np.frombuffer(x, "<u2") for x in b.column(0).to_pylist()] for b in itertools.chain([first], batches))
         weights, times = train_on(start, shares, texts, end)
         for part in parts_of(weights, start, times, times.sum() / n_ids):
@@ -543,12 +603,16 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None, fit_docs: int = F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold_alone(_scorers, _scorers.clear)
-        for b in batches:
+        for b in itertools.chain.from_iterable(map(few_ids, batches)):
             if name not in _scorers:
                 _scorers.clear()
-                parts, held = read_whole(weights), read_whole(top)
+                parts = read_whole(weights)
+                scorer = Scorer(put_together(parts) if parts.num_rows else untrained(shares), shares, own.end)
+                del parts
+                held = read_whole(top)
                 keys, times = (held["word"].to_pylist(), held["n"].to_numpy()) if held.num_rows else ([], np.zeros(0, np.int64))
-                _scorers[name] = Scorer(put_together(parts) if parts.num_rows else untrained(shares), shares, own.end), Counts(keys, times, n_docs)
+                _scorers[name] = scorer, Counts(keys, times, n_docs)
+                del held, keys, times
             scorer, counts = _scorers[name]
             ids = b.column(0).to_pylist()
             logs, known, rare = counts.look_up(ids, own.begins)

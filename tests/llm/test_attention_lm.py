@@ -177,3 +177,43 @@ def test_all_training_documents_train_the_weights(spark):
 
     a, b = led(False), led(True)
     assert a > b + 1, (a, b)
+
+
+def test_step_is_the_same_in_parts(monkeypatch):
+    """A step's slopes are of parts of its windows, in as few products as stay on one core."""
+    rng = np.random.default_rng(3)
+    shares = np.full(40, 1 / 40)
+    start, window = lm.untrained(shares), rng.integers(0, 39, (70, 33))
+    x, y = rng.normal(size=(70, 32, lm.WIDTH)).astype("f"), rng.normal(size=(70, 32, lm.MIXED)).astype("f")
+    assert lm._times(x, start.mix) == pytest.approx(x @ start.mix, abs=1e-4)
+    assert lm._transposed_times(x, y) == pytest.approx(np.einsum("wij,wik->jk", x, y), abs=1e-3)
+    for n, width in ((1, 64), (64, 64), (256, 64), (32, 32)):
+        joined = lm._joined(x[:1].repeat(n, axis=0), lm.ONE_THREAD // (32 * width))
+        assert joined.shape[1] * 32 * width <= lm.ONE_THREAD and (n == 1 or joined.shape[0] < n)
+    got = []
+    for part in (1, 32, 1000):
+        monkeypatch.setattr(lm, "PART_WINDOWS", part)
+        trainer = lm.Trainer(start, shares)
+        for _ in range(3):
+            trainer.step(window, 0.01, 0.1)
+        got.append(trainer.weights())
+    for other in got[1:]:
+        assert all(getattr(got[0], k) == pytest.approx(getattr(other, k), abs=1e-4) for k in ("embed", "counts", *lm._SMALL))
+
+
+def test_a_worker_scores_few_ids_at_a_time():
+    sizes = [0, 10, 3000, 0, 400, 700, 90, 5000, 0, 0, 1]
+    batch = pa.RecordBatch.from_arrays([pa.array([bytes(n) for n in sizes]), pa.array(range(len(sizes)))], ["ids", "row"])
+    parts = list(lm.few_ids(batch, 1000))
+    assert [r for p in parts for r in p.column(1).to_pylist()] == list(range(len(sizes)))
+    assert max(sum(map(len, p.column(0).to_pylist())) for p in parts if p.num_rows > 1 and max(map(len, p.column(0).to_pylist())) <= 1000) <= 2000 and len(parts) == 4
+    assert [p.num_rows for p in lm.few_ids(batch.slice(0, 0), 1000)] == [0]
+
+
+def test_unknown_words_of_a_text():
+    begins = np.array([True, False, False])
+    texts = [np.array(x, "<u2").tobytes() for x in ([0, 1, 2, 0, 0], [], [0, 1, 1, 1, 1, 0, 2, 0, 1, 1, 1, 1, 0], [0, 1, 2])]
+    code = lambda *x: sum((i + 1) << (16 * k) for k, i in enumerate(x)).to_bytes(8, "little")
+    _, _, rare = lm.Counts([code(0, 1, 2)], np.array([7]), 3).look_up(texts, begins)
+    long = np.array([0, 1, 1, 1, 1], "<u2").tobytes()
+    assert [{(x["word"], x["times"]) for x in t} for t in rare.to_pylist()] == [{(code(0), 2)}, set(), {(long, 2), (code(0, 2), 1), (code(0), 1)}, set()]
