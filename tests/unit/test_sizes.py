@@ -54,3 +54,11 @@ def test_discovery_reads_what_was_captured_once(spark):
     found = discovery.discover(captured, targets, words)
     assert sorted((r.url, r.level) for r in found.collect()) == [("http://t/a", 0), ("http://t/a/a", 1), ("http://t/a/a/a", 2)]
     assert reads.value == 3
+
+
+def test_terms_are_summed_before_they_move(spark):
+    """Rows that move grow with the terms of a task, not with its documents."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "'alpha beta alpha gamma' AS text").coalesce(1)
+    assert aggregates._summed(docs.select("text"), None, aggregates.SUMMED).count() == 3
+    got = {r.term: (r.df, round(r.tf, 6)) for r in aggregates.term_sums(docs, "doc_id", most=10).collect()}
+    assert got == {"alpha": (3000, 1500), "beta": (3000, 750), "gamma": (3000, 750)}

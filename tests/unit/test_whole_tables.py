@@ -3,14 +3,15 @@
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
 from crawlmill.constants import PUNCTUATION, STOP_WORDS
-from crawlmill.functions import simhash
-from crawlmill.operators import rules
+from crawlmill.functions import simhash, text
+from crawlmill.operators import aggregates, rules
 from crawlmill.plans import queries as plans
 from crawlmill.plans import stream_queries  # noqa: F401
 from crawlmill.storage import shared_path
@@ -95,3 +96,29 @@ def test_parity_signatures_of_bodies(spark):
     got = {r.page_id: r.signature for r in plans.queries()["t6_parity_signatures"](spark, SF).collect()}
     want = {r.page_id: simhash.parity_signature(tokens(r.html)) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     assert got == {i: s - (1 << 64) if s >> 63 else s for i, s in want.items() if s is not None}
+
+
+def test_terms_in_tasks_are_the_columns_terms(spark):
+    """Each character in a word, before and after a stop word, and alone; but those that the column's patterns do not know yet."""
+    texts = [f"Wo{chr(c)}rd the{chr(c)} {chr(c)}of-the {chr(c)} THE{chr(c)}CAT{chr(c)}" for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
+    texts += ["-the- --of-the-- the_cat ΑΣ ΑΣ'Β ’tis the", "", "a é aé", "the‍cat of́ and²"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").where(~F.col("text").rlike(r"\p{Cn}"))
+    want = {r.doc_id: Counter(r.t) for r in docs.select("doc_id", text.terms(F.col("text")).alias("t")).collect()}
+    counted = text.term_counter()
+    assert len(want) > 11_000
+    wrong = [texts[i] for i in want if counted(texts[i]) != want[i]]
+    assert not wrong, [hex(ord(t[2])) for t in wrong[:20]]
+    few = ["word", "no-such", "The"]
+    want = {r.doc_id: Counter(r.t) for r in docs.select("doc_id", text.terms(F.col("text"), few).alias("t")).collect()}
+    assert all(text.term_counter(few)(texts[i]) == w for i, w in want.items()) and text.term_counter([])("the of x") == {"the": 1, "of": 1}
+
+
+def test_documents_that_share_a_key(spark):
+    rows = [(1, "ab cd"), (1, "ab ef"), (1, "ab"), (2, "ab cd ab"), (None, "cd"), (None, "cd cd"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {}
+    for key, size, term in {(k, len(terms(t)), w) for k, t in rows for w in terms(t)}:
+        n = sum(terms(t).count(term) for k, t in rows if k == key and len(terms(t)) == size)
+        df, tf = want.get(term, (0, 0))
+        want[term] = df + 1, tf + n / size
+    assert {r.term: (r.df, pytest.approx(r.tf)) for r in aggregates.term_sums(docs, "doc_id").collect()} == want
