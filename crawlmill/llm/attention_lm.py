@@ -48,8 +48,8 @@ LEAST_TASKS, TASK_IDS, BLOCK = 12, 1 << 25, 256
 WIDTH, KEY, MIXED = 32, 16, 64
 #: Ids' worth of corpus counts that each mixed distribution is filled up with.
 PRIOR = 50.0
-#: Windows scored together.
-TOGETHER = 512
+#: Windows scored together, so that they stay in a core's cache.
+TOGETHER = 128
 #: Bytes of ids that a worker scores at a time.
 SCORED_BYTES = 1 << 18
 #: Words whose counts all workers hold, the commonest; other words meet their counts by a join.
@@ -70,18 +70,17 @@ class Weights(NamedTuple):
     squares: np.ndarray | None = None  # ids by WIDTH: sums of squared slopes, which slow embeddings down
 
 
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of x up to a factor per row, and its sums over the last axis. Each row's maximum is taken off first where any value is large or a sum
-    may vanish, which is rare, as most of the time goes into finding the maxima.
+def _softmax(x: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """exp of x up to a factor per row, and its sums over the last axis, weighted if weights are given. Each row's maximum is taken off first
+    where a value is too large or a sum may vanish, which is rare and shows in the sums, as finding all maxima takes long.
     """
-    if x.max() > 60:
-        x -= x.max(axis=-1, keepdims=True)
-    out = np.exp(x)
-    sums = out @ np.ones(x.shape[-1], np.float32)
-    if sums.min() < 1e-25:
-        x -= x.max(axis=-1, keepdims=True)
+    weights = np.ones(x.shape[-1], np.float32) if weights is None else weights
+    with np.errstate(over="ignore", invalid="ignore"):
         out = np.exp(x)
-        sums = out @ np.ones(x.shape[-1], np.float32)
+        sums = out @ weights
+    if not (sums.min() > 1e-25 and sums.max() < 1e25):
+        out = np.exp(x - x.max(axis=-1, keepdims=True))
+        sums = out @ weights
     return out, sums
 
 
@@ -107,6 +106,112 @@ def _transposed_times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (_joined(x, most).transpose(0, 2, 1) @ _joined(y, most)).sum(axis=0)
 
 
+def _column_sums(x: np.ndarray) -> np.ndarray:
+    """The sums over all windows and ids."""
+    x = _joined(x, ONE_THREAD // 32 // x.shape[2])
+    return (np.ones((1, x.shape[1]), np.float32) @ x).sum(axis=(0, 1))
+
+
+#: Rows of an id, up to which they are summed together with those of other ids.
+FEW_ROWS = 16
+
+
+class Met(NamedTuple):
+    """The distinct ids of some, and where each stands."""
+
+    ids: np.ndarray
+    place: np.ndarray  # of each id among the distinct ones
+    order: np.ndarray  # of all, by id
+    first: np.ndarray  # of each distinct id in that order
+    times: np.ndarray
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Met:
+        order = np.argsort(ids.astype(np.uint16), kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        times, place = np.diff(first, append=len(ids)), np.empty(len(ids), np.intp)
+        place[order] = np.repeat(np.arange(len(first)), times)
+        return cls(ids[first], place, order, first, times)
+
+    def sums(self, rows: np.ndarray) -> np.ndarray:
+        """Of each distinct id, the sum of its rows."""
+        out = np.empty((len(self.ids), rows.shape[1]), rows.dtype)
+        for i in np.flatnonzero(self.times > FEW_ROWS).tolist():
+            begin = self.first[i]
+            np.add.reduce(rows.take(self.order[begin : begin + self.times[i]], axis=0), axis=0, out=out[i])
+        # of ids that occur seldom, all first rows, then all second ones
+        few = np.flatnonzero(self.times <= FEW_ROWS)
+        few = few[np.argsort(-self.times[few], kind="stable")]
+        first, more = self.first[few], np.searchsorted(-self.times[few], -np.arange(1, FEW_ROWS))
+        some = rows.take(self.order[first], axis=0)
+        for k, n in enumerate(more[more > 0].tolist(), 1):
+            some[:n] += rows.take(self.order[first[:n] + k], axis=0)
+        out[few] = some
+        return out
+
+
+class Step(NamedTuple):
+    """The small weights as a step's products take them, and the sums of their slopes so far."""
+
+    qkv: np.ndarray
+    qkv_back: np.ndarray
+    mix: np.ndarray
+    mix_back: np.ndarray  # lifted
+    lift: np.ndarray  # exp of the bias, which sums, slopes and shares take afterwards instead of each state
+    attend: np.ndarray  # bias by place and place
+    slope: dict[str, np.ndarray]
+
+    @classmethod
+    def of(cls, w: dict[str, np.ndarray], n: int, mask: np.ndarray, behind: np.ndarray) -> Step:
+        f = np.float32
+        qkv = w["qkv"].copy()
+        qkv[:, :KEY] *= f(KEY**-0.5)
+        slope = {"qkv": np.zeros_like(qkv), "mix": np.zeros_like(w["mix"]), "bias": np.zeros(MIXED, f), "attend": np.zeros(n * n, f)}
+        lift = np.exp(w["bias"] - w["bias"].max())
+        return cls(qkv, qkv.T.copy(), w["mix"], (w["mix"] * lift).T.copy(), lift, w["distance"][behind[:n, :n]] + mask[:n, :n], slope)
+
+    def slopes(self, e: np.ndarray, mixed: np.ndarray, de: np.ndarray, r: np.ndarray) -> None:
+        """Of some windows' embeddings and their next ids' probabilities in the mixed distributions: adds to the small weights' slopes, and
+        fills in the slopes of embeddings and the shares of the distributions, the latter yet to be lifted.
+        """
+        slope = self.slope
+        qkv = _times(e, self.qkv)
+        q, k, v = qkv[..., :KEY], qkv[..., KEY : 2 * KEY], qkv[..., 2 * KEY :]
+        s = q @ k.transpose(0, 2, 1)
+        s += self.attend
+        a, sums = _softmax(s)
+        a *= (1 / sums)[..., None]
+        h = a @ v
+        h += e
+        pi, sums = _softmax(_times(h, self.mix), self.lift)
+        mixed *= pi
+        np.multiply(mixed, (1 / (mixed @ self.lift))[..., None], out=r)
+        pi *= (1 / sums)[..., None]
+        dz = np.subtract(pi, r, out=pi)
+        dh = _times(dz, self.mix_back)
+        ds = dh @ v.transpose(0, 2, 1)
+        ds -= np.einsum("ijk,ijk->ij", a, ds)[..., None]
+        ds *= a
+        d = np.empty_like(qkv)
+        np.matmul(ds, k, out=d[..., :KEY])
+        np.matmul(ds.transpose(0, 2, 1), q, out=d[..., KEY : 2 * KEY])
+        np.matmul(a.transpose(0, 2, 1), dh, out=d[..., 2 * KEY :])
+        slope["attend"] += np.add.reduce(ds.reshape(len(ds), -1), axis=0)
+        slope["qkv"] += _transposed_times(e, d)
+        slope["mix"] += _transposed_times(h, dz)
+        slope["bias"] += _column_sums(dz)
+        np.add(dh, _times(d, self.qkv_back), out=de)
+
+    def small(self, behind: np.ndarray) -> dict[str, np.ndarray]:
+        """The slopes of the small weights."""
+        n = len(self.attend)
+        qkv, seen = self.slope["qkv"], np.tri(n, dtype=bool).ravel()
+        qkv[:, :KEY] *= np.float32(KEY**-0.5)
+        distance = np.bincount(behind[:n, :n].ravel()[seen], self.slope["attend"][seen], CONTEXT + STRIDE).astype(np.float32)
+        return {"qkv": qkv, "distance": distance, "mix": self.slope["mix"] * self.lift, "bias": self.slope["bias"] * self.lift}
+
+
 class Trainer:
     """Weights in training: Adam for the small ones, Adagrad for embeddings, online expectation-maximisation for the mixed distributions."""
 
@@ -120,78 +225,45 @@ class Trainer:
         behind = np.subtract.outer(np.arange(length), np.arange(length))
         self.mask, self.behind = np.where(behind >= 0, 0, -1e9).astype(f), np.maximum(behind, 0)
         # rows of counts are in units that grow where older counts fade
-        self.t, self.scale, self.total = 0, 1.0, self.counts.sum(axis=0)
+        self.t, self.scale, self.total = 0, 1.0, self.counts.sum(axis=0, dtype=np.float64)
+        self.found = np.empty((0, length + 1, WIDTH + MIXED), f)
 
     def step(self, window: np.ndarray, rate: float, fade: float = 0.0) -> None:
         """Learn from rows of ids, whose every id but the first is to be foretold; earlier counts lose the share `fade`."""
         self.t += 1
-        t, f, w = self.t, np.float32, self.small
-        x, y = window[:, :-1], window[:, 1:]
-        if t % 50 == 1:
-            self.total = self.counts.sum(axis=0)
+        t, f, w, n = self.t, np.float32, self.small, window.shape[1] - 1
         self.scale /= 1 - fade
         prior = f(PRIOR * self.scale)
-        own, total = prior * self.shares, (self.total + prior)
-        de, r = np.empty((*x.shape, WIDTH), f), np.empty((*y.shape, MIXED), f)
-        slope = {k: np.zeros_like(v) for k, v in w.items()}
-        for i in range(0, len(x), PART_WINDOWS):
+        # what is looked up or learnt by id is found for the distinct ids of all windows
+        met = Met.of(window.ravel())
+        place, embed, counts = met.place.reshape(window.shape), self.embed.take(met.ids, axis=0), self.counts.take(met.ids, axis=0)
+        mixed = (counts + (prior * self.shares.take(met.ids))[:, None]) / (self.total + prior).astype(f)
+        own = Step.of(w, n, self.mask, self.behind)
+        # of each place of a window, the slopes of its id's embedding as what is read, then its shares of the distributions as what is foretold
+        if self.found.shape[:2] != window.shape:
+            self.found = np.empty((*window.shape, WIDTH + MIXED), f)
+        found = self.found
+        found[:, -1, :WIDTH], found[:, 0, WIDTH:] = 0, 0
+        for i in range(0, len(window), PART_WINDOWS):
             at = slice(i, i + PART_WINDOWS)
-            self._slopes(x[at], y[at], own, total, slope, de[at], r[at])
-        de *= f((CONTEXT + STRIDE) / y.size)
-        ids, rows = _rows_by_id(x.ravel(), de.reshape(-1, WIDTH))
-        squares = self.squares.take(ids, axis=0) + rows * rows
-        self.squares[ids] = squares
-        self.embed[ids] -= f(EMBED_RATE) * rows / np.sqrt(squares)
-        for name, g in slope.items():
-            g /= f(y.size)
+            own.slopes(embed.take(place[at, :-1], axis=0), mixed.take(place[at, 1:], axis=0), found[at, :-1, :WIDTH], found[at, 1:, WIDTH:])
+        rows = met.sums(found.reshape(-1, WIDTH + MIXED))
+        slopes, shares, each = rows[:, :WIDTH], rows[:, WIDTH:], f(1 / (len(window) * n))
+        slopes *= f(CONTEXT + STRIDE) * each
+        squares = self.squares.take(met.ids, axis=0) + slopes * slopes
+        self.squares[met.ids] = squares
+        self.embed[met.ids] = embed - f(EMBED_RATE) * slopes / np.sqrt(squares)
+        for name, g in own.small(self.behind).items():
+            g *= each
             self.first[name] += 0.1 * (g - self.first[name])
             self.second[name] += 0.02 * (g * g - self.second[name])
             w[name] -= (rate / (1 - 0.9**t) * self.first[name] / (np.sqrt(self.second[name] / (1 - 0.98**t)) + 1e-8)).astype(f)
-        ids, rows = _rows_by_id(y.ravel(), r.reshape(-1, MIXED))
-        rows *= f(self.scale)
-        self.counts[ids] += rows
-        self.total = self.total + rows.sum(axis=0)
+        shares *= own.lift * f(self.scale)
+        self.counts[met.ids] = counts + shares
+        self.total += shares.sum(axis=0)
         if self.scale > 1e6:
             self.counts /= f(self.scale)
-            self.total, self.scale = self.total / f(self.scale), 1.0
-
-    def _slopes(self, x: np.ndarray, y: np.ndarray, own: np.ndarray, total: np.ndarray, slope: dict[str, np.ndarray], de: np.ndarray, r: np.ndarray) -> None:
-        """Of some windows: adds to the small weights' slopes, and fills in the slopes of ids' embeddings and the shares of the distributions."""
-        w, n, root = self.small, x.shape[1], np.float32(KEY**-0.5)
-        e = self.embed.take(x, axis=0)
-        qkv = _times(e, w["qkv"])
-        qkv[..., :KEY] *= root
-        q, k, v = qkv[..., :KEY], qkv[..., KEY : 2 * KEY], qkv[..., 2 * KEY :]
-        s = q @ k.transpose(0, 2, 1)
-        s += w["distance"][self.behind[:n, :n]] + self.mask[:n, :n]
-        a, sums = _softmax(s)
-        a /= sums[..., None]
-        h = a @ v
-        h += e
-        z = _times(h, w["mix"])
-        z += w["bias"]
-        pi, sums = _softmax(z)
-        pi /= sums[..., None]
-        mixed = self.counts.take(y, axis=0)
-        mixed += own.take(y)[..., None]
-        mixed /= total
-        mixed *= pi
-        np.divide(mixed, (mixed @ np.ones(MIXED, np.float32))[..., None], out=r)
-        dz = np.subtract(pi, r, out=pi)
-        dh = _times(dz, w["mix"].T)
-        ds = dh @ v.transpose(0, 2, 1)
-        ds -= np.einsum("ijk,ijk->ij", a, ds)[..., None]
-        ds *= a
-        d = np.empty_like(qkv)
-        np.matmul(ds, k, out=d[..., :KEY])
-        d[..., :KEY] *= root
-        np.matmul(ds.transpose(0, 2, 1), q, out=d[..., KEY : 2 * KEY])
-        np.matmul(a.transpose(0, 2, 1), dh, out=d[..., 2 * KEY :])
-        slope["distance"] += np.bincount(self.behind[:n, :n].ravel(), (ds.sum(axis=0) * (self.mask[:n, :n] == 0)).ravel(), CONTEXT + STRIDE).astype(np.float32)
-        slope["qkv"] += _transposed_times(e, d)
-        slope["mix"] += _transposed_times(h, dz)
-        slope["bias"] += dz.sum(axis=(0, 1))
-        np.add(dh, _times(d, w["qkv"].T), out=de)
+            self.total, self.scale = self.counts.sum(axis=0, dtype=np.float64), 1.0
 
     def weights(self) -> Weights:
         query, key, value = np.split(self.small["qkv"], [KEY, 2 * KEY], axis=1)
@@ -245,15 +317,6 @@ def train_on(weights: Weights, shares: np.ndarray, batches: Iterable[list[np.nda
     return trainer.weights(), times
 
 
-def _rows_by_id(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids in order, and the sums of their rows."""
-    order = np.argsort(ids.astype(np.uint16), kind="stable")
-    ids = ids[order]
-    at = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    # pairs of numbers as one complex number each: reduceat goes column by column, and so has half of them
-    return ids[at], np.add.reduceat(rows.take(order, axis=0).view(np.complex64), at, axis=0).view(np.float32)
-
-
 class Scorer:
     """Log10 probabilities of id sequences, each followed by the end id."""
 
@@ -265,41 +328,44 @@ class Scorer:
         self.keys, self.values = weights.embed @ weights.key, weights.embed @ weights.value
         table = weights.counts.astype(np.float64) + PRIOR * shares[:, None]
         self.table = (table / table.sum(axis=0)).astype(f)
+        # what is looked up of an id as context, and as one that is read
+        self.seen, self.read = np.append(self.keys, self.values, axis=1), np.append(self.queries, self.embed, axis=1)
+        self.lift = np.exp(self.bias - self.bias.max())
+        self.lifted = self.table * self.lift
         behind = CONTEXT + np.arange(STRIDE)[:, None] - np.arange(CONTEXT + STRIDE)
         self.mask = np.where(behind >= 0, weights.distance[np.clip(behind, 0, CONTEXT + STRIDE - 1)], -1e9).astype(f)
 
     def ids(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(sequence, log10 probability) of each id of the sequences and of each end, in order."""
         sizes = np.array([len(s) + 1 for s in sequences], np.int64)
-        begin = np.cumsum(sizes) - sizes
-        # a sequence begins after an end, and its last id is followed by one
-        stream = np.concatenate([x for s in sequences for x in (np.array([self.end]), s)] + [np.array([self.end])]).astype(np.int64)
-        follows = stream[1:].copy()
         windows = -(-sizes // STRIDE)
-        of = np.repeat(np.arange(len(sizes)), windows)
-        place = (np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)) * STRIDE
-        padded = np.concatenate([np.full(CONTEXT, self.end), stream, np.full(STRIDE, self.end)])
-        out = np.empty(int(sizes.sum()), np.float32)
-        early = np.zeros((1, 1, CONTEXT + STRIDE), np.float32)
-        early[..., :CONTEXT] = -1e9
-        for i in range(0, len(of), TOGETHER):
-            start, own = begin[of[i : i + TOGETHER]] + place[i : i + TOGETHER], place[i : i + TOGETHER]
-            x = padded[start[:, None] + np.arange(CONTEXT + STRIDE)]
-            now = x[:, CONTEXT:]
-            s = self.queries.take(now, axis=0) @ np.ascontiguousarray(self.keys.take(x, axis=0).transpose(0, 2, 1))
+        first, n = np.cumsum(windows) - windows, int(windows.sum())
+        # each sequence fills windows of its own: an end and its ids are read, its ids and an end foretold
+        at = np.arange(int(sizes.sum())) + np.repeat(first * STRIDE - (np.cumsum(sizes) - sizes), sizes)
+        stop = np.array([self.end], np.int64)
+        stream = np.concatenate([x for s in sequences for x in (stop, s)] + [stop]).astype(np.int64)
+        read, follows = np.full(CONTEXT + n * STRIDE, self.end), np.full(n * STRIDE, self.end)
+        read[CONTEXT + at], follows[at] = stream[:-1], stream[1:]
+        begins = np.zeros(n, bool)
+        begins[first] = True
+        out = np.empty((n, STRIDE), np.float32)
+        for i in range(0, n, TOGETHER):
+            part = slice(i, min(n, i + TOGETHER))
+            begin, end = part.start * STRIDE, part.stop * STRIDE
+            # windows overlap in what they see
+            seen = self.seen.take(read[begin : CONTEXT + end], axis=0)
+            seen = np.lib.stride_tricks.as_strided(seen, ((end - begin) // STRIDE, CONTEXT + STRIDE, seen.shape[1]), (STRIDE * seen.strides[0], *seen.strides), writeable=False)
+            own = self.read.take(read[CONTEXT + begin : CONTEXT + end], axis=0).reshape(len(seen), STRIDE, -1)
+            s = own[..., :KEY] @ seen[..., :KEY].transpose(0, 2, 1)
             s += self.mask
-            head = np.flatnonzero(own == 0)
-            s[head] += early
+            s[begins[part], :, :CONTEXT] = -1e9
             a, sums = _softmax(s)
-            h = a @ self.values.take(x, axis=0)
-            h /= sums[..., None]
-            h += self.embed.take(now, axis=0)
-            z = _times(h, self.mix)
-            z += self.bias
-            z, sums = _softmax(z)
-            here = np.arange(STRIDE) < (sizes[of[i : i + TOGETHER]] - own)[:, None]
-            at = (start[:, None] + np.arange(STRIDE))[here]
-            out[at] = np.log10(np.einsum("ij,ij->i", z[here], self.table.take(follows[at], axis=0)) / sums[here])
+            h = a @ seen[..., KEY:]
+            h *= (1 / sums)[..., None]
+            h += own[..., KEY:]
+            z, sums = _softmax(_times(h, self.mix), self.lift)
+            np.divide(np.einsum("ijk,ijk->ij", z, self.lifted.take(follows[begin:end], axis=0).reshape(z.shape)), sums, out=out[part])
+        out = np.log10(out.ravel()[at])
         return np.repeat(np.arange(len(sizes)), sizes), out
 
     def texts(self, sequences: list[np.ndarray]) -> np.ndarray:
@@ -426,7 +492,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             # of bytes: A-Z alone turn to lower case, and words part at ASCII white space
             words = [t.lower().split() for t in b.column(2).cast(pa.binary()).to_pylist()]
-            ids = encoder(path, plain=True).encode([(" " + b" ".join(w).decode()) if w else "" for w in words])
+            ids = encoder(path, plain=True).encode_words(words)
             ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, words), pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "held_out", "n_words", "ids"])
 

@@ -19,6 +19,8 @@ from crawlmill.llm.common import Memory, hold_alone
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes that a worker remembers of pieces and their ids, and of those without special tokens; characters cut at a time.
 MEMORY_BYTES, PLAIN_MEMORY_BYTES, STEP = 48 << 20, 128 << 20, 1 << 18
+#: Words looked up between two turns of what a worker remembers of words.
+STEP_WORDS = 1 << 16
 #: Texts with characters from here on are cut by the library's own pattern, whose version of Unicode differs.
 _OLD = "\u0220"
 #: Where the cuts below would part what belongs together: neighbouring white space, odd white space, and a full stop or
@@ -50,6 +52,10 @@ def segments(text: str, size: int = STEP) -> list[str]:
     return [*out, text[start:]]
 
 
+class Inseparable(Exception):
+    """A word ends in white space, which may run on into the blank after it."""
+
+
 class PieceEncoder:
     """Ids as little-endian unsigned 32-bit integers, from the file of a byte-level BPE tokenizer.
 
@@ -71,6 +77,7 @@ class PieceEncoder:
         self.merge = self.tokenizer.model.tokenize
         self.stored = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size() + 1)]
         self.pieces = Memory(self._piece, PLAIN_MEMORY_BYTES if plain else MEMORY_BYTES)
+        self.words = Memory(self._word, PLAIN_MEMORY_BYTES if plain else MEMORY_BYTES)
 
     def _merged(self, spelt: str) -> bytes:
         """Ids of one pre-token, spelt in the vocabulary's letters, by the library's own model."""
@@ -90,8 +97,21 @@ class PieceEncoder:
                 return b"".join([self._merged(self._spelt(w)) for w in self.split(piece)])
         return array("I", self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()
 
+    def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # of ASCII letters
+            return self._merged(self.blank + word.decode())
+        text = word.decode()
+        if text.isalpha():
+            return self._piece(" " + text)
+        if text[-1] in ".," and text[:-1].isalpha():
+            return self.words[word[:-1]] + self.pieces[text[-1]]
+        if text[-1].isspace():
+            raise Inseparable
+        return b"".join(map(self._piece, self._cut(" " + text)))
+
     def forget(self) -> None:
         self.pieces.forget()
+        self.words.forget()
 
     @staticmethod
     def _cut(text: str) -> list[str]:
@@ -106,6 +126,23 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         return [b"".join(map(self._segment, segments(t))) for t in texts]
 
+    def _joined(self, words: list[bytes]) -> bytes:
+        parts = []
+        for i in range(0, len(words), STEP_WORDS):
+            self.words.turn()
+            parts.append(b"".join(map(self.words.__getitem__, words[i : i + STEP_WORDS])))
+        return b"".join(parts)
+
+    def encode_words(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Ids of texts given by their words in UTF-8 (none empty, none with a blank), each after a blank."""
+        out = []
+        for words in texts:
+            try:
+                out.append(self._joined(words))
+            except Inseparable:
+                out += self.encode([" " + b" ".join(words).decode()])
+        return out
+
 
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
 

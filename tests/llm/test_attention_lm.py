@@ -217,3 +217,60 @@ def test_unknown_words_of_a_text():
     _, _, rare = lm.Counts([code(0, 1, 2)], np.array([7]), 3).look_up(texts, begins)
     long = np.array([0, 1, 1, 1, 1], "<u2").tobytes()
     assert [{(x["word"], x["times"]) for x in t} for t in rare.to_pylist()] == [{(code(0), 2)}, set(), {(long, 2), (code(0, 2), 1), (code(0), 1)}, set()]
+
+
+def test_rows_of_ids_are_summed_once_for_each():
+    rng = np.random.default_rng(4)
+    for ids in (np.array([5]), np.repeat(7, 3 * lm.FEW_ROWS), np.minimum(rng.geometric(0.03, 900), 299), np.arange(40), np.repeat(np.arange(9), np.arange(lm.FEW_ROWS - 4, lm.FEW_ROWS + 5))):
+        ids = rng.permutation(ids)
+        met, rows = lm.Met.of(ids), rng.normal(size=(len(ids), 6)).astype("f")
+        assert met.ids.tolist() == sorted(set(ids.tolist())) and (met.ids[met.place] == ids).all()
+        want = np.zeros((300, 6))
+        np.add.at(want, ids, rows)
+        assert met.sums(rows) == pytest.approx(want[met.ids], abs=1e-4)
+
+
+def test_slopes_are_those_of_the_likelihood():
+    """Each slope against a difference of the step's log likelihood, in double precision."""
+    rng, n, windows = np.random.default_rng(5), 6, 3
+    small = {"qkv": rng.normal(0, 0.5, (lm.WIDTH, 2 * lm.KEY + lm.WIDTH)), "distance": rng.normal(size=lm.CONTEXT + lm.STRIDE), "mix": rng.normal(0, 0.3, (lm.WIDTH, lm.MIXED)), "bias": rng.normal(size=lm.MIXED)}
+    e, mixed = rng.normal(0, 0.5, (windows, n, lm.WIDTH)), rng.random((windows, n, lm.MIXED))
+    behind = np.maximum(np.subtract.outer(np.arange(n), np.arange(n)), 0)
+
+    def loss(w, e):
+        q, k, v = np.split(e @ w["qkv"], [lm.KEY, 2 * lm.KEY], axis=2)
+        a = np.exp(q @ k.transpose(0, 2, 1) * lm.KEY**-0.5 + w["distance"][behind]) * np.tri(n)
+        z = np.exp((e + a / a.sum(axis=2, keepdims=True) @ v) @ w["mix"] + w["bias"])
+        return -np.log((z * mixed).sum(axis=2) / z.sum(axis=2)).sum()
+
+    f = {k: x.astype("f") for k, x in small.items()}
+    step, de, r = lm.Step.of(f, n, np.where(np.tri(n) > 0, 0, -1e9).astype("f"), behind), *(np.empty((windows, n, k), "f") for k in (lm.WIDTH, lm.MIXED))
+    step.slopes(e.astype("f"), mixed.astype("f"), de, r)
+    assert (r * step.lift).sum(axis=2) == pytest.approx(np.ones((windows, n)), rel=1e-4)
+    for k, got in (*step.small(behind).items(), ("e", de)):
+        for at in [tuple(rng.integers(0, s) for s in got.shape) for _ in range(12)]:
+            near = []
+            for by in (1e-5, -1e-5):
+                x = {**small, "e": e} | {k: (e if k == "e" else small[k]).copy()}
+                x[k][at] += by
+                near.append(loss(x, x["e"]))
+            assert got[at] == pytest.approx((near[0] - near[1]) / 2e-5, abs=2e-3), (k, at)
+
+
+def test_large_biases_are_lifted_alike(small):
+    _, shares, scorer = small
+    weights = lm.untrained(shares)._replace(bias=np.linspace(-60, 60, lm.MIXED).astype("f"))
+    other = lm.Scorer(weights, shares, 39)
+    texts = [np.arange(n) % 39 for n in (0, 3, 16, 40)]
+    assert other.texts(texts) == pytest.approx([plain_score(other, t.tolist()) for t in texts], rel=1e-4)
+
+
+def test_ids_of_words_are_those_of_the_text():
+    import random as rnd
+
+    own, take = encoder(byte_bpe_path(), plain=True), rnd.Random(6).choice
+    texts = ["don't, it's.", "a,b.c 1,2.", "É, é. ,. ., _. x_.", "<|endoftext|> x", "\x01 a", "½, ². ⅷ.", "x  y ", " x y", "x\x1c y", "", " \n"]
+    texts += ["".join(take(["a", "b", "é", ".", ",", " ", " ", "'s", "1", "_", "\x1f", "-", " ", "<|endoftext|>"]) for _ in range(30)) for _ in range(200)]
+    words = [plain_words(t) for t in texts]
+    want = [np.array(x.ids, "<u4").tobytes() for x in own.tokenizer.encode_batch_fast([" " + " ".join(w) if w else "" for w in words], add_special_tokens=False)]
+    assert own.encode_words([[x.encode() for x in w] for w in words]) == want
