@@ -106,6 +106,11 @@ def _transposed_times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (_joined(x, most).transpose(0, 2, 1) @ _joined(y, most)).sum(axis=0)
 
 
+def _lift(bias: np.ndarray) -> np.ndarray:
+    """exp of the bias up to a factor; none is less than exp(-60) of the largest, so none vanishes."""
+    return np.exp(np.maximum(bias - bias.max(), np.float32(-60)))
+
+
 def _column_sums(x: np.ndarray) -> np.ndarray:
     """The sums over all windows and ids."""
     x = _joined(x, ONE_THREAD // 32 // x.shape[2])
@@ -168,7 +173,7 @@ class Step(NamedTuple):
         qkv = w["qkv"].copy()
         qkv[:, :KEY] *= f(KEY**-0.5)
         slope = {"qkv": np.zeros_like(qkv), "mix": np.zeros_like(w["mix"]), "bias": np.zeros(MIXED, f), "attend": np.zeros(n * n, f)}
-        lift = np.exp(w["bias"] - w["bias"].max())
+        lift = _lift(w["bias"])
         return cls(qkv, qkv.T.copy(), w["mix"], (w["mix"] * lift).T.copy(), lift, w["distance"][behind[:n, :n]] + mask[:n, :n], slope)
 
     def slopes(self, e: np.ndarray, mixed: np.ndarray, de: np.ndarray, r: np.ndarray) -> None:
@@ -323,18 +328,22 @@ class Scorer:
     def __init__(self, weights: Weights, shares: np.ndarray, end: int):
         f = np.float32
         self.end = end
-        self.embed, self.mix, self.bias = weights.embed, weights.mix, weights.bias
-        self.queries = (weights.embed @ weights.query) * f(KEY**-0.5)
-        self.keys, self.values = weights.embed @ weights.key, weights.embed @ weights.value
-        table = weights.counts.astype(np.float64) + PRIOR * shares[:, None]
-        self.table = (table / table.sum(axis=0)).astype(f)
-        # what is looked up of an id as context, and as one that is read
-        self.seen, self.read = np.append(self.keys, self.values, axis=1), np.append(self.queries, self.embed, axis=1)
-        self.lift = np.exp(self.bias - self.bias.max())
-        self.lifted = self.table * self.lift
+        self.mix, self.bias = weights.mix, weights.bias
+        # what is looked up of an id as context, as one that is read, and as one that is foretold
+        self.seen = weights.embed @ np.append(weights.key, weights.value, axis=1)
+        self.read = np.append((weights.embed @ weights.query) * f(KEY**-0.5), weights.embed, axis=1)
+        self.keys, self.values, self.queries, self.embed = self.seen[:, :KEY], self.seen[:, KEY:], self.read[:, :KEY], self.read[:, KEY:]
+        self.lift = _lift(self.bias)
+        self.lifted = weights.counts + (PRIOR * shares).astype(f)[:, None]
+        self.lifted *= (self.lift / self.lifted.sum(axis=0, dtype=np.float64)).astype(f)
         behind = CONTEXT + np.arange(STRIDE)[:, None] - np.arange(CONTEXT + STRIDE)
         self.mask = np.where(behind >= 0, weights.distance[np.clip(behind, 0, CONTEXT + STRIDE - 1)], -1e9).astype(f)
 
+    @property
+    def table(self) -> np.ndarray:
+        """The mixed distributions: each id's probabilities."""
+        return self.lifted / self.lift
+
     def ids(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(sequence, log10 probability) of each id of the sequences and of each end, in order."""
         sizes = np.array([len(s) + 1 for s in sequences], np.int64)
